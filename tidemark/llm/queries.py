@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, pieces, pii, quality, secret_scan, sharding, url_filter
+from tidemark.llm import decontaminate, pieces, pii, quality, secret_scan, sharding, url_filter, warc
+from tidemark.llm.common import fresh_path
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -29,6 +30,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "warc")
+    records = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"), folder), folder, payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_personal_data(_table(spark, sf_dir, "documents")))
 
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
+    "op4_warc": op4_warc,
     "op7_pii": op7_pii,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
