@@ -1,13 +1,77 @@
-"""The corpus pipeline: quality rules, near copies, benchmark passages, secrets, token encoding."""
+"""The corpus pipeline over ``documents``: quality rules, near copies, benchmark passages, secrets, token encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of ``docs``; where a stage changes a text, ``n_chars`` follows it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, ngram_join, pieces, quality, queries, secret_scan
+from tidemark.llm.common import stash
+
+
+def _retexted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns, with ``n_chars`` counted again."""
+    return docs.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; the others stay as they are."""
+    return quality.kept_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents that links connect, the one with the least id stays; documents without words stay."""
+    joined = ngram_join.join_documents(docs)
+    stays = stash(joined.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct(), "stays")
+    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
+    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside an occurrence of a benchmark phrase are cut out; a document with no word left goes."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = decontaminate.find_contamination(docs, benchmark, keep=rest)
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    left = found.filter((hit == 0) | (hit < F.col("n_words")))
+    changed = F.size("spans") > 0
+    texts = left.withColumn("__changed", changed).withColumn("text", decontaminate.without_spans(F.col("text"), F.col("spans")))
+    return texts.select(*[F.when(F.col("__changed"), F.length("text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts."""
+    return _retexted(secret_scan.redact_documents(docs), docs.columns)
+
+
+def token_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, packed, with the digests of the ids and of the text that they decode to."""
+    model = queries.model_path()
+    decoded = pieces.decode_documents(pieces.encode_documents(docs, model), model)
+    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("secret scans", secrets),
+    ("SentencePiece encoding and decoding", token_encoding),
+]
+
+#: MinHash bands, the FM-index and the tokenizer have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each over what its predecessor wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stash(docs, f"stage{k}")
     return docs

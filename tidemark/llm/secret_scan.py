@@ -47,17 +47,11 @@ def find_secrets(text: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["span"])
 
 
-def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, blob, spans) for every row of ``docs``; ``ledger`` is the path of the ledger's table, kept between runs.
-
-    Without a path the ledger starts empty, in the shared folder. A blob that the ledger has at ``RULES_VERSION`` isn't
-    scanned again; a run that dies before its append leaves the ledger as it was, and the next run scans the same pairs.
-    """
+def _findings(docs: DataFrame, ledger: str | None, text_col: str) -> DataFrame:
+    """(blob, spans) of all blobs of ``docs`` that hold a secret, after the ledger was brought up to date."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    blob = F.sha2(F.encode(text, "UTF-8"), 256)
     schema = f"blob string, rules string, spans array<{SPAN_TYPE}>"
-    versions = docs.select(blob.alias("blob"), text.alias("body"))
+    versions = docs.select(_blob(docs[text_col]).alias("blob"), F.coalesce(docs[text_col], F.lit("")).alias("body"))
     if ledger is None:
         ledger = fresh_path(spark, "secret-ledger")
     else:
@@ -67,9 +61,30 @@ def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
         versions = versions.join(seen, "blob", "left_anti")
     unseen = versions.groupBy("blob").agg(F.first("body").alias("body"))
     unseen.select("blob", F.lit(RULES_VERSION).alias("rules"), find_secrets(F.col("body")).alias("spans")).write.mode("append").parquet(ledger)
-    findings = spark.read.schema(schema).parquet(ledger).filter((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
-    paths = docs.select(F.col(id_col).alias("__id"), blob.alias("blob"))
-    return paths.join(findings, "blob", "left").select(F.col("__id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN_TYPE}>")).alias("spans"))
+    known = spark.read.schema(schema).parquet(ledger).filter((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0))
+    return known.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+
+
+def _blob(text: Column) -> Column:
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
+
+
+def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, blob, spans) for every row of ``docs``; ``ledger`` is the path of the ledger's table, kept between runs.
+
+    Without a path the ledger starts empty, in the shared folder. A blob that the ledger has at ``RULES_VERSION`` isn't
+    scanned again; a run that dies before its append leaves the ledger as it was, and the next run scans the same pairs.
+    """
+    paths = docs.select(docs[id_col].alias("__id"), _blob(docs[text_col]).alias("__blob"))
+    found = paths.join(_findings(docs, ledger, text_col), "__blob", "left")
+    return found.select(F.col("__id").alias(id_col), F.col("__blob").alias("blob"), F.coalesce("__spans", F.array().cast(f"array<{SPAN_TYPE}>")).alias("spans"))
+
+
+def redact_documents(docs: DataFrame, ledger: str | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with every secret masked by its kind in the text; null texts stay null."""
+    found = docs.withColumn("__blob", _blob(docs[text_col])).join(_findings(docs, ledger, text_col), "__blob", "left")
+    masked_text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans")))
+    return found.withColumn(text_col, masked_text).select(*docs.columns)
 
 
 def _exists(spark, path: str) -> bool:
