@@ -81,7 +81,9 @@ ROUTES = {
 
 def _raw(ns: str, text: str) -> str:
     cues, weight = ROUTES[ns]
-    return rf"(0.1::DOUBLE + {weight}::DOUBLE * len(regexp_extract_all({text}, '(?i)\b(?:{cues})\b')))"
+    listed = ", ".join(f"'{c}'" for c in cues.split("|"))
+    # Whole words of letters of any language: this engine's \b knows ASCII letters only.
+    return rf"(0.1::DOUBLE + {weight}::DOUBLE * len(list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+'), lambda w: w IN ({listed}))))"
 
 
 def route(ns: str, text: str) -> str:
