@@ -13,11 +13,6 @@ from tidemark.llm import decontaminate, ngram_join, pieces, quality, queries, se
 from tidemark.llm.common import stash
 
 
-def _retexted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns, with ``n_chars`` counted again."""
-    return docs.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in columns])
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; the others stay as they are."""
     return quality.kept_documents(docs)
@@ -28,24 +23,27 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = ngram_join.join_documents(docs)
     stays = stash(joined.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct(), "stays")
     kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return kept.withColumn("__text_of_row", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_of_row"]).drop("__text_of_row")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words inside an occurrence of a benchmark phrase are cut out; a document with no word left goes."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = decontaminate.find_contamination(docs, benchmark, keep=rest)
+    held = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"__rest{k}") for k, c in enumerate(rest)])
+    found = decontaminate.find_contamination(held, benchmark, keep=held.columns[2:])
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     left = found.filter((hit == 0) | (hit < F.col("n_words")))
-    changed = F.size("spans") > 0
-    texts = left.withColumn("__changed", changed).withColumn("text", decontaminate.without_spans(F.col("text"), F.col("spans")))
-    return texts.select(*[F.when(F.col("__changed"), F.length("text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    text = decontaminate.without_spans(F.col("text"), F.col("spans"))
+    out = {c: F.col(f"__rest{k}") for k, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": text}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.size("spans") > 0, F.length(text).cast("bigint")).otherwise(out["n_chars"])
+    return left.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts."""
-    return _retexted(secret_scan.redact_documents(docs), docs.columns)
+    return secret_scan.redact_documents(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def token_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

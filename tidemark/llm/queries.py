@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_text, ngram_join, pieces, pii, quality, secret_scan, sharding, url_filter, warc
 from tidemark.llm.common import fresh_path
+from tidemark.llm.sql import ORACLE_SQL  # noqa: F401
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
@@ -82,19 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_url_filter": """
-WITH u AS (
-  SELECT page_id,
-         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
-  FROM pages),
-r(rule, rhost, rpath, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
-  ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
-j AS (
-  SELECT u.*, r.rule, r.v, row_number() OVER (PARTITION BY page_id, u.host, u.path ORDER BY length(rule) DESC NULLS LAST) AS k
-  FROM u LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
-SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM j WHERE k = 1
-""",
-}

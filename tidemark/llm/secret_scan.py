@@ -80,11 +80,18 @@ def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
     return found.select(F.col("__id").alias(id_col), F.col("__blob").alias("blob"), F.coalesce("__spans", F.array().cast(f"array<{SPAN_TYPE}>")).alias("spans"))
 
 
-def redact_documents(docs: DataFrame, ledger: str | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with every secret masked by its kind in the text; null texts stay null."""
-    found = docs.withColumn("__blob", _blob(docs[text_col])).join(_findings(docs, ledger, text_col), "__blob", "left")
-    masked_text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("__spans")))
-    return found.withColumn(text_col, masked_text).select(*docs.columns)
+def redact_documents(docs: DataFrame, ledger: str | None = None, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with every secret masked by its kind in the text; null texts stay null.
+
+    Where a text changes, ``length_col`` is set to its new length.
+    """
+    found = docs.withColumn("__blob_of_row", _blob(docs[text_col])).join(_findings(docs, ledger, text_col), F.col("__blob_of_row") == F.col("__blob"), "left")
+    hit = F.col("__spans").isNotNull()
+    text = F.when(hit, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: text}
+    if length_col:
+        out[length_col] = F.when(hit, F.length(text).cast("bigint")).otherwise(out[length_col])
+    return found.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def _exists(spark, path: str) -> bool:
