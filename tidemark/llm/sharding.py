@@ -65,14 +65,14 @@ def minimax_cuts(ends: DataFrame, total: int, largest: int, shards: int, grid: i
     if not total:
         return []
     lo, hi = max(largest, -(-total // shards)), min(total, -(-total // shards) + largest)
-    open_at = [(0, total)]
+    open_at, width = [(0, total)], 2 * total + 2
     kept: list[tuple[int, int]] = []
     while True:
-        width = max(1, -(-sum(b - a + 1 for a, b in open_at) // grid))
+        width = max(1, min(width // 2, -(-sum(b - a + 1 for a, b in open_at) // grid)))  # at least halved: it ends at single ends
         where = F.lit(False)
         for a, b in open_at:
             where = where | F.col("end").between(a, b)
-        rows = ends.filter(where).groupBy(F.floor(F.col("end") / width).alias("cell")).agg(F.min("end").alias("a"), F.max("end").alias("b")).collect()  # at most grid + 2 rows a stretch
+        rows = ends.filter(where).groupBy(F.floor(F.col("end") / width).alias("cell")).agg(F.min("end").alias("a"), F.max("end").alias("b")).collect()  # about grid rows, or a few for each pair of shards
         inside = lambda x: any(a <= x <= b for a, b in open_at)
         kept = sorted({(r["a"], r["b"]) for r in rows} | {(x, x) for c in kept for x in c if not inside(x)})
         known = _Ends(kept)
