@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stash
 
 NGRAM, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9999
-BLOCK = 512
+BLOCK = 256
 #: Bytes of text hashed at a time (one text may be longer).
 SLICE_BYTES = 1 << 21
 #: A-Z to lower case; what isn't a digit, a letter or beyond ASCII parts words.
