@@ -87,10 +87,11 @@ def redact_documents(docs: DataFrame, ledger: str | None = None, text_col: str =
     """
     found = docs.withColumn("__blob_of_row", _blob(docs[text_col])).join(_findings(docs, ledger, text_col), F.col("__blob_of_row") == F.col("__blob"), "left")
     hit = F.col("__spans").isNotNull()
-    text = F.when(hit, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
-    out = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: text}
+    # A name of its own first: inside lambdas Spark would take a column of the same select for the one it reads.
+    found = found.withColumn("__text_of_row", F.when(hit, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.col("__text_of_row")}
     if length_col:
-        out[length_col] = F.when(hit, F.length(text).cast("bigint")).otherwise(out[length_col])
+        out[length_col] = F.when(hit, F.length("__text_of_row").cast("bigint")).otherwise(out[length_col])
     return found.select(*[out[c].alias(c) for c in docs.columns])
 
 
