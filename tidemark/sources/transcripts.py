@@ -75,8 +75,8 @@ def block_transcripts(spark: SparkSession, path: str, agent: str = "assistant",
     raw = spark.read.schema("role string, type string, timestamp string, ts string, content string").json(path)
     lines = raw.select(F.col("_metadata.file_path").alias("session"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("line"), F.coalesce("role", "type").alias("role"), parse_time(F.coalesce("timestamp", "ts")).alias("seen"), F.posexplode_outer(blocks(F.col("content"))).alias("b_pos", "b"))
     lines = lines.withColumn("ord", F.struct("line", "b_pos"))
-    results = lines.filter("b.type = 'tool_result'").groupBy("session", F.col("b.tool_use_id").alias("use_id")).agg(F.min_by(F.struct(text_of(F.col("b.content")).alias("out"), F.coalesce("b.is_error", F.lit(False)).alias("bad"), F.col("seen").alias("at")), "ord").alias("res"))
-    joined = lines.join(results, (lines["session"] == results["session"]) & (F.col("b.id") == F.col("use_id")) & (F.col("b.type") == "tool_use"), "left").drop(results["session"])
+    results = lines.filter("b.type = 'tool_result'").groupBy(F.col("session").alias("res_session"), F.col("b.tool_use_id").alias("use_id")).agg(F.min_by(F.struct(text_of(F.col("b.content")).alias("out"), F.coalesce("b.is_error", F.lit(False)).alias("bad"), F.col("seen").alias("at")), "ord").alias("res"))
+    joined = lines.join(results, (F.col("session") == F.col("res_session")) & (F.col("b.id") == F.col("use_id")) & (F.col("b.type") == "tool_use"), "left")
     args = arguments(F.col("b.input"))
     tool = _span(F.lit("tool"), F.coalesce("b.name", F.lit("tool")), F.col("seen"), F.coalesce("b.name", F.lit("tool")), args, ids.canonical_map(args), F.col("res.out"), F.col("res.at"), F.when(F.col("res.bad"), "error").otherwise("ok"))
     span = (
