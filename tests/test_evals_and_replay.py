@@ -56,15 +56,16 @@ def test_wilcoxon_and_kappa_by_hand(spark):
 
 
 POLICY = [
-    ("Decline the optional sync evt_7", "optional attendees should decline", "gcal.respond_event", {"event_id": "evt_7", "response": "declined"}),
+    ("Decline the optional sync with Bob", "optional attendees should decline", "gcal.respond_event", {"event_id": "ev_1on1_bob", "response": "declined"}),
     ("Schedule an external call with Redwood", "", "gcal.create_event", {"summary": "Call Schedule", "start": "08:00"}),
-    ("Reschedule my 1:1", "mornings please: morning", "gcal.update_event", {"event_id": "evt_unknown", "start": "09:00"}),
+    ("Reschedule my 1:1", "mornings please: morning", "gcal.update_event", {"event_id": "ev_unknown", "start": "09:00"}),
     ("Reply to the VIP alice", "alice prefers direct messages", "slack.send_dm", {"user": "U_ALICE", "text": "Following up personally."}),
     ("Route this bug", "", "slack.post_message", {"channel": "general", "text": "Routing your request."}),
     ("Announce Falcon", "say it is live at launch in announcements", "slack.post_message", {"channel": "announcements", "text": "Launch Falcon is live"}),
     ("Draft weekly notes for Redwood", "metrics come first", "gdocs.create_document", {"name": "Weekly Summary Redwood", "body": "## Metrics\n## Highlights\n## Risks"}),
     ("Update the project page", "canonical", "gdocs.update_document", {"document_id": "doc_redwood_overview", "body": "Updated."}),
     ("what was in scope", "", "slack.post_message", {"channel": "general", "text": "I could not find a prior decision."}),
+    ("create the doc", "", "gdocs.create_document", {"name": "Update"}),
     ("hello", "", "slack.list_channels", {}),
 ]
 

@@ -79,7 +79,8 @@ def claim_key() -> Column:
 
 def corroborated(candidates: DataFrame) -> DataFrame:
     """Candidates with how many others state the same claim."""
-    return candidates.withColumn("claim_key", claim_key()).withColumn("corroborating", F.count("*").over(Window.partitionBy("claim_key")) - 1)
+    keyed = candidates.withColumn("claim_key", claim_key())
+    return keyed.join(keyed.groupBy("claim_key").agg((F.count("*") - 1).alias("corroborating")), "claim_key")
 
 
 def infer_subject() -> Column:

