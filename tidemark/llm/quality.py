@@ -67,10 +67,11 @@ def _normal_lines(text: Column) -> Column:
     return F.transform(F.filter(F.transform(lines, F.trim), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).cast("long").alias("n")))
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Row-local figures of every document; no shuffle."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(host_col)).alias("host"), text.alias("text"))
+def features(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry: bool = False) -> DataFrame:
+    """Row-local figures of every document; no shuffle. ``carry`` adds the row itself as a struct."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    whole = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
+    read = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[host_col]).alias("host"), text.alias("text"), *whole)
     hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
 
     def judged(hs: Column) -> Column:
@@ -93,7 +94,8 @@ def features(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         let(raw_lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _normal_lines(F.col("text")).alias("lines"),
-    ).select("id", "host", "text_hash", "w.*", "word_chars", "n_symbols", "n_dup_lines", "lines").withColumn(
+        *read.columns[3:],
+    ).select("id", "host", "text_hash", "w.*", "word_chars", "n_symbols", "n_dup_lines", "lines", *read.columns[3:]).withColumn(
         "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     )
 
@@ -107,7 +109,10 @@ def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per document: its figures, ``boilerplate_chars``, ``base_failed`` and ``kept``."""
-    rows = stash(features(docs, id_col, text_col, host_col), "quality")
+    return _judge(stash(features(docs, id_col, text_col, host_col), "quality"), max_docs, max_share, min_left).withColumnRenamed("id", id_col)
+
+
+def _judge(rows: DataFrame, max_docs: int, max_share: float, min_left: float) -> DataFrame:
     boilerplate = stash(frequent_lines(rows, max_docs, max_share), "boilerplate")
     figures = ["id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     held = rows.select("id", "text_hash", "host", F.posexplode("lines").alias("at", "l")).select("id", "text_hash", "at", "host", "l.line", "l.n")
@@ -125,16 +130,21 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(lost, ["id", "text_hash"], "left")
         .withColumn("boilerplate_chars", F.coalesce("boilerplate_chars", F.lit(0).cast("long")))
         .withColumn("kept", ~F.col("base_failed") & ((F.col("boilerplate_chars") == 0) | (left >= min_left)))
-        .select(F.col("id").alias(id_col), *figures[1:], "line_chars", "boilerplate_chars", "kept")
+        .select(*figures, "line_chars", "boilerplate_chars", "kept")
     )
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns. Only decisions travel: rejected ids, matched by id and text."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    rejected = stash(judge_documents(docs, **options).filter(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__text")).distinct(), "rejected")
-    same = docs[id_col].eqNullSafe(rejected["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == rejected["__text"])
-    return docs.join(rejected, same, "left_anti")
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns.
+
+    Rows are written down once beside their figures, so what fails by its own figures goes without a join, and texts
+    are not shuffled; only the depleted documents, matched by id and text, are taken out by one.
+    """
+    rows = stash(features(docs, id_col, text_col, host_col, carry=True), "quality")
+    judged = _judge(rows.drop("row"), max_docs, max_share, min_left)
+    depleted = stash(judged.filter(~F.col("base_failed") & ~F.col("kept")).select(F.col("id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "depleted")
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__text"))
+    return rows.filter(~F.col("base_failed")).join(depleted, same, "left_anti").select("row.*")
 
 
 def without_boilerplate(text: Column, lines: Column) -> Column:

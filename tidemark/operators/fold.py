@@ -39,7 +39,10 @@ def summary(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def materialize(events: DataFrame, valid=None, ingested=None, include_deleted: bool = False, keys: list[str] | None = None, **equal: str | None) -> DataFrame:
-    """One row for each entity: payload and edges as maps, deleted, last_valid_at, version_count."""
+    """One row for each entity: payload and edges as maps, deleted, last_valid_at, version_count.
+
+    A row holds all of an entity's edges; for entities with edges beyond a row's size use ``edge_targets``, one row each.
+    """
     keys = keys or KEY
     seen = as_of(events, valid, ingested, **equal)
     payload = payload_entries(seen, keys).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("payload"))
