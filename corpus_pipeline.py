@@ -21,9 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents that links connect, the one with the least id stays; documents without words stay."""
     joined = ngram_join.join_documents(docs)
-    stays = stash(joined.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct(), "stays")
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
-    return kept.withColumn("__text_of_row", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_of_row"]).drop("__text_of_row")
+    ids = joined.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"), F.count("*").alias("rows"))
+    ids = stash(ids.filter(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias("__id"), "stays"), "copies")
+    repeated = ids.filter("stays")  # only rows that share an id are held against each other
+    same = lambda other: docs["doc_id"].eqNullSafe(other["__id"])
+    single = docs.join(ids, same(ids), "left_anti")
+    rows = docs.join(repeated, same(repeated), "left_semi").withColumn("__text_of_row", F.xxhash64("text"))
+    return single.unionByName(rows.dropDuplicates(["doc_id", "__text_of_row"]).drop("__text_of_row"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +37,10 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     held = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"__rest{k}") for k, c in enumerate(rest)])
     found = decontaminate.find_contamination(held, benchmark, keep=held.columns[2:])
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
-    left = found.filter((hit == 0) | (hit < F.col("n_words")))
-    text = decontaminate.without_spans(F.col("text"), F.col("spans"))
-    out = {c: F.col(f"__rest{k}") for k, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": text}
+    left = found.filter((hit == 0) | (hit < F.col("n_words"))).withColumn("__cut", decontaminate.without_spans(F.col("text"), F.col("spans")))
+    out = {c: F.col(f"__rest{k}") for k, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": F.col("__cut")}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.size("spans") > 0, F.length(text).cast("bigint")).otherwise(out["n_chars"])
+        out["n_chars"] = F.when(F.size("spans") > 0, F.length("__cut").cast("bigint")).otherwise(out["n_chars"])
     return left.select(*[out[c].alias(c) for c in docs.columns])
 
 
