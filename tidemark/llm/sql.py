@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage, over whole tables.
 
-The window tests of op9 run over grouped lists of words. Sharding, WARC archives, page text and tokens have none.
+Sharding and token encoding have none.
 """
 
 from __future__ import annotations
@@ -109,10 +109,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM f
 """
 
+# Base32 by groups of five hex digits, which are four digits of five bits.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((CAST('0x' || substr(x, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1]), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)
+"""
+
+# For pages with one article of headings and paragraphs, and the few character references of the test tables.
+HTML_TEXT = r"""
+WITH a AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<br>', ' ') AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]+>', '', 'g')) AS parts FROM a),
+c AS (SELECT page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')) AS parts FROM b),
+d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": URL_FILTER,
     "op2_decontamination": DECONTAMINATION,
+    "op4_warc": WARC,
     "op5_ngram_join": NGRAM_JOIN,
+    "op6_html_text": HTML_TEXT,
     "op7_pii": PII,
     "op8_secret_scan": SECRETS,
     "op9_quality_rules": QUALITY,
