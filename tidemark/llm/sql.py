@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage, over whole tables.
 
-Sharding and token encoding have none.
+Token encoding has none.
 """
 
 from __future__ import annotations
@@ -109,6 +109,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM f
 """
 
+# The capacity by binary search over greedy walks, the checksum by its table: some twenty seconds for two megabytes of text.
+SHARDING = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS h, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+g AS (SELECT h, any_value(t) AS t, sum(size) AS size FROM d GROUP BY h),
+e AS (SELECT h, t, size, CAST(sum(size) OVER (ORDER BY h) AS BIGINT) AS e FROM g),
+l AS (SELECT list(e ORDER BY e) AS ends, max(e) AS total, CAST(max(size) AS BIGINT) AS largest FROM e),
+s(lo, hi) AS (
+  SELECT greatest(largest, (total + 15) // 16), total FROM l
+  UNION ALL
+  SELECT CASE WHEN fits THEN lo ELSE mid + 1 END, CASE WHEN fits THEN mid ELSE hi END
+  FROM (SELECT lo, hi, (lo + hi) // 2 AS mid, list_reduce(range(16), lambda a, k: coalesce(list_max(list_filter(ends, lambda x: x <= a + (lo + hi) // 2)), 0), 0::BIGINT) >= total AS fits FROM s, l WHERE lo < hi)),
+cap AS (SELECT lo AS c FROM s WHERE lo = hi),
+cut(k, z) AS (SELECT 0, 0::BIGINT UNION ALL SELECT k + 1, (SELECT max(e) FROM e WHERE e <= z + c) FROM cut, cap, l WHERE z < total),
+tab AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n) AS v FROM range(256) r(n))),
+crc AS (SELECT h, xor(list_reduce(list_transform(range(0, strlen(t)), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc FROM (SELECT h, t, hex(encode(t)) AS x FROM e), tab),
+p AS (SELECT doc_id, d.h, d.size, (SELECT count(*) FROM cut, l WHERE k > 0 AND z < total AND z <= e.e - e.size) AS shard FROM d JOIN e USING (h))
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM p JOIN crc USING (h)
+"""
+
 # Base32 by groups of five hex digits, which are four digits of five bits.
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages), f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
@@ -130,6 +150,7 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": URL_FILTER,
     "op2_decontamination": DECONTAMINATION,
+    "op3_sharding": SHARDING,
     "op4_warc": WARC,
     "op5_ngram_join": NGRAM_JOIN,
     "op6_html_text": HTML_TEXT,
