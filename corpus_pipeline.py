@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, ngram_join, pieces, quality, queries, secret_scan
-from tidemark.llm.common import stash
+from tidemark.llm.common import scratch, stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents that links connect, the one with the least id stays; documents without words stay."""
-    joined = ngram_join.join_documents(docs)
-    ids = joined.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"), F.count("*").alias("rows"))
-    ids = stash(ids.filter(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias("__id"), "stays"), "copies")
+    with scratch(spark) as keep:  # the join's own tables go as soon as its decisions are written
+        joined = ngram_join.join_documents(docs)
+        ids = joined.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"), F.count("*").alias("rows"))
+        ids = keep(ids.filter(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias("__id"), "stays"), "copies")
     repeated = ids.filter("stays")  # only rows that share an id are held against each other
     same = lambda other: docs["doc_id"].eqNullSafe(other["__id"])
     single = docs.join(ids, same(ids), "left_anti")

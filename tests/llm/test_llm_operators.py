@@ -24,6 +24,19 @@ def words(seed, n, vocabulary=400):
     return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
 
 
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    import os
+
+    at = lambda df: [f.removeprefix("file:").replace("//", "/") for f in df.inputFiles()][0]
+    with common.scratch(spark) as keep:
+        gone = common.stash(spark.range(3), "a")
+        where = at(gone)
+        with common.scratch(spark) as inner:
+            stays = inner(gone.filter("id > 0"), "b")
+        kept = keep(stays, "c")
+    assert not os.path.exists(where) and kept.count() == 2 and not common._scratch
+
+
 # -- url filters ------------------------------------------------------------------------------------------------------
 
 
