@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -91,3 +92,12 @@ def carried(dealt: DataFrame, **sums: Column) -> DataFrame:
     parts = dealt.groupBy("pid").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"own_{name}") for name, c in sums.items()])
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     return parts.select("pid", *[F.coalesce(F.sum(f"own_{name}").over(before), F.lit(0)).alias(name) for name in sums])
+
+
+def release_memory() -> None:
+    """Give memory that a finished partition no longer needs back to the system: idle Python workers keep theirs otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

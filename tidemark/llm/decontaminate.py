@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import release_memory
 from tidemark.llm.fm_index import FMIndex
 
 WINDOW = 10
 #: Words of a shard, and UTF-8 bytes of benchmark text in one block; a single longer item is a block of its own.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 BLOCK_BYTES = 16 << 20
 #: Occurrences located at a time.
 LOCATED = 1 << 20
@@ -164,6 +165,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                     count += len(words)
                 if texts:
                     yield pack(batch.slice(start), phrases, texts)
+            release_memory()
 
         def pack(part, phrases, texts):
             spans, items = _shard_hits(phrases, texts)

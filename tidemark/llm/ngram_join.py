@@ -23,15 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stash
+from tidemark.llm.common import release_memory, stash
 
 NGRAM, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9999
 BLOCK = 256
 #: Bytes of text hashed at a time (one text may be longer).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: A-Z to lower case; what isn't a digit, a letter or beyond ASCII parts words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SEED = np.random.Generator(np.random.PCG64(20240607))
@@ -124,16 +125,15 @@ class Grams:
         return np.unique(self.grams[self.gram_starts[k] : self.gram_starts[k + 1]])
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start, held = 0, 0
-    for k, t in enumerate(texts):
-        size = len(t or "")
-        if k > start and held + size > SLICE_BYTES:
-            yield start, k
-            start, held = k, 0
-        held += size
-    if start < len(texts):
-        yield start, len(texts)
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first, behind, texts) of runs of at most SLICE_BYTES of text; only one run is held as Python strings."""
+    ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(column), 0), np.int64))
+    start = 0
+    while start < len(ends):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        yield start, stop, column.slice(start, stop - start).to_pylist()
+        start = stop
 
 
 def sketch(docs: DataFrame, bands: int, rows: int, ngram: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,12 +143,12 @@ def sketch(docs: DataFrame, bands: int, rows: int, ngram: int = NGRAM, id_col: s
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in _slices(texts):
-                grams = Grams(texts[a:b], ngram)
+            for a, b, texts in _slices(batch.column("text")):
+                grams = Grams(texts, ngram)
                 hashes = grams.bands(bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, bands), pa.int32()), pa.array(hashes.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(grams.sequences(), pa.binary()), pa.array(grams.counts, pa.int64()), lists], ["id", "seq", "n_words", "bands"])
+        release_memory()
 
     return read.mapInArrow(run, f"id {kind}, seq binary, n_words bigint, bands array<bigint>")
 
@@ -304,11 +304,11 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def hashed(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in _slices(texts):
-                grams = Grams(texts[a:b], ngram)
+            for a, b, texts in _slices(batch.column("text")):
+                grams = Grams(texts, ngram)
                 found = [grams.set_of(k).tobytes() for k in range(b - a)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("seq", "copies")), pa.array(grams.sequences(), pa.binary()), pa.array(found, pa.binary())], ["seq", "copies", "own", "grams"])
+        release_memory()
 
     sets = read.join(wanted, "text_id").select("seq", "copies", "text").mapInArrow(hashed, "seq binary, copies bigint, own binary, grams binary")
     sets = stash(sets.filter("seq = own").dropDuplicates(["seq"]).drop("own"), "sets")
@@ -322,6 +322,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_pylist(out, out_schema)
                 out = []
         yield pa.RecordBatch.from_pylist(out, out_schema)
+        release_memory()
 
     links = stash(
         owned.join(sets, "seq").select(*names, "copies", "grams").repartition("group").sortWithinPartitions("group", "bucket").mapInArrow(verified, "seq binary, docs bigint, texts bigint, root binary"),

@@ -15,11 +15,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import release_memory
+
 MARK = "▁"
-#: Characters of text encoded at a time within a batch, so that memory stays bounded.
-SLICE_CHARS = 4_000_000
+#: UTF-8 bytes of text encoded at a time within a batch (one text may be longer), so that memory stays bounded.
+SLICE_BYTES = 1 << 20
 
 
 class Normalizer:
@@ -155,35 +158,40 @@ def codec(model: str) -> Codec:
 
 
 def _slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch of about SLICE_CHARS characters at most (one text may be longer), with their texts."""
-    texts = [t or "" for t in batch.column(text_col).to_pylist()]
-    start, held = 0, 0
-    for k, t in enumerate(texts):
-        if held and held + len(t) > SLICE_CHARS:
-            yield batch.slice(start, k - start), texts[start:k]
-            start, held = k, 0
-        held += len(t)
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
-
-
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Parts of a batch of at most SLICE_BYTES of text, with their texts; only one part is held as Python strings."""
+    ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(text_col)), 0), np.int64))
+    start = 0
+    while start < len(ends):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        part = batch.slice(start, stop - start)
+        yield part, [t or "" for t in part.column(text_col).to_pylist()]
+        start = stop
+
+
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(id, n_tokens, ids, starts) for every row: packed little-endian unsigned 32-bit integers.
 
     ``starts`` has one entry more than ``ids``: piece k is bytes starts[k] to starts[k + 1] of the text's UTF-8. Null
-    and empty texts give the begin and end ids with empty spans. Rows stay as they are, repeated ones too.
+    and empty texts give the begin and end ids with empty spans. Rows stay as they are, repeated ones too. ``decode``
+    adds ``decoded``, the ids decoded by the library in the same worker, so that a task needs one worker and not two.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["__id", "n_tokens", "ids", "starts"] + ["decoded"] * decode
 
     def run(batches):
         for batch in batches:
             for part, texts in _slices(batch, "__text"):
                 ids = codec(model).ids(texts)
                 starts = [codec(model).spans(t, x).astype("<u4").tobytes() for t, x in zip(texts, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(starts, pa.binary())], ["__id", "n_tokens", "ids", "starts"])
+                columns = [part.column("__id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(starts, pa.binary())]
+                if decode:
+                    columns.append(pa.array(codec(model).decode(ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+        release_memory()
 
     read = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"))
-    return read.mapInArrow(run, f"__id {kind}, n_tokens bigint, ids binary, starts binary").withColumnRenamed("__id", id_col)
+    return read.mapInArrow(run, f"__id {kind}, n_tokens bigint, ids binary, starts binary" + ", decoded string" * decode).withColumnRenamed("__id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
@@ -192,11 +200,11 @@ def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id") ->
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            for at in range(0, len(ids), 256):
-                some = [np.frombuffer(x, "<u4") for x in ids[at : at + 256]]
-                part = batch.slice(at, len(some))
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                some = [np.frombuffer(x, "<u4") for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("n_tokens"), part.column("ids"), pa.array(codec(model).decode(some), pa.string())], ["__id", "n_tokens", "ids", "text"])
+        release_memory()
 
     read = encoded.select(encoded[id_col].alias("__id"), "n_tokens", "ids")
     return read.mapInArrow(run, f"__id {kind}, n_tokens bigint, ids binary, text string").withColumnRenamed("__id", id_col)
