@@ -1,12 +1,11 @@
 """Quality rules by cross-document line frequency, with DataFrame functions only.
 
 Lines are normalised (lower case, single blanks, trimmed) and hashed. For each host and line the distinct documents
-that hold it are counted; a document counts by its sketch (the least hash of its five-word windows), so that copies
-and most near copies of one text count once and a much copied text is no boilerplate. A line above both limits is
-boilerplate and is removed; a document that keeps too small a share of its characters is rejected.
+that hold it are counted; a document counts by the hash of its whole text, so that exact copies count once and every
+different text counts, however much of it lies in shared lines. Near copies are different texts and count each. A line
+above both limits is boilerplate; a document that keeps too small a share of its characters is rejected.
 
-Null texts count as empty. Texts of fewer than five words have no window; their sketch is the hash of all words.
-Repeated rows are judged alike and stay repeated. An empty table gives an empty result. Only the named columns are
+Null texts count as empty. Repeated rows are judged alike and stay repeated. An empty table gives an empty result. Only the named columns are
 read, so other columns may have any name.
 """
 
@@ -80,7 +79,6 @@ def features(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry:
             lambda ws: F.struct(
                 F.size(hs).cast("long").alias("n_words"),
                 F.when(F.size(F.array_distinct(ws)) < F.size(ws), _covered(ws)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-                F.coalesce(F.array_min(ws), F.xxhash64(hs)).alias("sketch"),
             ),
         )
 
@@ -101,9 +99,9 @@ def features(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry:
 
 
 def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line) of boilerplate, from rows (host, sketch, lines). Both counts are of distinct sketches."""
-    seen = lines.select("host", "sketch", F.explode("lines.line").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
-    hosts = lines.select("host", "sketch").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    """(host, line) of boilerplate, from rows (host, text_hash, lines). Both counts are of distinct texts."""
+    seen = lines.select("host", "text_hash", F.explode("lines.line").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
+    hosts = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     return seen.join(hosts, "host").filter(F.col("docs") > max_share * F.col("host_docs")).select("host", "line")
 
 

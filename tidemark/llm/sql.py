@@ -88,7 +88,7 @@ SELECT t.doc_id, {', '.join(_COUNT.format(k) for k in ('assign', 'access', 'hex'
 FROM t LEFT JOIN a USING (doc_id) GROUP BY t.doc_id
 """
 
-# Here a document counts by its whole text; the query counts it by a sketch, which is never more.
+# A document counts by its whole text, as in the query.
 QUALITY = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS body FROM documents),
 w AS (SELECT r, list_filter(regexp_split_to_array(body, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM t),
