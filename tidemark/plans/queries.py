@@ -598,7 +598,7 @@ def fault_injection(spark, d):
 
 @query
 def usefulness_model(spark, d):
-    examples = items(spark, d).filter("n < 20000").select(F.col("n").alias("ord"), "type", "namespace", "confidence", (F.col("n") % 7).alias("rank"), "active")
+    examples = items(spark, d).select(F.col("n").alias("ord"), "type", "namespace", "confidence", (F.col("n") % 7).alias("rank"), "active")
     model = learn.fit_usefulness(examples.withColumnRenamed("active", "helped"))
     return model.select("feature", F.round("weight", 6).alias("weight"))
 
