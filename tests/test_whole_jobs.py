@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark.operators import learn
+from tidemark.operators import evals, learn
 from tidemark.plans import queries
 
 
@@ -17,3 +17,11 @@ def test_usefulness_model_fits_on_all_items(spark, tmp_path):
     bias, weights = learn.fit_logistic(examples, 0.1, 20)
     got = {r["feature"]: r["weight"] for r in queries.QUERIES["usefulness_model"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx({"": bias, **weights}, abs=1e-6)
+
+
+def test_bootstrap_ci_takes_the_published_iterations(spark, sf):
+    deltas = queries._paired(spark, sf).select("task_id", "delta").toPandas().sort_values("task_id")["delta"].to_numpy(float)
+    row = queries.QUERIES["bootstrap_ci"](spark, sf).first()
+    estimate, low, high = evals.bootstrap_interval(deltas, iterations=2000)
+    assert (row["estimate"], row["low"], row["high"]) == (round(estimate, 4), round(low, 4), round(high, 4))
+    assert (low, high) != evals.bootstrap_interval(deltas, iterations=200)[1:]

@@ -545,7 +545,7 @@ def backtest_summary(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
-    return evals.bootstrap(_paired(spark, d).withColumn("g", F.lit("all")), "g", "task_id", "delta", iterations=200)
+    return evals.bootstrap(_paired(spark, d).withColumn("g", F.lit("all")), "g", "task_id", "delta")
 
 
 @query
