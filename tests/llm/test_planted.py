@@ -4,13 +4,13 @@ import random
 
 import pytest
 
-from tidemark.llm import quality, queries
+from tidemark.llm import html_text, quality, queries
 
 SHARED = " ".join(f"shared{k}" for k in range(60))
 
 
 def own(seed, n):
-    r = random.Random(seed)
+    r = random.Random(str(seed))
     return " ".join(f"own{r.randrange(9000)}" for _ in range(n))
 
 
@@ -29,3 +29,21 @@ def test_quality_rules_count_different_texts_that_share_a_line(compare, spark, s
     kept = {r["doc_id"] for r in queries.QUERIES["op9_quality_rules"](spark, sf).filter("kept").collect()}
     assert kept == {*range(1000, 1100), *range(2000, 2150)}
     assert quality.kept_documents(spark.read.parquet(f"{sf}/documents.parquet")).count() == len(kept)
+
+
+def test_pages_between_copies_and_near_copies_are_differenced_against_another(spark):
+    body = "".join(f"<p>{own(('body', k), 30)}</p>" for k in range(6))
+    page = lambda inner: f"<body><p>Home Menu News</p>{inner}<p>All rights reserved</p>"
+    rows = [(k, f"http://a.org/n/5?q={k}", page(body)) for k in range(9)]  # copies: equal paths
+    rows += [(20 + k, f"http://a.org/n/6{k}", page(f"{body}<p>version {k}</p>")) for k in range(9)]  # near copies
+    rows += [(40, "http://a.org/m", page("<p>the page before</p>")), (41, "http://a.org/z", page("<p>the page after</p>"))]
+    rows += [(60 + k, f"http://b.org/{k}", page(f"{body}<p>version {k}</p>")) for k in range(2)]  # nothing else in the host
+    rows += [(70 + k, None, page(f"<p>{own(k, 30)}</p>")) for k in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    text = "\n\n".join(own(("body", k), 30) for k in range(6))
+    assert len(got) == len(rows) and all(got[k] == text for k in range(9))
+    assert all(got[20 + k] == f"{text}\n\nversion {k}" for k in range(9))
+    assert got[40] == "the page before" and got[41] == "the page after"
+    assert all(got[60 + k] == f"Home Menu News\n\n{text}\n\nversion {k}\n\nAll rights reserved" for k in range(2))
+    assert all(got[70 + k] == own(k, 30) for k in range(2))
