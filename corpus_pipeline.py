@@ -14,8 +14,8 @@ from tidemark.llm.common import scratch, stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; the others stay as they are."""
-    return quality.kept_documents(docs)
+    """Documents that the rules reject go; the others lose their boilerplate lines."""
+    return quality.kept_documents(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

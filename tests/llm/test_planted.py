@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from tidemark.llm import html_text, quality, queries
 
 SHARED = " ".join(f"shared{k}" for k in range(60))
@@ -47,3 +48,14 @@ def test_pages_between_copies_and_near_copies_are_differenced_against_another(sp
     assert got[40] == "the page before" and got[41] == "the page after"
     assert all(got[60 + k] == f"Home Menu News\n\n{text}\n\nversion {k}\n\nAll rights reserved" for k in range(2))
     assert all(got[70 + k] == own(k, 30) for k in range(2))
+
+
+def test_boilerplate_lines_leave_kept_documents(spark):
+    notice = "Shared notice that every page carries"
+    rows = [(k, f"{own(k, 40)}\n  {notice.upper()} \n{own(1000 + k, 5)}", "a") for k in range(120)] + [(500, f"{own(500, 40)}\n{notice}", "b"), (501, own(501, 40), "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.quality_rules(spark, docs, "")
+    assert out.schema == docs.schema
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    want = {k: f"{own(k, 40)}\n{own(1000 + k, 5)}" for k in range(120)} | {500: rows[120][1], 501: rows[121][1]}
+    assert got == {k: (t, len(t)) for k, t in want.items()}

@@ -3,7 +3,8 @@
 Lines are normalised (lower case, single blanks, trimmed) and hashed. For each host and line the distinct documents
 that hold it are counted; a document counts by the hash of its whole text, so that exact copies count once and every
 different text counts, however much of it lies in shared lines. Near copies are different texts and count each. A line
-above both limits is boilerplate; a document that keeps too small a share of its characters is rejected.
+above both limits is boilerplate; a document that keeps too small a share of its characters is rejected, and the others
+lose such lines in ``kept_documents``. The rules on words see the whole text.
 
 Null texts count as empty. Repeated rows are judged alike and stay repeated. An empty table gives an empty result. Only the named columns are
 read, so other columns may have any name.
@@ -63,7 +64,7 @@ def _covered(windows: Column) -> Column:
 def _normal_lines(text: Column) -> Column:
     """(hash, characters) of each normalised line that has a word."""
     lines = F.split(F.lower(F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")), "\n")
-    return F.transform(F.filter(F.transform(lines, F.trim), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).cast("long").alias("n")))
+    return F.transform(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).cast("long").alias("n")))
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry: bool = False) -> DataFrame:
@@ -132,17 +133,26 @@ def _judge(rows: DataFrame, max_docs: int, max_share: float, min_left: float) ->
     )
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns.
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, length_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, without boilerplate lines; ``length_col`` follows a changed text.
 
-    Rows are written down once beside their figures, so what fails by its own figures goes without a join, and texts
-    are not shuffled; only the depleted documents, matched by id and text, are taken out by one.
+    Rows are written down once beside their figures and lines, so each is judged and cut by itself once it knows the
+    boilerplate of its host: one row a host, which has fewer lines than a hundredth of those that its documents hold.
     """
     rows = stash(features(docs, id_col, text_col, host_col, carry=True), "quality")
-    judged = _judge(rows.drop("row"), max_docs, max_share, min_left)
-    depleted = stash(judged.filter(~F.col("base_failed") & ~F.col("kept")).select(F.col("id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "depleted")
-    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__text"))
-    return rows.filter(~F.col("base_failed")).join(depleted, same, "left_anti").select("row.*")
+    gone = stash(frequent_lines(rows, max_docs, max_share).groupBy("host").agg(F.collect_list("line").alias("gone")), "boilerplate")
+    sums = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    held = (
+        rows.filter(~F.col("base_failed"))
+        .join(gone, "host", "left")
+        .withColumn("own", F.coalesce(F.array_intersect("lines.line", "gone"), F.array().cast("array<bigint>")))
+        .filter((F.size("own") == 0) | (1 - sums(F.filter("lines", lambda x: F.array_contains("own", x["line"]))) / sums(F.col("lines")) >= min_left))
+    )
+    cut = F.when(F.size("own") > 0, without_boilerplate(F.col("row")[text_col], F.col("own"))).otherwise(F.col("row")[text_col])
+    out = {c: F.col("row")[c] for c in docs.columns} | {text_col: cut}
+    if length_col:
+        out[length_col] = F.when(F.size("own") > 0, F.length(cut).cast(docs.schema[length_col].dataType)).otherwise(out[length_col])
+    return held.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def without_boilerplate(text: Column, lines: Column) -> Column:
