@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import tables
 from tidemark.functions import ids
 
 KEY = ["app", "entity_type", "entity_id"]
@@ -86,7 +87,7 @@ def append(spark: SparkSession, batch: DataFrame, path: str, order: list[str] |
 
     Sequence numbers go up over partitions that are ranges of (valid_at, event_id): no single task sees all rows.
     """
-    has = _exists(spark, path)
+    has = tables.exists(spark, path)
     log = spark.read.schema(EVENT_SCHEMA).parquet(path) if has else spark.createDataFrame([], EVENT_SCHEMA)
     fresh = new_events(batch, log, order)
     base = (log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]) if has else 0
@@ -97,11 +98,6 @@ def append(spark: SparkSession, batch: DataFrame, path: str, order: list[str] |
     return spark.read.schema(EVENT_SCHEMA).parquet(path).count() - before
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def as_time(at: datetime | str | Column) -> Column:
     return at if isinstance(at, Column) else F.lit(at).cast("timestamp")
 
