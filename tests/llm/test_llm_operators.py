@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import tables
 from tidemark.llm import common, decontaminate, fm_index, html_text, ngram_join, pieces, pii, quality, queries, secret_scan, sharding, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, host string, key int, spans string, n_words string, items int, seq string, copies int, blob string"
@@ -34,7 +35,7 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
         with common.scratch(spark) as inner:
             stays = inner(gone.filter("id > 0"), "b")
         kept = keep(stays, "c")
-    assert not os.path.exists(where) and kept.count() == 2 and not common._scratch
+    assert not os.path.exists(where) and kept.count() == 2 and not tables._scratch
 
 
 # -- url filters ------------------------------------------------------------------------------------------------------
@@ -341,13 +342,13 @@ def test_secrets_and_ledger(spark, tmp_path):
 def test_quality_frequency_and_copies(spark):
     shared = "Shared notice that every page of this host carries at its very end"
     rows = [(k, f"{words(k, 60, 4000)}\n{shared}", "a") for k in range(30)] + [(100 + k, words(5000, 60, 4000), "a") for k in range(30)]
-    rows += [(200, f"{shared}\ntiny rest of ten words or so is all there", "a"), (201, f"{shared}\n{shared} ", "b"), (202, None, "a"), (203, "", None), (204, "a b c d e " * 50, "a"), (205, words(1, 30_000), None), (205, words(1, 30_000), None)]
-    got = {r["doc_id"]: r for r in quality.judge_documents(docs_of(spark, rows), max_docs=10, max_share=0.1, min_left=0.5).collect()}
+    rows += [(None, f"{shared}\ntiny rest of ten words or so is all there", "a"), (200, f"{shared}\ntiny rest of ten words or so is all there", "a"), (201, f"{shared}\n{shared} ", "b"), (202, None, "a"), (203, "", None), (204, "a b c d e " * 50, "a"), (205, words(1, 30_000), None), (205, words(1, 30_000), None)]
+    got = {r["doc_id"]: r for r in quality.judge_documents(docs_of(spark, rows), min_docs=11, max_share=0.1, min_left=0.5).collect()}
     assert all(got[k]["boilerplate_chars"] == len(shared) and got[k]["kept"] for k in range(30))
     assert all(got[100 + k]["boilerplate_chars"] == 0 and got[100 + k]["kept"] for k in range(30))  # copies are no boilerplate
-    assert not got[200]["kept"] and not got[200]["base_failed"] and got[201]["boilerplate_chars"] == 0
+    assert not got[None]["kept"] and not got[200]["kept"] and not got[200]["base_failed"] and got[201]["boilerplate_chars"] == 0
     assert got[201]["n_dup_lines"] == 0 and got[202]["n_words"] == 0 and got[202]["base_failed"] and got[204]["n_repeat_words"] == 250
-    kept = quality.kept_documents(docs_of(spark, rows), max_docs=10, max_share=0.1, min_left=0.5)
+    kept = quality.kept_documents(docs_of(spark, rows), min_docs=11, max_share=0.1, min_left=0.5)
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert kept.count() == sum(1 for i, _, _ in rows if got[i]["kept"])
     assert quality.judge_documents(docs_of(spark, [])).count() == 0

@@ -18,8 +18,10 @@ def own(seed, n):
 @pytest.fixture
 def sf(spark, tmp_path):
     rows = [(k, f"{SHARED}\n{own(k, 20)}", "a") for k in range(300)]  # depleted
-    rows += [(1000 + k, f"{SHARED}\n{own(k, 20)}", "b") for k in range(100)]  # at the limit, which is no boilerplate
+    rows += [(1000 + k, f"{SHARED}\n{own(k, 20)}", "b") for k in range(4)]  # too few for a share to mean anything
+    rows += [(1100 + k, f"{SHARED}\n{own(k, 20)}", "small") for k in range(5)] + [(1200 + k, own((1, k), 40), "small") for k in range(10)]
     rows += [(2000 + k, f"{SHARED}\n{own(7, 20)}", "c") for k in range(150)]  # copies count once
+    rows += [(3000 + k, f"{SHARED}\n{own(k, 20)}", "d") for k in range(8)] + [(4000 + k, own((2, k), 40), "d") for k in range(792)]  # at the share, which is none
     docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path)
@@ -28,10 +30,18 @@ def sf(spark, tmp_path):
 def test_quality_rules_count_different_texts_that_share_a_line(compare, spark, sf):
     compare(queries.QUERIES["op9_quality_rules"], queries.ORACLE_SQL["op9_quality_rules"])
     kept = {r["doc_id"] for r in queries.QUERIES["op9_quality_rules"](spark, sf).filter("kept").collect()}
-    assert kept == {*range(1000, 1100), *range(2000, 2150)}
+    assert kept == {*range(1000, 1004), *range(1200, 1210), *range(2000, 2150), *range(3000, 3008), *range(4000, 4792)}
     assert quality.kept_documents(spark.read.parquet(f"{sf}/documents.parquet")).count() == len(kept)
 
 
+def test_large_shared_footers_reject_all_that_hold_little_else(spark):
+    footer = "\n".join(own(("footer", k), 12) for k in range(40))
+    rows = [(k, f"{own(k, 60)}\n{footer}", "a") for k in range(600)] + [(1000 + k, own((3, k), 60), "a") for k in range(50)]
+    docs = spark.createDataFrame([(i, t, s, None) for i, t, s in rows], "doc_id long, text string, source string, own string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge_documents(docs).collect()}
+    assert got == {i: i >= 1000 for i, _, _ in rows}
+
+
 def test_pages_between_copies_and_near_copies_are_differenced_against_another(spark):
     body = "".join(f"<p>{own(('body', k), 30)}</p>" for k in range(6))
     page = lambda inner: f"<body><p>Home Menu News</p>{inner}<p>All rights reserved</p>"

@@ -1,81 +1,13 @@
-"""Shared building blocks: the cluster's shared folder, tables that cut lineage, and sweeps over range partitions."""
+"""Shared building blocks: sweeps over range partitions, and memory of Python workers. Written tables are the engine's."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (one machine, as in tests) a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = tempfile.mkdtemp(prefix="tidemark-shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        folder = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-#: Paths that open scratch blocks have made, the innermost block last.
-_scratch: list[list[str]] = []
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, under a folder of this application."""
-    path = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    if _scratch:
-        _scratch[-1].append(path)
-    return path
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Gives a ``stash`` whose tables stay; every other table made inside the block is deleted at its end.
-
-    What leaves the block must be read from the tables that stay.
-    """
-    _scratch.append([])
-    stay: set[str] = set()
-
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        out = stash(df, label)
-        stay.add(_scratch[-1][-1])
-        return out
-
-    try:
-        yield keep
-    finally:
-        for path in _scratch.pop():
-            if path in stay:
-                if _scratch:
-                    _scratch[-1].append(path)
-                continue
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
-
-    The files stay until the application's folder is removed, as later reads of the result need them, or until the
-    ``scratch`` block ends that they were made in.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+from tidemark.tables import exists, fresh_path, scratch, shared_dir, shuffle_partitions, stash  # noqa: F401
 
 
 def range_dealt(df: DataFrame, *keys: str) -> DataFrame:

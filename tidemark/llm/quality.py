@@ -3,10 +3,15 @@
 Lines are normalised (lower case, single blanks, trimmed) and hashed. For each host and line the distinct documents
 that hold it are counted; a document counts by the hash of its whole text, so that exact copies count once and every
 different text counts, however much of it lies in shared lines. Near copies are different texts and count each. A line
-above both limits is boilerplate; a document that keeps too small a share of its characters is rejected, and the others
-lose such lines in ``kept_documents``. The rules on words see the whole text.
+that more than a share of the host's documents hold is boilerplate, at every size of host; a few documents at least must
+hold it, as in a tiny host any two would be a share. A document that keeps too small a share of its characters is
+rejected, and the others lose such lines in ``kept_documents``. The rules on words see the whole text.
 
-Null texts count as empty. Repeated rows are judged alike and stay repeated. An empty table gives an empty result. Only the named columns are
+Rows meet the boilerplate of their host as one list. Its length has a bound: a line in it stands in ``max_share`` of the
+host's documents, so the list holds at most 1 / ``max_share`` times the lines of the host's average document.
+
+Null texts count as empty. Null hosts are one host. Repeated rows are judged alike and stay repeated. Texts of any
+length are read whole, and each is one task's work. An empty table gives an empty result. Only the named columns are
 read, so other columns may have any name.
 """
 
@@ -24,8 +29,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[ \t-\r]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: A line is boilerplate in a host with more documents than each of these: a count, and a share of the host's documents.
-MAX_DOCS, MAX_SHARE = 100, 0.01
+#: A line is boilerplate if more than this share of a host's documents hold it, and so many at least.
+MAX_SHARE, MIN_DOCS = 0.01, 5
 #: A document is depleted if boilerplate leaves less than this share of its normalised characters.
 MIN_LEFT = 0.3
 
@@ -99,55 +104,39 @@ def features(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry:
     )
 
 
-def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line) of boilerplate, from rows (host, text_hash, lines). Both counts are of distinct texts."""
-    seen = lines.select("host", "text_hash", F.explode("lines.line").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
-    hosts = lines.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return seen.join(hosts, "host").filter(F.col("docs") > max_share * F.col("host_docs")).select("host", "line")
+def frequent_lines(rows: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(host, gone): the hashes of each host's boilerplate, from rows (host, text_hash, lines). Different texts are counted."""
+    seen = rows.select("host", "text_hash", F.explode("lines.line").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    hosts = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    return seen.join(hosts, "host").filter(F.col("docs") > max_share * F.col("host_docs")).groupBy("host").agg(F.collect_list("line").alias("gone"))
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """One row per document: its figures, ``boilerplate_chars``, ``base_failed`` and ``kept``."""
-    return _judge(stash(features(docs, id_col, text_col, host_col), "quality"), max_docs, max_share, min_left).withColumnRenamed("id", id_col)
+def _judged(rows: DataFrame, max_share: float, min_docs: int, min_left: float) -> DataFrame:
+    """``rows`` with the boilerplate that each holds (``own``), its characters, and the verdict."""
+    gone = stash(frequent_lines(rows, max_share, min_docs), "boilerplate")
+    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    own = F.coalesce(F.array_intersect("lines.line", "gone"), F.array().cast("array<bigint>"))
+    lost = F.when(F.size("own") > 0, chars(F.filter("lines", lambda x: F.array_contains("own", x["line"])))).otherwise(F.lit(0).cast("long"))
+    left = 1 - F.col("boilerplate_chars") / F.col("line_chars")
+    met = rows.join(gone, "host", "left").withColumn("own", own).withColumn("line_chars", chars(F.col("lines"))).withColumn("boilerplate_chars", lost)
+    return met.withColumn("kept", ~F.col("base_failed") & ((F.col("boilerplate_chars") == 0) | (left >= min_left)))
 
 
-def _judge(rows: DataFrame, max_docs: int, max_share: float, min_left: float) -> DataFrame:
-    boilerplate = stash(frequent_lines(rows, max_docs, max_share), "boilerplate")
-    figures = ["id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    held = rows.select("id", "text_hash", "host", F.posexplode("lines").alias("at", "l")).select("id", "text_hash", "at", "host", "l.line", "l.n")
-    lost = (
-        held.join(boilerplate, ["host", "line"])
-        .groupBy("id", "text_hash", "at")  # repeated rows hold the same lines
-        .agg(F.max("n").alias("n"))
-        .groupBy("id", "text_hash")
-        .agg(F.sum("n").alias("boilerplate_chars"))
-    )
-    total = F.aggregate("lines.n", F.lit(0).cast("long"), lambda a, x: a + x)
-    left = 1 - F.col("boilerplate_chars") / F.col("line_chars")
-    return (
-        rows.select(*figures, total.alias("line_chars"))
-        .join(lost, ["id", "text_hash"], "left")
-        .withColumn("boilerplate_chars", F.coalesce("boilerplate_chars", F.lit(0).cast("long")))
-        .withColumn("kept", ~F.col("base_failed") & ((F.col("boilerplate_chars") == 0) | (left >= min_left)))
-        .select(*figures, "line_chars", "boilerplate_chars", "kept")
-    )
+def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+    """One row per document: its figures, ``line_chars``, ``boilerplate_chars``, ``base_failed`` and ``kept``."""
+    rows = stash(features(docs, id_col, text_col, host_col), "quality")
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars", "boilerplate_chars", "kept"]
+    return _judged(rows, max_share, min_docs, min_left).select(F.col("id").alias(id_col), "text_hash", *figures)
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, length_col: str | None = None) -> DataFrame:
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, length_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns, without boilerplate lines; ``length_col`` follows a changed text.
 
     Rows are written down once beside their figures and lines, so each is judged and cut by itself once it knows the
-    boilerplate of its host: one row a host, which has fewer lines than a hundredth of those that its documents hold.
+    boilerplate of its host.
     """
     rows = stash(features(docs, id_col, text_col, host_col, carry=True), "quality")
-    gone = stash(frequent_lines(rows, max_docs, max_share).groupBy("host").agg(F.collect_list("line").alias("gone")), "boilerplate")
-    sums = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    held = (
-        rows.filter(~F.col("base_failed"))
-        .join(gone, "host", "left")
-        .withColumn("own", F.coalesce(F.array_intersect("lines.line", "gone"), F.array().cast("array<bigint>")))
-        .filter((F.size("own") == 0) | (1 - sums(F.filter("lines", lambda x: F.array_contains("own", x["line"]))) / sums(F.col("lines")) >= min_left))
-    )
+    held = _judged(rows, max_share, min_docs, min_left).filter("kept")
     cut = F.when(F.size("own") > 0, without_boilerplate(F.col("row")[text_col], F.col("own"))).otherwise(F.col("row")[text_col])
     out = {c: F.col("row")[c] for c in docs.columns} | {text_col: cut}
     if length_col:

@@ -99,7 +99,7 @@ ln AS (SELECT r, host, body, unnest(string_split(body, chr(10))) AS line FROM t)
 dl AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY r),
 nl AS (SELECT r, host, body, trim(lower(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'))) AS line FROM ln),
 hosts AS (SELECT host, count(DISTINCT body) AS n FROM t GROUP BY host),
-freq AS (SELECT host, line FROM nl JOIN hosts USING (host) WHERE line <> '' GROUP BY host, line, n HAVING count(DISTINCT body) > 100 AND count(DISTINCT body) > 0.01 * n),
+freq AS (SELECT host, line FROM nl JOIN hosts USING (host) WHERE line <> '' GROUP BY host, line, n HAVING count(DISTINCT body) >= 5 AND count(DISTINCT body) > 0.01 * n),
 lost AS (SELECT r, sum(length(line)) AS total, sum(CASE WHEN f.line IS NULL THEN 0 ELSE length(nl.line) END) AS gone FROM nl LEFT JOIN freq f USING (host, line) WHERE nl.line <> '' GROUP BY r),
 f AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(gone, 0) AS gone, coalesce(total, 0) AS total
