@@ -3,14 +3,19 @@
 The library's model file names a normaliser: a compiled character map (a double-array trie of UTF-8 prefixes and
 their replacements), dummy prefix and white space rules. ``Normalizer`` applies it by longest prefix and keeps, for
 every normalised byte, the original byte it came from; a piece's span is that of its normalised bytes, projected back.
-Segmentation is the library's own, so ids are exactly the library's.
+Segmentation is the library's own, so ids are exactly the library's. Models have byte fallback: without it a piece for
+unknown characters doesn't tell how long they were.
+
+Null texts count as empty and give the begin and end ids. Texts of any length are encoded whole, in one worker; shorter
+ones a slice at a time. Repeated rows stay repeated. Extra columns are not read, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -32,83 +37,70 @@ class Normalizer:
         self.dummy, self.squeeze = add_dummy_prefix, remove_extra_whitespaces
         self.blank = MARK.encode() if escape_whitespaces else b" "
         self.units: tuple[int, ...] = ()
-        self.replacements = b""
+        self.replacements, self.first = b"", None
         if charsmap:
             size = struct.unpack_from("<I", charsmap)[0]
             self.units = struct.unpack_from(f"<{size // 4}I", charsmap, 4)
             self.replacements = charsmap[4 + size :]
+            starts = [bytes([b]) for b in range(1, 256) if self._steps(self._child(0), b)]
+            self.first = re.compile(b"[" + b"".join(map(re.escape, starts)) + b"]") if starts else None
+
+    def _child(self, node: int) -> int:
+        """Where the children of a node are, before their byte is mixed in."""
+        unit = self.units[node]
+        return node ^ (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def _steps(self, base: int, byte: int) -> bool:
+        return base ^ byte < len(self.units) and self.units[base ^ byte] & 0x800000FF == byte
 
     def longest(self, data: bytes, at: int) -> tuple[int, int]:
         """(bytes, value) of the longest prefix of ``data`` from ``at`` that the trie holds; (0, -1) if none."""
-        units, best, value = self.units, 0, -1
-        if not units:
-            return best, value
-        node = 0
-        unit = units[0]
-        node ^= (unit >> 10) << ((unit & 0x200) >> 6)
+        best, value, base = 0, -1, self._child(0)
         for k in range(at, len(data)):
-            byte = data[k]
-            node ^= byte
-            if node >= len(units):
+            if not self._steps(base, data[k]):
                 break
-            unit = units[node]
-            if unit & 0x800000FF != byte:
-                break
-            node ^= (unit >> 10) << ((unit & 0x200) >> 6)
-            if unit & 0x100:
-                best, value = k + 1 - at, units[node] & 0x7FFFFFFF
+            node = base ^ data[k]
+            base = self._child(node)
+            if self.units[node] & 0x100:
+                best, value = k + 1 - at, self.units[base] & 0x7FFFFFFF
         return best, value
 
-    def prefixes(self, data: bytes) -> Iterator[tuple[int, int, bytes]]:
-        """(start, length, replacement) from the front to the end of ``data``."""
+    def replaced(self, data: bytes) -> Iterator[tuple[int, int, bytes]]:
+        """(start, length, replacement) of the longest prefixes that the map holds, from the front; the rest stays as it is."""
         at = 0
-        while at < len(data):
+        while self.first and (m := self.first.search(data, at)):
+            at = m.start()
             n, value = self.longest(data, at)
             if n:
-                out = self.replacements[value : self.replacements.index(b"\0", value)]
-            else:
-                lead = data[at]
-                n = min(1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4, len(data) - at)
-                out = data[at : at + n]
-            yield at, n, out
-            at += n
+                yield at, n, self.replacements[value : self.replacements.index(b"\0", value)]
+            lead = data[at]
+            at += n or (1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised bytes and, for each and for their end, the original byte offset."""
-        if not data:
-            return b"", np.zeros(1, np.int64)
-        out, source = bytearray(), []
-        parts = list(self.prefixes(data)) if self.units else [(m.start(), len(m[0]), m[0]) for m in re.finditer(rb"[^ ]+| ", data)]
-        if self.squeeze:
-            while parts and parts[0][2].strip(b" ") == b"":
-                parts.pop(0)
-        if not parts:
+        plain, parts, places, done = np.frombuffer(data, np.uint8), [], [], 0
+        for at, n, out in self.replaced(data):
+            parts += [plain[done:at], np.frombuffer(out, np.uint8)]
+            places += [np.arange(done, at), at + np.arange(n) if len(out) == n else np.full(len(out), at)]
+            done = at + n
+        values = np.concatenate([*parts, plain[done:]]) if parts else plain
+        source = np.concatenate([*places, np.arange(done, len(data))]) if places else np.arange(len(data))
+        blank, end = values == 0x20, len(data)
+        if self.squeeze:  # blanks at the front go, of others the first of a run stays, but for the last run
+            keep = np.flatnonzero(~(blank & np.concatenate([[True], blank[:-1]])))
+            if len(keep) and blank[keep[-1]]:
+                end, keep = int(source[keep[-1]]), keep[:-1]
+            values, source, blank = values[keep], source[keep], blank[keep]
+        if not len(values):
             return b"", np.zeros(1, np.int64)
-        first = parts[0][0]
-        if self.dummy:
-            out += self.blank
-            source += [first] * len(self.blank)
-        after_blank, end = self.squeeze, first
-        for at, n, piece in parts:
-            while after_blank and piece.startswith(b" "):
-                piece = piece[1:]
-            if piece:
-                exact = len(piece) == n
-                for k, byte in enumerate(piece):
-                    if byte == 0x20:
-                        out += self.blank
-                        source += [at + k if exact else at] * len(self.blank)
-                    else:
-                        out.append(byte)
-                        source.append(at + k if exact else at)
-                after_blank = self.squeeze and piece.endswith(b" ")
-            end = at + n
-        if self.squeeze:
-            while out.endswith(self.blank):
-                end = source[len(out) - len(self.blank)]
-                del out[len(out) - len(self.blank) :]
-                del source[len(out) :]
-        return bytes(out), np.array([*source, end], np.int64)
+        wide = np.where(blank, len(self.blank), 1)
+        places = np.flatnonzero(blank)
+        places = places + (len(self.blank) - 1) * np.arange(len(places))  # where each blank's mark begins
+        out = np.repeat(values, wide)
+        for k, byte in enumerate(self.blank):
+            out[places + k] = byte
+        mark = self.blank if self.dummy else b""
+        return mark + out.tobytes(), np.concatenate([np.full(len(mark), source[0]), np.repeat(source, wide), [end]])
 
 
 class Codec:
@@ -129,32 +121,23 @@ class Codec:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text with begin and end."""
-        return [np.array(x, "<u4") for x in self.sp.encode(texts, add_bos=True, add_eos=True, num_threads=1)]
+        return [x.astype("<u4") for x in self.sp.encode(texts, add_bos=True, add_eos=True, num_threads=1, return_type="numpy")]
 
     def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
         """Original byte offsets at which pieces begin, and where the last one ends; begin and end ids have empty spans."""
         widths = self.widths[ids]
         widths[0] = widths[-1] = 0
-        data = text.encode()
-        if not self.normalize.units and not self.normalize.squeeze and len(self.normalize.blank) == 3:
-            # Without a map only blanks change: one byte becomes three, after a dummy prefix of none.
-            ends = np.cumsum(widths)
-            plain = np.frombuffer(data, np.uint8)
-            at = np.flatnonzero(plain == 32)
-            marks = at + 2 * np.arange(len(at)) + (3 if self.normalize.dummy else 0)  # where each mark begins, normalised
-            back = ends - (3 if self.normalize.dummy else 0)
-            done = np.searchsorted(marks, ends, side="left")  # marks begun before each place
-            return np.concatenate([[0], np.clip(back - 2 * done, 0, len(data))])
-        normal, source = self.normalize(data)
+        normal, source = self.normalize(text.encode())
         return source[np.concatenate([[0], np.minimum(np.cumsum(widths), len(normal))])]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.sp.decode([x.tolist() for x in ids], num_threads=1)
+        return self.sp.decode([x.astype(np.int32) for x in ids], num_threads=1)
 
 
 @cache
-def codec(model: str) -> Codec:
-    return Codec(model)
+def codec(model: str | Callable[[], str]) -> Codec:
+    """The codec of a model file; a function is asked for its path here, where the file is opened."""
+    return Codec(model() if callable(model) else model)
 
 
 def _slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -169,11 +152,11 @@ def _slices(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[pa.RecordBat
         start = stop
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str | Callable[[], str], id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """(id, n_tokens, ids, starts) for every row: packed little-endian unsigned 32-bit integers.
 
-    ``starts`` has one entry more than ``ids``: piece k is bytes starts[k] to starts[k + 1] of the text's UTF-8. Null
-    and empty texts give the begin and end ids with empty spans. Rows stay as they are, repeated ones too. ``decode``
+    ``starts`` has one entry more than ``ids``: piece k is bytes starts[k] to starts[k + 1] of the text's UTF-8. ``model``
+    is a path, or a function that gives it: workers call it, so the file may lie elsewhere on each machine. ``decode``
     adds ``decoded``, the ids decoded by the library in the same worker, so that a task needs one worker and not two.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -194,7 +177,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     return read.mapInArrow(run, f"__id {kind}, n_tokens bigint, ids binary, starts binary" + ", decoded string" * decode).withColumnRenamed("__id", id_col)
 
 
-def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
+def decode_documents(encoded: DataFrame, model: str | Callable[[], str], id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids, text) from packed ids, by the library's decode."""
     kind = encoded.schema[id_col].dataType.simpleString()
 
