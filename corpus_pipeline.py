@@ -51,9 +51,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, packed, with the digests of the ids and of the text that they decode to."""
-    encoded = pieces.encode_documents(docs, queries.model_path(), decode=True)
-    return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    """Ids and piece starts of every text, packed, with digests of them and of the text that the ids decode to."""
+    encoded = pieces.encode_documents(docs, queries.model_path, decode=True)
+    return encoded.select("doc_id", "n_tokens", "ids", "starts", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), F.sha2("starts", 256).alias("spans_sha256"))
 
 
 STAGES = [
