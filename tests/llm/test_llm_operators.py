@@ -241,6 +241,9 @@ def test_ngram_join(spark, block):
     rows += [(200 + k, words(200 + k % 3, 60), "s") for k in range(20)] + [(300, words(1000, 80), "s"), (301, words(1000, 80), "s")]
     got = ngram_join.join_documents(docs_of(spark, rows), block=block)
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == joined_by_force(rows)
+    stand = {r["doc_id"] for r in got.filter("representative").collect()}
+    assert stand == {i for i, c, _ in joined_by_force(rows) if i == c}
+    assert got.join(ngram_join.join_documents(docs_of(spark, rows), block=block, block_bytes=2000), ["doc_id", "class_id", "n_links", "n_text_links"]).count() == len(rows)
 
 
 def test_ngram_join_edges(spark):
@@ -249,6 +252,43 @@ def test_ngram_join_edges(spark):
     assert sorted((r["class_id"] is None, r["n_links"]) for r in rows) == [(False, 2), (False, 2), (False, 2), (True, 0)]
 
 
+def test_ngram_join_links_rows_without_an_id(spark):
+    base = words(5, 100)
+    rows = [(None, base, "s"), (None, base + " tail", "s"), (None, words(6, 100), "s"), (1, words(7, 100), "s"), (None, words(7, 100) + " tail", "s"), (2, words(8, 50), "s"), (2, words(9, 50), "s"), (2, words(9, 50) + " tail", "s")]
+    got = ngram_join.join_documents(docs_of(spark, rows)).collect()
+    assert sorted(((r["class_id"], r["n_links"]) for r in got), key=repr) == sorted([(None, 1), (None, 1), (None, 0), (1, 1), (1, 1), (2, 0), (2, 1), (2, 1)], key=repr)
+    assert sorted((r["doc_id"] is None, r["representative"]) for r in got) == [(False, False), (False, True), (False, True), (False, True), (True, False), (True, False), (True, True), (True, True)]
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    texts = [words(1, 4000), "x" * 5000, "", "two words", " , " * 400 + words(2, 300) + "y" * 3000 + " end", None]
+    whole = ngram_join.Grams(texts)
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 100)
+    monkeypatch.setattr(ngram_join, "CHUNK", 64)
+    pieces_of = ngram_join.Grams(texts)
+    assert (whole.words == pieces_of.words).all() and (whole.grams == pieces_of.grams).all() and whole.sequences() == pieces_of.sequences()
+    for k, t in enumerate(texts):
+        w = re.findall("[a-z0-9]+", t or "")
+        assert len(whole.set_of(k)) == len({tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else ())
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Pairs of a similarity from 0.8 to 0.85 by full sets: what bands find of them."""
+    r, rows, near = random.Random(11), [], 0
+    for k in range(400):
+        base = [f"p{k}w{x}" for x in range(200)]
+        other = list(base)
+        for at in r.sample(range(200), 3):
+            other[at] = "q"
+        other += [f"p{k}z{x}" for x in range(r.randrange(6, 18))]
+        sets = [{tuple(t[a : a + 5]) for a in range(len(t) - 4)} for t in (base, other)]
+        if 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85:
+            near += 1
+            rows += [(2 * k, " ".join(base), "s"), (2 * k + 1, " ".join(other), "s")]
+    linked = ngram_join.join_documents(docs_of(spark, rows)).filter("n_links > 0").count()
+    assert near >= 100 and linked >= 0.99 * 2 * near
+
+
 def test_chains_are_one_class(spark):
     edges = [(f"{k:02d}".encode(), f"{k + 1:02d}".encode()) for k in range(0, 30)] + [(b"aa", b"ab"), (b"ac", b"ab")]
     tree = ngram_join._components(spark.createDataFrame(edges, "u binary, v binary")).collect()

@@ -6,14 +6,17 @@ none and joins nothing. Bands and rows are chosen so that a pair at the threshol
 recall. Documents of equal word sequences are one text and are joined once, by partial aggregation.
 
 Texts that share a band are a bucket. A pair belongs to the first band in which it meets, so it is verified once;
-a bucket beyond ``BLOCK`` texts is split into blocks, and each pair of blocks is a task's work, so no bucket has a
-cap and none lands in one task. The sets travel only to buckets where a text has a pair of its own. What leaves a
+a bucket beyond ``BLOCK`` texts or ``BLOCK_BYTES`` of sets is split into blocks, and each pair of blocks is a task's
+work, so no bucket has a cap and none lands in one task. A text travels once to each block of its bucket, which is the
+price of an exact number of links. The sets travel only to buckets where a text has a pair of its own. What leaves a
 bucket is linear in its texts: the number of links of each, and the edges that keep linked texts connected.
 
 Results are one row per document: the class (the least id of all documents linked directly or through others), the
-number of links (other documents with a similarity of the threshold or more, copies among them) and the text's own
-least id. Null texts have no words. Repeated rows count as copies. An empty table gives an empty result. Only the id
-and the text are read. Null ids are kept, and name no class if another id is there.
+number of links (other documents with a similarity of the threshold or more, copies among them), the text's own least
+id, and whether the row stands for its class: of each class one text does, in one document of it (with the least id).
+Null texts have no words, join nothing and stand for themselves. Repeated rows count as copies. Texts of any length are
+hashed whole, a piece at a time. An empty table gives an empty result. Only the id and the text are read, so other
+columns may have any name. Null ids link like others, and name a class or stand for one only if no other id is there.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import release_memory, stash
 
 NGRAM, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9999
-BLOCK = 256
+#: Texts, and bytes of their sets, in one block of a bucket (one text may be larger).
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: N-grams hashed at a time, and pairs that are intersected one by one.
+CHUNK, FEW = 1 << 20, 64
 #: Bytes of text hashed at a time (one text may be longer).
 SLICE_BYTES = 1 << 19
 #: A-Z to lower case; what isn't a digit, a letter or beyond ASCII parts words.
@@ -62,38 +68,55 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of folded bytes, a piece at a time; pieces end at blanks."""
+    hashes, places, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while start < len(data):
+        piece = data[start : start + SLICE_BYTES]
+        if start + len(piece) < len(data):
+            blanks = np.flatnonzero(piece == 32)
+            if not len(blanks):  # one long word goes on behind the piece
+                rest = np.flatnonzero(data[start + len(piece) :] == 32)
+                piece = data[start : start + len(piece) + int(rest[0])] if len(rest) else data[start:]
+            else:
+                piece = piece[: blanks[-1] + 1]
+        inside = piece != 32
+        edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(first):
+            within = np.arange(len(piece)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(piece)]])))
+            powers = _powers(0x9E3779B97F4A7C15, int((last - first).max()) + 1)
+            values = np.where(inside, (piece.astype(np.uint64) + np.uint64(1)) * powers[np.minimum(within, len(powers) - 1)], np.uint64(0))
+            hashes.append(_mix(np.add.reduceat(values, first) + (last - first).astype(np.uint64)))
+            places.append(first + start)
+        start += len(piece)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 class Grams:
     """Word hashes and n-gram hashes of some texts, one after another, with each text's bounds."""
 
     def __init__(self, texts: list[str | None], n: int = NGRAM):
-        data = np.frombuffer(b" ".join((t or "").encode() for t in texts).translate(_FOLD) + b" ", np.uint8)
-        sizes = np.array([len((t or "").encode()) + 1 for t in texts], np.int64)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        inside = data != 32
-        edge = np.diff(np.concatenate([[0], inside.view(np.int8)]))
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        data = [(t or "").encode() for t in texts]
+        bounds = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])])
+        self.words, first = _words(np.frombuffer(b" ".join(data).translate(_FOLD) + b" ", np.uint8))
         self.starts = np.searchsorted(first, bounds)  # each text's first word, and the number of words
-        count = np.diff(self.starts)
-        self.counts = count
-        if len(first):
-            within = np.arange(len(data)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(data)]])))
-            powers = _powers(0x9E3779B97F4A7C15, int((last - first).max()) + 1)
-            values = np.where(inside, (data.astype(np.uint64) + np.uint64(1)) * powers[np.minimum(within, len(powers) - 1)], np.uint64(0))
-            self.words = _mix(np.add.reduceat(values, first) + (last - first).astype(np.uint64))
-        else:
-            self.words = np.zeros(0, np.uint64)
+        self.counts = np.diff(self.starts)
+        del first
         # N-grams: one for each word that has n - 1 more behind it in its text, or for the first word of a shorter text.
-        total = len(self.words)
-        text = np.repeat(np.arange(len(texts)), count)
-        place = np.arange(total) - self.starts[text]
-        room = count[text] - place
-        begins = np.flatnonzero((room >= n) | (place == 0))
-        grams = np.full(len(begins), 0x1234567, np.uint64)
-        for k in range(n):
-            at = np.minimum(begins + k, max(total - 1, 0))
-            grams += np.where(room[begins] > k, self.words[at] * _ODD[k], np.uint64(0)) if total else 0
-        self.grams = _mix(grams)
-        self.gram_starts = np.searchsorted(text[begins], np.arange(len(texts) + 1))
+        room = np.repeat(self.starts[1:], self.counts) - np.arange(len(self.words))
+        some = np.flatnonzero(self.counts)
+        wanted = room >= n
+        wanted[self.starts[:-1][some]] = True
+        begins = np.flatnonzero(wanted)
+        self.grams = np.empty(len(begins), np.uint64)
+        for a in range(0, len(begins), CHUNK):
+            at = begins[a : a + CHUNK]
+            sums, left = np.full(len(at), 0x1234567, np.uint64), room[at]
+            for k in range(n):
+                sums += np.where(left > k, self.words[np.minimum(at + k, len(self.words) - 1)] * _ODD[k], np.uint64(0))
+            self.grams[a : a + CHUNK] = _mix(sums)
+        self.gram_starts = np.searchsorted(begins, self.starts)
 
     def sequences(self) -> list[bytes]:
         """A 128-bit hash of each text's words in order."""
@@ -137,8 +160,8 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
 
 
 def sketch(docs: DataFrame, bands: int, rows: int, ngram: int = NGRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, seq, n_words, bands) for every row."""
-    read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    """(id, text_hash, seq, n_words, bands) for every row."""
+    read = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
     kind = read.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -147,10 +170,11 @@ def sketch(docs: DataFrame, bands: int, rows: int, ngram: int = NGRAM, id_col: s
                 grams = Grams(texts, ngram)
                 hashes = grams.bands(bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, bands), pa.int32()), pa.array(hashes.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(grams.sequences(), pa.binary()), pa.array(grams.counts, pa.int64()), lists], ["id", "seq", "n_words", "bands"])
+                own = [batch.column(c).slice(a, b - a) for c in ("id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(grams.sequences(), pa.binary()), pa.array(grams.counts, pa.int64()), lists], ["id", "text_hash", "seq", "n_words", "bands"])
         release_memory()
 
-    return read.mapInArrow(run, f"id {kind}, seq binary, n_words bigint, bands array<bigint>")
+    return read.mapInArrow(run, f"id {kind}, text_hash bigint, seq binary, n_words bigint, bands array<bigint>")
 
 
 def _groups(batches, names: list[str]) -> Iterator[dict[str, list]]:
@@ -184,23 +208,38 @@ def _owned(bucket: int, bands: np.ndarray, sides: np.ndarray, cross: bool) -> np
     return pairs
 
 
-def _intersections(sets: list[np.ndarray], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, size of the intersection) of the wanted pairs."""
-    i, j = np.nonzero(pairs)
-    if len(sets) <= 12:
-        return i, j, np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(column, kind="stable")
-    column, member = column[order], member[order]
-    both = np.zeros((len(sets), len(sets)), np.float64)
+def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (i, j): a product of the matrices of what both sides hold."""
+    if len(i) <= FEW:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    rows, row = np.unique(i, return_inverse=True)
+    columns, column = np.unique(j, return_inverse=True)
+    left, right = np.concatenate([sets[k] for k in rows]), np.concatenate([sets[k] for k in columns])
+    if len(np.intersect1d(rows, columns)):
+        found, often = np.unique(np.concatenate([sets[k] for k in np.union1d(rows, columns)]), return_counts=True)
+        held = found[often > 1]
+    else:
+        held = np.intersect1d(left, right)
+    both = np.zeros((len(rows), len(columns)))
+
+    def placed(grams: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in held, text) of the grams that are held, by place."""
+        at = np.searchsorted(held, grams)
+        known = np.flatnonzero(held[np.minimum(at, len(held) - 1)] == grams) if len(held) else np.zeros(0, np.int64)
+        known = known[np.argsort(at[known], kind="stable")]
+        return at[known], np.repeat(np.arange(len(of)), [len(sets[k]) for k in of])[known]
+
+    (at_left, of_left), (at_right, of_right) = placed(left, rows), placed(right, columns)
     width = 2048
-    for a in range(0, int(column[-1]) + 1, width):
-        lo, hi = np.searchsorted(column, [a, a + width])
-        part = np.zeros((len(sets), width), np.float32)
-        part[member[lo:hi], column[lo:hi] - a] = 1
-        both += part @ part.T
-    return i, j, both[i, j].astype(np.int64)
+    for a in range(0, len(held), width):
+        parts = []
+        for at, of, n in ((at_left, of_left, len(rows)), (at_right, of_right, len(columns))):
+            lo, hi = np.searchsorted(at, [a, a + width])
+            part = np.zeros((n, width), np.float32)
+            part[of[lo:hi], at[lo:hi] - a] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    return both[row, column].astype(np.int64)
 
 
 class _Forest:
@@ -226,7 +265,11 @@ def _verify(group: dict[str, list], threshold: float) -> list[dict]:
     copies = np.array([group["copies"][k] for k in order], np.int64)
     sets = [np.frombuffer(group["grams"][k], np.uint64) for k in order]
     sizes = np.array([len(s) for s in sets], np.int64)
-    i, j, both = _intersections(sets, _owned(group["bucket"][0], bands, sides, group["cross"][0]))
+    i, j = np.nonzero(_owned(group["bucket"][0], bands, sides, group["cross"][0]))
+    if group["cross"][0]:  # each pair from the one side to the other
+        swap = sides[i] > sides[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+    both = _intersections(sets, i, j)
     linked = both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
     i, j = i[linked], j[linked]
     docs = np.bincount(i, copies[j], len(order)) + np.bincount(j, copies[i], len(order))
@@ -261,16 +304,18 @@ def _components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, ngram: int = NGRAM, block: int = BLOCK) -> DataFrame:
-    """(id, class_id, n_links, n_text_links, text_id, n_words) for every row."""
+def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, ngram: int = NGRAM, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, class_id, n_links, n_text_links, text_id, n_words, text_hash, representative) for every row."""
     spark: SparkSession = docs.sparkSession
     bands, rows = choose_bands(threshold, target_recall)
     sketched = stash(sketch(docs, bands, rows, ngram, id_col, text_col), "sketch")
-    nodes = stash(sketched.filter("n_words > 0").groupBy("seq").agg(F.min("id").alias("text_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "texts")
+    document = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")  # one document of each text, by an id if there is one
+    nodes = stash(sketched.filter("n_words > 0").groupBy("seq").agg(F.min("id").alias("text_id"), F.min(document).alias("document"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words")), "texts")
 
-    members = nodes.select(F.explode("bands").alias("bucket"), "seq")
-    shared = stash(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    members = nodes.select(F.explode("bands").alias("bucket"), "seq", "n_words")
+    shared = stash(members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_words").alias("w")).filter("n > 1"), "buckets")
+    members = members.drop("n_words")
+    blocks = F.least(F.col("n"), F.ceil(F.greatest(F.col("n") / F.lit(block), F.col("w") * 8 / F.lit(block_bytes)))).cast("int")
     met = stash(members.join(shared, "bucket"), "met")
     side = F.pmod(F.hash("seq"), blocks)
     dealt = (
@@ -299,8 +344,9 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     owned = stash(dealt.select(*names).repartition("group").sortWithinPartitions("group", "bucket").mapInArrow(owners, columns), "owned")
 
     # The sets of texts that have pairs: one document of each, its text hashed again.
-    wanted = owned.select("seq").distinct().join(nodes.select("seq", "text_id", "copies"), "seq")
-    read = docs.select(docs[id_col].alias("text_id"), docs[text_col].alias("text"))
+    wanted = owned.select("seq").distinct().join(nodes.select("seq", "document.id", "document.text_hash", "copies"), "seq")
+    read = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
+    same = read["id"].eqNullSafe(wanted["id"]) & (read["text_hash"] == wanted["text_hash"])
 
     def hashed(batches):
         for batch in batches:
@@ -310,7 +356,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("seq", "copies")), pa.array(grams.sequences(), pa.binary()), pa.array(found, pa.binary())], ["seq", "copies", "own", "grams"])
         release_memory()
 
-    sets = read.join(wanted, "text_id").select("seq", "copies", "text").mapInArrow(hashed, "seq binary, copies bigint, own binary, grams binary")
+    sets = read.join(wanted, same).select("seq", "copies", "text").mapInArrow(hashed, "seq binary, copies bigint, own binary, grams binary")
     sets = stash(sets.filter("seq = own").dropDuplicates(["seq"]).drop("own"), "sets")
 
     def verified(batches):
@@ -330,13 +376,13 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     tree = _components(stash(links.select(F.col("seq").alias("u"), F.col("root").alias("v")).filter("u <> v").distinct(), "edges"))
     counts = links.groupBy("seq").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
-    placed = nodes.select("seq", "text_id", "copies").join(counts, "seq", "left").join(tree.select(F.col("u").alias("seq"), F.col("v").alias("root")), "seq", "left")
+    placed = nodes.select("seq", "text_id", "document", "copies").join(counts, "seq", "left").join(tree.select(F.col("u").alias("seq"), F.col("v").alias("root")), "seq", "left")
     placed = stash(placed.withColumn("root", F.coalesce("root", "seq")), "placed")
-    least = stash(placed.groupBy("root").agg(F.min("text_id").alias("class_id")), "classes")
-    texts = stash(placed.join(least, "root").select("seq", "text_id", "class_id", "copies", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("texts", F.lit(0)).alias("texts")), "joined")
+    least = stash(placed.groupBy("root").agg(F.min("text_id").alias("class_id"), F.min("document").alias("head")), "classes")
     zero = F.lit(0).cast("long")
+    texts = stash(placed.join(least, "root").select("seq", "text_id", "class_id", "copies", "head", F.coalesce("docs", zero).alias("docs"), F.coalesce("texts", zero).alias("texts")), "joined")
     return (
-        sketched.select("id", F.when(F.col("n_words") > 0, F.col("seq")).alias("seq"), "n_words")
+        sketched.select("id", "text_hash", F.when(F.col("n_words") > 0, F.col("seq")).alias("seq"), "n_words")
         .join(texts, "seq", "left")
         .select(
             F.col("id").alias(id_col),
@@ -345,5 +391,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.coalesce("texts", zero).alias("n_text_links"),
             F.coalesce("text_id", "id").alias("text_id"),
             "n_words",
+            "text_hash",
+            F.coalesce(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash")) | F.col("head").isNull(), F.lit(False)).alias("representative"),
         )
     )
