@@ -19,16 +19,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents that links connect, the one with the least id stays; documents without words stay."""
+    """Of each class of documents that links connect, the one with the least id stays, once; documents without words stay.
+
+    A document is told by its id and a hash of its text, so rows that share an id are decided each by its own text.
+    """
     with scratch(spark) as keep:  # the join's own tables go as soon as its decisions are written
-        joined = ngram_join.join_documents(docs)
-        ids = joined.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"), F.count("*").alias("rows"))
-        ids = keep(ids.filter(~F.col("stays") | (F.col("rows") > 1)).select(F.col("doc_id").alias("__id"), "stays"), "copies")
-    repeated = ids.filter("stays")  # only rows that share an id are held against each other
-    same = lambda other: docs["doc_id"].eqNullSafe(other["__id"])
-    single = docs.join(ids, same(ids), "left_anti")
-    rows = docs.join(repeated, same(repeated), "left_semi").withColumn("__text_of_row", F.xxhash64("text"))
-    return single.unionByName(rows.dropDuplicates(["doc_id", "__text_of_row"]).drop("__text_of_row"))
+        joined = ngram_join.join_documents(docs).filter("n_words > 0")
+        told = joined.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("representative").alias("stays"), F.count("*").alias("rows"))
+        told = keep(told.filter(~F.col("stays") | (F.col("rows") > 1)), "copies")
+    of = docs.withColumn("__text_of_row", F.xxhash64("text"))
+    same = lambda other: of["doc_id"].eqNullSafe(other["__id"]) & (of["__text_of_row"] == other["__hash"])
+    repeated = told.filter("stays")
+    single = of.join(told, same(told), "left_anti")
+    rows = of.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__text_of_row"])
+    return single.unionByName(rows).drop("__text_of_row")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
