@@ -43,3 +43,12 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_are_told_by_text_where_ids_repeat(spark):
+    rows = [(1, prose(1, 80)), (1, prose(1, 80) + " tail"), (1, prose(2, 80)), (1, prose(2, 80)), (None, prose(3, 80)), (None, prose(3, 80)), (None, prose(3, 80) + " tail"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=repr)
+    kept = [t for i, t in got if i == 1]
+    assert len(got) == 5 and prose(2, 80) in kept and sum(t.startswith(prose(1, 80)) for t in kept) == 1
+    assert sum(t is None for _, t in got) == 2 and sum(i is None and t is not None for i, t in got) == 1
