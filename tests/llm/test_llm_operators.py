@@ -104,17 +104,19 @@ def contamination(rows, bench, window=10):
                 for j in range(len(w) - len(g) + 1):
                     if w[j : j + len(g)] == g:
                         hit |= set(range(j, j + len(g)))
-                        items.add(item)
+                        items |= {str(item)} - {"None"}
         found[k] = (i, len(w), len(hit), sorted(items))
     return sorted(found.values(), key=repr)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
 @pytest.mark.parametrize("options", [{}, {"shard_words": 50, "block_bytes": 1}])
-def test_decontamination_cases(spark, options):
+def test_decontamination_cases(spark, options, kind):
     long = words(1, 40)
-    bench = [(1, long), (2, words(2, 25)), (3, "only three words"), (4, None), (5, "  ,;"), (6, long), (7, "w1 " * 12)]
-    rows = [(1, None, "s"), (2, "", "s"), (3, words(9, 3000) + " " + long.upper() + "\n" + words(8, 50), "s"), (3, "ONLY, three; Words!", "s"), (4, "only three", "s"), (5, "w1 " * 40, "s"), (6, words(2, 25) + " " + words(2, 25), "s"), (6, words(2, 25) + " " + words(2, 25), "s"), (None, "é only three words ü", "s")]
-    found = decontaminate.find_contamination(docs_of(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), **options)
+    bench = [(1, long), (2, words(2, 25)), (3, "only three words"), (4, None), (5, "  ,;"), (6, long), (7, "w1 " * 12), (None, words(4, 30)), (10, words(2, 25))]
+    bench = [(i if kind == "long" or i is None else f"item {i}", t) for i, t in bench]
+    rows = [(1, None, "s"), (2, "", "s"), (3, words(9, 3000) + " " + long.upper() + "\n" + words(8, 50), "s"), (3, "ONLY, three; Words!", "s"), (4, "only three", "s"), (5, "w1 " * 40, "s"), (6, words(2, 25) + " " + words(2, 25), "s"), (6, words(2, 25) + " " + words(2, 25), "s"), (None, "é only three words ü", "s"), (8, words(4, 30), "s")]
+    found = decontaminate.find_contamination(docs_of(spark, rows), spark.createDataFrame(bench, f"item_id {kind}, text string"), **options)
     got = sorted(((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), list(r["items"])) for r in found.collect()), key=repr)
     assert got == contamination(rows, bench)
 

@@ -6,11 +6,14 @@ vocabulary cannot lie in an occurrence, nor can a stretch of fewer words than th
 stretches are indexed; this loses nothing. All phrases are searched backwards at once through wavelet-tree ranks,
 occurrences are located by sampled suffix positions, and overlapping ones merge to removal spans.
 
-The benchmark goes to the executors in blocks of items of a bounded size; each block is a pass of its own over the
-documents, and passes are merged by document. Documents stay in place: a shard needs no shuffle.
-
-Null texts have no words. Rows stay as they are, repeated ones too. An empty benchmark hits nothing. Extra columns
-are not read.
+The benchmark goes to the executors in blocks of items of a bounded size. A shard is searched for one block after the
+other, and a worker holds one block at a time, so a large benchmark costs time and no memory. Documents stay in place:
+there is one pass over them, and nothing is shuffled.
+
+Item ids are told as strings, of whatever type they are. Items that repeat an id are one item; items without an id are
+searched like others and their words are hit, but no list names them. Null texts, of documents and of items, have no
+words. Long texts are searched whole: one that exceeds a shard is a shard. Rows stay as they are, repeated ones too. An
+empty benchmark hits nothing; an empty table gives an empty result. Other columns are not read but for those asked for.
 """
 
 from __future__ import annotations
@@ -42,14 +45,14 @@ def words_of(text: str | None) -> list[bytes]:
 class Phrases:
     """The distinct windows of some items, as rows of word numbers, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], set[int]] = {}
+        seen: dict[tuple[int, ...], set[str | None]] = {}
         for item, words in items:
             numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             for k in range(max(1, len(numbers) - window + 1) if numbers else 0):
                 seen.setdefault(tuple(numbers[k : k + window]), set()).add(item)
-        self.items = [sorted(x) for x in seen.values()]
+        self.items = [sorted(i for i in x if i is not None) for x in seen.values()]
         self.lengths = np.array([len(x) for x in seen], np.int64)
         self.rows = np.zeros((len(seen), window), np.int64)
         for k, x in enumerate(seen):
@@ -99,20 +102,21 @@ def _occurrences(phrases: Phrases, texts: list[np.ndarray]) -> Iterator[tuple[np
         yield doc, at - starts[doc], hit[which]
 
 
-def _shard_hits(phrases: Phrases, texts: list[np.ndarray]) -> tuple[list[list[dict]], list[list[int]]]:
-    """For each document its merged spans of words and the items found."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
+def _shard_hits(blocks: Iterator[Phrases], words: list[list[bytes]]) -> tuple[list[list[dict]], list[list[str]]]:
+    """For each document its merged spans of words and the items found, over all blocks of the benchmark."""
+    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
     change = np.zeros(int(starts[-1]) + 1, np.int64)
-    items: list[set[int]] = [set() for _ in texts]
-    for doc, at, phrase in _occurrences(phrases, texts):
-        place = starts[doc] + at
-        np.add.at(change, place, 1)
-        np.add.at(change, place + phrases.lengths[phrase], -1)
-        for d, p in np.unique(np.stack([doc, phrase], 1), axis=0):
-            items[d].update(phrases.items[p])
+    items: list[set[str]] = [set() for _ in words]
+    for phrases in blocks:
+        get = phrases.vocabulary.get
+        for doc, at, phrase in _occurrences(phrases, [np.array([get(w, 0) for w in ws], np.int32) for ws in words]):
+            place = starts[doc] + at
+            np.add.at(change, place, 1)
+            np.add.at(change, place + phrases.lengths[phrase], -1)
+            for d, p in np.unique(np.stack([doc, phrase], 1), axis=0):
+                items[d].update(phrases.items[p])
     covered = np.cumsum(change[:-1]) > 0
-    spans: list[list[dict]] = [[] for _ in texts]
+    spans: list[list[dict]] = [[] for _ in words]
     padded = np.concatenate([[False], covered, [False]])
     begins, stops = np.flatnonzero(padded[1:] & ~padded[:-1]), np.flatnonzero(~padded[1:] & padded[:-1])
     for a, b in zip(begins, stops, strict=True):  # a run may go on over a document's end
@@ -125,13 +129,13 @@ def _shard_hits(phrases: Phrases, texts: list[np.ndarray]) -> tuple[list[list[di
     return spans, [sorted(x) for x in items]
 
 
-HITS = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
+HITS = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The benchmark's items a block at a time; the driver holds one block."""
     block, size = [], 0
-    for row in benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null").toLocalIterator():
+    for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("t is not null").toLocalIterator():
         if block and size + len(row["t"]) * 4 > block_bytes:
             yield block
             block, size = [], 0
@@ -148,63 +152,41 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     carried = [f.name for f in read.schema.fields if f.name.startswith("__keep_")]
     kinds = {f.name: f.dataType.simpleString() for f in read.schema.fields}
     schema = f"__id {kinds['__id']}, __text string, " + "".join(f"`{c}` {kinds[c]}, " for c in carried) + HITS
-
-    def one(held) -> DataFrame:
-        def run(batches):
-            phrases: Phrases = held.value
-            get = phrases.vocabulary.get
-            for batch in batches:
-                texts, start, count = [], 0, 0
-                column = batch.column("__text")
-                for k in range(len(column)):
-                    words = words_of(column[k].as_py())
-                    if texts and count + len(words) > shard_words:
-                        yield pack(batch.slice(start, k - start), phrases, texts)
-                        texts, start, count = [], k, 0
-                    texts.append(np.array([get(w, 0) for w in words], np.int32))
-                    count += len(words)
-                if texts:
-                    yield pack(batch.slice(start), phrases, texts)
-            release_memory()
-
-        def pack(part, phrases, texts):
-            spans, items = _shard_hits(phrases, texts)
-            span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns = [part.column("__id"), part.column("__text"), *[part.column(c) for c in carried], pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, ["__id", "__text", *carried, "n_words", "spans", "items"])
-
-        return read.mapInArrow(run, schema)
-
-    passes = [one(spark.sparkContext.broadcast(Phrases(b, window))) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    found = passes[0]
-    if len(passes) > 1:
-        found = _merged(passes, carried)
+    held = [spark.sparkContext.broadcast(Phrases(b, window)) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+
+    def blocks() -> Iterator[Phrases]:
+        for one in held:
+            yield one.value
+            if len(held) > 1:  # of several blocks a worker keeps none
+                vars(one).pop("_value", None)
+
+    def run(batches):
+        for batch in batches:
+            words, start, count = [], 0, 0
+            column = batch.column("__text")
+            for k in range(len(column)):
+                found = words_of(column[k].as_py())
+                if words and count + len(found) > shard_words:
+                    yield pack(batch.slice(start, k - start), words)
+                    words, start, count = [], k, 0
+                words.append(found)
+                count += len(found)
+            if words:
+                yield pack(batch.slice(start), words)
+        release_memory()
+
+    def pack(part, words):
+        spans, items = _shard_hits(blocks(), words)
+        span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        columns = [part.column("__id"), part.column("__text"), *[part.column(c) for c in carried], pa.array([len(w) for w in words], pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, ["__id", "__text", *carried, "n_words", "spans", "items"])
+
+    found = read.mapInArrow(run, schema)
     return found.select(F.col("__id").alias(id_col), F.col("__text").alias(text_col), *[F.col(c).alias(c.removeprefix("__keep_")) for c in carried], "n_words", "spans", "items")
 
 
-def _merged(passes: list[DataFrame], carried: list[str]) -> DataFrame:
-    """Passes over the same documents as one: spans merge, items add up. Repeated rows count how often they came."""
-    every = passes[0].withColumn("__pass", F.lit(0))
-    for k, p in enumerate(passes[1:], 1):
-        every = every.unionByName(p.withColumn("__pass", F.lit(k)))
-    rows = every.groupBy("__id", "__text", *carried, "n_words").agg(
-        F.sum(F.when(F.col("__pass") == 0, 1).otherwise(0)).alias("__copies"),
-        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    span = "struct<start:bigint,end:bigint>"
-
-    def join(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= s["start"]), grown).otherwise(F.concat(acc, F.array(s)))
-
-    merged = F.aggregate("spans", F.array().cast(f"array<{span}>"), join)
-    return rows.withColumn("spans", merged).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copy", "__copies")
-
-
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    names = F.array_join(F.array_sort("items"), ",")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(names, "UTF-8"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
