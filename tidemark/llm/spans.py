@@ -1,38 +1,61 @@
 """Spans of regular expressions inside texts, with DataFrame functions only.
 
 Spark gives matches but not their places; a split by the same expression gives the text between them, so a running
-sum of lengths gives every match's start and end in code points. Both walk the text once.
+sum of lengths gives every match's start and end in code points. Both walk the text once. Running sums and masked
+texts are put together in chunks: a text with many matches costs about CHUNK steps for each, not one for each pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.llm.quality import let
 
-SPAN_TYPE = "struct<kind:string,start:int,end:int,value:string,before:string>"
-#: How many characters before a match are kept as its context.
+SPAN_TYPE = "struct<kind:string,start:int,end:int,value:string,before:string,after:string>"
+#: How many characters on either side of a match are kept as its context; they end where another match of the kind is.
 CONTEXT = 48
+#: Entries that are put together at a time.
+CHUNK = 256
 
 
-def matches(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (kind, start, end, value, before) of the leftmost non-overlapping matches; ``before`` is nearby text."""
-    empty = F.array().cast(f"array<{SPAN_TYPE}>")
+def _chunks(n: Column) -> Column:
+    """Numbers of the chunks of ``n`` entries, from 0; n is 1 at least."""
+    return F.sequence(F.lit(0), F.ceil(n / CHUNK).cast("int") - 1)
+
 
-    def placed(found: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-        pairs = F.zip_with(gaps, found, lambda g, v: F.struct(F.length(g).alias("n"), v.alias("v"), F.right(g, F.lit(CONTEXT)).alias("before")))
+def _chunk(values: Column, k: Column) -> Column:
+    return F.slice(values, k * CHUNK + 1, F.lit(CHUNK))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + x["n"]
-            end = start + F.length(x["v"])
-            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["v"].alias("value"), x["before"].alias("before"))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What ``op`` makes of each beginning of an array of whole numbers, which has an entry at least."""
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(empty))
+    def walk(part: Column) -> Column:
+        step = lambda acc, x: F.concat(acc, F.array(F.coalesce(op(F.get(acc, F.size(acc) - 1), x), x)))
+        return F.aggregate(part, F.array().cast("array<int>"), step)
+
+    def joined(inner: Column) -> Column:
+        ahead = walk(F.transform(inner, lambda c: F.element_at(c, -1)))
+        return let(ahead, lambda a: F.flatten(F.transform(inner, lambda c, k: F.when(k == 0, c).otherwise(F.transform(c, lambda x: op(F.get(a, k - 1), x))))))
+
+    return let(F.transform(_chunks(F.size(values)), lambda k: walk(_chunk(values, k))), joined)
+
+
+def matches(text: Column, kind: str, pattern: str) -> Column:
+    """Array of (kind, start, end, value, before, after) of the leftmost non-overlapping matches; the last two are nearby text."""
+    empty = F.array().cast(f"array<{SPAN_TYPE}>")
+
+    def placed(found: Column, gaps: Column) -> Column:
+        n = F.size(found)
+        ends = running(F.zip_with(found, F.slice(gaps, F.lit(1), n), lambda v, g: F.length(v) + F.length(g)), lambda a, b: a + b)
+        near = F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(gaps, F.lit(2), n), lambda b, a: F.struct(F.right(b, F.lit(CONTEXT)).alias("before"), F.left(a, F.lit(CONTEXT)).alias("after")))
+        at = F.zip_with(found, ends, lambda v, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+        return F.zip_with(at, near, lambda x, c: F.struct(x["kind"], x["start"], x["end"], x["value"], c["before"], c["after"]))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps))).otherwise(empty))
 
 
 def if_contains(text: Column, needle: str, spans: Column) -> Column:
@@ -67,10 +90,24 @@ def masked(text: Column, spans: Column, mask: str) -> Column:
     """``text`` with every span replaced by ``mask`` and its kind; overlapping spans are masked as one, by the first's kind."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.when(s["start"] >= acc["at"], F.concat(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(f"[{mask}:"), s["kind"], F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["parts"], F.array(kept)).alias("parts"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    joined = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    def between(s: Column, ends: Column) -> Column:
+        """(where the text before a mask begins, where it ends, kind) of each span that begins behind those before it."""
+        behind = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        pairs = F.zip_with(s, behind, lambda x, at: F.struct(at.alias("at"), x["start"].alias("to"), x["kind"].alias("kind")))
+        return F.filter(pairs, lambda p: p["to"] >= p["at"])
+
+    def written(part: Column) -> Column:
+        first, last = F.element_at(part, 1)["at"], F.element_at(part, -1)["to"]
+        body = F.substr(text, first + 1, last - first)  # a chunk's own text first, so that its pieces are found in a short one
+        return let(body, lambda b: F.array_join(F.transform(part, lambda p: F.concat(F.substr(b, p["at"] - first + 1, p["to"] - p["at"]), F.lit(f"[{mask}:"), p["kind"], F.lit("]"))), ""))
+
+    def whole(s: Column) -> Column:
+        return let(
+            running(F.transform(s, lambda x: x["end"]), F.greatest),
+            lambda ends: F.concat(
+                let(between(s, ends), lambda ps: F.array_join(F.transform(_chunks(F.size(ps)), lambda k: let(_chunk(ps, k), written)), "")),
+                F.substr(text, F.element_at(ends, -1) + 1),
+            ),
+        )
+
+    return F.when(F.size(spans) > 0, let(ordered, whole)).otherwise(text)

@@ -51,11 +51,11 @@ FROM d JOIN t USING (w) JOIN k USING (rep) LEFT JOIN n USING (rep)
 
 
 def _spans(kind: str, pattern: str, valid: str = "true") -> str:
-    """Places by the text between matches: (doc_id, kind, start, value)."""
+    """Places by the text between matches: (doc_id, kind, s, e, v, text nearby on both sides)."""
     return f"""{kind}_m AS (SELECT doc_id, m, string_split_regex(body, '{pattern}') AS gaps FROM (SELECT doc_id, body, regexp_extract_all(body, '{pattern}') AS m FROM t) WHERE len(m) > 0),
-{kind}_s AS (SELECT doc_id, '{kind}' AS kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, m[i] AS v
+{kind}_s AS (SELECT doc_id, '{kind}' AS kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s, m[i] AS v, right(gaps[i], 48) AS b, left(gaps[i + 1], 48) AS a
   FROM (SELECT doc_id, m, gaps, unnest(range(1, len(m) + 1)) AS i FROM {kind}_m)),
-{kind} AS (SELECT doc_id, kind, s, s + length(v) AS e FROM {kind}_s WHERE {valid})"""
+{kind} AS (SELECT doc_id, kind, s, s + length(v) AS e, v, a, b FROM {kind}_s WHERE {valid})"""
 
 
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
@@ -64,15 +64,24 @@ _TEXT = "t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)"
 _COUNT = "CAST(count(*) FILTER (kind = '{0}') AS BIGINT) AS n_{0}"
 _LIST = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY {0}) FILTER (kind IS NOT NULL), '')"
 
-# The proposals beyond the base kinds have checks of their own, and the test data hold none that pass.
+_CODE = "list_reduce(list_transform(string_split(substr(x, 5) || left(x, 4), ''), lambda c: CASE WHEN ord(c) < 58 THEN ord(c) - 48 ELSE ord(c) - 55 END), lambda m, c: (m * CASE WHEN c < 10 THEN 10 ELSE 100 END + c) % 97, 0)"
+_MOD97 = f"(SELECT {_CODE} FROM (SELECT replace(v, ' ', '') AS x)) = 1"
 PII = f"""
 WITH {_TEXT},
 {_spans('email', r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')},
 {_spans('ip', r'[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', "len(list_filter(string_split(v, '.'), lambda p: TRY_CAST(p AS HUGEINT) > 255 OR TRY_CAST(p AS HUGEINT) IS NULL)) = 0")},
 {_spans('card', r'[0-9](?:[\x20-]?[0-9])+', f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}")},
 {_spans('phone', r'\+[0-9][\x20().0-9-]+[0-9]', f"length({_DIGITS}) BETWEEN 8 AND 15")},
-a AS (FROM email UNION ALL FROM ip UNION ALL FROM card UNION ALL FROM phone)
-SELECT t.doc_id, {', '.join(_COUNT.format(k) for k in ('email', 'ip', 'card', 'phone'))}, sha256({_LIST.format("list_position(['email','ip','card','phone'], kind), s")}) AS base_sha256, {_LIST.format("list_position(['email','ip','card','phone'], kind), s")} AS spans
+{_spans('iban', r'\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b', _MOD97)},
+{_spans('ssn', r'[0-9-]{11,}', "regexp_full_match(v, '[0-9]{3}-[0-9]{2}-[0-9]{4}')")},
+k(kind, rank, least, proposed, speaks) AS (VALUES ('email', 1, 0, 80, '(?i)(?:mail|contact|write)'), ('ip', 2, 0, 60, '(?i)(?:(?:^|[^a-z])ip(?:[^a-z]|$)|address|host|server)'),
+  ('card', 3, 0, 80, '(?i)(?:card|visa|credit|payment)'), ('phone', 4, 0, 50, '(?i)(?:phone|call|tel|mobile|fax)'), ('iban', 5, 60, 70, '(?i)(?:iban|account|bank)'), ('ssn', 6, 60, 30, '(?i)(?:ssn|social security)')),
+f AS (FROM email UNION ALL FROM ip UNION ALL FROM card UNION ALL FROM phone UNION ALL FROM iban UNION ALL FROM ssn),
+g AS (SELECT doc_id, kind, rank, s, e, least, least(proposed + CASE WHEN regexp_matches(b, speaks) OR regexp_matches(a, speaks) THEN 30 ELSE 0 END
+        - CASE WHEN regexp_matches(b, '(?i)(?:version|isbn|order|serial|build)') OR regexp_matches(a, '(?i)(?:version|isbn|order|serial|build)') THEN 30 ELSE 0 END, 100) AS score FROM f JOIN k USING (kind)),
+a AS (FROM g WHERE score >= least)
+SELECT t.doc_id, {', '.join(_COUNT.format(k) for k in ('email', 'ip', 'card', 'phone'))}, sha256({_LIST.format("rank, s").replace("kind IS NOT NULL", "rank <= 4")}) AS base_sha256, {_LIST.format("rank, s")} AS spans,
+       coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY rank, s), '') AS scores
 FROM t LEFT JOIN a USING (doc_id) GROUP BY t.doc_id
 """
 
@@ -83,8 +92,13 @@ WITH {_TEXT},
 {_spans('assign', _ASSIGN, f"length({_GROUP}) >= 6")},
 {_spans('access', r'AKIA[A-Z0-9]+', "length(v) >= 20")},
 {_spans('hex', r'[0-9a-f]+', "length(v) >= 24")},
-a AS (FROM assign UNION ALL FROM access UNION ALL FROM hex)
-SELECT t.doc_id, {', '.join(_COUNT.format(k) for k in ('assign', 'access', 'hex'))}, sha256({_LIST.format("s, list_position(['assign','access','hex'], kind)")}) AS base_sha256, {_LIST.format("s, list_position(['assign','access','hex'], kind)")} AS spans
+{_spans('private_key', r'-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----')},
+{_spans('git_token', r'gh[pousr]_[A-Za-z0-9]{36,}')},
+{_spans('chat_token', r'xox[abprs]-[A-Za-z0-9-]{10,}')},
+{_spans('web_token', r'eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}')},
+a AS (SELECT *, list_position(['assign','access','hex','private_key','git_token','chat_token','web_token'], kind) AS rank
+      FROM (FROM assign UNION ALL FROM access UNION ALL FROM hex UNION ALL FROM private_key UNION ALL FROM git_token UNION ALL FROM chat_token UNION ALL FROM web_token))
+SELECT t.doc_id, {', '.join(_COUNT.format(k) for k in ('assign', 'access', 'hex'))}, sha256({_LIST.format("s, rank").replace("kind IS NOT NULL", "rank <= 3")}) AS base_sha256, {_LIST.format("s, rank")} AS spans
 FROM t LEFT JOIN a USING (doc_id) GROUP BY t.doc_id
 """
 
