@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import tables
 from tidemark.llm import common, decontaminate, fm_index, html_text, ngram_join, pieces, pii, quality, queries, secret_scan, sharding, url_filter, warc
+from tidemark.llm.spans import masked
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, host string, key int, spans string, n_words string, items int, seq string, copies int, blob string"
 EXTRA = ("x", "y", 1, "s", "n", 2, "q", 3, "b")
@@ -354,6 +355,7 @@ def test_personal_data(spark):
         assert all(t[s["start"] : s["end"]] == s["value"] for s in by[1][k])
     assert by[1]["ip"][2]["score"] < by[1]["ip"][0]["score"]
     assert len(by[5]["email"]) == 300 and all(not by[i][k] for i in (2, 3, 4) for k in pii.PATTERNS)
+    assert [s["score"] for s in by[1]["iban"]] == [100] and [s["score"] for s in by[1]["ssn"]] == [60]
     kinds = [F.col(k) for k in pii.PATTERNS]
     masked = docs_of(spark, rows).join(found.withColumnRenamed("doc_id", "d"), F.col("d") == F.col("doc_id")).filter("doc_id = 1").select(pii.redacted(F.col("text"), *kinds)).first()[0]
     assert "[PII:iban]" in masked and card not in masked and masked.startswith("é mail [PII:email]. next@[PII:email] ip")
@@ -362,6 +364,33 @@ def test_personal_data(spark):
     assert reported[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and reported[2]["spans"] == ""
 
 
+def test_context_decides_on_both_sides(spark):
+    iban = "GB82 WEST 1234 5698 7654 32"
+    rows = [(1, f"serial {iban}", "s"), (2, f"{iban} is my bank account", "s"), (3, iban, "s"), (4, "078-05-1120 (ssn)", "s"), (5, "078-05-1120", "s"), (6, "1078-05-1120 ssn 078-05-11201 ssn 078-05-1120-1", "s"), (7, "X" + iban, "s")]
+    got = {r["doc_id"]: ([s["score"] for s in r["iban"]], [s["score"] for s in r["ssn"]]) for r in pii.find_personal_data(docs_of(spark, rows)).collect()}
+    assert got == {1: ([], []), 2: ([100], []), 3: ([70], []), 4: ([], [60]), 5: ([], []), 6: ([], []), 7: ([], [])}
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 20_000
+    text = "".join(f"é user{k}@ex.org token=secret{k} " for k in range(n))
+    docs = docs_of(spark, [(1, text, "s")])
+    found = pii.find_personal_data(docs).select("email").first()["email"]
+    assert len(found) == n and all(text[s["start"] : s["end"]] == s["value"] == f"user{k}@ex.org" for k, s in enumerate(found))
+    assert secret_scan.redact_documents(docs).first()["text"] == "".join(f"é user{k}@ex.org [SECRET:assign] " for k in range(n))
+
+
+def test_masks_of_overlapping_spans(spark):
+    r, text = random.Random(4), "".join(chr(97 + k % 26) for k in range(3000))
+    spans = [(a, a + r.randrange(1, 9), r.choice("xyz")) for a in r.sample(range(2990), 900)]
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,end:int,kind:string>>")
+    want, at = "", 0
+    for a, b, k in sorted(spans):
+        want += f"{text[at:a]}[M:{k}]" if a >= at else ""
+        at = max(at, b)
+    assert df.select(masked(F.col("t"), F.col("s"), "M")).first()[0] == want + text[at:]
+
+
 def test_secrets_and_ledger(spark, tmp_path):
     t = 'é PassWord = "hunter22" secret:token:abcdefgh AKIA' + "A" * 16 + " x deadbeef" + "0" * 16 + " token=ab ghp_" + "a1" * 20
     rows = [(1, t, "s"), (2, t, "s"), (2, t, "s"), (3, None, "s"), (4, "", "s"), (5, "e" * 100_000, "s")]
@@ -373,6 +402,11 @@ def test_secrets_and_ledger(spark, tmp_path):
     assert scanned == 3  # of six rows: copies, null and empty are one blob each
     assert secret_scan.scan(docs_of(spark, [*rows, (6, "new", "s")]), ledger).count() == 7
     assert spark.read.parquet(ledger).count() == scanned + 1
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-twice")
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-twice")  # as two runs at once would
+    again = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs_of(spark, rows), f"{ledger}-twice").collect()}
+    assert again == by and secret_scan.scan(docs_of(spark, rows), f"{ledger}-twice").count() == 6
+    assert "hunter22" not in {r["doc_id"]: r["text"] for r in secret_scan.redact_documents(docs_of(spark, rows), ledger).collect()}[1]
     cleaned = {r["doc_id"]: r for r in secret_scan.redact_documents(docs_of(spark, rows), length_col="n_chars").collect()}
     assert "hunter22" not in cleaned[1]["text"] and cleaned[1]["n_chars"] == len(cleaned[1]["text"]) and cleaned[3]["text"] is None and cleaned[1]["blob"] == "b"
     assert secret_scan.scan(docs_of(spark, [])).count() == 0

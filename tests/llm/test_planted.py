@@ -5,11 +5,19 @@ import random
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import html_text, quality, queries
+from tidemark.llm import html_text, pii, quality, queries, secret_scan
 
 SHARED = " ".join(f"shared{k}" for k in range(60))
 
 
+#: Short texts with all kinds of personal data and secrets, some that fail their checks or their context.
+KINDS = [
+    "bank GB82 WEST 1234 5698 7654 32 DE89370400440532013000", "order DE89370400440532013000", "GB82 WEST 1234 5698 7654 33", "é ssn 078-05-1120 078-05-1121", "078-05-1120 1078-05-1120",
+    "version 1.2.3.4 host 5.6.7.8", "mail a@b.co a@b.co, +1 212 555 0100 fax", "4111 1111 1111 1111 visa", "ghp_" + "aB3" * 13, "xoxb-1234567890-abc xoxz-1234567890", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4",
+    "-----BEGIN RSA PRIVATE KEY-----\npassword=hunter22", "AKIA" + "Q" * 16 + " secret: abc", "f" * 30,
+]
+
+
 def own(seed, n):
     r = random.Random(str(seed))
     return " ".join(f"own{r.randrange(9000)}" for _ in range(n))
@@ -22,6 +30,7 @@ def sf(spark, tmp_path):
     rows += [(1100 + k, f"{SHARED}\n{own(k, 20)}", "small") for k in range(5)] + [(1200 + k, own((1, k), 40), "small") for k in range(10)]
     rows += [(2000 + k, f"{SHARED}\n{own(7, 20)}", "c") for k in range(150)]  # copies count once
     rows += [(3000 + k, f"{SHARED}\n{own(k, 20)}", "d") for k in range(8)] + [(4000 + k, own((2, k), 40), "d") for k in range(792)]  # at the share, which is none
+    rows += [(5000 + k, t, "e") for k, t in enumerate(KINDS)]
     docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.toPandas().to_parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path)
@@ -34,6 +43,13 @@ def test_quality_rules_count_different_texts_that_share_a_line(compare, spark, s
     assert quality.kept_documents(spark.read.parquet(f"{sf}/documents.parquet")).count() == len(kept)
 
 
+@pytest.mark.parametrize("name", ["op7_pii", "op8_secret_scan"])
+def test_all_kinds_against_sql(compare, name, spark, sf):
+    compare(queries.QUERIES[name], queries.ORACLE_SQL[name])
+    spans = ",".join(r["spans"] for r in queries.QUERIES[name](spark, sf).filter("doc_id >= 5000").collect())
+    assert all(f"{k}:" in spans for k in (pii if name == "op7_pii" else secret_scan).PATTERNS)
+
+
 def test_large_shared_footers_reject_all_that_hold_little_else(spark):
     footer = "\n".join(own(("footer", k), 12) for k in range(40))
     rows = [(k, f"{own(k, 60)}\n{footer}", "a") for k in range(600)] + [(1000 + k, own((3, k), 60), "a") for k in range(50)]

@@ -1,22 +1,25 @@
 """Secret scans with an incremental ledger of blobs, with DataFrame functions only.
 
 Every historical version of a text is addressed by its content (SHA-256). The ledger holds, for each blob and version
-of the rules, what a scan found. A run scans only the blobs that the ledger lacks at the current version, each once,
-appends them, and joins the findings back to all paths that hold the blob. Copies are merged by partial aggregation
-before the shuffle, so a much copied text costs one row a task.
-
-Null texts count as empty. Repeated rows stay repeated. Only the id and the text are read. An empty table gives an
-empty result.
+of the rules, what a scan found. A run scans only blobs that the ledger lacks at the current version, appends them, and
+joins the findings back to all paths that hold a blob that was known. Texts are scanned where they stand: only hashes
+and spans are shuffled, but for a run whose unseen blobs are too many to broadcast, which must move its texts to them.
+Copies that are new in the same run are each scanned, as finding the first of them would move all texts, and go into
+the ledger once; two runs at a time may both append a blob, and a reader takes one entry of it.
+
+Null texts count as empty. Repeated rows stay repeated. Texts are scanned whole, also with very many matches. Only the
+id and the text are read, so other columns may have any name but those of this module, which begin with two underscores.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_path
+from tidemark.llm.common import exists, fresh_path, stash
 from tidemark.llm.spans import SPAN_TYPE, if_contains, listed, masked, matches
 
 #: Kinds in the order of reports, and their patterns. Long runs are matched whole, so a least length in a pattern drops what is shorter.
@@ -32,11 +35,12 @@ PATTERNS = {
 }
 NEEDS = {"access": "AKIA", "private_key": "PRIVATE KEY-----", "git_token": "_", "chat_token": "xox", "web_token": "eyJ"}
 LEAST_ASSIGNED = 6
+LEDGER = f"blob string, rules string, spans array<{SPAN_TYPE}>"
 RULES_VERSION = hashlib.sha256(repr((sorted(PATTERNS.items()), LEAST_ASSIGNED)).encode()).hexdigest()[:16]
 
 
 def find_secrets(text: Column) -> Column:
-    """Array of (kind, start, end, value, before) by start, then kind as listed."""
+    """Array of (kind, start, end, value, before, after) by start, then kind as listed."""
     empty = F.array().cast(f"array<{SPAN_TYPE}>")
     kinds = list(PATTERNS)
     found = {k: matches(text, k, p) for k, p in PATTERNS.items()}
@@ -47,37 +51,42 @@ def find_secrets(text: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["span"])
 
 
-def _findings(docs: DataFrame, ledger: str | None, text_col: str) -> DataFrame:
-    """(blob, spans) of all blobs of ``docs`` that hold a secret, after the ledger was brought up to date."""
-    spark = docs.sparkSession
-    schema = f"blob string, rules string, spans array<{SPAN_TYPE}>"
-    versions = docs.select(_blob(docs[text_col]).alias("blob"), F.coalesce(docs[text_col], F.lit("")).alias("body"))
-    if ledger is None:
-        ledger = fresh_path(spark, "secret-ledger")
-    else:
-        if not _exists(spark, ledger):
-            spark.createDataFrame([], schema).write.parquet(ledger)
-        seen = spark.read.schema(schema).parquet(ledger).filter(F.col("rules") == RULES_VERSION).select("blob")
-        versions = versions.join(seen, "blob", "left_anti")
-    unseen = versions.groupBy("blob").agg(F.first("body").alias("body"))
-    unseen.select("blob", F.lit(RULES_VERSION).alias("rules"), find_secrets(F.col("body")).alias("spans")).write.mode("append").parquet(ledger)
-    known = spark.read.schema(schema).parquet(ledger).filter((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0))
-    return known.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-
-
 def _blob(text: Column) -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
+def known(spark: SparkSession, ledger: str) -> DataFrame:
+    """(blob, spans) of the ledger's entries at this version of the rules, one for each blob."""
+    entries = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("rules") == RULES_VERSION)
+    return entries.groupBy("blob").agg(F.first("spans").alias("spans"))
+
+
+def _scanned(rows: DataFrame, text_col: str, ledger: str | None, also: list[str]) -> DataFrame:
+    """The columns ``also`` of ``rows`` with ``__blob`` and ``__spans``; afterwards the ledger has every blob."""
+    spark = rows.sparkSession
+    keyed, text = rows.withColumn("__blob", _blob(F.col(f"`{text_col}`"))), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    old = known(spark, ledger) if ledger and exists(spark, ledger) else None
+    new = F.lit(True)
+    if old is not None:
+        unseen = stash(keyed.select("__blob").distinct().join(old, F.col("__blob") == F.col("blob"), "left_anti").withColumn("__new", F.lit(True)), "unseen")
+        keyed, new = keyed.join(unseen, "__blob", "left"), F.col("__new").isNotNull()
+    done = stash(keyed.withColumn("__spans", F.when(new, find_secrets(text))).select(*[f"`{c}`" for c in also], "__blob", "__spans"), "scanned")
+    fresh = done.filter("__spans is not null").groupBy("__blob").agg(F.first("__spans").alias("spans"))
+    fresh.select(F.col("__blob").alias("blob"), F.lit(RULES_VERSION).alias("rules"), "spans").write.mode("append").parquet(ledger or fresh_path(spark, "secret-ledger"))
+    if old is None:
+        return done
+    found = old.filter(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__known"))
+    return done.join(found, "__blob", "left").withColumn("__spans", F.coalesce("__spans", "__known", F.array().cast(f"array<{SPAN_TYPE}>"))).drop("__known")
+
+
 def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, blob, spans) for every row of ``docs``; ``ledger`` is the path of the ledger's table, kept between runs.
 
     Without a path the ledger starts empty, in the shared folder. A blob that the ledger has at ``RULES_VERSION`` isn't
     scanned again; a run that dies before its append leaves the ledger as it was, and the next run scans the same pairs.
     """
-    paths = docs.select(docs[id_col].alias("__id"), _blob(docs[text_col]).alias("__blob"))
-    found = paths.join(_findings(docs, ledger, text_col), "__blob", "left")
-    return found.select(F.col("__id").alias(id_col), F.col("__blob").alias("blob"), F.coalesce("__spans", F.array().cast(f"array<{SPAN_TYPE}>")).alias("spans"))
+    rows = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"))
+    return _scanned(rows, "__text", ledger, ["__id"]).select(F.col("__id").alias(id_col), F.col("__blob").alias("blob"), F.col("__spans").alias("spans"))
 
 
 def redact_documents(docs: DataFrame, ledger: str | None = None, text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -85,21 +94,15 @@ def redact_documents(docs: DataFrame, ledger: str | None = None, text_col: str =
 
     Where a text changes, ``length_col`` is set to its new length.
     """
-    found = docs.withColumn("__blob_of_row", _blob(docs[text_col])).join(_findings(docs, ledger, text_col), F.col("__blob_of_row") == F.col("__blob"), "left")
-    hit = F.col("__spans").isNotNull()
-    # A name of its own first: inside lambdas Spark would take a column of the same select for the one it reads.
-    found = found.withColumn("__text_of_row", F.when(hit, redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col)))
+    # Names of their own first: inside lambdas Spark would take a column of the same select for the one it reads.
+    found = _scanned(docs, text_col, ledger, docs.columns).withColumn("__hit", F.size("__spans") > 0)
+    found = found.withColumn("__text_of_row", F.when(F.col("__hit"), redacted(F.col(f"`{text_col}`"), F.col("__spans"))).otherwise(F.col(f"`{text_col}`")))
     out = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.col("__text_of_row")}
     if length_col:
-        out[length_col] = F.when(hit, F.length("__text_of_row").cast("bigint")).otherwise(out[length_col])
+        out[length_col] = F.when(F.col("__hit"), F.length("__text_of_row").cast("bigint")).otherwise(out[length_col])
     return found.select(*[out[c].alias(c) for c in docs.columns])
 
 
-def _exists(spark, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
     base = F.filter("spans", lambda s: s["kind"].isin(BASE_KINDS))
