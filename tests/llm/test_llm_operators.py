@@ -187,12 +187,20 @@ def test_warc_round_trip_in_small_ranges(spark):
 def test_warc_reader_skips_what_only_looks_like_a_member():
     import gzip
 
-    record = warc.record_bytes(7, "u", b"payload", "response", None, 7, warc.digest(b"payload"))
+    record = warc.record_bytes("7", "u", b"payload", "response", None, 7, warc.digest(b"payload"))
     data = b"junk\x1f\x8b\x08junk" + gzip.compress(b"not a record at all, but long enough") + record + b"\x1f\x8b\x08" + record
     read = lambda at, n: data[at : at + n]
     for width in (1, 3, 10, len(data)):
         found = [x for a in range(0, len(data), width) for x in warc.owned_members(read, len(data), a, min(len(data), a + width))]
-        assert [warc.parse_record(x)["page_id"] for x in found] == [7, 7]
+        assert [warc.parse_record(x)["page_id"] for x in found] == ["7", "7"]
+
+
+def test_warc_ids_of_any_text(spark):
+    pages = [("a/1", "u", "x"), ("null", "u", "x"), ("é> :", None, "y"), (None, "u", "x"), ("", "u", "z")]
+    folder = common.fresh_path(spark, "t")
+    manifest = warc.write_archives(spark.createDataFrame(pages, "page_id string, url string, html string").repartition(2), folder)
+    got = warc.read_archives(manifest, folder, id_type="string").collect()
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got), key=repr) == sorted([("a/1", "response", None), ("null", "revisit", "a/1"), ("é> :", "response", None), (None, "response", None), ("", "response", None)], key=repr)
 
 
 def test_warc_empty_and_threshold(spark):

@@ -8,6 +8,11 @@ The reader deals byte ranges to tasks. A task scans its range for the gzip magic
 if the member's first bytes decode and begin with a WARC version line, and owns the records that start inside its
 range, reading past the range's end to finish the last. Bytes that only look like a member fail the test, and a
 member that is owned is skipped as a whole.
+
+Ids may be of any type that has a string form; archives hold that form, and the reader casts it back. Null html is an
+empty payload, a null url leaves the record without a target, and a row with a null id is a response. Payloads are
+written whole, one at a time. Rows that repeat an id each get a record; repeats of a response are responses. Other
+columns are not read, whatever their names. An empty table gives no archive, and an empty result when it is read.
 """
 
 from __future__ import annotations
@@ -47,11 +52,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def _name(page_id: str | None) -> str:
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def _id(name: str | None) -> str | None:
+    """The id in a record's name; null for the name of none."""
+    return unquote(name.removeprefix("<urn:page:").removesuffix(">")) if name and name.startswith("<urn:page:") else None
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, payload_bytes: int, payload_digest: str) -> bytes:
+def record_bytes(page_id: str | None, url: str | None, payload: bytes, kind: str, refers_to: str | None, payload_bytes: int, payload_digest: str) -> bytes:
     """One record as a gzip member. A revisit has the HTTP header only; its full payload's length and digest are named."""
     body = HTTP + (payload if kind == "response" else b"")
     lines = [
@@ -77,13 +87,12 @@ def parse_record(data: bytes) -> dict:
     head, _, body = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     payload = body[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
-    number = lambda v: None if v is None or v.endswith(":null>") else int(v.removesuffix(">").rpartition(":")[2])
     response = fields["WARC-Type"] == "response"
     return {
-        "page_id": number(fields["WARC-Record-ID"]),
+        "page_id": _id(fields["WARC-Record-ID"]),
         "url": unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None,
         "record_type": fields["WARC-Type"],
-        "refers_to": number(fields.get("WARC-Refers-To")),
+        "refers_to": _id(fields.get("WARC-Refers-To")),
         "payload_bytes": len(payload) if response else int(fields["WARC-X-Payload-Length"]),
         "payload_digest": digest(payload) if response else fields["WARC-Payload-Digest"].removeprefix("sha1:"),
         "payload": payload if response else None,
@@ -97,21 +106,22 @@ def assign_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
     Only hashes are shuffled; groups of copies are pre-aggregated.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    hashed = stash(pages.select(F.col(id_col).alias("id"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("n")), "payloads")
+    hashed = stash(pages.select(F.col(id_col).alias("id"), F.unhex(F.sha1(html)).alias("sha1"), F.octet_length(html).alias("n")), "payloads")
     first = stash(hashed.filter(F.col("n") >= min_revisit_bytes).groupBy("sha1").agg(F.min("id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("sha1", "first"), "first-payloads")
-    return hashed.join(first, "sha1", "left").filter("id <> first").select("id", "sha1", F.col("first").alias("response_id")).distinct()
+    return hashed.join(first, "sha1").filter("id <> first").select("id", "sha1", F.col("first").alias("response_id")).distinct()
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
     """Write every row as a record, and return the manifest (path, bytes, records) of the archives.
 
-    Null html is an empty payload; a null url leaves the record without a target; a row with a null id is a response.
-    Rows that repeat an id each get a record; repeats of a response are responses.
+    Rows learn of revisits by a join with those rows' ids and hashes. They are written down first, so Spark knows their
+    size: below its limit they are broadcast and pages are written where they stand, beyond it pages are shuffled.
     """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
-    revisits = assign_records(pages, id_col, html_col, min_revisit_bytes)
-    rows = pages.select(pages[id_col].cast("bigint").alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"), F.sha1(F.coalesce(pages[html_col], F.lit(""))).alias("sha1")).join(revisits, ["id", "sha1"], "left")
+    revisits = stash(assign_records(pages, id_col, html_col, min_revisit_bytes), "revisits")
+    rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"), F.unhex(F.sha1(F.coalesce(pages[html_col], F.lit("")))).alias("sha1"))
+    rows = rows.join(revisits, ["id", "sha1"], "left").select(F.col("id").cast("string"), "url", "html", F.col("response_id").cast("string"))
 
     def write(batches):
         fs, root = _filesystem(folder)
@@ -177,14 +187,14 @@ def _member(read, size: int, at: int, first: bytes) -> tuple[bytes | None, int]:
         return None, 0
 
 
-def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
-    """All records of the manifest's archives, by byte ranges. An empty manifest gives an empty result."""
+def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, payloads: bool = True, id_type: str = "bigint") -> DataFrame:
+    """All records of the manifest's archives, by byte ranges; ids are cast to ``id_type``."""
     spark = manifest.sparkSession
     ranges = manifest.filter("bytes > 0").select(
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint"))).alias("start")
     )
     dealt = ranges.repartition(shuffle_partitions(spark), "path", "start")
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+    fields = [("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
     if payloads:
         fields.append(("payload", pa.binary()))
     schema = pa.schema(fields)
@@ -205,4 +215,5 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYT
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema)
 
-    return dealt.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string" + ", payload binary" * payloads)
+    read = dealt.mapInArrow(run, "page_id string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string" + ", payload binary" * payloads)
+    return read.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
