@@ -1,8 +1,10 @@
 """Cases that the test tables lack: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -27,8 +29,6 @@ def words(seed, n, vocabulary=400):
 
 
 def test_scratch_tables_go_and_kept_ones_stay(spark):
-    import os
-
     at = lambda df: [f.removeprefix("file:").replace("//", "/") for f in df.inputFiles()][0]
     with common.scratch(spark) as keep:
         gone = common.stash(spark.range(3), "a")
@@ -323,6 +323,92 @@ def test_blocks_of_messy_markup():
     assert html_text.blocks_of("a&nbsp;\n b<!-- c --><hr>d") == [(False, "a b"), (False, "d")]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<section class="no-sidebar"><article><p>a</p></article></section>', "a"),
+        ('<main class="no-comments"><p>a</p></main>', "a"),
+        ('<article><h2 class="section-header">h</h2><p class="related-work">a</p></article>', "h|a"),
+        ('<div class="sidebar-wrapper"><article><p>a</p></article></div>', "a"),  # the page has no other article
+        ('<article><p>a</p></article><div class="related-posts"><article><p>card</p></article></div>', "a"),
+        ('<article><header><h1>t</h1></header><p>a</p><footer>f</footer></article><header>site</header>', "t|a"),
+        ('<article><p>a</p><div id="comments"><article class="comment"><p>c</p></article></div></article>', "a"),
+        ('<div class="cookieBanner">c</div><div id="ad-12">x</div><main><p>a<span class="ad">x</span> b</p></main>', "a b"),
+        ('<aside><article><p>card</p></article></aside><article><p class="ad">x<p>a</article>', "a"),
+        ('<article><ul><li class="share">s<li>a<li>b</ul></article><div hidden><article>no</article></div>', "a|b"),
+        ('<main><div class="headline banner-image">a</div><div class="site-header__inner">x</div></main>', "a"),
+    ],
+)
+def test_markup_excludes_what_it_names_and_no_more(page, want):
+    assert "|".join(t for inside, t in html_text.blocks_of(page) if inside) == want
+
+
+def test_unclosed_paragraphs_stay_flat():
+    page = "<article>" + "<p><b>x" * 20_000 + "</b></article>"
+    assert len(html_text.blocks_of(page)) == 20_000
+
+
+def test_differencing_against_brute_force(spark):
+    """Unmarked pages of hosts with templates, copies, near copies and shared lines; paths tell different pages apart."""
+    r, rows = random.Random(9), []
+    for host in ("a.org", "b.org", "c.org"):
+        menu, foot = [[f"{host} {part} {k}" for k in range(3)] for part in ("menu", "foot")]
+        for k in range(40):
+            own = [f"{host} {k} {x} " + "w" * r.randrange(1, 30) for x in range(r.randrange(1, 6))]
+            if r.random() < 0.3:
+                own.insert(r.randrange(len(own) + 1), f"{host} quoted {r.randrange(3)}")
+            lines = r.sample(menu, r.randrange(4)) + own + foot[: r.randrange(4)]
+            path = f"/{r.choice('xyz')}/{k:02d}"
+            rows.append((f"http://{host}{path}", lines))
+            if r.random() < 0.4:
+                rows += [(f"http://{host}{path}?copy={c}", lines) for c in range(r.randrange(1, 4))]
+            if r.random() < 0.3:
+                rows.append((f"http://{host}{path}a", [*lines, "w" * 3]))
+    html = "".join
+    df = spark.createDataFrame([(k, u, html(f"<p>{x}</p>" for x in ls)) for k, (u, ls) in enumerate(rows)], "page_id long, url string, html string").repartition(7)
+    got = {x["page_id"]: x["text"] for x in html_text.extract_text(df).collect()}
+
+    def common(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in ((i, j) for i in range(len(a) - 1, -1, -1) for j in range(len(b) - 1, -1, -1)):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    def near(a, b):
+        n = lambda ls: sum(map(len, ls))
+        return n((Counter(a) & Counter(b)).elements()) > 0.8 * max(n(a), n(b))
+
+    changed = 0
+    for host in {u.split("/")[2] for u, _ in rows}:
+        least = {}
+        for u, ls in rows:
+            if u.split("/")[2] == host:
+                path = u.split("?")[0].partition(host)[2]
+                least[tuple(ls)] = min(path, least.get(tuple(ls), path))
+        order = sorted((p, ls) for ls, p in least.items())
+        runs = [[order[0]]]
+        for x, y in zip(order, order[1:], strict=False):
+            if near(y[1], x[1]):
+                runs[-1].append(y)
+            else:
+                runs.append([y])
+        for n, run in enumerate(runs):
+            others = [g[-1] for g in runs[max(n - 1, 0) : n]] + [g[0] for g in runs[n + 1 : n + 2]]
+            for path, ls in run:
+                want = len(ls)
+                for _, other in sorted(others, key=lambda o: -len(os.path.commonprefix([path, o[0]]))):
+                    if not near(ls, other) and common(ls, other) < len(ls):
+                        want = len(ls) - common(ls, other)
+                        break
+                for k, (u, other) in enumerate(rows):
+                    if u.split("/")[2] == host and tuple(other) == ls:
+                        kept = got[k].split("\n\n")
+                        rest = iter(ls)
+                        assert len(kept) == want and all(x.strip() in (y.strip() for y in rest) for x in kept)
+                        changed += want < len(ls)
+    assert changed > 100
+
+
 def test_longest_common_lines():
     r = random.Random(2)
     for _ in range(200):
