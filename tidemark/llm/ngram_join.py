@@ -34,7 +34,7 @@ from tidemark.llm.common import release_memory, stash
 
 NGRAM, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9999
 #: Texts, and bytes of their sets, in one block of a bucket (one text may be larger).
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+BLOCK, BLOCK_BYTES = 384, 4 << 20
 #: N-grams hashed at a time, and pairs that are intersected one by one.
 CHUNK, FEW = 1 << 20, 64
 #: Bytes of text hashed at a time (one text may be longer).
