@@ -92,6 +92,11 @@ def bootstrap(values: DataFrame, group: str, order: str, value: str, **options)
     return picked.groupBy("g").applyInPandas(interval, f"g {kind}, estimate double, low double, high double").withColumnRenamed("g", group)
 
 
+def win_rate_interval(deltas: DataFrame, group: str, order: str, delta: str = "delta", **options) -> DataFrame:
+    """(group, estimate, low, high): the same interval of the share of wins."""
+    return bootstrap(deltas.withColumn("__won", F.when(F.col(delta) > 0, 1.0).otherwise(0.0)), group, order, "__won", **options)
+
+
 def percentiles(values: DataFrame, value: str, qs: list[float], by: list[str]) -> DataFrame:
     """Exact percentiles with linear interpolation."""
     return values.groupBy(*by).agg(*[F.round(F.percentile(F.col(value), F.lit(q)), 4).alias(f"p{round(q * 100)}") for q in qs])

@@ -111,9 +111,13 @@ def pack(ranked: Column, top_k: int = 5, budget: int = 600) -> Column:
 
 
 def knapsack(items: DataFrame, budget: int, exact_budget: int = 5000, exact_items: int = 200) -> DataFrame:
-    """(query, id) chosen to maximise value within the budget: an exact program for small problems, else by value density."""
+    """(query, id) chosen to maximise value within the budget: an exact program for small problems, else by value density.
+
+    Items are tried by value, then id; of equal totals the first found stays.
+    """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["value", "id"], ascending=[False, True])
         rows = [(i, float(v), max(1, int(t))) for i, v, t in zip(pdf["id"], pdf["value"], pdf["tokens"], strict=True) if t >= 0]
         if budget <= 0:
             rows = []

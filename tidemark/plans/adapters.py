@@ -36,23 +36,29 @@ def edge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversations`` as spans: assistants are tools, and some users say what is worth remembering."""
-    lead = F.when((F.col("conv_id") + F.col("turn")) % 6 == 0, "I prefer ").when((F.col("conv_id") + F.col("turn")) % 6 == 2, "We always ").when((F.col("conv_id") + F.col("turn")) % 6 == 4, "Actually use ").otherwise("")
-    line = F.substring_index("text", "\n", 1)
+def spans(spark: SparkSession, sf_dir: str, planted: bool = False) -> DataFrame:
+    """``conversations`` as spans: assistants are tools, and some users say what is worth remembering.
+
+    With ``planted`` every fourth conversation says one of a few short things instead of its texts: equal claims.
+    """
+    kind = (F.col("conv_id") + F.col("turn")) % 6
+    lead = F.when(kind == 0, "I prefer ").when(kind == 2, "We always ").when(kind == 4, "Actually use ").otherwise("")
+    said = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("short notes "), F.floor(F.col("conv_id") / 8).cast("string"))).otherwise(F.col("text")) if planted else F.col("text")
     return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("string").alias("trace_id"), F.col("turn").cast("int").alias("pos"), F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("kind"), F.concat(lead, line).alias("input"),
+        F.col("conv_id").cast("string").alias("trace_id"), F.col("turn").cast("int").alias("pos"), F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("kind"), F.concat(lead, said).alias("input"),
         F.when(F.col("role") == "assistant", F.concat(F.lit("app.step_"), F.col("turn") % 3)).alias("tool_name"), F.length("text").alias("chars"),
     )
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversations`` as memory items of a few subjects; odd ones deny."""
+    """``conversations`` as memory items, ten conversations a subject; every third states a release plan, odd ones deny."""
     number = F.col("conv_id") * 1000 + F.col("turn")
-    claim = F.concat(F.when(F.col("turn") % 2 == 1, "do not ").otherwise(""), F.array_join(F.slice(F.split(F.substring_index("text", "\n", 1), " "), 1, 4), " "), F.lit(" release plan by monday"))
+    plan = F.concat(F.lit("ship the release plan "), F.col("conv_id") % 7, F.lit(" by monday"))
+    claim = F.concat(F.when(F.col("turn") % 2 == 1, "do not ").otherwise(""), F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, plan).otherwise(F.col("text")))
+    subject = F.concat(F.lit("Subject "), F.floor(F.col("conv_id") / 10).cast("string"))
     return table(spark, sf_dir, "conversations").select(
         number.alias("n"), F.concat(F.lit("mem_"), F.lpad(number.cast("string"), 9, "0")).alias("memory_id"), F.when(F.col("role") == "user", "procedural").otherwise("semantic").alias("type"),
-        F.when(F.col("role") == "user", "user").when(F.col("role") == "assistant", "team").otherwise("project").alias("namespace"), F.concat(F.lit("Subject "), F.col("conv_id") % 10).alias("subject"), claim.alias("claim"), F.col("text").alias("text"),
+        F.when(F.col("role") == "user", "user").when(F.col("role") == "assistant", "team").otherwise("project").alias("namespace"), subject.alias("subject"), claim.alias("claim"), F.col("text").alias("text"),
         (0.5 + (number % 50) / 100).alias("confidence"), F.when(F.col("role") == "user", "personal").otherwise("team").alias("acl"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(days=(number % 365).cast("int"))).alias("created_at"), (number % 5 != 0).alias("active"),
     )
 

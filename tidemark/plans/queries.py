@@ -177,7 +177,7 @@ def blob_put(spark, d):
 @query
 def blob_get(spark, d):
     docs = table(spark, d, "documents")
-    refs = docs.filter("doc_id % 7 = 0").select("doc_id", ids.blob_uri(ids.sha256_hex(F.col("text"))).alias("uri"))
+    refs = docs.select("doc_id", ids.blob_uri(ids.sha256_hex(F.col("text"))).alias("uri"))
     return log.get_blobs(refs, "uri", log.blobs(docs, "text")).select("doc_id", F.length("body").alias("n_chars"))
 
 
@@ -189,8 +189,7 @@ def blob_verify(spark, d):
 
 @query
 def content_hashes(spark, d):
-    line = F.substring_index("text", "\n", 1)
-    return table(spark, d, "benchmark").select("item_id", ids.content_hash(line).alias("hash"), ids.new_id("doc", name=line, lang=F.lit("en")).alias("id"))
+    return table(spark, d, "benchmark").select("item_id", ids.content_hash(F.col("text")).alias("hash"), ids.new_id("doc", name=F.col("text"), lang=F.lit("en")).alias("id"))
 
 
 # -- traces -----------------------------------------------------------------------------------------------------------
@@ -331,8 +330,7 @@ def extract_norm_lines(spark, d):
 
 
 def _candidates(spark, d):
-    said = spans(spark, d).withColumn("input", F.array_join(F.slice(F.split("input", " "), 1, 3), " "))
-    return memory.from_runs(said)
+    return memory.from_runs(spans(spark, d, planted=True))
 
 
 @query
@@ -478,14 +476,14 @@ def hybrid_rerank(spark, d):
 @query
 def budget_pack(spark, d):
     ranked = retrieve.top(_reranked(spark, d), ["query"], "score", "doc", 20).withColumn("cost", scoring.token_cost(F.col("claim")))
-    packed = ranked.groupBy("query").agg(retrieve.pack(F.collect_list(F.struct("rank", "doc", "cost")), 5, 60).alias("p"))
+    packed = ranked.groupBy("query").agg(retrieve.pack(F.collect_list(F.struct("rank", "doc", "cost")), 5, 600).alias("p"))
     return packed.select("query", F.col("p.used").alias("used"), F.array_join("p.docs", ",").alias("docs"))
 
 
 @query
 def budget_knapsack(spark, d):
     ranked = retrieve.top(_reranked(spark, d), ["query"], "score", "doc", 20)
-    chosen = retrieve.knapsack(ranked.select("query", F.col("doc").alias("id"), F.col("score").alias("value"), scoring.token_cost(F.col("claim")).alias("tokens")), 60)
+    chosen = retrieve.knapsack(ranked.select("query", F.col("doc").alias("id"), F.col("score").alias("value"), scoring.token_cost(F.col("claim")).alias("tokens")), 600)
     return chosen.select("query", "id")
 
 
@@ -508,7 +506,7 @@ def graph_two_hop(spark, d):
 @query
 def retrieval_quality(spark, d):
     expected = F.filter(F.split("text", " "), lambda w: F.length(w) > 6)
-    r = scoring.retrieval_scores(F.split("text", r"\n"), F.slice(expected, 1, 5))
+    r = scoring.retrieval_scores(F.split("text", r"\n"), expected)
     return table(spark, d, "benchmark").select("item_id", r["precision"].alias("precision"), r["recall"].alias("recall"), scoring.f1(r["precision"], r["recall"]).alias("f1"))
 
 
@@ -548,6 +546,11 @@ def bootstrap_ci(spark, d):
     return evals.bootstrap(_paired(spark, d).withColumn("g", F.lit("all")), "g", "task_id", "delta")
 
 
+@query
+def win_rate_ci(spark, d):
+    return evals.win_rate_interval(_paired(spark, d).withColumn("g", F.lit("all")), "g", "task_id", "delta")
+
+
 @query
 def wilcoxon(spark, d):
     return evals.wilcoxon(_paired(spark, d))

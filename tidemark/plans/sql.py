@@ -15,15 +15,21 @@ EV = """ev AS (
 ED = """ed AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS entity_id, CAST(l_partkey AS VARCHAR) AS edge_target, l_returnflag <> 'R' AS up, l_shipdate AS valid_at, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
 live AS (SELECT entity_id, edge_target, arg_max(up, ROW(valid_at, seq)) AS live FROM ed GROUP BY ALL)"""
-SP = """sp AS (
+
+
+def _sp(said: str = "text") -> str:
+    return f"""sp AS (
   SELECT CAST(conv_id AS VARCHAR) AS trace_id, CAST(turn AS INTEGER) AS pos, CASE role WHEN 'assistant' THEN 'tool' ELSE role END AS kind,
-         CASE (conv_id + turn) % 6 WHEN 0 THEN 'I prefer ' WHEN 2 THEN 'We always ' WHEN 4 THEN 'Actually use ' ELSE '' END || split_part(text, chr(10), 1) AS input,
+         CASE (conv_id + turn) % 6 WHEN 0 THEN 'I prefer ' WHEN 2 THEN 'We always ' WHEN 4 THEN 'Actually use ' ELSE '' END || {said} AS input,
          CASE WHEN role = 'assistant' THEN 'app.step_' || (turn % 3) END AS tool_name, length(text) AS chars
   FROM conversations)"""
+
+
+SP, PLANTED = _sp(), _sp("CASE WHEN conv_id % 4 = 0 THEN 'short notes ' || (conv_id // 8) ELSE text END")
 IT = """it AS (
   SELECT conv_id * 1000 + turn AS n, 'mem_' || lpad(CAST(conv_id * 1000 + turn AS VARCHAR), 9, '0') AS memory_id, CASE role WHEN 'user' THEN 'procedural' ELSE 'semantic' END AS type,
-         CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'team' ELSE 'project' END AS namespace, 'Subject ' || (conv_id % 10) AS subject,
-         CASE WHEN turn % 2 = 1 THEN 'do not ' ELSE '' END || array_to_string(string_split(split_part(text, chr(10), 1), ' ')[1:4], ' ') || ' release plan by monday' AS claim, text,
+         CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'team' ELSE 'project' END AS namespace, 'Subject ' || (conv_id // 10) AS subject,
+         CASE WHEN turn % 2 = 1 THEN 'do not ' ELSE '' END || CASE WHEN (conv_id + turn) % 3 = 0 THEN 'ship the release plan ' || (conv_id % 7) || ' by monday' ELSE text END AS claim, text,
          0.5::DOUBLE + ((conv_id * 1000 + turn) % 50)::DOUBLE / 100 AS confidence, CASE role WHEN 'user' THEN 'personal' ELSE 'team' END AS acl,
          TIMESTAMP '2024-01-01' + ((conv_id * 1000 + turn) % 365) * INTERVAL 1 DAY AS created_at, (conv_id * 1000 + turn) % 5 <> 0 AS active
   FROM conversations)"""
@@ -121,12 +127,20 @@ def _redact(upto: int, text: str = "text") -> str:
     return text
 
 
-TOOLED = f"WITH {SP}, m AS (SELECT *, coalesce(bool_or(kind = 'tool') OVER (PARTITION BY trace_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS prior FROM sp)"
-CLASSED = TOOLED + f""",
+
+
+def _tooled(spans: str) -> str:
+    return f"WITH {spans}, m AS (SELECT *, coalesce(bool_or(kind = 'tool') OVER (PARTITION BY trace_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS prior FROM sp)"
+
+
+def _classed(spans: str) -> str:
+    return _tooled(spans) + f""",
 c AS (SELECT *, trim(input) AS said, CASE WHEN regexp_matches(trim(input), '{CORR}') AND prior THEN 'correction' WHEN regexp_matches(trim(input), '{NORMS}') THEN 'norm' WHEN regexp_matches(trim(input), '{PREF}') THEN 'preference' END AS cls FROM m WHERE kind = 'user'),
 st AS (SELECT trace_id AS ref, CAST(pos AS BIGINT) AS ord, CASE cls WHEN 'correction' THEN 'correction' ELSE 'explicit' END AS source, CASE cls WHEN 'correction' THEN 'procedural' ELSE 'semantic' END AS kind, CASE cls WHEN 'norm' THEN 'team' ELSE 'user' END AS namespace,
   CASE cls WHEN 'correction' THEN 0.6 WHEN 'norm' THEN 0.55 ELSE 0.7 END::DOUBLE AS hint, said FROM c WHERE cls IS NOT NULL)"""
-SHORT = CLASSED.replace("FROM conversations)", "FROM conversations), sp0 AS (SELECT 1)", 1).replace("AS prior FROM sp)", "AS prior FROM (SELECT * REPLACE (array_to_string(string_split(input, ' ')[1:3], ' ') AS input) FROM sp))", 1)
+
+
+TOOLED, CLASSED, SHORT = _tooled(SP), _classed(SP), _classed(PLANTED)
 AXES = "ax AS (SELECT doc_id, quality::DOUBLE AS o, 1.0 - toxic::DOUBLE AS v, (doc_id % 11)::DOUBLE / 10 AS r, (doc_id % 5)::DOUBLE / 4 AS p FROM labels)"
 PAIRED = f"WITH {AXES}, s AS (SELECT doc_id // 2 AS task_id, doc_id % 2 AS treated, round((o * 0.4 + v * 0.2) / (0.4::DOUBLE + 0.2::DOUBLE), 4) AS score FROM ax), pd AS (SELECT task_id, max(score) FILTER (treated = 0) AS base, max(score) FILTER (treated = 1) AS treated, round(max(score) FILTER (treated = 1) - max(score) FILTER (treated = 0), 4) AS delta FROM s GROUP BY task_id)"
 THEME = r"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower({t}), '[a-z]+'), lambda w: len(w) > 3 AND w NOT IN ('the','a','an','to','i','my','in','on','and','is','of','please','that'))))[1:3], ' ')"
@@ -158,9 +172,9 @@ ORACLE_SQL: dict[str, str] = {
     "snapshot_diff": f"WITH {EV}, a AS ({versions("valid_at <= TIMESTAMP '2024-01-05' AND ingested_at <= TIMESTAMP '2024-01-06'")}), b AS ({versions(SEEN)}), j AS (SELECT coalesce(x.entity_id, y.entity_id) AS entity_id, x.version_hash AS o, y.version_hash AS n FROM (FROM a WHERE NOT deleted) x FULL JOIN (FROM b WHERE NOT deleted) y ON x.entity_id = y.entity_id) SELECT entity_id, CASE WHEN o IS NULL THEN 'created' WHEN n IS NULL THEN 'deleted' ELSE 'updated' END AS change FROM j WHERE o IS DISTINCT FROM n",
     "blob_dedup": "SELECT DISTINCT sha256(text) AS hash, substr(sha256(text), 1, 2) AS prefix2, CAST(strlen(text) AS INTEGER) AS size FROM documents",
     "blob_put": "SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
-    "blob_get": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents WHERE doc_id % 7 = 0",
+    "blob_get": "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars FROM documents",
     "blob_verify": "SELECT DISTINCT sha256(text) AS hash FROM documents WHERE substr(sha256(text), 1, 2) < '10'",
-    "content_hashes": """WITH b AS (SELECT item_id, '"' || replace(replace(split_part(text, chr(10), 1), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' AS q FROM benchmark) SELECT item_id, sha256(q) AS hash, 'doc_' || substr(sha256('{"lang":"en","name":' || q || '}'), 1, 16) AS id FROM b""",
+    "content_hashes": """WITH b AS (SELECT item_id, CAST(to_json(text) AS VARCHAR) AS q FROM benchmark) SELECT item_id, sha256(q) AS hash, 'doc_' || substr(sha256('{"lang":"en","name":' || q || '}'), 1, 16) AS id FROM b""",
     "richest_run": "SELECT conv_id AS trace_id, CASE WHEN conv_id % 2 = 0 THEN 'hook' ELSE 'transcript' END AS source, count(*) AS n_spans FROM conversations GROUP BY conv_id",
     "span_touch_join": "SELECT l_orderkey AS trace_id, l_linenumber AS span_id, s.l_quantity FROM lineitem s JOIN lineitem r USING (l_orderkey, l_linenumber) WHERE r.l_partkey = 100",
     "tool_pairing": "SELECT u.conv_id, u.turn, CAST(length(a.text) AS INTEGER) AS reply_chars FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'",
@@ -204,12 +218,12 @@ SELECT kind AS type, namespace, CASE namespace WHEN 'user' THEN 'user' ELSE 'tea
     "budget_pack": RERANKED.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 c AS (SELECT query, rank, doc, greatest(1, length(claim) // 4) AS cost FROM rk WHERE rank < 20),
 w AS (SELECT query, -1::BIGINT AS rank, 0::BIGINT AS used, []::BIGINT[] AS docs FROM (SELECT DISTINCT query FROM c)
-  UNION ALL SELECT w.query, c.rank, CASE WHEN len(docs) < 5 AND (used + cost <= 60 OR len(docs) = 0) THEN used + cost ELSE used END, CASE WHEN len(docs) < 5 AND (used + cost <= 60 OR len(docs) = 0) THEN list_append(docs, doc) ELSE docs END
+  UNION ALL SELECT w.query, c.rank, CASE WHEN len(docs) < 5 AND (used + cost <= 600 OR len(docs) = 0) THEN used + cost ELSE used END, CASE WHEN len(docs) < 5 AND (used + cost <= 600 OR len(docs) = 0) THEN list_append(docs, doc) ELSE docs END
   FROM w JOIN c ON c.query = w.query AND c.rank = w.rank + 1)
 SELECT query, CAST(arg_max(used, rank) AS INTEGER) AS used, array_to_string(arg_max(docs, rank), ',') AS docs FROM w GROUP BY query""",
     "graph_one_hop": f"WITH {IT}, {RELATION} SELECT memory_id AS doc, round(0.01::DOUBLE + 0.5::DOUBLE / 60 * (SELECT count(*) FROM eg WHERE dst_id = memory_id AND relation IN ('supports', 'derived_from')), 6) AS fused FROM it",
     "graph_two_hop": "WITH e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier), s AS (SELECT * FROM e WHERE src IN ('s1', 's2', 's3')), h AS (SELECT src, src AS dst, 0 AS h FROM s UNION ALL SELECT src, dst, 1 FROM s UNION ALL SELECT s.src, e.src, 2 FROM s JOIN e USING (dst)) SELECT src, dst, round(1.0::DOUBLE / (min(h) + 1), 4) AS proximity FROM h GROUP BY ALL",
-    "retrieval_quality": "WITH b AS (SELECT item_id, list_transform(string_split(text, chr(10)), lambda x: lower(x)) AS c, list_transform(list_filter(string_split(text, ' '), lambda w: length(w) > 6)[1:5], lambda x: lower(x)) AS s FROM benchmark), n AS (SELECT item_id, len(s) AS ns, len(c) AS nc, len(list_filter(c, lambda x: len(list_filter(s, lambda y: contains(x, y))) > 0)) AS rel, len(list_filter(s, lambda y: len(list_filter(c, lambda x: contains(x, y))) > 0)) AS cov FROM b), q AS (SELECT item_id, CASE WHEN ns = 0 THEN 1.0 ELSE round(least(1.0, rel::DOUBLE / least(ns, nc)), 4) END AS precision, CASE WHEN ns = 0 THEN 1.0 ELSE round(cov::DOUBLE / ns, 4) END AS recall FROM n) SELECT item_id, precision::DOUBLE AS precision, recall::DOUBLE AS recall, CASE WHEN precision + recall = 0 THEN 0.0 ELSE round(2 * precision * recall / (precision + recall), 4) END::DOUBLE AS f1 FROM q",
+    "retrieval_quality": "WITH b AS (SELECT item_id, list_transform(string_split(text, chr(10)), lambda x: lower(x)) AS c, list_transform(list_filter(string_split(text, ' '), lambda w: length(w) > 6), lambda x: lower(x)) AS s FROM benchmark), n AS (SELECT item_id, len(s) AS ns, len(c) AS nc, len(list_filter(c, lambda x: len(list_filter(s, lambda y: contains(x, y))) > 0)) AS rel, len(list_filter(s, lambda y: len(list_filter(c, lambda x: contains(x, y))) > 0)) AS cov FROM b), q AS (SELECT item_id, CASE WHEN ns = 0 THEN 1.0 ELSE round(least(1.0, rel::DOUBLE / least(ns, nc)), 4) END AS precision, CASE WHEN ns = 0 THEN 1.0 ELSE round(cov::DOUBLE / ns, 4) END AS recall FROM n) SELECT item_id, precision::DOUBLE AS precision, recall::DOUBLE AS recall, CASE WHEN precision + recall = 0 THEN 0.0 ELSE round(2 * precision * recall / (precision + recall), 4) END::DOUBLE AS f1 FROM q",
     "rubric_scores": f"WITH {AXES} SELECT doc_id, round(0.4::DOUBLE * o + 0.2::DOUBLE * r + 0.2::DOUBLE * p + 0.2::DOUBLE * v, 4) AS total, round((o * 0.4::DOUBLE + v * 0.2::DOUBLE) / (0.4::DOUBLE + 0.2::DOUBLE), 4) AS outcome_score, o >= 0.999 AND v >= 0.999 AS success FROM ax",
     "paired_delta": PAIRED + " SELECT * FROM pd WHERE delta IS NOT NULL",
     "win_rate": PAIRED + " SELECT round(avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0.0 END), 4) AS win_rate, round(avg(delta), 4) AS mean_delta, count(*) AS n FROM pd WHERE delta IS NOT NULL",
@@ -224,6 +238,55 @@ UNION ALL SELECT DISTINCT 'durable_statement', substr(said, 1, 80), 1 FROM st WH
     "fault_injection": f"WITH {EV}, c AS (SELECT entity_id AS run_id, seq AS pos, event_type AS tool, row_number() OVER (PARTITION BY entity_id, event_type ORDER BY seq) AS t, row_number() OVER (PARTITION BY entity_id ORDER BY seq) AS a FROM ev), f AS (SELECT run_id, pos, tool, CASE WHEN tool = 'click' AND t = 2 THEN 'rate_limit' WHEN a = 3 THEN 'empty' WHEN tool = 'view' AND t = 1 THEN 'stale' END AS fault FROM c) SELECT * FROM f WHERE fault IS NOT NULL",
 }
 
+# The sweep of each subject, an item a step in its rank: of the later items that contradict it and are still there, it
+# takes out those before the first that beats it, which takes out the item itself.
+TOPICS = f"t AS (SELECT memory_id, namespace, subject, regexp_matches(claim, '{NEG}') AS neg, list_distinct(list_filter(regexp_extract_all(lower(claim), '[a-z0-9]+'), lambda w: w NOT IN ('not','never','no','longer','avoid','don','do','stop','t','the','a','to','is','and'))) AS t FROM it)"
+ORACLE_SQL["resolve_active"] = f"""WITH RECURSIVE {IT}, {TOPICS},
+p AS (SELECT a.memory_id AS a, b.memory_id AS b FROM t a JOIN t b ON a.namespace = b.namespace AND a.subject = b.subject AND a.memory_id < b.memory_id AND a.neg <> b.neg
+      WHERE len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.5),
+e AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p),
+f AS (SELECT memory_id, namespace, subject, confidence AS c, created_at AS w, CASE acl WHEN 'personal' THEN 3 WHEN 'project' THEN 2 WHEN 'team' THEN 1 ELSE 0 END AS r FROM it WHERE memory_id IN (SELECT x FROM e)),
+o AS (SELECT *, row_number() OVER (PARTITION BY namespace, subject ORDER BY c DESC, w, memory_id) AS k FROM f),
+h AS (SELECT x.memory_id, list(y.memory_id ORDER BY y.k) AS ids, list(ROW(y.c, y.w, y.r) > ROW(x.c, x.w, x.r) ORDER BY y.k) AS beats FROM o x JOIN e ON e.x = x.memory_id JOIN o y ON y.memory_id = e.y AND y.k > x.k GROUP BY x.memory_id),
+z AS (SELECT o.namespace, o.subject, o.k, o.memory_id, coalesce(ids, []) AS ids, coalesce(beats, []) AS beats FROM o LEFT JOIN h USING (memory_id)),
+s(namespace, subject, k, gone) AS (
+  SELECT DISTINCT namespace, subject, 0::BIGINT, []::VARCHAR[] FROM o
+  UNION ALL
+  SELECT namespace, subject, k + 1, CASE WHEN list_contains(gone, memory_id) THEN gone WHEN first > 0 THEN list_append(list_concat(gone, live[1:first - 1]), memory_id) ELSE list_concat(gone, live) END
+  FROM (SELECT s.namespace, s.subject, s.k, gone, memory_id, list_filter(ids, lambda i: NOT list_contains(gone, i)) AS live,
+               coalesce(list_position(list_transform(list_filter(ids, lambda i: NOT list_contains(gone, i)), lambda i: beats[list_position(ids, i)]), true), 0) AS first
+        FROM s JOIN z ON z.namespace = s.namespace AND z.subject = s.subject AND z.k = s.k + 1)),
+g AS (SELECT unnest(arg_max(gone, k)) AS memory_id FROM s GROUP BY namespace, subject)
+SELECT memory_id, memory_id NOT IN (SELECT memory_id FROM g) AS active FROM it"""
+
+# The exact program, an item a step: best value and items of each budget.
+ORACLE_SQL["budget_knapsack"] = RERANKED.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+c AS (SELECT query, doc, score, greatest(1, length(claim) // 4) AS cost, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS k FROM rk WHERE rank < 20),
+w(query, k, best, pick) AS (
+  SELECT query, 0::BIGINT, list_transform(range(601), lambda x: 0.0::DOUBLE), list_transform(range(601), lambda x: []::BIGINT[]) FROM (SELECT DISTINCT query FROM c)
+  UNION ALL
+  SELECT w.query, w.k + 1, list_transform(range(601), lambda x: CASE WHEN x >= cost AND best[x - cost + 1] + score > best[x + 1] THEN best[x - cost + 1] + score ELSE best[x + 1] END),
+         list_transform(range(601), lambda x: CASE WHEN x >= cost AND best[x - cost + 1] + score > best[x + 1] THEN list_append(pick[x - cost + 1], doc) ELSE pick[x + 1] END)
+  FROM w JOIN c ON c.query = w.query AND c.k = w.k + 1)
+SELECT query, unnest(arg_max(pick[601], k)) AS id FROM w GROUP BY query"""
+
+
+def _interval(value: str) -> str:
+    """The generator's states by doubling: the step is composed with itself, so 2000 resamples take some twenty rounds."""
+    return PAIRED.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+m AS (SELECT list({value} ORDER BY task_id) AS v, count(*) AS n FROM pd WHERE delta IS NOT NULL),
+g(k, s, a, c) AS (
+  SELECT 0, [(1103515245::BIGINT * 12345 + 12345) & 2147483647], 1103515245::BIGINT, 12345::BIGINT
+  UNION ALL
+  SELECT k + 1, list_concat(s, list_transform(s, lambda x: (x * a + c) & 2147483647)), (a * a) & 2147483647, (a * c + c) & 2147483647 FROM g, m WHERE len(s) < 2000 * n),
+d AS (SELECT unnest(s) AS x, generate_subscripts(s, 1) - 1 AS i FROM (SELECT s FROM g ORDER BY k DESC LIMIT 1)),
+r AS (SELECT sum(v[(x % n) + 1]) / any_value(n) AS mean FROM d, m WHERE i < 2000 * n GROUP BY i // n)
+SELECT 'all' AS g, round(list_avg(any_value(v)), 4) AS estimate, round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.975), 4) AS high FROM r, m"""
+
+
+ORACLE_SQL["bootstrap_ci"] = _interval("delta")
+ORACLE_SQL["win_rate_ci"] = _interval("CASE WHEN delta > 0 THEN 1.0::DOUBLE ELSE 0.0 END")
+
 # What each kind of prompt leads to, without its memory and with it, spelled out.
 ACTIONS = [
     (0, "gcal.respond_event", '{"event_id":"ev_unknown","response":"accepted"}', "gcal.respond_event", '{"event_id":"ev_unknown","response":"declined"}'),
