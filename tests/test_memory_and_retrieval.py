@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text
-from tidemark.operators import memory, retrieve
+from tidemark.operators import blocked, memory, retrieve
 
 CANDIDATES = "source string, kind string, namespace string, text string, hint double, ref string, subject string, occurrences bigint, ord bigint"
 
@@ -96,23 +96,48 @@ def test_contradictions_resolve_as_a_sweep(spark):
     assert {x["dst_id"] for x in edges.filter("relation = 'supersedes'").collect()} == gone
 
 
-def test_bm25_is_the_formula(spark):
-    docs = [(1, "red fox red"), (2, "blue fox"), (3, "green"), (4, None), (5, "")]
-    got = {(r["query"], r["doc"]): r["score"] for r in retrieve.bm25(spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame([(7, "red red fox unknown"), (8, "none here")], "q long, t string"), "id", "t", "q", "t").collect()}
+def test_bm25_is_the_formula(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, "green"), (4, None), (5, "")], "id int, t string").repartition(3)
+    queries = spark.createDataFrame([("a", "red red fox unknown"), ("b", "none here"), ("c", None)], "q string, t string")
     n, avg = 5, (3 + 2 + 1) / 5
     idf = lambda df: math.log((n - df + 0.5) / (df + 0.5) + 1)
     part = lambda tf, size: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / avg))
-    assert got == {(7, 1): pytest.approx(2 * idf(1) * part(2, 3) + idf(2) * part(1, 3)), (7, 2): pytest.approx(idf(2) * part(1, 2))}
+    want = {("a", 1, 0): pytest.approx(2 * idf(1) * part(2, 3) + idf(2) * part(1, 3), abs=1e-6), ("a", 2, 1): pytest.approx(idf(2) * part(1, 2), abs=1e-6)}
+    for block in (blocked.BLOCK_BYTES, 1):  # all queries at once, and one at a time
+        monkeypatch.setattr(blocked, "BLOCK_BYTES", block)
+        assert {(r["query"], r["doc"], r["rank"]): r["score"] for r in retrieve.lexical_top(docs, queries, "id", "t", "q", "t", 9).collect()} == want
+    assert retrieve.lexical_top(docs.limit(0), queries, "id", "t", "q", "t", 9).count() == 0 == retrieve.lexical_top(docs, queries.limit(0), "id", "t", "q", "t", 9).count()
 
 
-def test_hashed_vectors_have_unit_length_and_sparse_equals_dense(spark):
-    df = spark.createDataFrame([(1, "ship the red fox"), (2, "ship the blue fox today"), (3, "")], "id long, t string")
-    sparse = retrieve.hashed_vectors(df, "id", "t")
-    norms = sparse.groupBy("id").agg(F.sum(F.col("val") * F.col("val")).alias("n")).collect()
-    assert len(norms) == 2 and all(r["n"] == pytest.approx(1) for r in norms)
-    dense = {r["id"]: r["vec"] for r in retrieve.dense_vectors(df, "id", "t").collect()}
-    dot = sum(a * b for a, b in zip(dense[1], dense[2], strict=True))
-    assert retrieve.sparse_cosine(sparse, sparse).filter("query = 1 and doc = 2").first()["score"] == pytest.approx(dot)
+@pytest.mark.parametrize(("cells", "block"), [(1 << 22, 64 << 20), (40, 100)])
+def test_vector_search_is_brute_force(spark, monkeypatch, cells, block):
+    monkeypatch.setattr(blocked, "CELLS", cells)
+    monkeypatch.setattr(blocked, "BLOCK_BYTES", block)
+    r = random.Random(3)
+    docs = [(k, [float(r.randrange(-3, 4)) for _ in range(4)]) for k in range(60)] + [(100, None), (101, []), (102, [1.0]), (103, [0.0] * 4)]
+    queries = [(f"q{k}", docs[k * 7][1]) for k in range(6)] + [("one", [2.0]), ("null", None)]
+
+    def cosine(a, b):
+        norm = math.sqrt(sum(x * x for x in a or ())) * math.sqrt(sum(x * x for x in b or ()))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / norm, 6) + 0.0 if len(a or ()) == len(b or ()) and norm else 0.0
+
+    want = {(q, d, k) for q, v in queries for k, (_, d) in enumerate(sorted((-cosine(v, w), d) for d, w in docs)[:5])}
+    found = retrieve.vector_top(spark.createDataFrame(docs, "id long, v array<double>").repartition(4), spark.createDataFrame(queries, "q string, v array<double>"), "id", "v", "q", "v", 5).collect()
+    assert {(x["query"], x["doc"], x["rank"]) for x in found} == want
+
+
+def test_hashed_search_is_the_cosine_of_hashed_vectors(spark):
+    df = spark.createDataFrame([("a", "ship the red fox"), ("b", "ship the blue fox today"), ("c", ""), ("d", None)], "id string, t string")
+    sparse = retrieve.hashed_vectors(df, "id", "t").collect()
+    vectors = {i: {r["bucket"]: r["val"] for r in sparse if r["id"] == i} for i in "abcd"}
+    assert all(sum(x * x for x in vectors[i].values()) == pytest.approx(1) for i in "ab")
+    got = {(r["query"], r["doc"]): r["score"] for r in retrieve.hashed_top(df, df, "id", "t", "id", "t", 4).collect()}
+    assert got == {(q, d): pytest.approx(sum(x * vectors[d].get(b, 0) for b, x in vectors[q].items()), abs=1e-6) for q in "abcd" for d in "abcd"}
+
+
+def test_an_index_holds_the_last_word_on_each_document(spark):
+    changes = spark.createDataFrame([(1, "old", 1, False), (1, "new", 2, False), (2, "gone", 1, False), (2, None, 2, True), (3, "back", 3, False), (3, None, 2, True)], "id int, text string, seq int, removed boolean")
+    assert {tuple(r) for r in retrieve.current_documents(changes).collect()} == {(1, "new"), (3, "back")}
 
 
 def test_packing_skips_and_knapsack_is_exact(spark):
@@ -130,8 +155,9 @@ def test_packing_skips_and_knapsack_is_exact(spark):
 
 def test_two_hops_and_fusion(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
-    got = {r["dst"]: r["proximity"] for r in retrieve.two_hops(edges, edges.select("src").filter("src = 'a'")).collect()}
-    assert got == {"a": 1.0, "b": 0.5, "c": 0.3333}
+    start = edges.select("src").filter("src = 'a'")
+    got = [{r["dst"]: r["proximity"] for r in retrieve.proximity(edges, start, n).collect()} for n in (0, 2, 5)]
+    assert got == [{"a": 1.0}, {"a": 1.0, "b": 0.5, "c": 0.3333}, {"a": 1.0, "b": 0.5, "c": 0.3333, "d": 0.25}]
     ranks = spark.createDataFrame([(1, 7, 0), (1, 8, 1)], "query int, doc int, rank int")
     assert {r["doc"]: r["fused"] for r in retrieve.fuse([ranks, ranks.filter("doc = 8")]).collect()} == {7: pytest.approx(1 / 61), 8: pytest.approx(2 / 62)}
 

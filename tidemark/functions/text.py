@@ -131,6 +131,13 @@ def route(query: Column) -> Column:
     return F.struct(*[(w / total).alias(ns) for ns, w in raw.items()])
 
 
+def top_routes(query: Column, n: int) -> Column:
+    """The n namespaces of most weight, in the order of ROUTES where weights are equal."""
+    weights = route(query)
+    ranked = F.array_sort(F.array(*[F.struct((-weights[ns]).alias("w"), F.lit(k).alias("k"), F.lit(ns).alias("ns")) for k, ns in enumerate(ROUTES)]))
+    return F.transform(F.slice(ranked, 1, n), lambda x: x["ns"])
+
+
 def theme(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
     kept = F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(THEME_STOP))

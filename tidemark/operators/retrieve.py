@@ -1,47 +1,24 @@
-"""Retrieval for many queries at once: BM25, dense and hashed vectors, rank fusion, graph hop, rerank, packing."""
+"""Retrieval for many queries at once: rank fusion, graph hops, rerank, packing. The searches themselves are in ``blocked``."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import scoring
+from tidemark.functions import scoring, text
 from tidemark.functions.text import tokens
+from tidemark.operators.blocked import hashed_top, lexical_top, top, vector_top  # noqa: F401
+from tidemark.operators.log import as_time
+from tidemark.tables import stash
 
-K1, B = 1.5, 0.75
 RRF_K = 60
 HOP_BONUS = 0.5 / 60
 HOP_RELATIONS = ["supports", "derived_from"]
 
 
-def top(df: DataFrame, by: list[str], score: str, tie: str, k: int, rank: str = "rank") -> DataFrame:
-    """The best k of each group, ranked from 0; Spark drops the rest before the shuffle (window group limit)."""
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(tie))
-    return df.withColumn(rank, F.row_number().over(w) - 1).filter(F.col(rank) < k)
-
-
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, tf, len): the inverted index; lengths travel with it."""
-    words = docs.select(F.col(id_col).alias("doc"), tokens(F.col(text_col)).alias("t"))
-    return words.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> DataFrame:
-    """(query, doc, score) of pairs that share a term; a term counts as often as the query repeats it.
-
-    Only terms that a query holds enter the join, and a document's score is summed on the map side.
-    """
-    sizes = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("avg_len"))
-    terms = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    index = postings(docs, id_col, text_col).join(terms.select("term").distinct(), "term", "left_semi")
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighted = index.join(df, "term").crossJoin(F.broadcast(sizes)).select("term", "doc", (idf * weight).alias("w"))  # sizes: one row
-    return weighted.join(terms, "term").groupBy("query", "doc").agg(F.sum(F.col("qtf") * F.col("w")).alias("score")).filter("score > 0")
-
-
 def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int = scoring.DIM) -> DataFrame:
     """(id, bucket, val): sparse unit vectors of hashed tokens and pairs."""
     features = docs.select(F.col(id_col).alias("id"), F.explode(scoring.text_features(tokens(F.col(text_col)))).alias("f"))
@@ -50,32 +27,13 @@ def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int = scori
     return summed.join(norms, "id").select("id", "bucket", (F.col("raw") / F.col("norm")).alias("val"))
 
 
-def dense_vectors(docs: DataFrame, id_col: str, text_col: str, dim: int = scoring.DIM) -> DataFrame:
-    """(id, vec): the same vectors as arrays, built within each row; nothing is shuffled."""
-    features = scoring.text_features(tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    pairs = F.transform(features, lambda f: F.struct(scoring.bucket(f, dim).alias("b"), scoring.sign(f).alias("s")))
-    return docs.select(F.col(id_col).alias("id"), pairs.alias("p")).select(
-        "id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter("p", lambda x: x["b"] == i), F.lit(0.0), lambda a, x: a + x["s"])).alias("raw")
-    ).select("id", F.transform("raw", lambda x: x / F.nullif(F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, y: a + y * y)), F.lit(0.0))).alias("vec"))
-
-
-def sparse_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(query, doc, score) of sparse unit vectors that share a bucket."""
-    a = left.select(F.col("id").alias("query"), "bucket", F.col("val").alias("x"))
-    b = right.select(F.col("id").alias("doc"), "bucket", F.col("val").alias("y"))
-    return a.join(b, "bucket").groupBy("query", "doc").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
-
-
-def dense_search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(query, doc, score) of every vector for a stated set of query vectors (query, qvec), which is broadcast if small."""
-    return queries.join(vectors, F.lit(True)).select("query", F.col(id_col).alias("doc"), scoring.cosine(F.col("qvec"), F.col(vec_col)).alias("score"))
-
-
 def fuse(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of (query, doc, rank) lists, ranks from 0."""
-    every = rankings[0].select("query", "doc", "rank")
-    for r in rankings[1:]:
-        every = every.unionByName(r.select("query", "doc", "rank"))
+    """Reciprocal rank fusion of (query, doc, rank) lists, ranks from 0.
+
+    The lists are written down first. Spark 4.1 takes a union of lists that are dealt by query for one that still is,
+    also where it has since merged partitions of either, and would sum the ranks of a document apart.
+    """
+    every = reduce(DataFrame.unionByName, [stash(r.select("query", "doc", "rank"), "ranking") for r in rankings])
     return every.groupBy("query", "doc").agg(F.sum(1.0 / (k + F.col("rank") + 1)).alias("fused"))
 
 
@@ -89,14 +47,44 @@ def normalised(fused: DataFrame) -> DataFrame:
     return fused.withColumn("fusion", F.col("fused") / F.max("fused").over(Window.partitionBy("query")))
 
 
-def two_hops(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(src, dst, proximity): 1 at the node itself, 1/2 after one undirected hop, 1/3 after two."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).toDF("src", "dst").distinct()
-    one = start.join(both, "src").select("src", "dst")
-    two = one.join(both.toDF("dst", "far"), "dst").select("src", F.col("far").alias("dst"))
-    zero = start.select("src", F.col("src").alias("dst"))
-    hops = zero.withColumn("h", F.lit(0)).union(one.withColumn("h", F.lit(1))).union(two.withColumn("h", F.lit(2)))
-    return hops.groupBy("src", "dst").agg(F.round(1 / (F.min("h") + 1), 4).alias("proximity"))
+def proximity(edges: DataFrame, start: DataFrame, max_hops: int = 2) -> DataFrame:
+    """(src, dst, proximity): 1 at the node itself, 1 / (hops + 1) for what undirected hops reach; nothing beyond ``max_hops``."""
+    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).toDF("dst", "far").distinct()
+    seen = start.select("src", F.col("src").alias("dst")).distinct().withColumn("hops", F.lit(0))
+    reached = seen
+    for h in range(1, max_hops + 1):
+        step = reached.join(both, "dst").select("src", F.col("far").alias("dst")).distinct().join(seen.select("src", "dst"), ["src", "dst"], "left_anti")
+        reached = stash(step.withColumn("hops", F.lit(h)), "hops")
+        seen = seen.unionByName(reached)
+    return seen.select("src", "dst", F.round(1 / (F.col("hops") + 1), 4).alias("proximity"))
+
+
+def current_documents(changes: DataFrame, id_col: str = "id", text_col: str = "text", order: str = "seq", removed: str = "removed") -> DataFrame:
+    """(id, text): what an index holds after all changes: the last word on each id, unless that removes it."""
+    last = changes.groupBy(id_col).agg(F.max_by(F.struct(F.col(text_col).alias("text"), F.col(removed).alias("removed")), F.col(order)).alias("c"))
+    return last.filter(~F.col("c.removed")).select(id_col, F.col("c.text").alias(text_col))
+
+
+def retrieve(queries: DataFrame, items: DataFrame, edges: DataFrame, now, query_id: str = "query", query_text: str = "text", candidates: int = 20) -> DataFrame:
+    """(query, doc, score, claim, cost): every candidate of every query with its rerank score, rounded.
+
+    ``items``: doc, text, claim, namespace, confidence, acl, active, created_at. ``edges``: src_id, dst_id, relation of
+    docs. Candidates are the best by terms and by hashed vectors, fused by rank, and what they support one hop on.
+    """
+    asked = queries.select(F.col(query_id).alias("query"), F.col(query_text).alias("text"))
+    fused = fuse([find(items, asked, "doc", "text", "query", "text", candidates) for find in (lexical_top, hashed_top)])
+    ranked = normalised(expand(fused, edges)).join(items.drop("text"), "doc")
+    routes = text.route(F.col("text"))
+    prior = asked.select("query", F.create_map(*[x for ns in text.ROUTES for x in (F.lit(ns), routes[ns])]).alias("prior"))
+    score = scoring.rerank(F.col("fusion"), F.coalesce(F.col("prior")[F.col("namespace")], F.lit(0.0)), F.col("confidence"), scoring.freshness(F.col("created_at"), as_time(now)), F.col("active"), F.col("acl"))
+    return ranked.join(prior, "query").select("query", "doc", F.round(score, 6).alias("score"), "claim", scoring.token_cost(F.col("claim")).alias("cost"))
+
+
+def packed(found: DataFrame, top_k: int = 5, budget: int = 600, candidates: int = 20) -> DataFrame:
+    """(query, used, docs, claims) of what ``retrieve`` gives: the best that fit a budget of tokens, in their order."""
+    ranked = top(found, ["query"], "score", "doc", candidates)
+    picked = ranked.groupBy("query").agg(pack(F.collect_list(F.struct("rank", "doc", "cost")), top_k, budget).alias("p"), F.map_from_entries(F.collect_list(F.struct("doc", "claim"))).alias("m"))
+    return picked.select("query", "p.used", "p.docs", F.transform("p.docs", lambda i: F.col("m")[i]).alias("claims"))
 
 
 def pack(ranked: Column, top_k: int = 5, budget: int = 600) -> Column:

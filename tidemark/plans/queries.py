@@ -290,6 +290,11 @@ def route_prior(spark, d):
     return prompts(spark, d).select("task_id", *[F.round(r[ns], 6).alias(ns) for ns in text.ROUTES])
 
 
+@query
+def route_top(spark, d):
+    return prompts(spark, d).select("task_id", F.array_join(text.top_routes(F.col("prompt"), 2), ",").alias("namespaces"))
+
+
 @query
 def knowledge_paths(spark, d):
     return items(spark, d).select("memory_id", text.path_for(F.col("type"), F.col("namespace"), F.col("subject")).alias("path"))
@@ -413,38 +418,31 @@ def provenance_edges(spark, d):
 # -- retrieval --------------------------------------------------------------------------------------------------------
 
 
-def _lexical(spark, d, k=20):
-    found = retrieve.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
-    return retrieve.top(found.withColumn("score", F.round("score", 6)), ["query"], "score", "doc", k)
+@query
+def bm25_topk(spark, d):
+    return retrieve.lexical_top(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", 5)
 
 
 @query
-def bm25_topk(spark, d):
-    return _lexical(spark, d, 5).select("query", "doc", "score", "rank")
+def bm25_incremental(spark, d):
+    """Turns are versions of their conversation's document; one that ends with an assistant's in every fifth is removed."""
+    talk = table(spark, d, "conversations").withColumn("removed", (F.col("role") == "assistant") & (F.col("conv_id") % 5 == 0))
+    return retrieve.lexical_top(retrieve.current_documents(talk, "conv_id", "text", "turn"), table(spark, d, "benchmark"), "conv_id", "text", "item_id", "text", 3)
 
 
 @query
 def dense_topk(spark, d):
     vectors = table(spark, d, "embeddings")
-    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qvec"))
-    found = retrieve.dense_search(vectors, queries, "vec_id", "embedding").withColumn("score", F.round("score", 6))
-    return retrieve.top(found, ["query"], "score", "doc", 5).select("query", "doc", "score", "rank")
+    return retrieve.vector_top(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "embedding", "vec_id", "embedding", 5)
 
 
-def _hashed(spark, d, k=20):
-    queries = retrieve.hashed_vectors(table(spark, d, "benchmark"), "item_id", "text")
-    docs = retrieve.hashed_vectors(items(spark, d), "n", "text")
-    return retrieve.top(retrieve.sparse_cosine(queries, docs).withColumn("score", F.round("score", 6)), ["query"], "score", "doc", k)
-
-
-def _item_lexical(spark, d, k=20):
-    found = retrieve.bm25(items(spark, d), table(spark, d, "benchmark"), "n", "text", "item_id", "text")
-    return retrieve.top(found.withColumn("score", F.round("score", 6)), ["query"], "score", "doc", k)
+def _search(find, spark, d, k=20):
+    return find(items(spark, d), table(spark, d, "benchmark"), "n", "text", "item_id", "text", k)
 
 
 @query
 def hash_embed_topk(spark, d):
-    return _hashed(spark, d, 5).select("query", "doc", "score", "rank")
+    return _search(retrieve.hashed_top, spark, d, 5)
 
 
 @query
@@ -454,37 +452,30 @@ def hash_embed_buckets(spark, d):
 
 @query
 def hybrid_rrf(spark, d):
-    return retrieve.fuse([_item_lexical(spark, d), _hashed(spark, d)]).select("query", "doc", F.round("fused", 6).alias("fused"))
+    return retrieve.fuse([_search(retrieve.lexical_top, spark, d), _search(retrieve.hashed_top, spark, d)]).select("query", "doc", F.round("fused", 6).alias("fused"))
 
 
-def _reranked(spark, d):
-    fused = retrieve.fuse([_item_lexical(spark, d), _hashed(spark, d)])
-    own = items(spark, d)
-    edges = _edges(spark, d).select(F.substring("src_id", 5, 9).cast("bigint").alias("src_id"), F.substring("dst_id", 5, 9).cast("bigint").alias("dst_id"), "relation")
-    ranked = retrieve.normalised(retrieve.expand(fused, edges)).join(own.select(F.col("n").alias("doc"), "namespace", "confidence", "acl", "active", "created_at", "claim"), "doc")
-    routes = text.route(F.col("text"))
-    prior = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.create_map(*[x for ns in text.ROUTES for x in (F.lit(ns), routes[ns])]).alias("prior"))
-    score = scoring.rerank(F.col("fusion"), F.col("prior")[F.col("namespace")], F.col("confidence"), scoring.freshness(F.col("created_at"), F.lit(NOW).cast("timestamp")), F.col("active"), F.col("acl"))
-    return ranked.join(prior, "query").withColumn("score", F.round(score, 6))
+def _retrieved(spark, d):
+    number = lambda c: F.substring(c, 5, 9).cast("bigint")
+    edges = _edges(spark, d).select(number("src_id").alias("src_id"), number("dst_id").alias("dst_id"), "relation")
+    own = items(spark, d).select(F.col("n").alias("doc"), "text", "claim", "namespace", "confidence", "acl", "active", "created_at")
+    return retrieve.retrieve(table(spark, d, "benchmark"), own, edges, NOW, "item_id", "text")
 
 
 @query
 def hybrid_rerank(spark, d):
-    return retrieve.top(_reranked(spark, d), ["query"], "score", "doc", 10).select("query", "doc", "score", "rank")
+    return retrieve.top(_retrieved(spark, d), ["query"], "score", "doc", 10).select("query", "doc", "score", "rank")
 
 
 @query
 def budget_pack(spark, d):
-    ranked = retrieve.top(_reranked(spark, d), ["query"], "score", "doc", 20).withColumn("cost", scoring.token_cost(F.col("claim")))
-    packed = ranked.groupBy("query").agg(retrieve.pack(F.collect_list(F.struct("rank", "doc", "cost")), 5, 600).alias("p"))
-    return packed.select("query", F.col("p.used").alias("used"), F.array_join("p.docs", ",").alias("docs"))
+    return retrieve.packed(_retrieved(spark, d)).select("query", "used", F.array_join("docs", ",").alias("docs"))
 
 
 @query
 def budget_knapsack(spark, d):
-    ranked = retrieve.top(_reranked(spark, d), ["query"], "score", "doc", 20)
-    chosen = retrieve.knapsack(ranked.select("query", F.col("doc").alias("id"), F.col("score").alias("value"), scoring.token_cost(F.col("claim")).alias("tokens")), 600)
-    return chosen.select("query", "id")
+    ranked = retrieve.top(_retrieved(spark, d), ["query"], "score", "doc", 20)
+    return retrieve.knapsack(ranked.select("query", F.col("doc").alias("id"), F.col("score").alias("value"), F.col("cost").alias("tokens")), 600).select("query", "id")
 
 
 @query
@@ -497,7 +488,17 @@ def graph_one_hop(spark, d):
 def graph_two_hop(spark, d):
     supplier = table(spark, d, "supplier")
     edges = supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"))
-    return retrieve.two_hops(edges, edges.select("src").filter("src in ('s1', 's2', 's3')"))
+    return retrieve.proximity(edges, edges.select("src").filter("src in ('s1', 's2', 's3')"))
+
+
+@query
+def graph_three_hops(spark, d):
+    """From nations over suppliers to parts and back to suppliers: what three undirected hops reach."""
+    name = lambda letter, c: F.concat(F.lit(letter), c)
+    supplied = table(spark, d, "lineitem").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst")).distinct()
+    based = table(spark, d, "supplier").select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))
+    start = table(spark, d, "nation").filter("n_nationkey < 3").select(name("n", "n_nationkey").alias("src"))
+    return retrieve.proximity(supplied.union(based), start, 3).groupBy("src", "proximity").agg(F.count("*").alias("n"))
 
 
 # -- evaluation -------------------------------------------------------------------------------------------------------

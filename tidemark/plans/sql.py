@@ -188,6 +188,7 @@ ORACLE_SQL: dict[str, str] = {
     "redact_hits": "SELECT * FROM (SELECT doc_id, array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_redact(k)}, '{p}') THEN '{n}' END" for k, (n, p, _) in enumerate(RULES)) + "], lambda x: x IS NOT NULL)), ',') AS rules FROM documents) WHERE rules <> ''",
     "token_counts": "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents) SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM t",
     "theme_counts": f"WITH {SP}, t AS (SELECT {THEME.format(t='input')} AS theme FROM sp WHERE kind = 'user') SELECT CASE theme WHEN '' THEN 'general' ELSE theme END AS theme, count(*) AS n FROM t GROUP BY 1",
+    "route_top": f"WITH {PR}, w AS (" + " UNION ALL ".join(f"SELECT task_id, '{ns}' AS ns, {k} AS k, {route(ns, 'prompt')} AS w FROM pr" for k, ns in enumerate(ROUTES)) + "), r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY w DESC, k) AS rank FROM w) SELECT task_id, string_agg(ns, ',' ORDER BY rank) AS namespaces FROM r WHERE rank <= 2 GROUP BY task_id",
     "route_prior": f"WITH {PR} SELECT task_id, {', '.join(f'round({route(ns, "prompt")}, 6) AS {ns}' for ns in ROUTES)} FROM pr",
     "knowledge_paths": f"WITH {IT} SELECT memory_id, CASE WHEN type = 'procedural' THEN 'procedures' WHEN namespace = 'user' THEN 'people' WHEN namespace = 'project' THEN 'projects' ELSE 'norms' END || '/' || trim(regexp_replace(lower(trim(subject)), '[^a-z0-9]+', '-', 'g'), '-') || '.md' AS path FROM it",
     "front_matter": "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'title: t' || turn ELSE '' END AS matter, CAST(length(trim(text, chr(32) || chr(10) || chr(13) || chr(9))) AS INTEGER) AS body_chars FROM conversations",
@@ -210,6 +211,7 @@ SELECT kind AS type, namespace, CASE namespace WHEN 'user' THEN 'user' ELSE 'tea
     "memory_diff": f"WITH {IT}, b AS (SELECT memory_id, n % 4 <> 0 AS active FROM it WHERE n % 3 <> 0), a AS (SELECT memory_id, active FROM it WHERE n % 7 <> 0), j AS (SELECT coalesce(b.memory_id, a.memory_id) AS memory_id, b.active AS was, a.active AS now FROM b FULL JOIN a ON b.memory_id = a.memory_id), c AS (SELECT memory_id, CASE WHEN was IS NULL AND now THEN 'added' WHEN was AND NOT coalesce(now, false) THEN 'removed' WHEN NOT was AND now THEN 'reactivated' END AS change FROM j) SELECT * FROM c WHERE change IS NOT NULL",
     "provenance_edges": f"WITH {IT}, {RELATION} SELECT memory_id, coalesce((SELECT string_agg(relation || ' ' || dst_id, ';' ORDER BY relation || ' ' || dst_id) FROM eg WHERE src_id = memory_id), '') AS relations FROM it",
     "bm25_topk": f"WITH {BM.format(id='doc_id', text='text', docs='documents')} SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM lexr WHERE rank < 5",
+    "bm25_incremental": f"WITH cur AS (SELECT conv_id, arg_max(text, turn) AS text, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id), kept AS (FROM cur WHERE NOT (role = 'assistant' AND conv_id % 5 = 0)), {BM.format(id='conv_id', text='text', docs='kept')} SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM lexr WHERE rank < 3",
     "dense_topk": "WITH s AS (SELECT q.vec_id AS query, v.vec_id AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) - 1 AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank < 5",
     "hash_embed_topk": f"WITH {IT}, {HASHED} SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM hsr WHERE rank < 5",
     "hash_embed_buckets": f"WITH {_vectors('qv', 'benchmark', 'item_id')} SELECT id, CAST(bucket AS INTEGER) AS bucket, round(val, 6) AS val FROM qv",
@@ -223,6 +225,7 @@ w AS (SELECT query, -1::BIGINT AS rank, 0::BIGINT AS used, []::BIGINT[] AS docs
 SELECT query, CAST(arg_max(used, rank) AS INTEGER) AS used, array_to_string(arg_max(docs, rank), ',') AS docs FROM w GROUP BY query""",
     "graph_one_hop": f"WITH {IT}, {RELATION} SELECT memory_id AS doc, round(0.01::DOUBLE + 0.5::DOUBLE / 60 * (SELECT count(*) FROM eg WHERE dst_id = memory_id AND relation IN ('supports', 'derived_from')), 6) AS fused FROM it",
     "graph_two_hop": "WITH e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier), s AS (SELECT * FROM e WHERE src IN ('s1', 's2', 's3')), h AS (SELECT src, src AS dst, 0 AS h FROM s UNION ALL SELECT src, dst, 1 FROM s UNION ALL SELECT s.src, e.src, 2 FROM s JOIN e USING (dst)) SELECT src, dst, round(1.0::DOUBLE / (min(h) + 1), 4) AS proximity FROM h GROUP BY ALL",
+    "graph_three_hops": "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), u AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e), h0 AS (SELECT 'n' || n_nationkey AS src, 'n' || n_nationkey AS dst, 0 AS h FROM nation WHERE n_nationkey < 3), h1 AS (SELECT DISTINCT src, y AS dst, 1 AS h FROM h0 JOIN u ON x = dst), h2 AS (SELECT DISTINCT src, y AS dst, 2 AS h FROM h1 JOIN u ON x = dst), h3 AS (SELECT DISTINCT src, y AS dst, 3 AS h FROM h2 JOIN u ON x = dst), m AS (SELECT src, dst, min(h) AS h FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2 UNION ALL FROM h3) GROUP BY ALL) SELECT src, round(1.0::DOUBLE / (h + 1), 4) AS proximity, count(*) AS n FROM m GROUP BY src, h",
     "retrieval_quality": "WITH b AS (SELECT item_id, list_transform(string_split(text, chr(10)), lambda x: lower(x)) AS c, list_transform(list_filter(string_split(text, ' '), lambda w: length(w) > 6), lambda x: lower(x)) AS s FROM benchmark), n AS (SELECT item_id, len(s) AS ns, len(c) AS nc, len(list_filter(c, lambda x: len(list_filter(s, lambda y: contains(x, y))) > 0)) AS rel, len(list_filter(s, lambda y: len(list_filter(c, lambda x: contains(x, y))) > 0)) AS cov FROM b), q AS (SELECT item_id, CASE WHEN ns = 0 THEN 1.0 ELSE round(least(1.0, rel::DOUBLE / least(ns, nc)), 4) END AS precision, CASE WHEN ns = 0 THEN 1.0 ELSE round(cov::DOUBLE / ns, 4) END AS recall FROM n) SELECT item_id, precision::DOUBLE AS precision, recall::DOUBLE AS recall, CASE WHEN precision + recall = 0 THEN 0.0 ELSE round(2 * precision * recall / (precision + recall), 4) END::DOUBLE AS f1 FROM q",
     "rubric_scores": f"WITH {AXES} SELECT doc_id, round(0.4::DOUBLE * o + 0.2::DOUBLE * r + 0.2::DOUBLE * p + 0.2::DOUBLE * v, 4) AS total, round((o * 0.4::DOUBLE + v * 0.2::DOUBLE) / (0.4::DOUBLE + 0.2::DOUBLE), 4) AS outcome_score, o >= 0.999 AND v >= 0.999 AS success FROM ax",
     "paired_delta": PAIRED + " SELECT * FROM pd WHERE delta IS NOT NULL",
