@@ -2,17 +2,19 @@
 
 import pytest
 
-from tidemark.plans import queries, sql
+from tidemark.plans import jobs, queries, sql
 
+QUERIES, ORACLE_SQL = queries.QUERIES | jobs.QUERIES, sql.ORACLE_SQL | jobs.ORACLE_SQL
 
-@pytest.mark.parametrize("name", sorted(sql.ORACLE_SQL))
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(name, compare):
-    compare(queries.QUERIES[name], sql.ORACLE_SQL[name])
+    compare(QUERIES[name], ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(sql.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_without_sql(name, spark, sf):
-    assert queries.QUERIES[name](spark, sf).count() > 0
+    assert QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry(spark):

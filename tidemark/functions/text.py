@@ -92,36 +92,65 @@ _RULES = [(n, re.compile(p), r) for n, p, r in REDACTIONS]
 def redact_value(value, keys: list[str] | None = None):
     """(redacted copy, names of rules) of a JSON value of any depth; booleans stay."""
     secret, hits = {k.lower() for k in (SENSITIVE_KEYS if keys is None else keys)}, set()
-
-    def clean(text: str) -> str:
-        for name, pattern, placeholder in _RULES:
-            text, n = pattern.subn(placeholder, text)
-            if n:
-                hits.add(name)
-        return text
-
-    def visit(x, key=None):
-        if key is not None and key.lower() in secret:
+    whole = [value]
+    open_places: list[tuple[list | dict, object, str]] = [(whole, 0, "")]  # where a value stands, and the key it stands under
+    while open_places:
+        holder, at, key = open_places.pop()
+        x = holder[at]
+        if key.lower() in secret:
             hits.add(f"key:{key.lower()}")
-            return "[REDACTED]"
-        if isinstance(x, dict):
-            return {k: visit(v, k) for k, v in x.items()}
-        if isinstance(x, list):
-            return [visit(v) for v in x]
-        if isinstance(x, bool) or x is None:
-            return x
-        if isinstance(x, str):
-            return clean(x)
-        return x if (out := clean(str(x))) == str(x) else out
-
-    return visit(value), hits
+            holder[at] = "[REDACTED]"
+        elif isinstance(x, (dict, list)):
+            holder[at] = copy = x.copy()
+            open_places += [(copy, k, k) for k in copy] if isinstance(x, dict) else [(copy, k, "") for k in range(len(copy))]
+        elif x is not None and not isinstance(x, bool):
+            said = str(x)
+            for name, pattern, placeholder in _RULES:
+                said, n = pattern.subn(placeholder, said)
+                hits |= {name} if n else set()
+            if said != str(x):
+                holder[at] = said
+    return whole[0], hits
 
 
 @F.pandas_udf(T.StructType().add("json", "string").add("hits", T.ArrayType(T.StringType())))
 def redact_json(raw: pd.Series) -> pd.DataFrame:
-    """JSON text of any depth, redacted, and the rules that applied."""
-    out = [(None, []) if x is None else (lambda v: (json.dumps(v[0], ensure_ascii=False), sorted(v[1])))(redact_value(json.loads(x))) for x in raw]
-    return pd.DataFrame(out, columns=["json", "hits"])
+    """JSON text of any depth, redacted, and the rules that applied; text that is no JSON is redacted as text."""
+
+    def one(x):
+        if x is None:
+            return None, []
+        try:
+            value, hits = redact_value(json.loads(x))
+            return json.dumps(value, ensure_ascii=False), sorted(hits)
+        except ValueError:
+            value, hits = redact_value(x)
+            return value, sorted(hits)
+
+    return pd.DataFrame([one(x) for x in raw], columns=["json", "hits"])
+
+
+@F.pandas_udf(T.StructType().add("args", T.MapType(T.StringType(), T.StringType())).add("hits", T.ArrayType(T.StringType())))
+def redact_args(raw: pd.Series) -> pd.DataFrame:
+    """A call's arguments, given as a JSON object of texts, redacted by key and text; values that hold JSON are redacted at any depth."""
+
+    def inner(v):
+        if isinstance(v, str) and v.lstrip()[:1] in ("{", "["):
+            try:
+                return json.loads(v)
+            except ValueError:
+                return v
+        return v
+
+    def one(x):
+        if x is None:
+            return None, []
+        given = json.loads(x)
+        value, hits = redact_value({k: inner(v) for k, v in given.items()})
+        same = lambda k: given[k] if value[k] == inner(given[k]) else value[k] if isinstance(value[k], str) else json.dumps(value[k], ensure_ascii=False)
+        return {k: same(k) for k in given}, sorted(hits)
+
+    return pd.DataFrame([one(x) for x in raw], columns=["args", "hits"])
 
 
 def route(query: Column) -> Column:

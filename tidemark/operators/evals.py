@@ -16,8 +16,11 @@ SLICE_DRAWS = 1 << 20
 
 
 def field_matches(value: Column, expected: Column, contains: Column) -> Column:
-    """Whether a write's field is as expected: equal, or holding a substring in any case."""
-    return F.when(contains, F.contains(F.lower(value), F.lower(expected))).otherwise(value == expected)
+    """Whether a write's field is as expected: equal, or holding a substring in any case; of a list (as JSON) any entry may."""
+    holds = lambda v: F.contains(F.lower(v), F.lower(expected))
+    entries = F.from_json(value, "array<string>")
+    listed = F.startswith(F.ltrim(value), F.lit("[")) & entries.isNotNull()
+    return F.when(contains, F.when(listed, F.exists(entries, holds)).otherwise(holds(value))).otherwise(value == expected)
 
 
 def judge(tasks: DataFrame, writes: DataFrame, claims: DataFrame) -> DataFrame:

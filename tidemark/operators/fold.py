@@ -81,6 +81,29 @@ def at_points(events: DataFrame, points: DataFrame, point: str = "point") -> Dat
     return summary(seen, [point, *KEY])
 
 
+def frames(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, seq, valid_at, op, changed, full): for each version the fields that it changed, and all fields so far.
+
+    Every entry's payload counts. A field's last value is carried over the versions that don't name it, so an entity
+    costs its versions times its fields.
+    """
+    keys = keys or KEY
+    each = events.select(*keys, "seq", "valid_at", "op", "payload")
+    names = each.select(*keys, F.explode(F.map_keys("payload")).alias("k")).distinct()
+    line = Window.partitionBy(*keys, "k").orderBy("valid_at", "seq")
+    value = F.when(F.map_contains_key("payload", F.col("k")), F.struct(F.col("payload")[F.col("k")].alias("v")))
+    cells = each.join(names, keys, "left").withColumn("now", value).withColumn("before", F.last("now", True).over(line.rowsBetween(Window.unboundedPreceding, -1))).withColumn("last", F.last("now", True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = F.col("now").isNotNull() & ~F.coalesce(F.col("now").eqNullSafe(F.col("before")), F.lit(False))
+    entry = lambda test, c: F.map_from_entries(F.array_sort(F.collect_list(F.when(test, F.struct("k", F.col(f"{c}.v")))))).cast("map<string,string>")
+    return cells.groupBy(*keys, "seq", "valid_at", "op").agg(entry(changed, "now").alias("changed"), entry(F.col("last").isNotNull(), "last").alias("full"))
+
+
+def states_at_points(events: DataFrame, points: DataFrame, point: str = "point") -> DataFrame:
+    """As-of join to whole states: payload and edges of each entity for each point (its id, valid, ingested), tombstones too."""
+    seen = events.join(points, (F.col("valid_at") <= F.col("valid")) & (F.col("ingested_at") <= F.col("ingested")))
+    return materialize(seen, include_deleted=True, keys=[point, *KEY])
+
+
 def change_frames(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """For each version and payload key: the value, the value before, and whether it changed. Every entry's payload counts."""
     keys = keys or KEY

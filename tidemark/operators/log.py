@@ -89,13 +89,15 @@ def append(spark: SparkSession, batch: DataFrame, path: str, order: list[str] |
     """
     has = tables.exists(spark, path)
     log = spark.read.schema(EVENT_SCHEMA).parquet(path) if has else spark.createDataFrame([], EVENT_SCHEMA)
-    fresh = new_events(batch, log, order)
-    base = (log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]) if has else 0
-    dealt = fresh.repartitionByRange("valid_at", "event_id").sortWithinPartitions("valid_at", "event_id").withColumn("seq", F.monotonically_increasing_id() + base + 1)
-    before = log.count() if has else 0
-    columns = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
-    dealt.select(*columns).write.mode("append").parquet(path)
-    return spark.read.schema(EVENT_SCHEMA).parquet(path).count() - before
+    fresh = tables.stash(new_events(batch, log, order), "fresh")
+    if added := fresh.count():
+        base = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        dealt = fresh.repartitionByRange("valid_at", "event_id").sortWithinPartitions("valid_at", "event_id").withColumn("seq", F.monotonically_increasing_id() + base + 1)
+        columns = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
+        dealt.select(*columns).write.mode("append").parquet(path)
+    elif not has:
+        log.write.parquet(path)
+    return added
 
 
 def as_time(at: datetime | str | Column) -> Column:
@@ -136,6 +138,16 @@ def statistics(events: DataFrame) -> DataFrame:
     )
 
 
+def payload_of(events: DataFrame, event_id: str) -> dict[str, str]:
+    """The payload of one event; empty if the log hasn't it."""
+    row = events.filter(F.col("event_id") == event_id).select("payload").first()
+    return dict(row["payload"] or {}) if row else {}
+
+
+def has_event(events: DataFrame, event_id: str) -> bool:
+    return not events.filter(F.col("event_id") == event_id).isEmpty()
+
+
 def latest_cursor(cursors: DataFrame) -> DataFrame:
     """Of an append-only log (app, stream, cursor, updated_at): the current cursor of each stream."""
     return cursors.groupBy("app", "stream").agg(F.max_by("cursor", "updated_at").alias("cursor"))

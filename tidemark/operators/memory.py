@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, scoring, text
+from tidemark.operators.log import as_time
+from tidemark.tables import stash
 
 PROMOTE_FROM = 0.42
 REVIEW_FROM, ACCEPT_FROM = 0.4, 0.85
@@ -107,12 +111,36 @@ def promote(candidates: DataFrame, threshold: float = PROMOTE_FROM) -> DataFrame
     return items.select(memory_id().alias("memory_id"), "*")
 
 
-def structured_facts(users: DataFrame, channels: DataFrame) -> DataFrame:
-    """Cold start: time zones of people and topics of channels, from current state."""
+def compile_items(candidates: list[DataFrame], now, threshold: float = PROMOTE_FROM, overlap: float = OVERLAP_FROM) -> tuple[DataFrame, DataFrame]:
+    """(items with active, edges): candidates of all extractors together, corroborated, scored, promoted once each and resolved."""
+    every = reduce(DataFrame.unionByName, [c.select(*CANDIDATE) for c in candidates])
+    promoted = stash(promote(every, threshold).withColumn("created_at", as_time(now)), "promoted")  # read four times
+    return resolve(promoted, overlap)
+
+
+def cold_start(states: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """(items with active, edges) from current state alone: plain facts, and norms that documents and messages state."""
+    p = F.col("payload")
+    of = lambda app, kind: states.filter((F.col("app") == app) & (F.col("entity_type") == kind) & ~F.col("deleted"))
+    owner = F.get(F.from_json(p["owners"], "array<string>"), F.lit(0))
+    facts = structured_facts(
+        of("slack", "user").select(p["name"].alias("name"), p["real_name"].alias("real_name"), p["tz"].alias("tz")), of("slack", "channel").select(p["name"].alias("name"), p["topic"].alias("topic")), of("gdocs", "document").select(p["name"].alias("name"), owner.alias("owner"))
+    )
+    written = of("gdocs", "document").unionByName(of("slack", "message"))
+    document = F.col("entity_type") == "document"
+    norms, edges = compile_items([norm_lines(written, F.when(document, p["markdown"]).otherwise(p["text"]), document, F.col("entity_id"))], now)
+    return norms.unionByName(facts.withColumn("created_at", as_time(now)).withColumn("active", F.lit(True)), allowMissingColumns=True), edges
+
+
+def structured_facts(users: DataFrame, channels: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Cold start: time zones of people, topics of channels and owners of documents (name, owner), from current state."""
     name = F.coalesce("real_name", "name")
     people = users.filter(name.isNotNull() & F.col("tz").isNotNull()).select(F.lit("semantic").alias("type"), F.lit("user").alias("namespace"), name.alias("subject"), F.concat(name, F.lit(" is in timezone "), F.col("tz")).alias("claim"), F.lit(0.7).alias("confidence"), F.lit("team").alias("acl"))
     topics = channels.filter("name is not null and topic is not null").select(F.lit("semantic").alias("type"), F.lit("team").alias("namespace"), F.lit("channels").alias("subject"), F.concat(F.lit("Channel "), F.col("name"), F.lit(" is for "), F.col("topic")).alias("claim"), F.lit(0.65).alias("confidence"), F.lit("team").alias("acl"))
     items = people.unionByName(topics)
+    if documents is not None:
+        claim = F.concat(F.lit("Document "), F.col("name"), F.lit(" is owned by "), F.col("owner"))
+        items = items.unionByName(documents.filter("name is not null and owner is not null").select(F.lit("semantic").alias("type"), F.lit("project").alias("namespace"), F.col("name").alias("subject"), claim.alias("claim"), F.lit(0.6).alias("confidence"), F.lit("project").alias("acl")))
     return items.select(memory_id().alias("memory_id"), "*")
 
 

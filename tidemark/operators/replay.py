@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import evals, fold, retrieve
+from tidemark.operators.log import KEY
+from tidemark.tables import stash
+
 CALL = "struct<tool:string,args:map<string,string>>"
 READ_TOOLS = ["slack.list_channels", "gcal.get_event", "gdocs.get_document"]
 WRITE_TOOLS = ["slack.post_message", "slack.send_dm", "gcal.update_event", "gcal.create_event", "gcal.respond_event", "gdocs.create_document", "gdocs.update_document"]
@@ -76,20 +80,63 @@ def decide(prompt: Column, memory: Column) -> Column:
     return chain.otherwise(_call(TOOLS[0]))
 
 
-def execute(calls: DataFrame, states: DataFrame) -> DataFrame:
+def execute(calls: DataFrame, states: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Results of calls (call_id, tool, args): reads look up live state, writes are recorded and change no read.
 
-    ``states`` is a fold with apps slack, gcal and gdocs. A channel is found by name or id, and passes through if unknown.
+    ``states`` is a fold with apps slack, gcal and gdocs. A channel is found by name or id (the least of equal names),
+    and passes through if unknown. ``by`` names columns of both that tell states apart, as of points in time.
     """
+    by = by or []
     live = states.filter(~F.col("deleted"))
-    channels = live.filter("app = 'slack' and entity_type = 'channel'").select(F.col("payload")["name"].alias("__name"), F.col("entity_id").alias("__channel"))
-    things = live.filter("(app = 'gcal' and entity_type = 'event') or (app = 'gdocs' and entity_type = 'document')").select(F.col("app").alias("__app"), F.col("entity_id").alias("__id"), F.to_json("payload").alias("__payload"))
-    wanted = calls.withColumn("__want", F.coalesce(F.col("args")["event_id"], F.col("args")["document_id"])).withColumn("__of", F.substring_index("tool", ".", 1))
-    found = wanted.join(channels, F.col("args")["channel"] == F.col("__name"), "left").join(things, (F.col("__want") == F.col("__id")) & (F.col("__of") == F.col("__app")), "left")
-    names = live.filter("app = 'slack' and entity_type = 'channel'").agg(F.to_json(F.array_sort(F.collect_list(F.col("payload")["name"]))).alias("__names"))
+    named = live.filter("app = 'slack' and entity_type = 'channel'").select(*by, F.col("payload")["name"].alias("__name"), F.col("entity_id").alias("__channel"))
+    channels = named.groupBy(*by, "__name").agg(F.min("__channel").alias("__channel"))
+    things = live.filter("(app = 'gcal' and entity_type = 'event') or (app = 'gdocs' and entity_type = 'document')").select(*by, F.col("app").alias("__of"), F.col("entity_id").alias("__want"), F.to_json("payload").alias("__payload"))
+    wanted = calls.withColumn("__want", F.coalesce(F.col("args")["event_id"], F.col("args")["document_id"])).withColumn("__of", F.substring_index("tool", ".", 1)).withColumn("__name", F.col("args")["channel"])
+    found = wanted.join(channels, [*by, "__name"], "left").join(things, [*by, "__want", "__of"], "left")
+    names = named.groupBy(*by).agg(F.to_json(F.array_sort(F.collect_list("__name"))).alias("__names"))
+    found = found.join(names, by, "left") if by else found.crossJoin(F.broadcast(names))  # one row without ``by``
     resolved = F.when(F.col("tool") == "slack.post_message", F.map_concat(F.map_filter("args", lambda k, v: k != "channel_id"), F.create_map(F.lit("channel_id"), F.coalesce("__channel", F.col("args")["channel"])))).otherwise(F.col("args"))
-    result = F.when(F.col("tool") == "slack.list_channels", F.col("__names")).when(F.col("tool").isin("gcal.get_event", "gdocs.get_document"), F.coalesce("__payload", F.lit('{"error":"not_found"}'))).when(F.col("tool").isin(WRITE_TOOLS), '{"ok":true}').otherwise('{"error":"unknown_tool"}')
-    return found.crossJoin(F.broadcast(names)).select("call_id", "tool", resolved.alias("args"), result.alias("result"), F.col("tool").isin(WRITE_TOOLS).alias("is_write"))
+    result = F.when(F.col("tool") == "slack.list_channels", F.coalesce("__names", F.lit("[]"))).when(F.col("tool").isin("gcal.get_event", "gdocs.get_document"), F.coalesce("__payload", F.lit('{"error":"not_found"}'))).when(F.col("tool").isin(WRITE_TOOLS), '{"ok":true}').otherwise('{"error":"unknown_tool"}')
+    return found.select(*by, "call_id", "tool", resolved.alias("args"), result.alias("result"), F.col("tool").isin(WRITE_TOOLS).alias("is_write"))
+
+
+POINT = ["as_of_valid", "as_of_ingest"]
+
+
+def run_conditions(tasks: DataFrame, mounted: DataFrame, events: DataFrame) -> DataFrame:
+    """Each task under each condition: what the policy calls, what that returns as of the task's point, and its scores.
+
+    ``tasks``: task_id, prompt, as_of_valid, as_of_ingest and what ``evals.judge`` asks for. ``mounted``: task_id,
+    condition, claims. States are folded once for each point that tasks share, and the reads of a task see its own.
+    """
+    points = tasks.select(*POINT).distinct()
+    seen = events.join(points, (F.col("valid_at") <= F.col(POINT[0])) & (F.col("ingested_at") <= F.col(POINT[1])))
+    states = fold.materialize(seen, include_deleted=True, keys=[*POINT, *KEY])
+    run = tasks.select("task_id", "prompt", *POINT).join(mounted, "task_id").withColumn("call", decide(F.col("prompt"), F.array_join("claims", "\n")))
+    calls = run.select(F.struct("task_id", "condition").alias("call_id"), *POINT, "call.tool", "call.args")
+    done = stash(execute(calls, states, POINT).select("call_id.*", "tool", "args", "result", "is_write"), "runs")
+    write = F.struct(F.substring_index("tool", ".", 1).alias("app"), F.col("tool").alias("action"), F.col("args").alias("fields"))
+    writes = done.select("task_id", "condition", F.filter(F.array(F.when(F.col("is_write"), write)), lambda w: w.isNotNull()).alias("writes"))
+    return evals.judge(tasks.drop("prompt", *POINT), writes, mounted).join(done.drop("is_write"), ["task_id", "condition"])
+
+
+def backtest(tasks: DataFrame, claims: DataFrame, events: DataFrame) -> DataFrame:
+    """The paired run: every task without memory and with its claims (task_id, claims)."""
+    none = F.array().cast("array<string>")
+    both = F.array(F.struct(F.lit("without_memory").alias("condition"), none.alias("claims")), F.struct(F.lit("with_memory").alias("condition"), F.coalesce("claims", none).alias("claims")))
+    return run_conditions(tasks, tasks.select("task_id").join(claims, "task_id", "left").select("task_id", F.explode(both).alias("c")).select("task_id", "c.*"), events)
+
+
+def backtest_memory(tasks: DataFrame, items: DataFrame, edges: DataFrame, events: DataFrame, now, top_k: int = 5, budget: int = 600) -> DataFrame:
+    """The paired run with what retrieval finds for each prompt among the items."""
+    found = retrieve.packed(retrieve.retrieve(tasks, items, edges, now, "task_id", "prompt"), top_k, budget)
+    return backtest(tasks, found.select(F.col("query").alias("task_id"), "claims"), events)
+
+
+def explore(tasks: DataFrame, packs: DataFrame, events: DataFrame) -> DataFrame:
+    """Runs of every task under each of its packs of claims (task_id, pack, claims), ranked by total, then name, from 0."""
+    runs = run_conditions(tasks, packs.withColumnRenamed("pack", "condition"), events).withColumnRenamed("condition", "pack")
+    return runs.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("total"), "pack")) - 1)
 
 
 def run_policy(tasks: DataFrame, memory: DataFrame) -> DataFrame:
@@ -107,9 +154,10 @@ def inject_faults(calls: DataFrame, faults: DataFrame) -> DataFrame:
     per_tool = F.row_number().over(Window.partitionBy("run_id", "tool").orderBy("pos"))
     overall = F.row_number().over(Window.partitionBy("run_id").orderBy("pos"))
     counted = calls.withColumn("tool_call", per_tool).withColumn("any_call", overall)
-    f = F.broadcast(faults.select("fault_no", F.col("tool").alias("f_tool"), "on_call", F.col("kind").alias("fault")))
-    hit = (F.col("f_tool").isNull() & (F.col("any_call") == F.col("on_call"))) | ((F.col("f_tool") == F.col("tool")) & (F.col("tool_call") == F.col("on_call")))
-    struck = counted.join(f, hit).groupBy("run_id", "pos").agg(F.min_by("fault", "fault_no").alias("fault"))
+    f = faults.select("fault_no", "tool", "on_call", F.col("kind").alias("fault"))
+    of_tool = counted.join(f.withColumnRenamed("on_call", "tool_call"), ["tool", "tool_call"])
+    of_any = counted.join(f.filter("tool is null").select("fault_no", F.col("on_call").alias("any_call"), "fault"), "any_call")
+    struck = of_tool.select("run_id", "pos", "fault", "fault_no").unionByName(of_any.select("run_id", "pos", "fault", "fault_no")).groupBy("run_id", "pos").agg(F.min_by("fault", "fault_no").alias("fault"))
     return counted.join(struck, ["run_id", "pos"], "left").select("run_id", "pos", "tool", "fault")
 
 

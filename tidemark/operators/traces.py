@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import ids
+from tidemark.functions import ids, text
+from tidemark.operators import log
+from tidemark.tables import exists, stash
 
 RUN_SCHEMA = "trace_id string, group_id string, workflow_name string, agent string, started_at timestamp, ended_at timestamp, user_ref string, task_ref string, status string, n_spans bigint, ingested_at timestamp"
 SPAN_SCHEMA = (
@@ -27,6 +29,54 @@ def richest(captures: DataFrame, arrival: str = "ingested_at") -> DataFrame:
     return captures.groupBy("trace_id").agg(best.alias("r")).select("trace_id", "r.*")
 
 
+#: Longer inputs and outputs are kept as blobs, and the span names their hash.
+OFFLOAD_CHARS = 16_384
+
+
+def redacted_spans(spans: DataFrame) -> DataFrame:
+    """Spans without secrets in input, output and arguments; ``redactions`` names the rules that applied."""
+    said = ["input", "output"]
+    hits = F.array_distinct(F.concat(*[F.coalesce(text.redaction_hits(F.col(c)), F.array().cast("array<string>")) for c in said], F.coalesce("__args.hits", F.array().cast("array<string>"))))
+    marked = spans.withColumn("__args", text.redact_args(F.to_json("tool_args"))).withColumn("redactions", F.array_sort(hits))
+    return marked.withColumns({c: text.redacted(F.col(c)) for c in said} | {"tool_args": F.col("__args.args")}).drop("__args")
+
+
+def ingest(runs: DataFrame, spans: DataFrame, home: str, ingested_at, offload_chars: int = OFFLOAD_CHARS) -> int:
+    """Append captured runs with their spans to the tables below ``home``, redacted, long texts as blobs; returns how many.
+
+    A capture is told by its run and its spans, so the same one again adds nothing. A run keeps all its captures, and
+    ``stored_runs`` and ``stored_spans`` give the richest.
+    """
+    spark, clean = runs.sparkSession, stash(redacted_spans(spans), "redacted")
+    content = clean.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.sum(F.xxhash64("span_id", "input", "output").cast("decimal(38,0)")).cast("string").alias("content"))
+    found = runs.drop("n_spans").join(content, "trace_id").withColumn("capture_id", ids.new_id("cap", trace_id=F.col("trace_id"), n_spans=F.col("n_spans"), content=F.col("content")))
+    if exists(spark, f"{home}/runs"):
+        found = found.join(spark.read.parquet(f"{home}/runs").select("capture_id"), "capture_id", "left_anti")
+    new = stash(found.drop("content").withColumn("ingested_at", F.lit(ingested_at).cast("timestamp") if isinstance(ingested_at, str) else ingested_at), "captures")
+    kept = clean.join(new.select("trace_id", "capture_id"), "trace_id")
+    long = lambda c: F.length(c) > offload_chars
+    bodies = kept.select(F.explode(F.array(*[F.when(long(c), F.col(c)) for c in ("input", "output")])).alias("body"))
+    stored = spark.read.parquet(f"{home}/blobs") if exists(spark, f"{home}/blobs") else spark.createDataFrame([], "hash string, prefix2 string, body string, size int")
+    log.put_blobs(bodies, "body", stored).write.mode("append").parquet(f"{home}/blobs")
+    kept.withColumns({c: F.when(long(c), ids.blob_uri(ids.sha256_hex(F.col(c)))).otherwise(F.col(c)) for c in ("input", "output")}).write.mode("append").parquet(f"{home}/spans")
+    new.write.mode("append").parquet(f"{home}/runs")  # last: spans without their run are never read
+    return new.count()
+
+
+def stored_runs(spark: SparkSession, home: str, agent: str | None = None) -> DataFrame:
+    """The richest capture of each run, of one agent if it is named, the newest first."""
+    found = richest(spark.read.parquet(f"{home}/runs"))
+    return (found if agent is None else found.filter(F.col("agent") == agent)).orderBy(F.desc("ingested_at"), "trace_id")
+
+
+def stored_spans(spark: SparkSession, home: str, trace_id: str | None = None) -> DataFrame:
+    """The spans of each run's richest capture; thinner captures are passed over. A lost writer's repeats are one."""
+    captures, spans = spark.read.parquet(f"{home}/runs"), spark.read.parquet(f"{home}/spans")
+    if trace_id is not None:
+        captures, spans = captures.filter(F.col("trace_id") == trace_id), spans.filter(F.col("trace_id") == trace_id)
+    return spans.dropDuplicates(["trace_id", "capture_id", "span_id"]).join(richest(captures).select("trace_id", "capture_id"), ["trace_id", "capture_id"])
+
+
 def with_span_ids(spans: DataFrame) -> DataFrame:
     """Span ids from content; spans of a run that collide are told apart by their position."""
     plain = ids.new_id("span", kind=F.col("kind"), name=F.col("name"), parent_id=F.col("parent_id"), tool_name=F.col("tool_name"), started_at=ids.to_iso(F.col("started_at")), input=F.col("input"))

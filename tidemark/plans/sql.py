@@ -244,7 +244,11 @@ UNION ALL SELECT DISTINCT 'durable_statement', substr(said, 1, 80), 1 FROM st WH
 # The sweep of each subject, an item a step in its rank: of the later items that contradict it and are still there, it
 # takes out those before the first that beats it, which takes out the item itself.
 TOPICS = f"t AS (SELECT memory_id, namespace, subject, regexp_matches(claim, '{NEG}') AS neg, list_distinct(list_filter(regexp_extract_all(lower(claim), '[a-z0-9]+'), lambda w: w NOT IN ('not','never','no','longer','avoid','don','do','stop','t','the','a','to','is','and'))) AS t FROM it)"
-ORACLE_SQL["resolve_active"] = f"""WITH RECURSIVE {IT}, {TOPICS},
+
+
+def resolved(items: str, columns: str) -> str:
+    """``columns`` and ``active`` of the table ``it`` that the WITH clause ``items`` makes."""
+    return items.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {TOPICS},
 p AS (SELECT a.memory_id AS a, b.memory_id AS b FROM t a JOIN t b ON a.namespace = b.namespace AND a.subject = b.subject AND a.memory_id < b.memory_id AND a.neg <> b.neg
       WHERE len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.5),
 e AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p),
@@ -260,7 +264,10 @@ s(namespace, subject, k, gone) AS (
                coalesce(list_position(list_transform(list_filter(ids, lambda i: NOT list_contains(gone, i)), lambda i: beats[list_position(ids, i)]), true), 0) AS first
         FROM s JOIN z ON z.namespace = s.namespace AND z.subject = s.subject AND z.k = s.k + 1)),
 g AS (SELECT unnest(arg_max(gone, k)) AS memory_id FROM s GROUP BY namespace, subject)
-SELECT memory_id, memory_id NOT IN (SELECT memory_id FROM g) AS active FROM it"""
+SELECT {columns}, memory_id NOT IN (SELECT memory_id FROM g) AS active FROM it"""
+
+
+ORACLE_SQL["resolve_active"] = resolved(f"WITH {IT}", "memory_id")
 
 # The exact program, an item a step: best value and items of each budget.
 ORACLE_SQL["budget_knapsack"] = RERANKED.replace("WITH ", "WITH RECURSIVE ", 1) + """,

@@ -11,8 +11,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import tables
 from tidemark.functions import ids
 from tidemark.operators import log
+from tidemark.operators.stores import Cursors
 
 SLACK = (
     "team struct<id:string,name:string>, users array<struct<id:string,name:string,real_name:string,tz:string,is_admin:boolean>>, "
@@ -53,12 +55,13 @@ def slack(spark: SparkSession, path: str, ingested_at) -> DataFrame:
     anchor = _epoch(F.array_min(F.transform(F.filter("channels", lambda c: c["created"].isNotNull()), lambda c: c["created"].cast("decimal(20,6)"))).cast("string"))
     users = raw.select(anchor.alias("anchor"), F.explode("users").alias("u"))
     channels = raw.select(F.explode("channels").alias("c"))
-    messages = raw.select("edits", F.explode("messages").alias("channel", "list")).select("edits", "channel", F.explode("list").alias("m")).withColumn("mid", F.concat_ws(":", "channel", "m.ts"))
+    messages = raw.select(F.explode("messages").alias("channel", "list")).select("channel", F.explode("list").alias("m")).withColumn("mid", F.concat_ws(":", "channel", "m.ts"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("string")
     topic = F.coalesce(F.get_json_object("c.topic", "$.value"), F.col("c.topic"))
     said = lambda body: _payload(id=F.col("mid"), channel=F.col("channel"), ts=F.col("m.ts"), user=F.col("m.user"), text=body, reactions=F.coalesce(F.to_json("m.reactions"), F.lit("[]")))
     reactions = messages.select("channel", "mid", "m", F.explode("m.reactions").alias("r"))
-    edits = messages.withColumn("e", F.explode("edits")).filter(F.concat_ws(":", "e.channel", "e.ts") == F.col("mid"))
+    edited = raw.select(F.explode("edits").alias("e")).withColumn("mid", F.concat_ws(":", "e.channel", "e.ts"))
+    edits = messages.join(edited, "mid")
     message = {"entity_type": "message", "entity_id": F.col("mid"), **base}
     return _union([
         log.upsert_entity(users, entity_type="user", entity_id=F.col("u.id"), valid_at=F.col("anchor"), payload=_payload(id=F.col("u.id"), name=F.col("u.name"), real_name=F.col("u.real_name"), tz=F.col("u.tz"), is_admin=flag(F.col("u.is_admin"))), provenance={"source": "slack.users.list"}, **base),
@@ -132,7 +135,16 @@ def build(name: str) -> Callable[..., DataFrame]:
     return REGISTRY[name]
 
 
-def run_sync(spark: SparkSession, name: str, path: str, log_path: str, ingested_at, **options) -> dict[str, int]:
-    """Read a source and append what is new: counts of what it gave and of what was added."""
-    events = build(name)(spark, path, ingested_at, **options)
-    return {"emitted": events.count(), "new": log.append(spark, events, log_path)}
+def run_sync(spark: SparkSession, name: str, path: str, log_path: str, ingested_at, cursors: Cursors | None = None, force: bool = False, **options) -> dict[str, int]:
+    """Read a source and append what is new: counts of what it gave and of what was added.
+
+    With ``cursors`` a calendar goes on behind its last token and keeps the new one once its events are in the log;
+    ``force`` reads everything again.
+    """
+    if cursors and name == "gcal" and not force:
+        options["after_token"] = cursors.get(name, "events")
+    events = tables.stash(build(name)(spark, path, ingested_at, **options), "synced")
+    counts = {"emitted": events.count(), "new": log.append(spark, events, log_path)}
+    if cursors and name == "gcal":
+        cursors.set(name, "events", last_token(spark, path), ingested_at)
+    return counts

@@ -41,10 +41,26 @@ def arguments(raw: Column) -> Column:
     return F.when(raw.isNull(), F.create_map().cast("map<string,string>")).when(F.startswith(F.ltrim(raw), F.lit("{")) & is_json, parsed).otherwise(other)
 
 
+def file_stem(path: Column) -> Column:
+    """A file's name without its folders and its ending."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def preferred(transcripts: tuple[DataFrame, DataFrame], captures: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(runs, spans): transcripts, and captures of hooks for the sessions (groups) that have none."""
+    (runs, spans), (more, more_spans) = transcripts, captures
+    more = more.join(runs.select("group_id"), "group_id", "left_anti").select(*runs.columns)
+    return runs.unionByName(more), spans.unionByName(more_spans.join(more.select("trace_id"), "trace_id", "left_semi"))
+
+
 def _finish(rows: DataFrame, agent: str, workflow: str = "operational_assistant") -> tuple[DataFrame, DataFrame]:
-    """(runs, spans) from rows (session, group_id, ord, span, seen): a root span, positions, ids and references."""
+    """(runs, spans) from rows (session, group_id, ord, span, seen): a root span, positions, ids and references.
+
+    A run is told by its agent, its group and its first time: by no path, so a moved file is the same run, and a
+    capture of hooks meets the transcript of its session.
+    """
     bounds = rows.groupBy("session").agg(F.first("group_id", ignorenulls=True).alias("group_id"), F.min("seen").alias("started_at"), F.max("seen").alias("ended_at"), (F.count("span") + 1).alias("n_spans"))
-    trace = ids.new_id("trace", agent=F.lit(agent), workflow_name=F.lit(workflow), group_id=F.col("group_id"), session=F.col("session"), started_at=ids.to_iso(F.col("started_at")))
+    trace = ids.new_id("trace", agent=F.lit(agent), workflow_name=F.lit(workflow), group_id=F.col("group_id"), started_at=ids.to_iso(F.col("started_at")))
     runs = bounds.withColumn("trace_id", trace)
     order = Window.partitionBy("session").orderBy("ord")
     body = rows.filter("span is not null").withColumn("pos", F.row_number().over(order)).select("session", "pos", "span.*")
@@ -67,7 +83,7 @@ def _span(kind: Column, name: Column, seen: Column, tool: Column | None = None,
 
 
 def block_transcripts(spark: SparkSession, path: str, agent: str = "assistant", group_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(runs, spans) of JSON Lines transcripts whose messages hold typed blocks; a file is a session.
+    """(runs, spans) of JSON Lines transcripts whose messages hold typed blocks; a file is a session and names its group.
 
     A tool use is paired with the first result of its id by a join within the session; user text and assistant text are
     spans of their own.
@@ -84,14 +100,15 @@ def block_transcripts(spark: SparkSession, path: str, agent: str = "assistant",
         .when((F.col("b.type") == "text") & (F.col("role") == "user"), _span(F.lit("user"), F.lit("user_message"), F.col("seen"), said=F.col("b.text")))
         .when((F.col("b.type") == "text") & (F.col("role") == "assistant"), _span(F.lit("llm"), F.lit("assistant_message"), F.col("seen"), out=F.col("b.text")))
     )
-    return _finish(joined.select("session", F.lit(group_id).cast("string").alias("group_id"), "ord", "seen", span.alias("span")), agent)
+    group = F.coalesce(F.lit(group_id).cast("string"), file_stem(F.col("session")))
+    return _finish(joined.select("session", group.alias("group_id"), "ord", "seen", span.alias("span")), agent)
 
 
 def item_transcripts(spark: SparkSession, path: str, agent: str = "coder", group_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(runs, spans) of session objects with an ``items`` list of messages and calls; a file is a session."""
     item = "struct<type:string,role:string,timestamp:string,content:string,name:string,arguments:string,output:string>"
     raw = spark.read.schema(f"id string, items array<{item}>").option("multiLine", True).json(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("session"), F.coalesce(F.lit(group_id).cast("string"), "id").alias("group_id"), F.posexplode("items").alias("ord", "i")).withColumn("seen", parse_time(F.col("i.timestamp")))
+    rows = raw.select(F.col("_metadata.file_path").alias("session"), F.coalesce(F.lit(group_id).cast("string"), "id", file_stem(F.col("_metadata.file_path"))).alias("group_id"), F.posexplode("items").alias("ord", "i")).withColumn("seen", parse_time(F.col("i.timestamp")))
     said, args = text_of(F.col("i.content")), arguments(F.col("i.arguments"))
     name = F.coalesce("i.name", F.lit("tool"))
     span = (

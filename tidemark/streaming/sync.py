@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+import time
+from collections.abc import Callable
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import log
 
+logger = logging.getLogger(__name__)
 FINAL_EVENTS = ["Stop", "SessionEnd"]
+BUCKETS = 256
 CAPTURE_SCHEMA = "session_id string, hook_event_name string, received_at timestamp, prompt string, tool_name string, tool_input string, tool_response string"
 
 
@@ -29,6 +37,19 @@ def start_sync(events: DataFrame, log_path: str, checkpoint: str, interval: str
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def keep_syncing(start: Callable[[], StreamingQuery], attempts: int = 5, wait_seconds: float = 60) -> None:
+    """Run a stream until it ends by itself; after a failure it is logged and started again from its checkpoint."""
+    for attempt in range(1, attempts + 1):
+        try:
+            start().awaitTermination()
+            return
+        except StreamingQueryException as failure:
+            logger.error("sync failed, attempt %d of %d: %s", attempt, attempts, failure)
+            if attempt == attempts:
+                raise
+            time.sleep(wait_seconds)
+
+
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(CAPTURE_SCHEMA).json(path)
 
@@ -36,16 +57,18 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 def start_sessions(captures: DataFrame, finished_path: str, checkpoint: str, store_path: str):
     """Collect hook events and, when a session's closing event arrives, write the session's events as finished.
 
-    Events are kept in a table by session; a session is finished in the batch that brings its closing event, with all
-    that came before. A session that closes twice is written again and the richer capture wins downstream.
+    Events are kept in a table dealt by a hash of the session into BUCKETS folders, and only those of the sessions that
+    close are read. A session is finished in the batch that brings its closing event, with all that came before. A session that closes twice is written again and the richer capture wins downstream.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(store_path)
-        held = spark.read.parquet(store_path)
-        closed = batch.filter(F.col("hook_event_name").isin(FINAL_EVENTS)).select("session_id").distinct()
-        done = held.join(closed, "session_id", "left_semi").dropDuplicates([c for c in held.columns if c != "batch"])
+        dealt = batch.withColumn("batch", F.lit(number)).withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int"))
+        dealt.write.mode("append").partitionBy("bucket").parquet(store_path)
+        closed = dealt.filter(F.col("hook_event_name").isin(FINAL_EVENTS)).select("session_id", "bucket").distinct()
+        buckets = [r["bucket"] for r in closed.select("bucket").distinct().collect()]  # BUCKETS rows at most
+        held = spark.read.parquet(store_path).filter(F.col("bucket").isin(buckets)).drop("bucket")
+        done = held.join(closed.select("session_id"), "session_id", "left_semi").dropDuplicates([c for c in held.columns if c != "batch"])
         done.withColumn("finished_in", F.lit(number)).write.mode("append").parquet(finished_path)
 
     return captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
