@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidemark
-from tidemark.functions import ids
-from tidemark.operators import fold, log, snapshots, traces
+from tidemark.operators import fold, log, memory, replay, reports, retrieve, snapshots, stores, traces
 from tidemark.session import Config, open_session
+from tidemark.sources import files
+from tidemark.tables import stash
 
 
 def show(df: DataFrame, limit: int) -> None:
@@ -48,25 +49,76 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         events = events_of(spark, home)
         show(snapshots.difference(versions_at(events, args.before, args.after), versions_at(events, args.after, args.after)), args.limit)
     elif name == "snapshot create":
-        states = versions_at(events_of(spark, home), args.as_of, args.as_of)
-        at = F.lit(args.as_of).cast("timestamp")
-        row = snapshots.root(states).select(snapshots.snapshot_id(F.col("root"), F.lit(args.app), at, at).alias("snapshot_id"), "root", "entities", ids.to_iso(at).alias("as_of"))
-        row.write.mode("append").parquet(f"{home}/snapshots")
-        show(row, 1)
+        states = fold.materialize(events_of(spark, home), args.as_of, args.as_of, include_deleted=True, app=args.app)
+        kept = stores.Snapshots(stores.Place(spark, home))
+        show(kept.manifest(kept.save(states, args.app, args.as_of, args.as_of, args.now or args.as_of)), 1)
     elif name == "snapshot list":
-        show(spark.read.parquet(f"{home}/snapshots").orderBy(F.col("as_of").desc()), args.limit)
-    elif name == "trace ingest":
+        show(stores.Snapshots(stores.Place(spark, home)).list(), args.limit)
+    elif name == "snapshot show":
+        show(stores.Snapshots(stores.Place(spark, home)).load(args.id), args.limit)
+    elif name == "snapshot diff":
+        kept = stores.Snapshots(stores.Place(spark, home))
+        show(snapshots.difference(kept.load(args.before), kept.load(args.after)), args.limit)
+    elif name in ("trace ingest", "trace hook"):
         from tidemark.sources import transcripts
 
-        read = transcripts.block_transcripts if args.format == "blocks" else transcripts.item_transcripts
-        runs, spans = read(spark, args.path)
-        runs.withColumn("ingested_at", F.lit(args.ingested_at).cast("timestamp")).write.mode("append").parquet(f"{home}/runs")
-        spans.write.mode("append").parquet(f"{home}/spans")
-        print(json.dumps({"runs": runs.count()}))
+        if args.command == "hook":
+            runs, spans = transcripts.captured_runs(transcripts.read_hook_log(spark, args.path))
+        else:
+            runs, spans = (transcripts.block_transcripts if args.format == "blocks" else transcripts.item_transcripts)(spark, args.path)
+        print(json.dumps({"runs": traces.ingest(runs, spans, home, args.ingested_at)}))
     elif name == "trace list":
-        show(traces.richest(spark.read.parquet(f"{home}/runs")).orderBy(F.col("ingested_at").desc(), "trace_id"), args.limit)
+        show(traces.stored_runs(spark, home, args.agent), args.limit)
     elif name == "trace show":
-        show(spark.read.parquet(f"{home}/spans").filter(F.col("trace_id") == args.id).dropDuplicates(["span_id"]).orderBy("pos"), args.limit)
+        show(traces.stored_spans(spark, home, args.id).orderBy("pos"), args.limit)
+    elif name == "memory compile":
+        kept = stores.Memory(stores.Place(spark, home))
+        items, edges = compiled(spark, home, args.now)
+        kept.add(items)
+        kept.add_edges(edges)
+        kept.set_active(items.filter("not active").select("memory_id", "active"), args.now)
+        print(json.dumps({"items": kept.items().count(), "active": kept.items().filter("active").count()}))
+    elif name == "memory list":
+        show(stores.Memory(stores.Place(spark, home)).items().orderBy("memory_id"), args.limit)
+    elif name == "memory retrieve":
+        asked = spark.createDataFrame([(0, args.text)], "query int, text string")
+        found = retrieve.retrieve(asked, *sources_of(spark, home), args.now)
+        show(retrieve.packed(found, args.top_k, args.budget), args.limit)
+    elif name == "memory files":
+        for path in files.write_knowledge(memory.knowledge_files(stores.Memory(stores.Place(spark, home)).items()), args.path):
+            print(path)
+    elif name.startswith("eval "):
+        tasks = files.tasks(spark, args.path).withColumns({c: F.col(c).cast("timestamp") for c in replay.POINT})
+        runs = stash(replay.backtest_memory(tasks, *sources_of(spark, home), events_of(spark, home), args.now), "backtest")
+        print(reports.markdown(runs) if args.command == "run" else reports.html(runs))
+    elif name == "viz timeline":
+        print(reports.timeline(fold.frames(log.history(events_of(spark, home), args.app, args.type, args.id))))
+    elif name == "viz provenance":
+        kept = stores.Memory(stores.Place(spark, home))
+        items, edges = kept.items(), kept.place.read("edges")
+        if args.format == "dot":
+            print(reports.provenance_dot(items, edges))
+        else:
+            print(reports.provenance_text(memory.provenance(items, edges).join(items.select("memory_id", "confidence"), "memory_id")))
+    elif name == "info show":
+        here = {t: stores.Place(spark, home).read(t).count() for t in ("items", "edges", "approvals", "snapshots")}
+        print(json.dumps({"version": tidemark.__version__, "home": home} | here))
+
+
+def compiled(spark: SparkSession, home: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """Items from stored runs and the current state."""
+    spans = traces.stored_spans(spark, home)
+    states = fold.materialize(events_of(spark, home))
+    body = F.coalesce(F.col("payload")["markdown"], F.col("payload")["text"])
+    found = [memory.from_runs(spans), memory.from_sequences(traces.repeated_sequences(traces.tool_sequences(spans))), memory.norm_lines(states.filter(body.isNotNull()), body, F.col("entity_type") == "document", F.col("entity_id"))]
+    return memory.compile_items(found, now)
+
+
+def sources_of(spark: SparkSession, home: str) -> tuple[DataFrame, DataFrame]:
+    """(items, edges) as retrieval takes them: an item is found by its claim."""
+    kept = stores.Memory(stores.Place(spark, home))
+    items = kept.items().select(F.col("memory_id").alias("doc"), F.col("claim").alias("text"), "claim", "namespace", "confidence", "acl", "active", "created_at")
+    return items, kept.place.read("edges")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -82,15 +134,22 @@ def parser() -> argparse.ArgumentParser:
             "log": [("--app",), ("--start",), ("--end",)], "show": [("app",), ("type",), ("id",), ("--as-of",)], "ls": [("--app",), ("--type",), ("--as-of",)],
             "checkout": [("as_of",), ("--app",)], "diff": [("before",), ("after",)],
         },
-        "snapshot": {"create": [("as_of",), ("--app",)], "list": []},
-        "trace": {"ingest": [("path",), ("--format",), ("--ingested-at", True)], "list": [], "show": [("id",)]},
+        "snapshot": {"create": [("as_of",), ("--app",), ("--now",)], "list": [], "show": [("id",)], "diff": [("before",), ("after",)]},
+        "trace": {"ingest": [("path",), ("--format",), ("--ingested-at", True)], "hook": [("path",), ("--ingested-at", True)], "list": [("--agent",)], "show": [("id",)]},
+        "memory": {"compile": [("--now", True)], "list": [], "retrieve": [("text",), ("--now", True)], "files": [("path",)]},
+        "eval": {"run": [("path", "+"), ("--now", True)], "html": [("path", "+"), ("--now", True)]},
+        "viz": {"timeline": [("app",), ("type",), ("id",)], "provenance": [("--format",)]},
+        "info": {"show": []},
     }
     for group, commands in spec.items():
         sub = groups.add_parser(group).add_subparsers(dest="command", required=True)
         for command, options in commands.items():
             p = sub.add_parser(command)
-            for name, *required in options:
-                p.add_argument(name, **({"required": True} if required else {}))
+            for name, *more in options:
+                p.add_argument(name, **({"required": True} if more == [True] else {"nargs": more[0]} if more else {}))
+            if (group, command) == ("memory", "retrieve"):
+                p.add_argument("--top-k", type=int, default=Config.from_env().top_k)
+                p.add_argument("--budget", type=int, default=Config.from_env().token_budget)
     return top
 
 

@@ -83,19 +83,19 @@ def retrieve(queries: DataFrame, items: DataFrame, edges: DataFrame, now, query_
 def packed(found: DataFrame, top_k: int = 5, budget: int = 600, candidates: int = 20) -> DataFrame:
     """(query, used, docs, claims) of what ``retrieve`` gives: the best that fit a budget of tokens, in their order."""
     ranked = top(found, ["query"], "score", "doc", candidates)
-    picked = ranked.groupBy("query").agg(pack(F.collect_list(F.struct("rank", "doc", "cost")), top_k, budget).alias("p"), F.map_from_entries(F.collect_list(F.struct("doc", "claim"))).alias("m"))
+    picked = ranked.groupBy("query").agg(pack(F.collect_list(F.struct("rank", "doc", "cost")), top_k, budget, found.schema["doc"].dataType.simpleString()).alias("p"), F.map_from_entries(F.collect_list(F.struct("doc", "claim"))).alias("m"))
     return picked.select("query", "p.used", "p.docs", F.transform("p.docs", lambda i: F.col("m")[i]).alias("claims"))
 
 
-def pack(ranked: Column, top_k: int = 5, budget: int = 600) -> Column:
+def pack(ranked: Column, top_k: int = 5, budget: int = 600, id_type: str = "bigint") -> Column:
     """Greedy packing of an array of (rank, doc, cost): what is too dear is skipped, the first always fits, at most top_k."""
-    kind = "struct<used:int,docs:array<bigint>>"
+    kind = f"struct<used:int,docs:array<{id_type}>>"
 
     def step(acc: Column, x: Column) -> Column:
         fits = (F.size(acc["docs"]) < top_k) & ((acc["used"] + x["cost"] <= budget) | (F.size(acc["docs"]) == 0))
         return F.when(fits, F.struct((acc["used"] + x["cost"]).alias("used"), F.concat(acc["docs"], F.array(x["doc"])).alias("docs"))).otherwise(acc).cast(kind)
 
-    return F.aggregate(F.array_sort(ranked), F.struct(F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("docs")).cast(kind), step)
+    return F.aggregate(F.array_sort(ranked), F.struct(F.lit(0).alias("used"), F.array().cast(f"array<{id_type}>").alias("docs")).cast(kind), step)
 
 
 def knapsack(items: DataFrame, budget: int, exact_budget: int = 5000, exact_items: int = 200) -> DataFrame:

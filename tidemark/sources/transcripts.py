@@ -119,6 +119,13 @@ def item_transcripts(spark: SparkSession, path: str, agent: str = "coder", group
     return _finish(rows.select("session", "group_id", "ord", "seen", span.alias("span")), agent)
 
 
+def read_hook_log(spark: SparkSession, path: str) -> DataFrame:
+    """Captured events from JSON Lines that hooks have appended, numbered by their time."""
+    raw = spark.read.schema("session_id string, hook_event_name string, received_at string, prompt string, tool_name string, tool_input string, tool_response string").json(path)
+    at = parse_time(F.col("received_at"))
+    return raw.select("session_id", F.row_number().over(Window.partitionBy("session_id").orderBy(at, "hook_event_name")).alias("n"), F.col("hook_event_name").alias("name"), at.alias("received_at"), "prompt", "tool_name", "tool_input", "tool_response")
+
+
 def captured_runs(captures: DataFrame, agent: str = "assistant") -> tuple[DataFrame, DataFrame]:
     """(runs, spans) of captured hook events (session_id, n, name, received_at, prompt, tool_name, tool_input, tool_response).
 
