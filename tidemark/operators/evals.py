@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring, text
+from tidemark.tables import carried, range_dealt
 
 LCG_A, LCG_C, LCG_MASK, LCG_SEED = 1103515245, 12345, 0x7FFFFFFF, 12345
 SLICE_DRAWS = 1 << 20
@@ -108,11 +109,13 @@ def percentiles(values: DataFrame, value: str, qs: list[float], by: list[str]) -
 def wilcoxon(deltas: DataFrame, delta: str = "delta") -> DataFrame:
     """(statistic, n, z): signed ranks with average ranks for ties, zeros dropped, normal approximation.
 
-    Ties are counted first; ranks come from running counts over distinct sizes, so equal sizes cost one row each.
+    Ties are counted first, so equal sizes cost one row. Sizes are dealt by ranges, and a range's ranks begin behind the
+    count of all ranges before it.
     """
     sizes = deltas.filter(F.col(delta) != 0).groupBy(F.abs(delta).alias("size")).agg(F.sum(F.when(F.col(delta) > 0, 1).otherwise(0)).alias("up"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("rank", before + (F.col("n") + 1) / 2)
+    dealt = range_dealt(sizes, "size")
+    before = F.col("base") + F.coalesce(F.sum("n").over(Window.partitionBy("pid").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = dealt.join(F.broadcast(carried(dealt, base=F.col("n"))), "pid").withColumn("rank", before + (F.col("n") + 1) / 2)  # a row a partition
     sums = ranked.agg(F.sum(F.col("rank") * F.col("up")).alias("plus"), F.sum(F.col("rank") * (F.col("n") - F.col("up"))).alias("minus"), F.sum("n").alias("n"))
     n = F.col("n")
     return sums.select(F.least("plus", "minus").alias("statistic"), "n", F.round((F.least("plus", "minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24), 6).alias("z"))

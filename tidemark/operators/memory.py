@@ -147,13 +147,18 @@ def structured_facts(users: DataFrame, channels: DataFrame, documents: DataFrame
 def contradictions(items: DataFrame, overlap: float = OVERLAP_FROM) -> DataFrame:
     """(a, b, overlap): items of one subject with opposite polarity that share a topic; a is the smaller id.
 
-    Items are split by polarity and meet on a topic token they share, not all with all of their subject.
+    Items are split by polarity and meet on their rare tokens: sets that overlap by a share must have one of the rarest
+    in common, so of n tokens only the first n - ceil(share * n) + 1, by how often their subject holds them, are joined.
     """
-    marked = items.select("memory_id", "namespace", F.coalesce("subject", F.lit("")).alias("subject"), text.positive(F.col("claim")).alias("pos"), F.array_distinct(text.topic_tokens(F.col("claim"))).alias("t"))
-    each = marked.withColumn("token", F.explode("t"))
-    yes, no = each.filter("pos"), each.filter("not pos")
-    met = yes.select("namespace", "subject", "token", F.col("memory_id").alias("x"), F.size("t").alias("nx")).join(no.select("namespace", "subject", "token", F.col("memory_id").alias("y"), F.size("t").alias("ny")), ["namespace", "subject", "token"])
-    shared = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("both")).withColumn("overlap", F.col("both") / (F.col("nx") + F.col("ny") - F.col("both")))
+    of = ["namespace", "subject"]
+    marked = items.select("memory_id", "namespace", F.coalesce("subject", F.lit("")).alias("subject"), text.positive(F.col("claim")).alias("pos"), F.array_distinct(text.topic_tokens(F.col("claim"))).alias("t")).filter(F.size("t") > 0)
+    each = marked.select("memory_id", "pos", *of, F.explode("t").alias("token"))
+    often = each.groupBy(*of, "token").agg(F.count("*").alias("often"))
+    ordered = each.join(often, [*of, "token"]).groupBy("memory_id", "pos", *of).agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("t"))
+    rare = ordered.withColumn("token", F.explode(F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * F.lit(overlap) - 1e-9).cast("int") + 1)))
+    side = lambda test, name: rare.filter(test).select(*of, "token", F.col("memory_id").alias(name), F.col("t").alias(f"t_{name}"))
+    met = side(F.col("pos"), "x").join(side(~F.col("pos"), "y"), [*of, "token"]).filter(F.size("t_x") >= overlap * F.size("t_y") - 1e-9).filter(F.size("t_y") >= overlap * F.size("t_x") - 1e-9)
+    shared = met.dropDuplicates(["x", "y"]).withColumn("overlap", text.jaccard(F.col("t_x"), F.col("t_y")))
     return shared.filter(F.col("overlap") >= overlap).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap")
 
 

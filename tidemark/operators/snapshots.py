@@ -9,18 +9,21 @@ from tidemark.functions import ids
 from tidemark.operators.log import KEY
 
 
-def entity_ref(keys: list[str] | None = None):
-    return F.concat_ws(":", *(keys or KEY))
-
-
 def versions(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, version_hash): SHA-256 of the state's canonical JSON, tombstones too."""
+    """(keys, version_hash): SHA-256 of the canonical JSON of the key, payload, edges and deletion, tombstones too."""
     keys = keys or KEY
-    edges = F.to_json(F.array_sort(F.map_entries("edges"))) if "edges" in states.columns else F.lit("[]")
-    body = F.concat_ws("|", entity_ref(keys), ids.canonical_map(F.col("payload")), edges, F.col("deleted").cast("string"))
+    edges = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("edges")))) if "edges" in states.columns else F.lit("{}")
+    key = F.to_json(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    body = F.concat(F.lit('{"deleted":'), F.col("deleted").cast("string"), F.lit(',"edges":'), edges, F.lit(',"key":'), key, F.lit(',"payload":'), ids.canonical_map(F.col("payload")), F.lit("}"))
     return states.select(*keys, "deleted", ids.sha256_hex(body).alias("version_hash"))
 
 
+def plain_root(hashes: DataFrame) -> DataFrame:
+    """One row (root, entities): SHA-256 of the canonical JSON list of all hashes in order, for snapshots whose hashes fit one row."""
+    listed = hashes.agg(F.array_sort(F.collect_list("version_hash")).alias("h"))
+    return listed.select(F.sha2(F.encode(F.to_json("h"), "UTF-8"), 256).alias("root"), F.size("h").cast("bigint").alias("entities"))
+
+
 def root(hashes: DataFrame) -> DataFrame:
     """One row (root, entities): a set hash that needs no order.
 

@@ -158,6 +158,11 @@ def snapshot_root(spark, d):
     return snapshots.root(_versions(spark, d, VALID, INGESTED))
 
 
+@query
+def snapshot_plain_root(spark, d):
+    return snapshots.plain_root(_versions(spark, d, VALID, INGESTED))
+
+
 @query
 def snapshot_diff(spark, d):
     return snapshots.difference(_versions(spark, d, POINTS[0][1], POINTS[0][2]), _versions(spark, d, VALID, INGESTED)).select("entity_id", "change")

@@ -49,7 +49,8 @@ def fold(seen: str = SEEN) -> str:
 
 
 def versions(seen: str) -> str:
-    body = """concat_ws('|', 'events:user:' || entity_id, CASE WHEN event_type IS NULL THEN '{}' ELSE '{"event_type":"' || event_type || '","k":"' || k || '","value":"' || value || '"}' END, '[]', CAST(deleted AS VARCHAR))"""
+    payload = """CASE WHEN event_type IS NULL THEN '{}' ELSE '{"event_type":"' || event_type || '","k":"' || k || '","value":"' || value || '"}' END"""
+    body = f"""'{{"deleted":' || CAST(deleted AS VARCHAR) || ',"edges":{{}},"key":["events","user","' || entity_id || '"],"payload":' || {payload} || '}}'"""
     return f"SELECT entity_id, deleted, sha256({body}) AS version_hash FROM ({fold(seen)})"
 
 
@@ -169,6 +170,7 @@ ORACLE_SQL: dict[str, str] = {
     "activity_windows": f"WITH {EV} SELECT strftime(date_trunc('day', ingested_at)::TIMESTAMP, {ISO}) AS day, op, count(*) AS n FROM ev GROUP BY ALL",
     "snapshot_versions": f"WITH {EV} SELECT entity_id, version_hash FROM ({versions(SEEN)})",
     "snapshot_root": f"WITH {EV}, v AS ({versions(SEEN)}), p AS (SELECT substr(version_hash, 1, 4) AS p, sha256(string_agg(version_hash, '' ORDER BY version_hash)) AS h, count(*) AS n FROM v GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY p)) AS root, CAST(sum(n) AS BIGINT) AS entities FROM p",
+    "snapshot_plain_root": f"""WITH {EV}, v AS ({versions(SEEN)}) SELECT sha256('["' || string_agg(version_hash, '","' ORDER BY version_hash) || '"]') AS root, count(*) AS entities FROM v""",
     "snapshot_diff": f"WITH {EV}, a AS ({versions("valid_at <= TIMESTAMP '2024-01-05' AND ingested_at <= TIMESTAMP '2024-01-06'")}), b AS ({versions(SEEN)}), j AS (SELECT coalesce(x.entity_id, y.entity_id) AS entity_id, x.version_hash AS o, y.version_hash AS n FROM (FROM a WHERE NOT deleted) x FULL JOIN (FROM b WHERE NOT deleted) y ON x.entity_id = y.entity_id) SELECT entity_id, CASE WHEN o IS NULL THEN 'created' WHEN n IS NULL THEN 'deleted' ELSE 'updated' END AS change FROM j WHERE o IS DISTINCT FROM n",
     "blob_dedup": "SELECT DISTINCT sha256(text) AS hash, substr(sha256(text), 1, 2) AS prefix2, CAST(strlen(text) AS INTEGER) AS size FROM documents",
     "blob_put": "SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",

@@ -1,4 +1,4 @@
-"""Tables of the engine's own: the cluster's shared folder, and results that are written there to end their lineage."""
+"""Tables of the engine's own: the cluster's shared folder, results that are written there, and sweeps over sorted ranges."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,3 +92,19 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def range_dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows by ranges of ``keys`` and keep each row's partition as ``pid``, written down so that it stays put.
+
+    The keys should tell rows apart: then a frequent leading key is split over several partitions.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    return stash(df.repartitionByRange(n, *keys).withColumn("pid", F.spark_partition_id()), "ranges")
+
+
+def carried(dealt: DataFrame, **sums: Column) -> DataFrame:
+    """One row per ``pid`` with, for each named sum, its total over all earlier pids (as many rows as partitions)."""
+    parts = dealt.groupBy("pid").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"own_{name}") for name, c in sums.items()])
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("pid", *[F.coalesce(F.sum(f"own_{name}").over(before), F.lit(0)).alias(name) for name in sums])
