@@ -1,29 +1,10 @@
-"""Shared building blocks: sweeps over range partitions, and memory of Python workers. Written tables are the engine's."""
+"""Shared building blocks: the engine's tables and sweeps, and memory of Python workers."""
 
 from __future__ import annotations
 
 import ctypes
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from tidemark.tables import exists, fresh_path, scratch, shared_dir, shuffle_partitions, stash  # noqa: F401
-
-
-def range_dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows by ranges of ``keys`` and keep each row's partition as ``pid``, written down so that it stays put.
-
-    The keys should tell rows apart: then a frequent leading key is split over several partitions.
-    """
-    n = shuffle_partitions(df.sparkSession)
-    return stash(df.repartitionByRange(n, *keys).withColumn("pid", F.spark_partition_id()), "ranges")
-
-
-def carried(dealt: DataFrame, **sums: Column) -> DataFrame:
-    """One row per ``pid`` with, for each named sum, its total over all earlier pids (as many rows as partitions)."""
-    parts = dealt.groupBy("pid").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"own_{name}") for name, c in sums.items()])
-    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select("pid", *[F.coalesce(F.sum(f"own_{name}").over(before), F.lit(0)).alias(name) for name in sums])
+from tidemark.tables import carried, exists, fresh_path, range_dealt, scratch, shared_dir, shuffle_partitions, stash  # noqa: F401
 
 
 def release_memory() -> None:
