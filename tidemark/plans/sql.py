@@ -321,3 +321,26 @@ ORACLE_SQL["policy_actions"] = _DONE + " SELECT * FROM done"
 ORACLE_SQL["judged_runs"] = _DONE + """,
 j AS (SELECT task_id, condition, CASE WHEN tool = 'gcal.create_event' AND contains(lower(args), 'united') THEN 1.0 ELSE 0.0 END::DOUBLE AS o, CASE WHEN tool = 'slack.send_dm' THEN 0.0 ELSE 1.0 END::DOUBLE AS v, CASE WHEN condition = 'with_memory' THEN 1.0 ELSE 0.0 END::DOUBLE AS r FROM done)
 SELECT task_id, condition, o AS task_outcome, v AS action_validity, r AS memory_retrieval, round(0.4 * o + 0.2 * r + 0.2 * o + 0.2 * v, 4) AS total, round((0.4 * o + 0.2 * v) / 0.6, 4) AS outcome_score, o = 1 AND v = 1 AS success FROM j"""
+
+# Gradient steps, an example a step in the stated order; the state holds the weights.
+_STEPS = "1 / (1 + exp(-greatest(-60, least(60, z))))"
+ORACLE_SQL["usefulness_model"] = f"""WITH RECURSIVE {IT},
+x AS (SELECT list({{'t': type = 'procedural', 'n': namespace, 'c': confidence, 'r': 1.0::DOUBLE / (n % 7 + 1), 'y': CASE WHEN active THEN 1.0 ELSE 0.0 END::DOUBLE}} ORDER BY n) AS ex FROM it),
+s(k, b, wp, ws, wu, wt, wj, wc, wr) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, b - d, CASE WHEN e.t THEN wp - d ELSE wp END, CASE WHEN e.t THEN ws ELSE ws - d END, CASE WHEN e.n = 'user' THEN wu - d ELSE wu END, CASE WHEN e.n = 'team' THEN wt - d ELSE wt END, CASE WHEN e.n = 'project' THEN wj - d ELSE wj END, wc - d * e.c, wr - d * e.r
+  FROM (SELECT *, 0.1::DOUBLE * ({_STEPS} - e.y) AS d FROM (SELECT *, b + (CASE WHEN e.t THEN wp ELSE ws END + CASE e.n WHEN 'user' THEN wu WHEN 'team' THEN wt ELSE wj END + wc * e.c + wr * e.r) AS z FROM (SELECT s.*, ex[(k % len(ex)) + 1] AS e FROM s, x WHERE k < 20 * len(ex))))),
+f AS (FROM s ORDER BY k DESC LIMIT 1),
+w AS (SELECT unnest(['', 'confidence', 'inv_rank', 'ns=project', 'ns=team', 'ns=user', 'type=procedural', 'type=semantic']) AS feature, unnest([b, wc, wr, wj, wt, wu, wp, ws]) AS weight FROM f)
+SELECT feature, round(weight, 6) AS weight FROM w WHERE feature = '' OR feature IN ('confidence', 'inv_rank') OR feature IN (SELECT 'ns=' || namespace FROM it UNION ALL SELECT 'type=' || type FROM it)"""
+ORACLE_SQL["router_model"] = f"""WITH RECURSIVE {PR}, t AS (SELECT task_id, regexp_extract_all(lower(prompt), '[a-z0-9]+') AS t FROM pr),
+v AS (SELECT list(DISTINCT w ORDER BY w) AS v FROM (SELECT unnest(t) AS w FROM t)),
+x AS (SELECT list({{'c': list_transform(v, lambda w: len(list_filter(t, lambda u: u = w))::DOUBLE), 'n': CASE WHEN task_id % 2 = 0 THEN 'user' ELSE 'team' END}} ORDER BY task_id) AS ex FROM t, v),
+s(model, k, b, w) AS (
+  SELECT unnest(['user', 'team', 'project', 'app_state']), 0, 0.0::DOUBLE, list_transform(v, lambda x: 0.0::DOUBLE) FROM v
+  UNION ALL
+  SELECT model, k + 1, b - d, list_transform(list_zip(w, e.c), lambda p: p[1] - d * p[2])
+  FROM (SELECT *, 0.2::DOUBLE * ({_STEPS} - CASE WHEN e.n = model THEN 1.0 ELSE 0.0 END) AS d FROM (SELECT *, b + list_inner_product(w, e.c) AS z FROM (SELECT s.*, ex[(k % len(ex)) + 1] AS e FROM s, x WHERE k < 30 * len(ex))))),
+f AS (SELECT model, arg_max(b, k) AS b, arg_max(w, k) AS w FROM s GROUP BY model)
+SELECT model, unnest(list_prepend('', v)) AS feature, round(unnest(list_prepend(b, w)), 6) AS weight FROM f, v"""
