@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import tables
 from tidemark.functions import text
 from tidemark.operators import evals, fold, log, memory, replay, reports, stores, traces
-from tidemark.sources import connectors, transcripts
+from tidemark.sources import connectors, files, transcripts
 from tidemark.streaming import sync
 
 
@@ -114,6 +114,22 @@ def test_richer_capture_replaces_the_thinner_ones_spans(spark, tmp_path):
     assert spark.read.parquet(f"{home}/blobs").first()["body"] == "x" * 50
 
 
+def test_knowledge_goes_to_any_file_system(spark, tmp_path):
+    root = f"file://{tmp_path}/kb"
+    assert files.write_knowledge(spark.createDataFrame([("a/b.md", "- é")], "path string, body string"), root) == ["a/b.md"]
+    assert files.read_knowledge(spark, root).first()["body"] == "- é\n"
+    files.write_provenance(spark.createDataFrame([("m", "c", ["supports n"])], "memory_id string, claim string, relations array<string>"), root)
+    assert [tuple(r) for r in files.read_provenance(spark, root).collect()] == [("m", "c", ["supports n"])]
+
+
+def test_a_deleted_edge_leaves_an_empty_kind(spark):
+    at = lambda k: F.lit(f"2026-01-0{k}").cast("timestamp")
+    one = spark.range(1)
+    edge = lambda f, k: f(one, app="a", entity_type="t", entity_id=F.lit("x"), valid_at=at(k), ingested_at=at(k), edge_kind="member", edge_target=F.lit("y")).withColumn("seq", F.lit(k).cast("bigint"))
+    events = edge(log.upsert_edge, 1).unionByName(edge(log.delete_edge, 2))
+    assert fold.materialize(events, "2026-01-01").first()["edges"] == {"member": ["y"]} and fold.materialize(events).first()["edges"] == {"member": []}
+
+
 def test_failed_syncs_start_again(monkeypatch):
     class Query:
         def __init__(self, fails):

@@ -85,8 +85,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         found = retrieve.retrieve(asked, *sources_of(spark, home), args.now)
         show(retrieve.packed(found, args.top_k, args.budget), args.limit)
     elif name == "memory files":
-        for path in files.write_knowledge(memory.knowledge_files(stores.Memory(stores.Place(spark, home)).items()), args.path):
-            print(path)
+        kept = stores.Memory(stores.Place(spark, home))
+        written = files.write_knowledge(memory.knowledge_files(kept.items()), args.path)
+        written.append(files.write_provenance(memory.provenance(kept.items(), kept.place.read("edges")), args.path))
+        print("\n".join(written))
     elif name.startswith("eval "):
         tasks = files.tasks(spark, args.path).withColumns({c: F.col(c).cast("timestamp") for c in replay.POINT})
         runs = stash(replay.backtest_memory(tasks, *sources_of(spark, home), events_of(spark, home), args.now), "backtest")

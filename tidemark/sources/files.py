@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.tables import write_text
+
 TASK_SCHEMA = (
     "task_id string, title string, prompt string, as_of_valid string, as_of_ingest string, memory_expected array<string>, "
     "expected array<struct<app:string,action:string,fields:array<struct<name:string,value:string,contains:boolean>>>>, forbidden array<string>, max_writes int"
@@ -43,15 +45,24 @@ def memory_seed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_knowledge(files: DataFrame, root: str) -> list[str]:
-    """Write (path, body) rows below a folder of this machine, streamed a partition at a time; returns the paths."""
+    """Write (path, body) rows below a folder of any file system that Spark knows, streamed a partition at a time; returns the paths."""
     written = []
     for row in files.toLocalIterator():
-        at = Path(root, row["path"])
-        at.parent.mkdir(parents=True, exist_ok=True)
-        at.write_text(row["body"] + "\n", encoding="utf-8")
+        write_text(files.sparkSession, f"{root.rstrip('/')}/{row['path']}", row["body"] + "\n")
         written.append(row["path"])
     return sorted(written)
 
 
 def read_knowledge(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root).selectExpr("_metadata.file_path as path", "value as body")
+
+
+def write_provenance(linked: DataFrame, root: str) -> str:
+    """Write each item with its relations (memory_id, claim, relations) as JSON lines beside the files; returns the folder."""
+    at = f"{root.rstrip('/')}/provenance"
+    linked.select("memory_id", "claim", "relations").write.mode("overwrite").json(at)
+    return at
+
+
+def read_provenance(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema("memory_id string, claim string, relations array<string>").json(f"{root.rstrip('/')}/provenance")

@@ -55,6 +55,16 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    """One small file, by the file system of the path, in place of what was there."""
+    fs, at = _at(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(body.encode()))
+    finally:
+        out.close()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Gives a ``stash`` whose tables stay; every other table made inside the block is deleted at its end.
