@@ -97,7 +97,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
 
     Size is the text's UTF-8 bytes (a null text: none) plus 1, and the CRC of a null text is that of an empty one.
     Null and empty texts are one group, as equal texts are. Ties and repeated rows get slots of their own, in an
-    arbitrary order among equal rows. An empty table gives an empty result. ``grown_shard`` is null under this law.
+    arbitrary order among equal rows. Null ids come first among equal texts. Texts of any length are hashed whole. Other
+    columns are not read, whatever their names. An empty table gives an empty result. ``grown_shard`` is null under this law.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
