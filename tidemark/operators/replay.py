@@ -154,11 +154,11 @@ def inject_faults(calls: DataFrame, faults: DataFrame) -> DataFrame:
     per_tool = F.row_number().over(Window.partitionBy("run_id", "tool").orderBy("pos"))
     overall = F.row_number().over(Window.partitionBy("run_id").orderBy("pos"))
     counted = calls.withColumn("tool_call", per_tool).withColumn("any_call", overall)
-    f = faults.select("fault_no", "tool", "on_call", F.col("kind").alias("fault"))
-    of_tool = counted.join(f.withColumnRenamed("on_call", "tool_call"), ["tool", "tool_call"])
-    of_any = counted.join(f.filter("tool is null").select("fault_no", F.col("on_call").alias("any_call"), "fault"), "any_call")
-    struck = of_tool.select("run_id", "pos", "fault", "fault_no").unionByName(of_any.select("run_id", "pos", "fault", "fault_no")).groupBy("run_id", "pos").agg(F.min_by("fault", "fault_no").alias("fault"))
-    return counted.join(struck, ["run_id", "pos"], "left").select("run_id", "pos", "tool", "fault")
+    first = lambda rows, name, *by: rows.groupBy(*by).agg(F.min(F.struct("fault_no", "kind")).alias(name))
+    of_tool = first(faults.filter("tool is not null"), "by_tool", "tool", F.col("on_call").alias("tool_call"))
+    of_any = first(faults.filter("tool is null"), "by_any", F.col("on_call").alias("any_call"))
+    struck = counted.join(of_tool, ["tool", "tool_call"], "left").join(of_any, "any_call", "left")
+    return struck.select("run_id", "pos", "tool", F.least("by_tool", "by_any")["kind"].alias("fault"))
 
 
 def fault_result(fault: Column, tool: Column) -> Column:
