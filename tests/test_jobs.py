@@ -165,6 +165,10 @@ def test_backtest_with_retrieval_and_its_reports(spark):
     by = {(r["task_id"], r["condition"]): r for r in runs.collect()}
     assert len(by) == 4 and by["t1", "with_memory"]["success"] and not by["t1", "without_memory"]["success"]
     assert by["t2", "with_memory"]["result"] == '["early"]'  # the later channel isn't there yet
+    idle = lambda prompt, memory: F.struct(F.lit("slack.list_channels").alias("tool"), F.create_map().cast("map<string,string>").alias("args"))
+    assert {r["tool"] for r in replay.backtest_memory(tasks, items, edges, events, "2026-02-01", policy=idle).collect()} == {"slack.list_channels"}
+    found = replay.retrieve.retrieve(tasks, items, edges, "2026-02-01", "task_id", "prompt", searches=(replay.retrieve.lexical_top,))
+    assert {(r["query"], r["doc"]) for r in found.collect()} == {("t1", "m1")}
     f = reports.figures(runs)
     assert (f["tasks"], f["win_rate"], f["mean_delta"]) == (2, 0.5, 0.3334) and "| t1 |" in reports.markdown(runs) and 'class="up"' in reports.html(runs)
     packs = spark.createDataFrame([("t1", "b", ["fly united"]), ("t1", "a", ["nothing"]), ("t1", "c", [])], "task_id string, pack string, claims array<string>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,39 +105,41 @@ def execute(calls: DataFrame, states: DataFrame, by: list[str] | None = None) ->
 POINT = ["as_of_valid", "as_of_ingest"]
 
 
-def run_conditions(tasks: DataFrame, mounted: DataFrame, events: DataFrame) -> DataFrame:
+def run_conditions(tasks: DataFrame, mounted: DataFrame, events: DataFrame, policy: Callable[[Column, Column], Column] = decide, judge: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = evals.judge) -> DataFrame:
     """Each task under each condition: what the policy calls, what that returns as of the task's point, and its scores.
 
+    ``policy`` makes a call (tool, args) of a prompt and what memory says; ``judge`` scores tasks by writes and claims.
+
     ``tasks``: task_id, prompt, as_of_valid, as_of_ingest and what ``evals.judge`` asks for. ``mounted``: task_id,
     condition, claims. States are folded once for each point that tasks share, and the reads of a task see its own.
     """
     points = tasks.select(*POINT).distinct()
     seen = events.join(points, (F.col("valid_at") <= F.col(POINT[0])) & (F.col("ingested_at") <= F.col(POINT[1])))
     states = fold.materialize(seen, include_deleted=True, keys=[*POINT, *KEY])
-    run = tasks.select("task_id", "prompt", *POINT).join(mounted, "task_id").withColumn("call", decide(F.col("prompt"), F.array_join("claims", "\n")))
+    run = tasks.select("task_id", "prompt", *POINT).join(mounted, "task_id").withColumn("call", policy(F.col("prompt"), F.array_join("claims", "\n")))
     calls = run.select(F.struct("task_id", "condition").alias("call_id"), *POINT, "call.tool", "call.args")
     done = stash(execute(calls, states, POINT).select("call_id.*", "tool", "args", "result", "is_write"), "runs")
     write = F.struct(F.substring_index("tool", ".", 1).alias("app"), F.col("tool").alias("action"), F.col("args").alias("fields"))
     writes = done.select("task_id", "condition", F.filter(F.array(F.when(F.col("is_write"), write)), lambda w: w.isNotNull()).alias("writes"))
-    return evals.judge(tasks.drop("prompt", *POINT), writes, mounted).join(done.drop("is_write"), ["task_id", "condition"])
+    return judge(tasks.drop("prompt", *POINT), writes, mounted).join(done.drop("is_write"), ["task_id", "condition"])
 
 
-def backtest(tasks: DataFrame, claims: DataFrame, events: DataFrame) -> DataFrame:
+def backtest(tasks: DataFrame, claims: DataFrame, events: DataFrame, **options) -> DataFrame:
     """The paired run: every task without memory and with its claims (task_id, claims)."""
     none = F.array().cast("array<string>")
     both = F.array(F.struct(F.lit("without_memory").alias("condition"), none.alias("claims")), F.struct(F.lit("with_memory").alias("condition"), F.coalesce("claims", none).alias("claims")))
-    return run_conditions(tasks, tasks.select("task_id").join(claims, "task_id", "left").select("task_id", F.explode(both).alias("c")).select("task_id", "c.*"), events)
+    return run_conditions(tasks, tasks.select("task_id").join(claims, "task_id", "left").select("task_id", F.explode(both).alias("c")).select("task_id", "c.*"), events, **options)
 
 
-def backtest_memory(tasks: DataFrame, items: DataFrame, edges: DataFrame, events: DataFrame, now, top_k: int = 5, budget: int = 600) -> DataFrame:
+def backtest_memory(tasks: DataFrame, items: DataFrame, edges: DataFrame, events: DataFrame, now, top_k: int = 5, budget: int = 600, **options) -> DataFrame:
     """The paired run with what retrieval finds for each prompt among the items."""
     found = retrieve.packed(retrieve.retrieve(tasks, items, edges, now, "task_id", "prompt"), top_k, budget)
-    return backtest(tasks, found.select(F.col("query").alias("task_id"), "claims"), events)
+    return backtest(tasks, found.select(F.col("query").alias("task_id"), "claims"), events, **options)
 
 
-def explore(tasks: DataFrame, packs: DataFrame, events: DataFrame) -> DataFrame:
+def explore(tasks: DataFrame, packs: DataFrame, events: DataFrame, **options) -> DataFrame:
     """Runs of every task under each of its packs of claims (task_id, pack, claims), ranked by total, then name, from 0."""
-    runs = run_conditions(tasks, packs.withColumnRenamed("pack", "condition"), events).withColumnRenamed("condition", "pack")
+    runs = run_conditions(tasks, packs.withColumnRenamed("pack", "condition"), events, **options).withColumnRenamed("condition", "pack")
     return runs.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("total"), "pack")) - 1)
 
 

@@ -65,14 +65,15 @@ def current_documents(changes: DataFrame, id_col: str = "id", text_col: str = "t
     return last.filter(~F.col("c.removed")).select(id_col, F.col("c.text").alias(text_col))
 
 
-def retrieve(queries: DataFrame, items: DataFrame, edges: DataFrame, now, query_id: str = "query", query_text: str = "text", candidates: int = 20) -> DataFrame:
+def retrieve(queries: DataFrame, items: DataFrame, edges: DataFrame, now, query_id: str = "query", query_text: str = "text", candidates: int = 20, searches: tuple = (lexical_top, hashed_top)) -> DataFrame:
     """(query, doc, score, claim, cost): every candidate of every query with its rerank score, rounded.
 
     ``items``: doc, text, claim, namespace, confidence, acl, active, created_at. ``edges``: src_id, dst_id, relation of
-    docs. Candidates are the best by terms and by hashed vectors, fused by rank, and what they support one hop on.
+    docs. Candidates are the best of each search (by terms and by hashed vectors), fused by rank, and what they support
+    one hop on. A search takes items, queries, the names of their ids and texts, and k.
     """
     asked = queries.select(F.col(query_id).alias("query"), F.col(query_text).alias("text"))
-    fused = fuse([find(items, asked, "doc", "text", "query", "text", candidates) for find in (lexical_top, hashed_top)])
+    fused = fuse([find(items, asked, "doc", "text", "query", "text", candidates) for find in searches])
     ranked = normalised(expand(fused, edges)).join(items.drop("text"), "doc")
     routes = text.route(F.col("text"))
     prior = asked.select("query", F.create_map(*[x for ns in text.ROUTES for x in (F.lit(ns), routes[ns])]).alias("prior"))
