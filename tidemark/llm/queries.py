@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_text, ngram_join, pieces, pii, quality, secret_scan, sharding, url_filter, warc
+from tidemark.llm import decontaminate, html_text, ngram_join, pieces, pii, quality, runs, secret_scan, sharding, url_filter, warc
 from tidemark.llm.common import fresh_path
 from tidemark.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -70,6 +70,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), F.sha2("starts", 256).alias("spans_sha256"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by a checksum of its id, repeats a part of its words from some word on to its end; ids that are null never."""
+    words, h = quality.words_of(F.coalesce("text", F.lit(""))), F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+
+    def planted(w: Column) -> Column:
+        n, g = F.size(w), F.floor(h / 10)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p))), " ")
+
+    chosen = quality.let(words, lambda w: F.when(F.size(w) > 0, quality.let(w, planted)).otherwise(F.col("text")))
+    return docs.select("doc_id", F.when(h % 10 == 0, chosen).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(runs.detect_runs(with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
@@ -81,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
 }

@@ -161,6 +161,26 @@ d AS (SELECT page_id, url, array_to_string(list_filter(list_transform(parts, lam
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
 """
 
+# Runs as islands of equal five-word windows at one distance; a run inside one of a smaller period has that period.
+PERIODIC_RUNS = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+tab AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n) AS v FROM range(256) r(n))),
+c AS (SELECT r, doc_id, w, len(w) AS n, xor(list_reduce(list_transform(range(0, length(s)), lambda i: CAST(ord(s[i + 1]) AS BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM t, tab),
+a AS (SELECT *, h // 10 AS g, (h // 10) % greatest(n, 1) AS a FROM c),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+f AS (SELECT r, n, i, w[i + 1:i + 5] AS g FROM (SELECT r, n, w, unnest(range(0, n - 4)) AS i FROM d WHERE n >= 6)),
+e AS (SELECT x.r, y.i - x.i AS q, x.i FROM f x JOIN f y ON x.r = y.r AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+k AS (SELECT r, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e) GROUP BY r, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+m AS (SELECT r, q, start, length FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.r = k.r AND o.q < k.q AND o.start <= k.start AND o.start + o.length >= k.start + k.length)),
+s AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines, arg_min({'s': start, 'l': length, 'q': q}, {'o': -length / q, 's': start, 'q': q}) AS best FROM m GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM m),
+left_over AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS body FROM (SELECT r, w[i + 1] AS word, i FROM (SELECT r, w, unnest(range(0, n)) AS i FROM d)) LEFT JOIN gone USING (r, i) WHERE gone.i IS NULL GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period, CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM d LEFT JOIN s USING (r) LEFT JOIN left_over USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": URL_FILTER,
     "op2_decontamination": DECONTAMINATION,
@@ -171,4 +191,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_pii": PII,
     "op8_secret_scan": SECRETS,
     "op9_quality_rules": QUALITY,
+    "op11_periodic_runs": PERIODIC_RUNS,
 }
