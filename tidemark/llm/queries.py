@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_text, ngram_join, pieces, pii, quality, runs, secret_scan, sharding, url_filter, warc
+from tidemark.llm import decontaminate, html_text, ngram_join, packing, pieces, pii, quality, runs, secret_scan, sharding, url_filter, warc
 from tidemark.llm.common import fresh_path
 from tidemark.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -88,6 +88,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(runs.detect_runs(with_planted_runs(_table(spark, sf_dir, "documents"))))
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the public tokenizers, wherever they are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # This tokenizer drops white space, and nothing it does reaches across it.
+    pieces_of = packing.cut_documents(_table(spark, sf_dir, "documents"), tokenizer_path, capacity=4096, end_id=1, by_blanks=True)
+    return packing.pack_pieces(pieces_of, capacity=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
@@ -100,4 +113,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
