@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_text, ngram_join, packing, pieces, pii, quality, runs, secret_scan, sharding, url_filter, warc
+from tidemark.llm import decontaminate, html_text, ngram_join, packing, pieces, pii, quality, runs, secret_scan, sharding, url_filter, warc, whitening
 from tidemark.llm.common import fresh_path
 from tidemark.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -101,6 +101,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(pieces_of, capacity=4096)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
@@ -114,4 +118,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
