@@ -1,11 +1,13 @@
 """Secret scans with an incremental ledger of blobs, with DataFrame functions only.
 
 Every historical version of a text is addressed by its content (SHA-256). The ledger holds, for each blob and version
-of the rules, what a scan found. A run scans only blobs that the ledger lacks at the current version, appends them, and
-joins the findings back to all paths that hold a blob that was known. Texts are scanned where they stand: only hashes
-and spans are shuffled, but for a run whose unseen blobs are too many to broadcast, which must move its texts to them.
-Copies that are new in the same run are each scanned, as finding the first of them would move all texts, and go into
-the ledger once; two runs at a time may both append a blob, and a reader takes one entry of it.
+of the rules, what a scan found. A run scans only blobs that the ledger lacks at the current version, each once however
+many copies are new, appends them, and joins the findings back to all paths that hold a blob: results come out of the
+ledger alone. Two runs at a time may both append a blob, and a reader takes one entry of it.
+
+Texts are scanned where they stand. A row is told by its place, which is its file and its number there: the least place
+of each unseen blob is chosen, and the chosen places go back to the scan as bitmaps, so that only hashes, places and
+spans are shuffled. Bitmaps too large to broadcast make the texts move once.
 
 Null texts count as empty. Repeated rows stay repeated. Texts are scanned whole, also with very many matches. Only the
 id and the text are read, so other columns may have any name but those of this module, which begin with two underscores.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,46 +64,78 @@ def known(spark: SparkSession, ledger: str) -> DataFrame:
     return entries.groupBy("blob").agg(F.first("spans").alias("spans"))
 
 
-def _scanned(rows: DataFrame, text_col: str, ledger: str | None, also: list[str]) -> DataFrame:
-    """The columns ``also`` of ``rows`` with ``__blob`` and ``__spans``; afterwards the ledger has every blob."""
-    spark = rows.sparkSession
-    keyed, text = rows.withColumn("__blob", _blob(F.col(f"`{text_col}`"))), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    old = known(spark, ledger) if ledger and exists(spark, ledger) else None
-    new = F.lit(True)
-    if old is not None:
-        unseen = stash(keyed.select("__blob").distinct().join(old, F.col("__blob") == F.col("blob"), "left_anti").withColumn("__new", F.lit(True)), "unseen")
-        keyed, new = keyed.join(unseen, "__blob", "left"), F.col("__new").isNotNull()
-    done = stash(keyed.withColumn("__spans", F.when(new, find_secrets(text))).select(*[f"`{c}`" for c in also], "__blob", "__spans"), "scanned")
-    fresh = done.filter("__spans is not null").groupBy("__blob").agg(F.first("__spans").alias("spans"))
-    fresh.select(F.col("__blob").alias("blob"), F.lit(RULES_VERSION).alias("rules"), "spans").write.mode("append").parquet(ledger or fresh_path(spark, "secret-ledger"))
-    if old is None:
-        return done
-    found = old.filter(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__known"))
-    return done.join(found, "__blob", "left").withColumn("__spans", F.coalesce("__spans", "__known", F.array().cast(f"array<{SPAN_TYPE}>"))).drop("__known")
+def _placed(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns of ``docs`` by new names, and the place of each row: a hash of its file's path, and its number there.
+
+    Rows that lie in no Parquet file are written to one.
+    """
+    columns = [F.col(f"`{c}`").alias(name) for name, c in names.items()]
+    try:
+        meta = docs.metadataColumn("_metadata")
+        return docs.select(*columns, F.xxhash64(meta["file_path"]).alias("__file"), meta["row_index"].alias("__row"))
+    except AnalysisException:
+        return _placed(stash(docs.select(*columns), "versions"), {name: name for name in names})
+
+
+def _bits(places: DataFrame) -> DataFrame:
+    """(file, bucket, bits): places as bitmaps, of one bit for each row of a file; stored, some bytes for a thousand rows."""
+    of = F.col("__row") + 1  # the functions count from 1
+    return stash(places.groupBy("__file", F.bitmap_bucket_number(of).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(of)).alias("__bits")), "bits")
+
+
+def _marked(placed: DataFrame, bits: DataFrame) -> DataFrame:
+    """``placed`` with ``__set``: whether the bitmaps hold the row. They are broadcast if Spark finds them small enough, so that no text moves."""
+    at = F.bitmap_bit_position(F.col("__row") + 1)
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = placed.withColumn("__bucket", F.bitmap_bucket_number(F.col("__row") + 1)).join(bits, ["__file", "__bucket"], "left")
+    return met.withColumn("__set", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("__bits", "__bucket")
+
+
+def _entered(placed: DataFrame, text_col: str, ledger: str, also: list[str]) -> DataFrame:
+    """Scan what the ledger lacks and append it; gives (file, row, blob) of every row, and the columns ``also``."""
+    spark, text = placed.sparkSession, F.col(f"`{text_col}`")
+    places = stash(placed.select(*also, "__file", "__row", _blob(text).alias("__blob")), "places")
+    first = places.groupBy("__blob").agg(F.min(F.struct("__file", "__row")).alias("__at"))
+    if exists(spark, ledger):
+        first = first.join(known(spark, ledger), F.col("__blob") == F.col("blob"), "left_anti")
+    unseen = _marked(placed, _bits(first.select("__at.*"))).filter("__set")
+    entries = unseen.select(_blob(text).alias("blob"), F.lit(RULES_VERSION).alias("rules"), find_secrets(F.coalesce(text, F.lit(""))).alias("spans"))
+    entries.write.mode("append").parquet(ledger)
+    return places
 
 
 def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, blob, spans) for every row of ``docs``; ``ledger`` is the path of the ledger's table, kept between runs.
+    """(id, blob, spans) for every row of ``docs``, out of the ledger; ``ledger`` is the path of its table, kept between runs.
 
     Without a path the ledger starts empty, in the shared folder. A blob that the ledger has at ``RULES_VERSION`` isn't
     scanned again; a run that dies before its append leaves the ledger as it was, and the next run scans the same pairs.
     """
-    rows = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__text"))
-    return _scanned(rows, "__text", ledger, ["__id"]).select(F.col("__id").alias(id_col), F.col("__blob").alias("blob"), F.col("__spans").alias("spans"))
+    spark, ledger = docs.sparkSession, ledger or fresh_path(docs.sparkSession, "secret-ledger")
+    places = _entered(_placed(docs, {"__id": id_col, "__text": text_col}), "__text", ledger, ["__id"])
+    found = known(spark, ledger).filter(F.size("spans") > 0).withColumnRenamed("blob", "__blob")
+    rows = places.join(found, "__blob", "left")
+    return rows.select(F.col("__id").alias(id_col), F.col("__blob").alias("blob"), F.coalesce("spans", F.array().cast(f"array<{SPAN_TYPE}>")).alias("spans"))
 
 
 def redact_documents(docs: DataFrame, ledger: str | None = None, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """``docs`` with every secret masked by its kind in the text; null texts stay null.
+    """``docs`` with every secret of the ledger masked by its kind in the text; null texts stay null.
 
-    Where a text changes, ``length_col`` is set to its new length.
+    Where a text changes, ``length_col`` is set to its new length. Rows without a secret stay where they stand; only the
+    others meet the ledger.
     """
+    spark, ledger = docs.sparkSession, ledger or fresh_path(docs.sparkSession, "secret-ledger")
+    placed = _placed(docs, {c: c for c in docs.columns})
+    places = _entered(placed, text_col, ledger, [])
+    found = stash(known(spark, ledger).filter(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "findings")
+    marked = _marked(placed, _bits(places.join(found, "__blob", "left_semi").select("__file", "__row")))
     # Names of their own first: inside lambdas Spark would take a column of the same select for the one it reads.
-    found = _scanned(docs, text_col, ledger, docs.columns).withColumn("__hit", F.size("__spans") > 0)
-    found = found.withColumn("__text_of_row", F.when(F.col("__hit"), redacted(F.col(f"`{text_col}`"), F.col("__spans"))).otherwise(F.col(f"`{text_col}`")))
-    out = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.col("__text_of_row")}
+    hit = marked.filter("__set").withColumn("__blob", _blob(F.col(f"`{text_col}`"))).join(found, "__blob").withColumn("__masked", redacted(F.col(f"`{text_col}`"), F.col("__spans")))
+    out = {c: F.col(f"`{c}`") for c in docs.columns}
+    clean = marked.filter("not __set").select(*[c.alias(name) for name, c in out.items()])
+    out[text_col] = F.col("__masked")
     if length_col:
-        out[length_col] = F.when(F.col("__hit"), F.length("__text_of_row").cast("bigint")).otherwise(out[length_col])
-    return found.select(*[out[c].alias(c) for c in docs.columns])
+        out[length_col] = F.length("__masked").cast(docs.schema[length_col].dataType)
+    return clean.unionByName(hit.select(*[c.alias(name) for name, c in out.items()]))
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
