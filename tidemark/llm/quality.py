@@ -2,15 +2,17 @@
 
 Lines are normalised (lower case, single blanks, trimmed) and hashed. For each host and line the distinct documents
 that hold it are counted; a document counts by the hash of its whole text, so that exact copies count once and every
-different text counts, however much of it lies in shared lines. Near copies are different texts and count each. A line
-that more than a share of the host's documents hold is boilerplate, at every size of host; a few documents at least must
-hold it, as in a tiny host any two would be a share. A document that keeps too small a share of its characters is
-rejected, and the others lose such lines in ``kept_documents``. The rules on words see the whole text.
+different text counts, however much of it lies in shared lines. A line that more than a share of the host's documents
+hold is boilerplate, at every size of host; a few documents at least must hold it, as chance alone makes two of them
+share a line. The first holder of such a line, the one of the least id, keeps it, and all others lose it: so near copies,
+whose lines are all frequent together, don't delete each other, and what only they say stays once. A document that keeps
+too small a share of its characters is rejected, and the others lose such lines in ``kept_documents``. The rules on words
+see the whole text.
 
 Rows meet the boilerplate of their host as one list. Its length has a bound: a line in it stands in ``max_share`` of the
 host's documents, so the list holds at most 1 / ``max_share`` times the lines of the host's average document.
 
-Null texts count as empty. Null hosts are one host. Repeated rows are judged alike and stay repeated. Texts of any
+Null texts count as empty. Null hosts are one host, and null ids come last. Equal texts of a host are judged alike, and repeated rows stay repeated. Texts of any
 length are read whole, and each is one task's work. An empty table gives an empty result. Only the named columns are
 read, so other columns may have any name.
 """
@@ -105,17 +107,24 @@ def features(docs: DataFrame, id_col: str, text_col: str, host_col: str, carry:
 
 
 def frequent_lines(rows: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(host, gone): the hashes of each host's boilerplate, from rows (host, text_hash, lines). Different texts are counted."""
-    seen = rows.select("host", "text_hash", F.explode("lines.line").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
+    """(host, gone): each host's boilerplate, as (hash of the line, hash of the text of its first holder), from rows (id, host, text_hash, lines).
+
+    Different texts are counted. Of a line's holders the one of the least id is the first.
+    """
+    held = rows.select("id", "host", "text_hash", F.explode("lines.line").alias("line")).groupBy("host", "line", "text_hash").agg(F.min("id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))["text_hash"]
+    seen = held.groupBy("host", "line").agg(F.count("*").alias("docs"), first.alias("first")).filter(F.col("docs") >= min_docs)
     hosts = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return seen.join(hosts, "host").filter(F.col("docs") > max_share * F.col("host_docs")).groupBy("host").agg(F.collect_list("line").alias("gone"))
+    return seen.join(hosts, "host").filter(F.col("docs") > max_share * F.col("host_docs")).groupBy("host").agg(F.collect_list(F.struct("line", "first")).alias("gone"))
 
 
 def _judged(rows: DataFrame, max_share: float, min_docs: int, min_left: float) -> DataFrame:
-    """``rows`` with the boilerplate that each holds (``own``), its characters, and the verdict."""
+    """``rows`` with the boilerplate that each is to lose (``own``), its characters, and the verdict."""
     gone = stash(frequent_lines(rows, max_share, min_docs), "boilerplate")
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    own = F.coalesce(F.array_intersect("lines.line", "gone"), F.array().cast("array<bigint>"))
+    held = F.array_intersect("lines.line", "gone.line")
+    theirs = F.transform(F.filter("gone", lambda g: g["first"] == F.col("text_hash")), lambda g: g["line"])
+    own = F.coalesce(F.when(F.size(held) > 0, F.array_except(held, theirs)), F.array().cast("array<bigint>"))
     lost = F.when(F.size("own") > 0, chars(F.filter("lines", lambda x: F.array_contains("own", x["line"])))).otherwise(F.lit(0).cast("long"))
     left = 1 - F.col("boilerplate_chars") / F.col("line_chars")
     met = rows.join(gone, "host", "left").withColumn("own", own).withColumn("line_chars", chars(F.col("lines"))).withColumn("boilerplate_chars", lost)

@@ -102,19 +102,19 @@ SELECT t.doc_id, {', '.join(_COUNT.format(k) for k in ('assign', 'access', 'hex'
 FROM t LEFT JOIN a USING (doc_id) GROUP BY t.doc_id
 """
 
-# A document counts by its whole text, as in the query.
+# A document counts by its whole text, as in the query; a line's first holder keeps it.
 QUALITY = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS body FROM documents),
 w AS (SELECT r, list_filter(regexp_split_to_array(body, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM t),
 g AS (SELECT r, i, w[i:i + 4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 dup AS (SELECT r, i FROM g JOIN (SELECT r, g FROM g GROUP BY ALL HAVING count(*) > 1) USING (r, g)),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY r),
-ln AS (SELECT r, host, body, unnest(string_split(body, chr(10))) AS line FROM t),
+ln AS (SELECT r, doc_id, host, body, unnest(string_split(body, chr(10))) AS line FROM t),
 dl AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY r),
-nl AS (SELECT r, host, body, trim(lower(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'))) AS line FROM ln),
+nl AS (SELECT r, doc_id, host, body, trim(lower(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'))) AS line FROM ln),
 hosts AS (SELECT host, count(DISTINCT body) AS n FROM t GROUP BY host),
-freq AS (SELECT host, line FROM nl JOIN hosts USING (host) WHERE line <> '' GROUP BY host, line, n HAVING count(DISTINCT body) >= 5 AND count(DISTINCT body) > 0.01 * n),
-lost AS (SELECT r, sum(length(line)) AS total, sum(CASE WHEN f.line IS NULL THEN 0 ELSE length(nl.line) END) AS gone FROM nl LEFT JOIN freq f USING (host, line) WHERE nl.line <> '' GROUP BY r),
+freq AS (SELECT host, line, arg_min(body, doc_id) AS first FROM nl JOIN hosts USING (host) WHERE line <> '' GROUP BY host, line, n HAVING count(DISTINCT body) >= 5 AND count(DISTINCT body) > 0.01 * n),
+lost AS (SELECT r, sum(length(line)) AS total, sum(CASE WHEN f.line IS NULL OR first = body THEN 0 ELSE length(nl.line) END) AS gone FROM nl LEFT JOIN freq f USING (host, line) WHERE nl.line <> '' GROUP BY r),
 f AS (SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(gone, 0) AS gone, coalesce(total, 0) AS total
       FROM t JOIN w USING (r) LEFT JOIN dl USING (r) LEFT JOIN rep USING (r) LEFT JOIN lost USING (r))
