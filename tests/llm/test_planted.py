@@ -95,3 +95,25 @@ def test_of_near_copies_one_stays(spark):
     got = corpus_pipeline.quality_rules(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in got) == [*range(30), 100, 100]
     assert all(r["text"] == dict((i, t) for i, t, _ in rows)[r["doc_id"]] for r in got)
+
+
+GUESTS = ["reader-comments", "post-comments", "user-comments", "article-comments", "comment-thread", "comments-section", "ad-slot", "google-ads", "promo-card", "cookie-consent-message", "share-this"]
+
+
+def test_names_of_guests_in_an_article(spark):
+    body = "<h1>Title</h1><p>First words.</p>"
+    page = lambda name, text="Guest words": f"<article>{body}<div class='{name}'><p>{text}</p></div><p>Last words.</p></article>"
+    kept, without = "Title\n\nFirst words.\n\nGuest words\n\nLast words.", "Title\n\nFirst words.\n\nLast words."
+    for name in GUESTS:
+        assert "\n\n".join(t for inside, t in html_text.blocks_of(page(name)) if inside) == without, name
+    own_parts = ["article-header", "post-header", "related-work", "no-sidebar", "story-text", "entry-content", "user-story"]
+    rows = [(k, f"http://h{k}.org/a", page(name)) for k, name in enumerate(own_parts)]
+    # Names with one such word: the words go where a neighbour's element of that name has them, too.
+    rows += [(100 + k, f"http://n.org/{k}", page("acme-ads-zone7", "Buy at Acme").replace("First", f"First {own(k, 30)}")) for k in range(3)]
+    rows += [(200 + k, f"http://m.org/{k}", page("social-history", own((9, k), 20)).replace("First", f"First {own(k, 30)}")) for k in range(3)]
+    rows += [(300, "http://n.org/9", page("quotation", "Buy at Acme").replace("First", f"First {own(9, 30)}"))]  # no such name
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k] == kept for k in range(len(own_parts)))
+    assert all("Acme" not in got[100 + k] and f"First {own(k, 30)} words." in got[100 + k] and got[100 + k].endswith("Last words.") for k in range(3))
+    assert all(own((9, k), 20) in got[200 + k] for k in range(3)) and "Buy at Acme" in got[300]
