@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import tables
 from tidemark.functions import text
-from tidemark.operators import evals, fold, log, memory, replay, reports, stores, traces
+from tidemark.operators import evals, fold, log, memory, replay, reports, segments, stores, traces
 from tidemark.sources import connectors, files, transcripts
 from tidemark.streaming import sync
 
@@ -67,7 +67,10 @@ def test_calendar_goes_on_behind_its_token(spark, tmp_path):
     assert go(1) == {"emitted": 1, "new": 1} and go(2) == {"emitted": 0, "new": 0}
     source.write_text(json.dumps({"sync_batches": [{"sync_token": "T1", "events": [event(1)]}, {"sync_token": "T2", "events": [event(2)]}]}))
     assert go(3) == {"emitted": 1, "new": 1} and go(4, force=True) == {"emitted": 2, "new": 0} and cursors.get("gcal", "events") == "T2"
-    found = spark.read.parquet(log_path)
+    other = f"{log_path}-2"  # the log keeps the token with the events
+    once = lambda **o: connectors.run_sync(spark, "gcal", f"file://{source}", other, "2026-02-05", resume=True, **o)
+    assert once() == {"emitted": 2, "new": 2} and once() == {"emitted": 0, "new": 0} and segments.cursor(spark, other, "gcal", "events") == "T2"
+    found = segments.read(spark, log_path)
     event_id = found.filter("entity_id = 'e2'").first()["event_id"]
     assert log.payload_of(found, event_id)["summary"] == "s2" and log.payload_of(found, "none") == {} and log.has_event(found, event_id) and not log.has_event(found, "none")
 

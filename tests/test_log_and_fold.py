@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
-from tidemark.operators import fold, log, snapshots
+from tidemark.operators import fold, log, segments, snapshots
 
 DAY = datetime(2026, 5, 1)
 OPS = log.UPSERTS + log.DELETES + log.EDGES
@@ -63,10 +63,10 @@ def test_late_knowledge_is_hidden_by_the_second_axis(spark):
 def test_append_is_idempotent_and_numbers_rise(spark, tmp_path):
     path = f"file://{tmp_path}/log"
     rows = [event(k, "upsert_entity", f"e{k}", k % 5) for k in range(50)]
-    assert log.append(spark, frame(spark, rows + rows[:20]), path) == 50
-    assert log.append(spark, frame(spark, rows), path) == 0
-    assert log.append(spark, frame(spark, rows + [event(99, "delete_entity", "e1", 9)]), path) == 1
-    seqs = [r["seq"] for r in spark.read.parquet(path).orderBy("valid_at", "event_id").collect()]
+    assert segments.append(spark, frame(spark, rows + rows[:20]), path).added == 50
+    assert segments.append(spark, frame(spark, rows), path).added == 0
+    assert segments.append(spark, frame(spark, rows + [event(99, "delete_entity", "e1", 9)]), path).added == 1
+    seqs = [r["seq"] for r in segments.read(spark, path).orderBy("valid_at", "event_id").collect()]
     assert len(set(seqs)) == 51 and max(seqs) == seqs[-1]
 
 

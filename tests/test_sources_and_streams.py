@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import fold, log, traces
+from tidemark.operators import fold, log, segments, traces
 from tidemark.sources import connectors, files, transcripts
 from tidemark.streaming import sync
 
@@ -33,7 +33,7 @@ def test_slack(spark, slack, tmp_path):
     log_path = f"file://{tmp_path}/log"
     assert connectors.run_sync(spark, "slack", slack, log_path, NOW) == {"emitted": 10, "new": 10}
     assert connectors.run_sync(spark, "slack", slack, log_path, "2026-07-01") == {"emitted": 10, "new": 0}
-    states = {(r["entity_type"], r["entity_id"]): r for r in fold.materialize(spark.read.parquet(log_path)).collect()}
+    states = {(r["entity_type"], r["entity_id"]): r for r in fold.materialize(segments.read(spark, log_path)).collect()}
     message = states["message", "C1:1777000001.000100"]
     assert message["payload"]["text"] == "hi all" and message["payload"]["reaction"] == "wave" and message["version_count"] == 1
     assert states["channel", "C1"]["payload"]["topic"] == "all" and states["channel", "C2"]["payload"]["topic"] == "code" and set(states["channel", "C1"]["edges"]["member"]) == {"U1", "U2"}
@@ -123,8 +123,8 @@ def test_streamed_sync_is_idempotent_and_keeps_late_events(spark, tmp_path):
     go()
     (source / "2.json").write_text(line(2, 8) + "\n" + line(3, 1))
     go()
-    assert sorted(r["event_id"] for r in spark.read.parquet(log_path).collect()) == ["e1", "e2", "e3"]
-    assert fold.materialize(log.as_of(spark.read.parquet(log_path), "2026-01-08")).first()["payload"] == {"k": "2"}
+    assert sorted(r["event_id"] for r in segments.read(spark, log_path).collect()) == ["e1", "e2", "e3"]
+    assert fold.materialize(log.as_of(segments.read(spark, log_path), "2026-01-08")).first()["payload"] == {"k": "2"}
 
 
 def test_streamed_sessions_finish_on_their_closing_event(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidemark
-from tidemark.operators import fold, log, memory, replay, reports, retrieve, snapshots, stores, traces
+from tidemark.operators import fold, log, memory, replay, reports, retrieve, segments, snapshots, stores, traces
 from tidemark.session import Config, open_session
 from tidemark.sources import files
 from tidemark.tables import stash
@@ -22,7 +22,7 @@ def show(df: DataFrame, limit: int) -> None:
 
 
 def events_of(spark: SparkSession, home: str) -> DataFrame:
-    return spark.read.schema(log.EVENT_SCHEMA).parquet(f"{home}/events")
+    return segments.read(spark, f"{home}/events")
 
 
 def versions_at(events: DataFrame, at: str, known: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The event log: append, as-of reads, history, feeds, statistics, cursors and blobs.
+"""The event log: what is new in a batch, as-of reads, history, feeds, statistics, cursors and blobs.
 
 An event is (event_id, app, entity_type, entity_id, op, payload map, valid_at, ingested_at, seq) with optional
 actor_ref, parent_entity_ref, source_cursor, provenance map, edge_kind and edge_target. The log is append-only.
@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark import tables
 from tidemark.functions import ids
 
 KEY = ["app", "entity_type", "entity_id"]
@@ -82,24 +81,6 @@ def new_events(batch: DataFrame, log: DataFrame, order: list[str] | None = None)
     return first_arrivals(batch, order or ["ingested_at", *KEY]).join(log.select("event_id"), "event_id", "left_anti")
 
 
-def append(spark: SparkSession, batch: DataFrame, path: str, order: list[str] | None = None) -> int:
-    """Append what is new to the log at ``path`` with increasing ``seq``; returns how many. Appending again adds none.
-
-    Sequence numbers go up over partitions that are ranges of (valid_at, event_id): no single task sees all rows.
-    """
-    has = tables.exists(spark, path)
-    log = spark.read.schema(EVENT_SCHEMA).parquet(path) if has else spark.createDataFrame([], EVENT_SCHEMA)
-    fresh = tables.stash(new_events(batch, log, order), "fresh")
-    if added := fresh.count():
-        base = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        dealt = fresh.repartitionByRange("valid_at", "event_id").sortWithinPartitions("valid_at", "event_id").withColumn("seq", F.monotonically_increasing_id() + base + 1)
-        columns = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
-        dealt.select(*columns).write.mode("append").parquet(path)
-    elif not has:
-        log.write.parquet(path)
-    return added
-
-
 def as_time(at: datetime | str | Column) -> Column:
     return at if isinstance(at, Column) else F.lit(at).cast("timestamp")
 

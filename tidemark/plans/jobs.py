@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
-from tidemark.operators import evals, fold, log, memory, replay, stores, traces
+from tidemark.operators import evals, fold, log, memory, replay, segments, stores, traces
 from tidemark.plans import sql as S
 from tidemark.plans.adapters import INGESTED, NOW, POINTS, VALID, app_events, items, prompts, spans, table
 from tidemark.sources import connectors, transcripts
@@ -88,7 +88,7 @@ def synced_events(spark, d):
             connectors.run_sync(spark, app, source, path, "2026-01-01")
     p = F.col("payload")
     value = F.coalesce("edge_target", p["markdown"], p["text"], p["subject"], p["summary"], p["reaction"], p["name"])
-    return spark.read.parquet(path).select("app", "entity_type", "entity_id", "op", ids.to_iso(F.col("valid_at")).alias("valid_at"), value.alias("value"))
+    return segments.read(spark, path).select("app", "entity_type", "entity_id", "op", ids.to_iso(F.col("valid_at")).alias("valid_at"), value.alias("value"))
 
 
 @query("""

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, scoring, text
-from tidemark.operators import evals, fold, learn, log, memory, replay, retrieve, snapshots, traces
+from tidemark.operators import evals, fold, learn, log, memory, replay, retrieve, segments, snapshots, traces
 from tidemark.plans.adapters import INGESTED, NOW, POINTS, VALID, app_events, edge_events, items, prompts, spans, table
 from tidemark.sources import transcripts
+from tidemark.tables import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ENTITY = ["entity_id"]
@@ -124,6 +126,27 @@ def idempotent_append(spark, d):
     return log.new_events(batch, events.filter("seq % 3 = 0"), ["ingested_at", "seq"]).select("event_id", ids.to_iso(F.col("ingested_at")).alias("ingested_at"))
 
 
+@query
+def concurrent_append(spark, d):
+    """Two writers at once, whose batches overlap, into a log that has some of their events already."""
+    events, root = app_events(spark, d), fresh_path(spark, "log")
+    segments.append(spark, events.filter("op = 'delete_entity'"), root, ["ingested_at", "seq"])
+    halves = [events.filter(c) for c in ("valid_at < '2024-01-20'", "valid_at > '2024-01-10'")]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda half: segments.append(spark, half, root, ["ingested_at", "seq"]), halves))
+    return segments.read(spark, root).select("event_id", "entity_id", "op", ids.sha256_hex(ids.canonical_map(F.col("payload"))).alias("payload_hash"))
+
+
+@query
+def log_compacted(spark, d):
+    """A log of many commits with its sequence numbers, after its segments were rewritten together."""
+    events, root = app_events(spark, d), fresh_path(spark, "log")
+    for op in ("append_version", "upsert_entity", "delete_entity"):
+        segments.append(spark, events.filter(F.col("op") == op), root, ["ingested_at", "seq"])
+    segments.compact(spark, root)
+    return segments.read(spark, root).select("event_id", "seq", "op", ids.to_iso(F.col("valid_at")).alias("valid_at"))
+
+
 @query
 def cursor_latest(spark, d):
     events = app_events(spark, d)

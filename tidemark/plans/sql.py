@@ -165,6 +165,8 @@ ORACLE_SQL: dict[str, str] = {
     "entity_change_frames": f"WITH {EV}, kv AS (SELECT entity_id, seq, valid_at, key AS k, val AS v FROM (SELECT entity_id, seq, valid_at, event_type, value, k FROM ev) UNPIVOT (val FOR key IN (event_type, value, k))) SELECT entity_id, seq, k, v, coalesce(lag(v) OVER (PARTITION BY entity_id, k ORDER BY valid_at, seq) <> v, true) AS changed FROM kv",
     "log_statistics": f"WITH {EV} SELECT app, op, count(*) AS n, strftime(min(valid_at), {ISO}) AS first_valid, strftime(max(valid_at), {ISO}) AS last_valid, strftime(min(ingested_at), {ISO}) AS first_ingested, strftime(max(ingested_at), {ISO}) AS last_ingested FROM ev GROUP BY GROUPING SETS ((app), (op), ())",
     "idempotent_append": f"WITH {EV} SELECT event_id, strftime(ingested_at, {ISO}) AS ingested_at FROM ev WHERE seq % 3 <> 0",
+    "concurrent_append": f"""WITH {EV} SELECT event_id, entity_id, op, sha256('{{"event_type":"' || event_type || '","k":"' || k || '","value":"' || value || '"}}') AS payload_hash FROM ev""",
+    "log_compacted": f"WITH {EV} SELECT event_id, row_number() OVER (ORDER BY list_position(['append_version', 'upsert_entity', 'delete_entity'], op), valid_at, event_id) AS seq, op, strftime(valid_at, {ISO}) AS valid_at FROM ev",
     "cursor_latest": f"WITH {EV} SELECT app, op AS stream, arg_max(event_id, ROW(valid_at, seq)) AS cursor FROM ev GROUP BY ALL",
     "event_identity": f"""WITH {EV} SELECT seq, sha256('{{"event_type":"' || event_type || '","k":"' || k || '","value":"' || value || '"}}') AS payload_hash FROM ev""",
     "activity_windows": f"WITH {EV} SELECT strftime(date_trunc('day', ingested_at)::TIMESTAMP, {ISO}) AS day, op, count(*) AS n FROM ev GROUP BY ALL",

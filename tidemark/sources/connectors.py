@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark import tables
 from tidemark.functions import ids
-from tidemark.operators import log
+from tidemark.operators import log, segments
 from tidemark.operators.stores import Cursors
 
 SLACK = (
@@ -135,16 +135,17 @@ def build(name: str) -> Callable[..., DataFrame]:
     return REGISTRY[name]
 
 
-def run_sync(spark: SparkSession, name: str, path: str, log_path: str, ingested_at, cursors: Cursors | None = None, force: bool = False, **options) -> dict[str, int]:
+def run_sync(spark: SparkSession, name: str, path: str, log_path: str, ingested_at, cursors: Cursors | None = None, force: bool = False, resume: bool = False, **options) -> dict[str, int]:
     """Read a source and append what is new: counts of what it gave and of what was added.
 
-    With ``cursors`` a calendar goes on behind its last token and keeps the new one once its events are in the log;
-    ``force`` reads everything again.
+    With ``cursors`` a calendar goes on behind its last token and keeps the new one once its events are in the log; with
+    ``resume`` the log itself keeps it, in the commit that adds the events. ``force`` reads everything again.
     """
-    if cursors and name == "gcal" and not force:
-        options["after_token"] = cursors.get(name, "events")
+    if name == "gcal" and not force and (cursors or resume):
+        options["after_token"] = cursors.get(name, "events") if cursors else segments.cursor(spark, log_path, name, "events")
     events = tables.stash(build(name)(spark, path, ingested_at, **options), "synced")
-    counts = {"emitted": events.count(), "new": log.append(spark, events, log_path)}
+    position = {f"{name}/events": last_token(spark, path)} if resume and name == "gcal" else None
+    counts = {"emitted": events.count(), "new": segments.append(spark, events, log_path, cursors=position).added}
     if cursors and name == "gcal":
         cursors.set(name, "events", last_token(spark, path), ingested_at)
     return counts

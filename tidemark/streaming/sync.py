@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators import log
+from tidemark.operators import log, segments
 
 logger = logging.getLogger(__name__)
 FINAL_EVENTS = ["Stop", "SessionEnd"]
@@ -26,12 +26,13 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def start_sync(events: DataFrame, log_path: str, checkpoint: str, interval: str | None = None):
     """Append a stream of events to the log: once over what is there, or at an interval.
 
-    Each micro-batch appends only ids that the log lacks, so a batch that runs again adds nothing. There is no watermark
-    on valid time: late events are kept, and only the time of ingestion hides them from earlier reads.
+    Each micro-batch is a commit of the segmented log with the ids that the log lacks, so a batch that runs again adds
+    nothing; it opens only segments that may hold one of its ids. There is no watermark on valid time: late events are
+    kept, and only the time of ingestion hides them from earlier reads.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        log.append(batch.sparkSession, batch, log_path)
+        segments.append(batch.sparkSession, batch, log_path)
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -65,6 +65,22 @@ def write_text(spark: SparkSession, path: str, body: str) -> None:
         out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's content, by the file system of the path."""
+    fs, at = _at(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it isn't there."""
+    fs, at = _at(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Gives a ``stash`` whose tables stay; every other table made inside the block is deleted at its end.
