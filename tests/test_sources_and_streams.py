@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -127,16 +128,28 @@ def test_streamed_sync_is_idempotent_and_keeps_late_events(spark, tmp_path):
     assert fold.materialize(log.as_of(segments.read(spark, log_path), "2026-01-08")).first()["payload"] == {"k": "2"}
 
 
-def test_streamed_sessions_finish_on_their_closing_event(spark, tmp_path):
-    source, done, held = tmp_path / "in", f"file://{tmp_path}/done", f"file://{tmp_path}/held"
+def test_streamed_sessions_finish_when_they_close_or_fall_silent(spark, tmp_path):
+    source, done = tmp_path / "in", f"file://{tmp_path}/done"
     source.mkdir()
-    line = lambda s, name, k: json.dumps({"session_id": s, "hook_event_name": name, "received_at": f"2026-01-01T00:00:{k:02d}Z", "prompt": "p"})
-    go = lambda: sync.start_sessions(sync.read_captures(spark, str(source)), done, str(tmp_path / "cp"), held).awaitTermination()
-    (source / "1.json").write_text("\n".join([line("a", "UserPromptSubmit", 1), line("b", "UserPromptSubmit", 2)]))
-    go()
-    assert spark.read.parquet(done).count() == 0
-    (source / "2.json").write_text(line("a", "Stop", 3))
-    go()
-    assert {(r["session_id"], r["hook_event_name"]) for r in spark.read.parquet(done).collect()} == {("a", "UserPromptSubmit"), ("a", "Stop")}
+    line = lambda s, name, k, prompt="p": json.dumps({"session_id": s, "hook_event_name": name, "received_at": f"2026-01-01T00:00:{k:02d}Z", "prompt": prompt})
+
+    def go(idle=3600):
+        """A run of its own from the checkpoint; how many entries the state then holds."""
+        run = sync.start_sessions(sync.read_captures(spark, str(source)), done, str(tmp_path / "cp"), idle)
+        run.awaitTermination()
+        return run.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    finished = lambda: {(r["session_id"], r["hook_event_name"], r["prompt"], r["finished"]) for r in spark.read.parquet(done).collect()}
+    (source / "1.json").write_text("\n".join([line("a", "UserPromptSubmit", 1), line("b", "UserPromptSubmit", 2), line("a", "UserPromptSubmit", 1)]))
+    assert go(idle=1) > 0 and finished() == set()
+    (source / "2.json").write_text("\n".join([line("a", "UserPromptSubmit", 1), line("a", "Stop", 3), line("c", "PostToolUse", 4)]))
+    time.sleep(1.2)  # b falls silent meanwhile
+    assert go() > 0
+    first = {("a", "UserPromptSubmit", "p", "closed"), ("a", "Stop", "p", "closed"), ("b", "UserPromptSubmit", "p", "idle")}
+    assert finished() == first and spark.read.parquet(done).count() == 3
+    (source / "3.json").write_text("\n".join([line("c", "SessionEnd", 5), line("a", "UserPromptSubmit", 9, "late"), line("a", "Stop", 10)]))
+    assert go() == 0  # every session is finished, so nothing is held
+    assert finished() == first | {("c", "PostToolUse", "p", "closed"), ("c", "SessionEnd", "p", "closed"), ("a", "UserPromptSubmit", "late", "closed"), ("a", "Stop", "p", "closed")}
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", "true") == "true"
     windows = sync.windowed_activity(sync.read_events(spark, str(source)))
     assert windows.isStreaming

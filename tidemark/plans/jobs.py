@@ -15,6 +15,7 @@ from tidemark.operators import evals, fold, log, memory, replay, segments, store
 from tidemark.plans import sql as S
 from tidemark.plans.adapters import INGESTED, NOW, POINTS, VALID, app_events, items, prompts, spans, table
 from tidemark.sources import connectors, transcripts
+from tidemark.streaming import sync
 from tidemark.tables import fresh_path, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,3 +279,21 @@ def tool_results(spark, d):
     args = F.create_map(F.lit("channel"), F.col("n_name"), F.lit("event_id"), F.when(F.col("tool").startswith("gcal"), _named("e", F.col("s_suppkey"))), F.lit("document_id"), F.when(F.col("tool").startswith("gdocs"), _named("d", F.col("s_suppkey"))))
     done = replay.execute(calls.select(F.concat_ws("-", "s_suppkey", "i").alias("call_id"), "tool", args.alias("args")), states)
     return done.select("call_id", "tool", "result", "is_write", F.when(F.col("tool") == "slack.post_message", F.col("args")["channel_id"]).alias("channel_id"))
+
+
+@query("SELECT 'c' || conv_id AS session_id, count(*) + 1 AS n, md5(string_agg(md5(text), '' ORDER BY turn)) AS prompts, 'closed' AS finished FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id")
+def streamed_sessions(spark, d):
+    """Every turn as a capture, in two runs of one stream; two conversations of three close, the others stay open."""
+    source, out, checkpoint = (fresh_path(spark, f"sessions-{x}") for x in ("in", "out", "checkpoint"))
+    talk = table(spark, d, "conversations")
+    last = talk.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    at = lambda turn: F.lit("2026-01-01").cast("timestamp") + F.make_dt_interval(secs=turn)
+    none = [F.lit(None).cast("string").alias(c) for c in ("tool_name", "tool_input", "tool_response")]
+    session = F.concat(F.lit("c"), "conv_id").alias("session_id")
+    said = talk.join(last, "conv_id").select("turn", "last", session, F.lit("UserPromptSubmit").alias("hook_event_name"), at(F.col("turn")).alias("received_at"), F.md5("text").alias("prompt"), *none)
+    stop = last.filter("conv_id % 3 <> 0").select(session, F.lit("Stop").alias("hook_event_name"), at(F.col("last") + 1).alias("received_at"), F.lit(None).cast("string").alias("prompt"), *none)
+    for part in (said.filter("2 * turn < last"), said.filter("2 * turn >= last").drop("turn", "last").unionByName(stop)):
+        part.drop("turn", "last").write.mode("append").json(source)
+        sync.start_sessions(sync.read_captures(spark, source), out, checkpoint).awaitTermination()
+    turns = F.array_sort(F.collect_list(F.when(F.col("prompt").isNotNull(), F.struct("received_at", "prompt"))))
+    return spark.read.parquet(out).groupBy("session_id", "finished").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(turns, lambda x: x["prompt"]), "")).alias("prompts")).select("session_id", "n", "prompts", "finished")

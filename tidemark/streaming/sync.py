@@ -1,22 +1,25 @@
-"""Streams: events into the log with at-least-once sources, and sessions that end on a closing event."""
+"""Streams: events into the log with at-least-once sources, and sessions that end on a closing event or fall silent."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import logging
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import datetime
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.operators import log, segments
 
 logger = logging.getLogger(__name__)
 FINAL_EVENTS = ["Stop", "SessionEnd"]
-BUCKETS = 256
 CAPTURE_SCHEMA = "session_id string, hook_event_name string, received_at timestamp, prompt string, tool_name string, tool_input string, tool_response string"
+CAPTURE_FIELDS = [f.split()[0] for f in CAPTURE_SCHEMA.split(", ")]
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -55,24 +58,83 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(CAPTURE_SCHEMA).json(path)
 
 
-def start_sessions(captures: DataFrame, finished_path: str, checkpoint: str, store_path: str):
-    """Collect hook events and, when a session's closing event arrives, write the session's events as finished.
+class Sessions(StatefulProcessor):
+    """The captures of each open session, kept by the stream's state until it closes or nothing has come for a while.
 
-    Events are kept in a table dealt by a hash of the session into BUCKETS folders, and only those of the sessions that
-    close are read. A session is finished in the batch that brings its closing event, with all that came before. A session that closes twice is written again and the richer capture wins downstream.
+    A session is finished in the batch that brings its closing event, with all that came before, and its state is freed;
+    so it is when its timer runs out. What comes later for the same session is a session of its own, and the richer
+    capture wins downstream. Captures that come again are kept once.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        dealt = batch.withColumn("batch", F.lit(number)).withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int"))
-        dealt.write.mode("append").partitionBy("bucket").parquet(store_path)
-        closed = dealt.filter(F.col("hook_event_name").isin(FINAL_EVENTS)).select("session_id", "bucket").distinct()
-        buckets = [r["bucket"] for r in closed.select("bucket").distinct().collect()]  # BUCKETS rows at most
-        held = spark.read.parquet(store_path).filter(F.col("bucket").isin(buckets)).drop("bucket")
-        done = held.join(closed.select("session_id"), "session_id", "left_semi").dropDuplicates([c for c in held.columns if c != "batch"])
-        done.withColumn("finished_in", F.lit(number)).write.mode("append").parquet(finished_path)
-
-    return captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, fields: list[str], idle_ms: int, final: list[str]):
+        self.fields, self.idle_ms, self.final = fields, idle_ms, final
+        self.at = fields.index("hook_event_name")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # A map tells captures that were seen apart without reading the others.
+        self.held = handle.getMapState("captures", "digest string", "body string")
+        self.timer = handle.getValueState("timer", "due bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        closed = False
+        for row in rows:
+            body = json.dumps([None if row[c] is None else row[c].isoformat() if isinstance(row[c], datetime) else row[c] for c in self.fields])
+            self.held.updateValue((hashlib.sha256(body.encode()).hexdigest(),), (body,))
+            closed = closed or row["hook_event_name"] in self.final
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        if closed:
+            yield from self._finish("closed")
+        else:
+            due = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._finish("idle")
+
+    def _finish(self, why: str) -> Iterator[Row]:
+        for (body,) in list(self.held.values()):
+            values = dict(zip(self.fields, json.loads(body), strict=True))
+            if values["received_at"] is not None:
+                values["received_at"] = datetime.fromisoformat(values["received_at"])
+            yield Row(**values, finished=why)
+        self.held.clear()
+        self.timer.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def sessions(captures: DataFrame, idle_seconds: float = 24 * 3600) -> DataFrame:
+    """The captures of finished sessions, with ``finished``: ``closed`` by their closing event, or ``idle`` for that long.
+
+    The session's state store must be RocksDB, which spills; ``start_sessions`` sees to that.
+    """
+    fields = CAPTURE_FIELDS
+    processor = Sessions(fields, int(idle_seconds * 1000), FINAL_EVENTS)
+    return captures.select(*fields).groupBy("session_id").transformWithState(processor, f"{CAPTURE_SCHEMA}, finished string", "append", "processingTime")
+
+
+def start_sessions(captures: DataFrame, finished_path: str, checkpoint: str, idle_seconds: float = 24 * 3600, interval: str | None = None) -> StreamingQuery:
+    """Write the captures of sessions as they finish: once over what is there, or at an interval.
+
+    A stopped stream goes on from its checkpoint with the sessions that were open; the file sink takes each batch once.
+    """
+    writer = sessions(captures, idle_seconds).writeStream.format("parquet").option("path", finished_path).option("checkpointLocation", checkpoint)
+    # Timers make batches without data at every moment, so a run over what is there would never end: its timers go off in batches with data.
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    own |= {} if interval else {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    conf = captures.sparkSession.conf
+    before = {k: conf.get(k, None) for k in own}
+    for k, v in own.items():
+        conf.set(k, v)
+    try:  # the query keeps the settings that it starts with
+        return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def windowed_activity(events: DataFrame, width: str = "1 day", late: str = "7 days") -> DataFrame:
