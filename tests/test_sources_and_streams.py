@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import fold, log, segments, traces
 from tidemark.sources import connectors, files, transcripts
-from tidemark.streaming import sync
+from tidemark.streaming import exports, sync
 
 NOW = "2026-06-01 00:00:00"
 
@@ -153,3 +153,34 @@ def test_streamed_sessions_finish_when_they_close_or_fall_silent(spark, tmp_path
     assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled", "true") == "true"
     windows = sync.windowed_activity(sync.read_events(spark, str(source)))
     assert windows.isStreaming
+
+
+def test_an_export_streams_behind_its_token(spark, tmp_path):
+    folder, log_path = tmp_path / "export", f"file://{tmp_path}/log"
+    folder.mkdir()
+    event = lambda k, **f: json.dumps({"id": f"e{k}", "status": "confirmed", "summary": f"s{k}", "updated": f"2026-01-{k % 27 + 1:02d}T00:00:00Z"} | f)
+
+    def go():
+        """(rows read, events in the log) after a run of its own from the checkpoint."""
+        run = exports.start_calendar(spark, f"file://{folder}", log_path, str(tmp_path / "cp"), "2026-02-01", range_bytes=300)
+        run.awaitTermination()
+        return sum(p["numInputRows"] for p in run.recentProgress), segments.read(spark, log_path).count()
+
+    (folder / "0001-T1.jsonl").write_text("\n".join(event(k) for k in range(40)) + "\n\n")
+    assert go() == (40, 40)
+    assert go() == (0, 40)
+    (folder / "0002-T2.jsonl").write_text(event(1, status="cancelled", updated="2026-01-30T00:00:00Z") + "\n" + event(50))
+    assert go() == (2, 42)
+    # The token is gone: everything is read again, and only what is new is added.
+    for old in folder.iterdir():
+        old.unlink()
+    (folder / "0003-T9.jsonl").write_text("\n".join(event(k) for k in (0, 50, 60)))
+    assert go() == (3, 43)
+    states = {r["entity_id"]: r["deleted"] for r in fold.materialize(segments.read(spark, log_path), include_deleted=True).collect()}
+    assert len(states) == 42 and [k for k, gone in states.items() if gone] == ["e1"]
+    lines = [b"x" * n for n in (1, 299, 300, 301, 5, 700)]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "1-A-B.jsonl").write_bytes(b"\n".join(lines))
+    reader = exports.TokenReader(f"file://{tmp_path}/one", 300)
+    found = [row for p in reader.partitions({"token": None}, reader.latestOffset()) for row in reader.read(p)]
+    assert found == [("A-B", x.decode()) for x in lines]

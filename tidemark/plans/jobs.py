@@ -15,7 +15,7 @@ from tidemark.operators import evals, fold, log, memory, replay, segments, store
 from tidemark.plans import sql as S
 from tidemark.plans.adapters import INGESTED, NOW, POINTS, VALID, app_events, items, prompts, spans, table
 from tidemark.sources import connectors, transcripts
-from tidemark.streaming import sync
+from tidemark.streaming import exports, sync
 from tidemark.tables import fresh_path, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,3 +297,19 @@ def streamed_sessions(spark, d):
         sync.start_sessions(sync.read_captures(spark, source), out, checkpoint).awaitTermination()
     turns = F.array_sort(F.collect_list(F.when(F.col("prompt").isNotNull(), F.struct("received_at", "prompt"))))
     return spark.read.parquet(out).groupBy("session_id", "finished").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(turns, lambda x: x["prompt"]), "")).alias("prompts")).select("session_id", "n", "prompts", "finished")
+
+
+@query("SELECT 'ev' || c_custkey AS entity_id, c_custkey % 5 = 0 AS deleted, c_name AS summary, CASE WHEN c_custkey % 2 = 0 THEN 'n' || c_nationkey END AS guest FROM customer")
+def streamed_calendar(spark, d):
+    """A calendar's export as a stream: every event, then a second batch behind the first one's token that cancels some."""
+    source, log_path, checkpoint = (fresh_path(spark, f"calendar-{x}") for x in ("in", "log", "checkpoint"))
+    at = lambda plus: F.date_format(F.timestamp_seconds(F.lit(1704067200 + plus) + F.col("c_custkey")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated")
+    guests = F.when(F.col("c_custkey") % 2 == 0, F.array(F.struct(F.concat(F.lit("n"), "c_nationkey").alias("email"), F.lit("accepted").alias("responseStatus")))).alias("attendees")
+    rows = table(spark, d, "customer")
+    made = rows.select(_named("ev", F.col("c_custkey")).alias("id"), F.lit("confirmed").alias("status"), F.col("c_name").alias("summary"), at(0), guests)
+    gone = rows.filter("c_custkey % 5 = 0").select(_named("ev", F.col("c_custkey")).alias("id"), F.lit("cancelled").alias("status"), at(10**6))
+    for name, batch in (("1-A", made), ("2-B", gone)):
+        batch.select(F.to_json(F.struct("*"))).write.text(f"{source}/{name}.jsonl")
+        exports.start_calendar(spark, source, log_path, checkpoint, "2026-01-01").awaitTermination()
+    states = fold.materialize(segments.read(spark, log_path), include_deleted=True)
+    return states.select("entity_id", "deleted", F.col("payload")["summary"].alias("summary"), F.get(F.col("edges")["attendee"], F.lit(0)).alias("guest"))

@@ -23,10 +23,8 @@ SLACK = (
     "edits array<struct<channel:string,ts:string,edited_ts:string,text:string>>"
 )
 _TIME = "struct<dateTime:string,date:string>"
-CALENDAR = (
-    "calendar struct<id:string>, sync_batches array<struct<sync_token:string,events:array<struct<id:string,status:string,summary:string,updated:string,"
-    f"start:{_TIME},end:{_TIME},recurrence:array<string>,attendees:array<struct<email:string,responseStatus:string>>>>>>"
-)
+CALENDAR_EVENT = f"struct<id:string,status:string,summary:string,updated:string,start:{_TIME},end:{_TIME},recurrence:array<string>,attendees:array<struct<email:string,responseStatus:string>>>"
+CALENDAR = f"calendar struct<id:string>, sync_batches array<struct<sync_token:string,events:array<{CALENDAR_EVENT}>>>"
 DOCUMENTS = "drive struct<id:string>, documents array<struct<id:string,name:string,mimeType:string,owners:array<string>,revisions:array<struct<revision_id:string,modified_time:string,exported_markdown:string>>>>"
 MAIL = "historyId string, messages array<struct<id:string,threadId:string,internalDate:string,from:string,to:string,subject:string,snippet:string,labelIds:array<string>>>"
 
@@ -74,10 +72,15 @@ def slack(spark: SparkSession, path: str, ingested_at) -> DataFrame:
 
 
 def calendar(spark: SparkSession, path: str, ingested_at, after_token: str | None = None) -> DataFrame:
-    """Batches behind the last consumed token; an unknown token means all of them. Cancelled events are deletes, guests are edges."""
+    """Batches behind the last consumed token; an unknown token means all of them."""
     raw, now = _read(spark, path, CALENDAR), log.as_time(ingested_at)
     resume = F.coalesce(F.array_position(F.transform("sync_batches", lambda b: b["sync_token"]), F.lit(after_token).cast("string")), F.lit(0))
     rows = raw.select(F.coalesce("calendar.id", F.lit("primary")).alias("cal"), resume.alias("done"), F.posexplode("sync_batches").alias("pos", "b")).filter(F.col("pos") >= F.col("done")).select("cal", F.explode("b.events").alias("e"))
+    return calendar_events(rows, now)
+
+
+def calendar_events(rows: DataFrame, now: Column) -> DataFrame:
+    """Events from rows (calendar, event): cancelled ones are deletes, guests are edges."""
     at = lambda c: F.coalesce(F.col(f"e.{c}.dateTime"), F.col(f"e.{c}.date"))
     valid = F.coalesce(ids.from_iso(F.col("e.updated")), ids.from_iso(at("start")), now)
     rows = rows.withColumn("valid", valid)
