@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -21,6 +22,8 @@ from tidemark.tables import stash
 
 #: Bytes of query vectors that are sent at a time, and numbers in one matrix of documents or scores.
 BLOCK_BYTES, CELLS = 64 << 20, 1 << 22
+#: Bytes that a word of a query takes as a string, in the vocabulary and in the weights.
+WORD_BYTES = 240
 DIGITS = 6
 K1, B = 1.5, 0.75
 
@@ -154,49 +157,60 @@ def lexical_top(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str,
     """(query, doc, score, rank): BM25 of the documents that share a term; a term counts as often as the query repeats it.
 
     Texts are tokenised once, into a written table of the documents' lengths and query terms; document frequencies are
-    counted from it, and scores are products of that table's rows with the queries' weights.
+    counted from it, and a posting adds to the queries that hold its term.
     """
     spark = docs.sparkSession
     words = docs.select(F.col(id_col).alias("doc"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     kind = words.schema["doc"].dataType.simpleString()
     asked = queries.select(F.col(query_id).alias("query"), tokens(F.coalesce(F.col(query_text), F.lit(""))).alias("t"))
     parts = []
-    for block in _blocks(asked, lambda t: 64 * len(t)):
+    for block in _blocks(asked, lambda t: WORD_BYTES * (len(t) + 1)):
         code = {w: c for c, w in enumerate(sorted({w for _, t in block for w in t}))}
-        vocabulary = spark.sparkContext.broadcast(code)
+        vocabulary = spark.sparkContext.broadcast(list(code))
 
         def index(batches, vocabulary=vocabulary):
-            code = vocabulary.value
+            terms = pa.array(vocabulary.value, pa.string())
             for batch in batches:
-                found, times = [], []
-                for row in batch.column(1):
-                    counts: dict[int, int] = {}
-                    for w in row.as_py():
-                        if (c := code.get(w)) is not None:
-                            counts[c] = counts.get(c, 0) + 1
-                    found.append(list(counts))
-                    times.append(list(counts.values()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).value_lengths().cast(pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], ["doc", "len", "codes", "times"])
+                words, sizes = batch.column(1), batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = pc.index_in(words.flatten(), value_set=terms)
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                cells = np.repeat(np.arange(len(sizes)), sizes)[known] * max(1, len(terms)) + found.drop_null().to_numpy().astype(np.int64)
+                cells, times = np.unique(cells, return_counts=True)
+                offsets = pa.array(np.searchsorted(cells, np.arange(len(sizes) + 1) * max(1, len(terms))), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (cells % max(1, len(terms)), times)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *lists], ["doc", "len", "codes", "times"])
 
         postings = stash(words.mapInArrow(index, f"doc {kind}, len bigint, codes array<int>, times array<int>"), "postings")
         n, mean = postings.agg(F.count("*"), F.avg("len")).first()
         often = dict(postings.select(F.explode("codes").alias("c")).groupBy("c").count().collect())  # a row a query term
         df = np.array([often.get(c, 0) for c in range(len(code))], np.float64)
-        weights = np.zeros((len(block), len(code)))
-        for q, (_, t) in enumerate(block):
-            for w in t:
-                weights[q, code[w]] += 1
-        weights *= np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5) + 1))
-        held = spark.sparkContext.broadcast(([q for q, _ in block], (weights, mean or 1.0), asked.schema["query"].dataType))
+        # Weights by term: the queries that hold it, one after another. A block's words bound their bytes.
+        pairs = [np.unique(np.array([code[w] for w in t], np.int64), return_counts=True) for _, t in block]
+        query_of = np.repeat(np.arange(len(block), dtype=np.int32), [len(c) for c, _ in pairs])
+        term_of = np.concatenate([c for c, _ in pairs]) if pairs else np.zeros(0, np.int64)
+        times = np.concatenate([n for _, n in pairs]) if pairs else np.zeros(0, np.int64)
+        by_term = np.argsort(term_of, kind="stable")
+        value = (times * np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5) + 1))[term_of])[by_term]
+        first = np.searchsorted(term_of[by_term], np.arange(len(code) + 1))
+        held = spark.sparkContext.broadcast(([q for q, _ in block], (first, query_of[by_term], value, len(block), mean or 1.0), asked.schema["query"].dataType))
 
         def score(known, part):
-            weights, mean = known
+            first, query_of, value, n_queries, mean = known
             (codes, sizes), (times, _) = _lists(part.column(2)), _lists(part.column(3))
             length = part.column(1).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            matrix = np.zeros((len(sizes), weights.shape[1]))
-            matrix[row, codes] = times * (K1 + 1) / (times + K1 * (1 - B + B * length[row] / mean))
-            return weights @ matrix.T
-
-        parts.append(_search(postings, "doc", ["len", "codes", "times"], held, score, max(1, CELLS // max([1, len(code), len(block)])), k, True))
+            share = times * (K1 + 1) / (times + K1 * (1 - B + B * length[row] / mean))
+            out = np.zeros(n_queries * len(sizes))
+            met = first[codes + 1] - first[codes]  # a posting meets each query that holds its term
+            ends = np.cumsum(met)
+            at = 0
+            while at < len(codes):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, side="right")))
+                k_of = np.repeat(np.arange(at, stop), met[at:stop])
+                place = np.arange(len(k_of)) - np.repeat(ends[at:stop] - met[at:stop] - (ends[at - 1] if at else 0), met[at:stop]) + np.repeat(first[codes[at:stop]], met[at:stop])
+                out += np.bincount(query_of[place].astype(np.int64) * len(sizes) + row[k_of], value[place] * share[k_of], len(out))
+                at = stop
+            return out.reshape(n_queries, len(sizes))
+
+        parts.append(_search(postings, "doc", ["len", "codes", "times"], held, score, max(1, CELLS // max(1, len(block))), k, True))
     return _together(parts, k)

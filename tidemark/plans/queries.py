@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, scoring, text
-from tidemark.operators import evals, fold, learn, log, memory, replay, retrieve, segments, snapshots, traces
+from tidemark.operators import evals, fold, learn, lexical_index, log, memory, replay, retrieve, segments, snapshots, traces
 from tidemark.plans.adapters import INGESTED, NOW, POINTS, VALID, app_events, edge_events, items, prompts, spans, table
 from tidemark.sources import transcripts
 from tidemark.tables import fresh_path
@@ -451,6 +451,18 @@ def bm25_topk(spark, d):
     return retrieve.lexical_top(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", 5)
 
 
+@query
+def bm25_indexed(spark, d):
+    """A kept index after four changes: old versions of some documents, others that go again, and the documents as they are."""
+    docs, root = table(spark, d, "documents").select("doc_id", "text"), fresh_path(spark, "lexical-index")
+    lexical_index.add(docs.filter("length(text) < 500").withColumn("text", F.upper(F.reverse("text"))), root, "doc_id", "text")
+    gone = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
+    lexical_index.add(gone, root, "doc_id", "text")
+    lexical_index.add(docs, root, "doc_id", "text")
+    lexical_index.remove(gone, root, "doc_id")
+    return lexical_index.search(table(spark, d, "benchmark"), root, "item_id", "text", 5)
+
+
 @query
 def bm25_incremental(spark, d):
     """Turns are versions of their conversation's document; one that ends with an assistant's in every fifth is removed."""

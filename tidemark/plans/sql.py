@@ -215,6 +215,7 @@ SELECT kind AS type, namespace, CASE namespace WHEN 'user' THEN 'user' ELSE 'tea
     "memory_diff": f"WITH {IT}, b AS (SELECT memory_id, n % 4 <> 0 AS active FROM it WHERE n % 3 <> 0), a AS (SELECT memory_id, active FROM it WHERE n % 7 <> 0), j AS (SELECT coalesce(b.memory_id, a.memory_id) AS memory_id, b.active AS was, a.active AS now FROM b FULL JOIN a ON b.memory_id = a.memory_id), c AS (SELECT memory_id, CASE WHEN was IS NULL AND now THEN 'added' WHEN was AND NOT coalesce(now, false) THEN 'removed' WHEN NOT was AND now THEN 'reactivated' END AS change FROM j) SELECT * FROM c WHERE change IS NOT NULL",
     "provenance_edges": f"WITH {IT}, {RELATION} SELECT memory_id, coalesce((SELECT string_agg(relation || ' ' || dst_id, ';' ORDER BY relation || ' ' || dst_id) FROM eg WHERE src_id = memory_id), '') AS relations FROM it",
     "bm25_topk": f"WITH {BM.format(id='doc_id', text='text', docs='documents')} SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM lexr WHERE rank < 5",
+    "bm25_indexed": f"WITH {BM.format(id='doc_id', text='text', docs='documents')} SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM lexr WHERE rank < 5",
     "bm25_incremental": f"WITH cur AS (SELECT conv_id, arg_max(text, turn) AS text, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id), kept AS (FROM cur WHERE NOT (role = 'assistant' AND conv_id % 5 = 0)), {BM.format(id='conv_id', text='text', docs='kept')} SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM lexr WHERE rank < 3",
     "dense_topk": "WITH s AS (SELECT q.vec_id AS query, v.vec_id AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) - 1 AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank < 5",
     "hash_embed_topk": f"WITH {IT}, {HASHED} SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM hsr WHERE rank < 5",
