@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
-from tidemark.operators import fold, log, segments, snapshots
+from tidemark.operators import fold, log, segments, snapshots, stores
 
 DAY = datetime(2026, 5, 1)
 OPS = log.UPSERTS + log.DELETES + log.EDGES
@@ -110,3 +110,25 @@ def test_missing_and_corrupt_blobs_are_errors(spark):
     assert stored.count() == 2 and log.corrupt_blobs(stored).count() == 0
     with pytest.raises(Exception, match="missing or corrupt"):
         log.get_blobs(spark.createDataFrame([("0" * 64,)], "r string"), "r", stored).collect()
+
+
+def test_a_fold_goes_on_from_a_snapshot(spark, tmp_path):
+    r = random.Random(21)
+    rows = [event(k, r.choice(OPS), f"e{r.randrange(6)}", r.randrange(20), r.randrange(12), {r.choice("abc"): r.choice(["1", "2", None])}, r.choice(["x", "y"]), r.choice("pqr")) for k in range(400)]
+    events = frame(spark, rows).repartition(3)
+    plain = lambda df: sorted(((x["entity_id"], dict(x["payload"]), {k: sorted(v) for k, v in x["edges"].items()}, x["deleted"], x["last_valid_at"], x["version_count"]) for x in df.collect()), key=repr)
+    at = lambda day: DAY + timedelta(days=day)
+    place = stores.Snapshots(stores.Place(spark, f"file://{tmp_path}/place"))
+    made = place.save_fold(events, None, at(8), at(9), at(30))
+    for valid, known in ((8, 9), (12, 15), (8, 40), (40, 40)):
+        want = plain(fold.materialize(events, at(valid), at(known), include_deleted=True))
+        assert plain(place.fold_from(made, events, at(valid), at(known), include_deleted=True)) == want
+        assert plain(fold.states_of(fold.partials(events, at(valid), at(known)), include_deleted=True)) == want
+    # Only what the snapshot hasn't seen is read: events that it has may be gone.
+    unseen = events.filter((F.col("valid_at") > at(8)) | (F.col("ingested_at") > at(9)))
+    assert unseen.count() < 400 and plain(place.fold_from(made, unseen, at(40), at(40))) == plain(fold.materialize(events, at(40), at(40)))
+    events.write.parquet(f"{tmp_path}/stored")
+    plan = fold.go_on(fold.partials(events), spark.read.parquet(f"{tmp_path}/stored"), at(8), at(9))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "Or(GreaterThan(valid_at" in plan
+    with pytest.raises(ValueError, match="no snapshot"):
+        place.fold_from("none", events, at(9), at(9))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.log import DELETES, EDGES, KEY, UPSERTS, as_of
+from tidemark.operators.log import DELETES, EDGES, KEY, UPSERTS, as_of, as_time
+
 
 def _when() -> Column:
     return F.struct("valid_at", "seq")
@@ -110,3 +111,65 @@ def change_frames(events: DataFrame, keys: list[str] | None = None) -> DataFrame
     entries = events.select(*keys, "seq", "valid_at", F.explode("payload").alias("k", "v"))
     before = F.lag("v").over(Window.partitionBy(*keys, "k").orderBy("valid_at", "seq"))
     return entries.withColumn("before", before).withColumn("changed", F.col("before").isNull() | (F.col("before") != F.col("v")))
+
+
+# -- folds that go on -------------------------------------------------------------------------------------------------
+
+PARTIAL_FIELDS = ["slot", "name", "target", "value", "valid_at", "seq", "n"]
+
+
+def _winners(writes: DataFrame, keys: list[str]) -> DataFrame:
+    at = F.struct("valid_at", "seq")
+    last = writes.groupBy(*keys, "slot", "name", "target").agg(F.max_by(F.struct("value"), at).alias("v"), F.max(at).alias("at"), F.sum("n").alias("n"))
+    return last.select(*keys, "slot", "name", "target", "v.value", "at.valid_at", "at.seq", "n")
+
+
+def _writes(events: DataFrame, keys: list[str]) -> DataFrame:
+    """What each event writes: payload keys, an edge, whether the entity is deleted, and that it was seen."""
+    text = lambda c: c.cast("string")
+    one = lambda slot, name=None, target=None, value=None, n=0: F.struct(F.lit(slot).alias("slot"), text(name if name is not None else F.lit(None)).alias("name"), text(target if target is not None else F.lit(None)).alias("target"), text(value if value is not None else F.lit(None)).alias("value"), (n if n is not None else F.lit(0)).cast("bigint").alias("n"))
+    none, on_edge = F.array().cast("array<struct<slot:string,name:string,target:string,value:string,n:bigint>>"), F.col("op").isin(EDGES)
+    written = F.transform(F.map_entries("payload"), lambda e: one("payload", e["key"], None, e["value"], F.lit(0)))
+    parts = [
+        F.when(F.col("op").isin(UPSERTS) & F.col("payload").isNotNull(), written).otherwise(none),
+        F.when(on_edge, F.array(one("edge", F.col("edge_kind"), F.col("edge_target"), F.col("op") == "upsert_edge", F.lit(0)))).otherwise(F.array(one("entity", None, None, F.col("op").isin(DELETES), F.lit(0)))),
+        F.array(one("seen", None, None, None, F.when(F.col("op") == "append_version", 1).otherwise(0))),
+    ]
+    return events.select(*keys, "valid_at", "seq", F.explode(F.concat(*parts)).alias("w")).select(*keys, "w.slot", "w.name", "w.target", "w.value", "valid_at", "seq", "w.n")
+
+
+def partials(events: DataFrame, valid=None, ingested=None, keys: list[str] | None = None) -> DataFrame:
+    """(keys, slot, name, target, value, valid_at, seq, n): the writes that have won so far, which later events can be folded onto.
+
+    A row for each payload key, edge target and entity; order doesn't matter, so late events find their place.
+    """
+    keys = keys or KEY
+    return _winners(_writes(as_of(events, valid, ingested), keys), keys)
+
+
+def go_on(saved: DataFrame, events: DataFrame, saved_valid, saved_ingested, valid=None, ingested=None, keys: list[str] | None = None) -> DataFrame:
+    """Partials at a later point, from those saved at an earlier one and only the events that these haven't seen.
+
+    Both times of the new point are at or behind those of the saved one. The test of what is unseen reaches the scan.
+    """
+    keys = keys or KEY
+    unseen = as_of(events, valid, ingested).filter((F.col("valid_at") > as_time(saved_valid)) | (F.col("ingested_at") > as_time(saved_ingested)))
+    return _winners(saved.select(*keys, *PARTIAL_FIELDS).unionByName(_writes(unseen, keys)), keys)
+
+
+def states_of(partial: DataFrame, include_deleted: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """The states that partials stand for, as ``materialize`` gives them."""
+    keys = keys or KEY
+    slot = lambda name: F.col("slot") == name
+    held = partial.groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(slot("payload"), F.struct("name", "value"))))).alias("payload"),
+        F.collect_list(F.when(slot("edge"), F.struct("name", "target", (F.col("value") == "true").alias("live")))).alias("e"),
+        F.coalesce(F.max(F.when(slot("entity"), F.col("value") == "true")), F.lit(False)).alias("deleted"),
+        F.max("valid_at").alias("last_valid_at"),
+        F.sum("n").alias("version_count"),
+    )
+    kinds = F.array_sort(F.array_distinct(F.transform("e", lambda x: x["name"])))
+    targets = lambda kind: F.array_sort(F.transform(F.filter("e", lambda x: (x["name"] == kind) & x["live"]), lambda x: x["target"]))
+    edges = F.map_from_entries(F.transform(kinds, lambda k: F.struct(k.alias("k"), targets(k).alias("t"))))
+    states = held.select(*keys, F.col("payload").cast("map<string,string>").alias("payload"), edges.cast("map<string,array<string>>").alias("edges"), "deleted", "last_valid_at", "version_count")
+    return states if include_deleted else states.filter(~F.col("deleted"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import tables
 from tidemark.functions import ids
-from tidemark.operators import snapshots
+from tidemark.operators import fold, snapshots
 from tidemark.operators.log import KEY, as_time
 
 SCHEMAS = {
@@ -21,6 +21,7 @@ SCHEMAS = {
     "cursors": "app string, stream string, cursor string, updated_at timestamp",
     "snapshots": "snapshot_id string, root string, entities bigint, as_of_valid timestamp, as_of_ingest timestamp, created_at timestamp",
     "snapshot_states": "snapshot_id string, app string, entity_type string, entity_id string, deleted boolean, payload map<string,string>, edges map<string,array<string>>, version_hash string",
+    "snapshot_partials": "snapshot_id string, app string, entity_type string, entity_id string, slot string, name string, target string, value string, valid_at timestamp, seq bigint, n bigint",
     "versions": "name string, version int, at timestamp",
 }
 #: The version of SCHEMAS; a place that has an older one gains the columns it lacks when it is read.
@@ -144,6 +145,26 @@ class Snapshots:
             self.place.append("snapshots", row)  # last: a state without its manifest isn't listed
         return made
 
+    def save_fold(self, events: DataFrame, app: str | None, valid, ingested, now) -> str:
+        """Save the states of a point together with the partials that later folds go on from; gives the snapshot's id."""
+        partial = tables.stash(fold.partials(events if app is None else events.filter(F.col("app") == app), valid, ingested), "partials")
+        made = self.save(fold.states_of(partial, include_deleted=True), app, valid, ingested, now)
+        kept = self.place.read("snapshot_partials").filter(F.col("snapshot_id") == made)
+        if kept.isEmpty():
+            self.place.append("snapshot_partials", partial.withColumn("snapshot_id", F.lit(made)))
+        return made
+
+    def fold_from(self, snapshot_id: str, events: DataFrame, valid, ingested, include_deleted: bool = False) -> DataFrame:
+        """States at a point not before the snapshot's on either axis, reading only events that the snapshot hasn't seen.
+
+        ``events`` are those of the snapshot's application, if it has one.
+        """
+        at = self.manifest(snapshot_id).select("as_of_valid", "as_of_ingest").first()
+        saved = self.place.read("snapshot_partials").filter(F.col("snapshot_id") == snapshot_id)
+        if at is None or saved.isEmpty():
+            raise ValueError(f"{snapshot_id} is no snapshot that a fold can go on from")
+        return fold.states_of(fold.go_on(saved, events, at["as_of_valid"], at["as_of_ingest"], valid, ingested), include_deleted)
+
     def manifest(self, snapshot_id: str) -> DataFrame:
         return self.place.read("snapshots").filter(F.col("snapshot_id") == snapshot_id)
 

@@ -313,3 +313,12 @@ def streamed_calendar(spark, d):
         exports.start_calendar(spark, source, log_path, checkpoint, "2026-01-01").awaitTermination()
     states = fold.materialize(segments.read(spark, log_path), include_deleted=True)
     return states.select("entity_id", "deleted", F.col("payload")["summary"].alias("summary"), F.get(F.col("edges")["attendee"], F.lit(0)).alias("guest"))
+
+
+@query(f"WITH {S.EV} SELECT {S.OUT} FROM ({S.fold()}) WHERE NOT deleted")
+def asof_fold_resumed(spark, d):
+    """The states of a point, folded onto a snapshot of an earlier one from what is new since; late events are among that."""
+    events, kept = app_events(spark, d), stores.Snapshots(stores.Place(spark, fresh_path(spark, "place")))
+    made = kept.save_fold(events, None, *[F.lit(t).cast("timestamp") for t in POINTS[0][1:]], NOW)
+    p, states = F.col("payload"), kept.fold_from(made, events, VALID, INGESTED)
+    return states.select("entity_id", p["event_type"].alias("event_type"), p["value"].alias("value"), p["k"].alias("k"), "version_count", ids.to_iso(F.col("last_valid_at")).alias("last_valid_at"))
