@@ -19,6 +19,7 @@ result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -42,17 +43,18 @@ SLICE_BYTES, REMEMBERED = 1 << 20, 1 << 20
 CALL_PARTS = 1 << 12
 
 
-def _plain(part: bytes) -> tuple[bytes, ...]:
-    """What stands for a piece of text between blanks: its letters in lower case, if it is ASCII, and the marks behind its last letter.
+#: A mark behind an ASCII letter at the end of a word, and an ASCII capital that may be one character with what follows.
+_MARK, _JOINED = re.compile(rb"(?<=[A-Za-z])([.,;:!?])(?=[ \t-\r]|\Z)"), re.compile(rb"[A-Z][\xcc\xcd]")
 
-    Of tokenizers that lower-case and begin a token where marks follow a letter, so that fewer pieces are new.
+
+def _plain(text: bytes) -> bytes:
+    """A text with the same ids and fewer different pieces between blanks: ASCII letters in lower case, marks behind words apart.
+
+    For tokenizers that lower-case, and that begin a token where a mark follows a letter. Texts that may name a special
+    token, or in which a capital's mark is a character of its own, keep their case.
     """
-    if b"<|" in part:  # may be the name of a special token
-        return (part,)
-    stem = part.rstrip(b".,;:!?")
-    if part.isascii():
-        return (stem.lower(), part[len(stem) :]) if len(stem) < len(part) and stem[-1:].isalpha() else (part.lower(),)
-    return (stem, part[len(stem) :]) if len(stem) < len(part) and stem.decode()[-1:].isalpha() else (part,)
+    text = _MARK.sub(rb" \1", text)
+    return text if b"<|" in text or _JOINED.search(text) else text.lower()
 
 
 class Encoder:
@@ -88,20 +90,17 @@ class Encoder:
             yield from (self.packed(t.decode()) for t in texts)
             return
         for text in texts:
-            parts = text.split()
-            if fresh := set(parts).difference(self.known):
-                plain = {p: _plain(p) for p in fresh}
-                wanted = list({x for pair in plain.values() for x in pair}.difference(self.known))
-                for k in range(0, len(wanted), CALL_PARTS):
-                    self._learn(wanted[k : k + CALL_PARTS])
-                for part, pair in plain.items():
-                    if len(pair) > 1 or pair[0] != part:
-                        if all(x in self.known for x in pair):
-                            self.known[part] = b"".join(self.known[x] for x in pair)
-                if not all(map(self.known.__contains__, parts)):  # more than is remembered
-                    yield self.packed(text.decode())
-                    continue
-            yield b"".join(map(self.known.__getitem__, parts))
+            parts = _plain(text).split()
+            found = list(map(self.known.get, parts))
+            if None in found:
+                fresh = list({p for p, ids in zip(parts, found, strict=True) if ids is None})
+                for k in range(0, len(fresh), CALL_PARTS):
+                    self._learn(fresh[k : k + CALL_PARTS])
+                try:
+                    found = list(map(self.known.__getitem__, parts))
+                except KeyError:  # what was known before has gone to make room
+                    found = [self.packed(text.decode())]
+            yield b"".join(found)
 
 
 @cache
