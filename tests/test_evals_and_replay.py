@@ -117,3 +117,14 @@ def test_mined_tasks(spark):
 
 def test_queue_identity(spark):
     assert spark.range(1).select(ids.new_id("appr", claim=F.lit("a"), namespace=F.lit(None))).first()[0].startswith("appr_")
+
+
+def test_percentiles_by_selection(spark):
+    r = random.Random(6)
+    rows = [(g, r.choice([None, float(r.randrange(9)), r.random() * 100])) for g in ["hot"] * 900 + ["cold"] * 7 + [None] * 30] + [("one", 4.0), ("none", None)]
+    got = {x["g"]: tuple(x)[1:] for x in evals.percentiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "v", [0.05, 0.5, 0.95, 1.0], ["g"]).collect()}
+    for g in {g for g, _ in rows} - {"none"}:
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        want = tuple(v[int(h)] + (v[min(int(h) + 1, len(v) - 1)] - v[int(h)]) * (h - int(h)) for h in (q * (len(v) - 1) for q in (0.05, 0.5, 0.95, 1.0)))
+        assert all(abs(a - b) < 1e-4 for a, b in zip(got[g], want, strict=True)), g
+    assert "none" not in got

@@ -132,3 +132,22 @@ def test_a_fold_goes_on_from_a_snapshot(spark, tmp_path):
     assert "PushedFilters" in plan and "Or(GreaterThan(valid_at" in plan
     with pytest.raises(ValueError, match="no snapshot"):
         place.fold_from("none", events, at(9), at(9))
+
+
+def test_states_at_many_points(spark, monkeypatch):
+    monkeypatch.setattr(fold, "POINT_BLOCK", 7)
+    r = random.Random(31)
+    rows = [event(k, r.choice(OPS), f"e{r.randrange(5)}", r.randrange(20), r.randrange(9), {r.choice("ab"): r.choice(["1", "2", None])}, r.choice("xy"), r.choice("pq")) for k in range(300)]
+    spots = [(f"p{k}", DAY + timedelta(days=r.randrange(-2, 25)), DAY + timedelta(days=r.randrange(-2, 30))) for k in range(16)] + [("early", DAY - timedelta(days=9), DAY), ("none", None, DAY)]
+    events, points = frame(spark, rows).repartition(3), spark.createDataFrame(spots, "point string, valid timestamp, ingested timestamp")
+    plain = lambda x: (x["entity_id"], dict(x["payload"]), {k: sorted(v) for k, v in x["edges"].items()}, x["deleted"], x["last_valid_at"], x["version_count"])
+    found = fold.states_at_points(events, points)
+    got = {}
+    for x in found.collect():
+        got.setdefault(x["point"], []).append(plain(x))
+    short = {(x["point"], x["entity_id"]): tuple(x)[-3:] for x in fold.at_points(events, points).collect()}
+    for name, valid, known in spots[:-1]:
+        want = [plain(x) for x in fold.materialize(events, valid, known, include_deleted=True).collect()]
+        assert sorted(got.get(name, []), key=repr) == sorted(want, key=repr), name
+        assert all(short[name, w[0]] == w[-3:] for w in want)
+    assert "none" not in got and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()

@@ -86,6 +86,20 @@ def test_block_transcripts(spark, tmp_path):
     assert sorted(back.select(*kept).collect(), key=repr) == sorted(spans.select(*kept).collect(), key=repr) and back.first()["attributes"] == {"x": "y"}
 
 
+def test_files_of_one_name_stay_two_runs(spark, tmp_path):
+    for folder, said in (("a", "first"), ("b", "second")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "session.jsonl").write_text(json.dumps({"role": "user", "content": said}) + "\n" + json.dumps({"role": "assistant", "content": "ok"}))
+    runs, spans = transcripts.block_transcripts(spark, f"{tmp_path}/*/session.jsonl")
+    assert runs.count() == runs.select("trace_id").distinct().count() == 2
+    home = f"file://{tmp_path}/home"
+    assert traces.ingest(runs, spans, home, "2026-01-01") == 2
+    stored = traces.stored_spans(spark, home)
+    assert {tuple(sorted(filter(None, r["said"]))) for r in stored.groupBy("trace_id").agg(F.collect_list("input").alias("said")).collect()} == {("first",), ("second",)}
+    with pytest.raises(ValueError, match="have the id"):
+        traces.ingest(runs.unionByName(runs), spans, home, "2026-01-01")
+
+
 def test_item_transcripts_and_captures(spark, tmp_path):
     session = {"id": "s9", "items": [{"type": "message", "role": "user", "timestamp": "2026-05-01T10:00:00Z", "content": [{"text": "a"}, {"text": "b"}]}, {"type": "function_call", "name": "slack.post_message", "arguments": "{\"channel\": \"C1\"}", "output": "ok"}, {"type": "tool_call", "name": "x", "arguments": "not json"}, {"type": "message", "role": "assistant", "content": "done"}]}
     runs, spans = transcripts.item_transcripts(spark, put(tmp_path, "s.json", session))

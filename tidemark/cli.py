@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidemark
-from tidemark.operators import fold, log, memory, replay, reports, retrieve, segments, snapshots, stores, traces
+from tidemark.operators import evals, fold, log, memory, replay, reports, retrieve, segments, snapshots, stores, traces
 from tidemark.session import Config, open_session
 from tidemark.sources import files
 from tidemark.tables import stash
@@ -64,6 +64,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
 
         if args.command == "hook":
             runs, spans = transcripts.captured_runs(transcripts.read_hook_log(spark, args.path))
+            if args.transcripts:  # a transcript says more than the hooks of its session
+                runs, spans = transcripts.preferred(transcripts.block_transcripts(spark, args.transcripts), (runs, spans))
         else:
             runs, spans = (transcripts.block_transcripts if args.format == "blocks" else transcripts.item_transcripts)(spark, args.path)
         print(json.dumps({"runs": traces.ingest(runs, spans, home, args.ingested_at)}))
@@ -78,6 +80,14 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         kept.add_edges(edges)
         kept.set_active(items.filter("not active").select("memory_id", "active"), args.now)
         print(json.dumps({"items": kept.items().count(), "active": kept.items().filter("active").count()}))
+    elif name == "memory bootstrap":  # from the current state alone
+        kept = stores.Memory(stores.Place(spark, home))
+        items, edges = memory.cold_start(fold.materialize(events_of(spark, home)), args.now)
+        kept.add(items)
+        kept.add_edges(edges)
+        print(json.dumps({"items": kept.items().count()}))
+    elif name == "memory show":
+        show(stores.Memory(stores.Place(spark, home)).get(args.id), 1)
     elif name == "memory list":
         show(stores.Memory(stores.Place(spark, home)).items().orderBy("memory_id"), args.limit)
     elif name == "memory retrieve":
@@ -89,6 +99,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         written = files.write_knowledge(memory.knowledge_files(kept.items()), args.path)
         written.append(files.write_provenance(memory.provenance(kept.items(), kept.place.read("edges")), args.path))
         print("\n".join(written))
+    elif name == "eval mine":
+        spans = traces.stored_spans(spark, home)
+        show(evals.mine(traces.tool_sequences(spans), memory.from_runs(spans).select(F.col("ref").alias("trace_id"), "source", "text")), args.limit)
     elif name.startswith("eval "):
         tasks = files.tasks(spark, args.path).withColumns({c: F.col(c).cast("timestamp") for c in replay.POINT})
         runs = stash(replay.backtest_memory(tasks, *sources_of(spark, home), events_of(spark, home), args.now), "backtest")
@@ -137,9 +150,9 @@ def parser() -> argparse.ArgumentParser:
             "checkout": [("as_of",), ("--app",)], "diff": [("before",), ("after",)],
         },
         "snapshot": {"create": [("as_of",), ("--app",), ("--now",)], "list": [], "show": [("id",)], "diff": [("before",), ("after",)]},
-        "trace": {"ingest": [("path",), ("--format",), ("--ingested-at", True)], "hook": [("path",), ("--ingested-at", True)], "list": [("--agent",)], "show": [("id",)]},
-        "memory": {"compile": [("--now", True)], "list": [], "retrieve": [("text",), ("--now", True)], "files": [("path",)]},
-        "eval": {"run": [("path", "+"), ("--now", True)], "html": [("path", "+"), ("--now", True)]},
+        "trace": {"ingest": [("path",), ("--format",), ("--ingested-at", True)], "hook": [("path",), ("--transcripts",), ("--ingested-at", True)], "list": [("--agent",)], "show": [("id",)]},
+        "memory": {"compile": [("--now", True)], "bootstrap": [("--now", True)], "show": [("id",)], "list": [], "retrieve": [("text",), ("--now", True)], "files": [("path",)]},
+        "eval": {"mine": [], "run": [("path", "+"), ("--now", True)], "html": [("path", "+"), ("--now", True)]},
         "viz": {"timeline": [("app",), ("type",), ("id",)], "provenance": [("--format",)]},
         "info": {"show": []},
     }

@@ -102,8 +102,27 @@ def win_rate_interval(deltas: DataFrame, group: str, order: str, delta: str = "d
 
 
 def percentiles(values: DataFrame, value: str, qs: list[float], by: list[str]) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return values.groupBy(*by).agg(*[F.round(F.percentile(F.col(value), F.lit(q)), 4).alias(f"p{round(q * 100)}") for q in qs])
+    """Exact percentiles with linear interpolation, by distributed selection: null values don't count.
+
+    Equal values of a group are counted first. Values are dealt by ranges of (group, value), a range's ranks begin behind
+    the count of what its group has in all ranges before it, and only the values that hold a wanted rank go on. A group
+    may lie in many ranges, so no task and no buffer has all its values.
+    """
+    each = values.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    dealt = range_dealt(each, *by, "__v")
+    parts = dealt.groupBy(*by, "pid").agg(F.sum("__n").alias("__own"))
+    line, group = Window.partitionBy(*by).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    bases = parts.select(*by, "pid", F.coalesce(F.sum("__own").over(line), F.lit(0)).alias("__base"), F.sum("__own").over(group).alias("__all"))  # rows: ranges, and groups
+    same = F.lit(True)
+    for c in ["pid", *by]:
+        same = same & dealt[c].eqNullSafe(bases[c])
+    inside = Window.partitionBy(dealt["pid"], *[dealt[c] for c in by]).orderBy("__v")
+    ranked = dealt.join(bases, same).select(*[dealt[c] for c in by], "__v", "__n", "__all", (F.col("__base") + F.sum("__n").over(inside) - F.col("__n")).alias("__first"))
+    at = {q: F.lit(q) * (F.col("__all") - 1) for q in qs}
+    holds = lambda rank: (F.col("__first") <= rank) & (rank < F.col("__first") + F.col("__n"))
+    picked = ranked.groupBy(*by).agg(F.first("__all").alias("__all"), *[F.max(F.when(holds(f(at[q])), F.col("__v"))).alias(f"__{name}{k}") for k, q in enumerate(qs) for name, f in (("lo", F.floor), ("hi", F.ceil))])
+    between = lambda k, q: F.col(f"__lo{k}") + (F.col(f"__hi{k}") - F.col(f"__lo{k}")) * (at[q] - F.floor(at[q]))
+    return picked.select(*by, *[F.round(between(k, q), 4).alias(f"p{round(q * 100)}") for k, q in enumerate(qs)])
 
 
 def wilcoxon(deltas: DataFrame, delta: str = "delta") -> DataFrame:

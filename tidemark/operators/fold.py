@@ -73,13 +73,49 @@ def find_entities(states: DataFrame, **expect: str) -> DataFrame:
     return found
 
 
-def at_points(events: DataFrame, points: DataFrame, point: str = "point") -> DataFrame:
-    """As-of join: for each point (its id, valid, ingested) the summary of each entity that it may see.
+#: Points that one pass over the events serves.
+POINT_BLOCK = 64
+
+
+def _place(at: Column, times: list) -> Column:
+    """How many of the sorted times lie before ``at``, by halves; all of them where it is null."""
+
+    def halves(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(at <= F.lit(times[mid]), halves(lo, mid)).otherwise(halves(mid + 1, hi))
+
+    return halves(0, len(times))
 
-    The points are few and their number is checked by the optimizer's size estimate before it broadcasts them.
+
+def partials_at(events: DataFrame, points: DataFrame, point: str = "point", slots: list[str] | None = None) -> DataFrame:
+    """The winning writes that each point (its id, valid, ingested) sees: partials with the point as a key.
+
+    The points' times cut both axes into a grid. An event's cell is found by halves on either axis, and the events of an
+    entity in a cell are folded to what wins there; a point then takes the cells that it dominates, by an equality join
+    with a list of cells and points. So an event isn't compared with points: the cost is the events, and for each entity
+    its cells times the points that see them. Points go to the driver, and POINT_BLOCK of them share a pass.
     """
-    seen = events.join(points, (F.col("valid_at") <= F.col("valid")) & (F.col("ingested_at") <= F.col("ingested")))
-    return summary(seen, [point, *KEY])
+    spark, every = events.sparkSession, None
+    kind = points.schema[point].dataType.simpleString()
+    held = sorted(((r[0], r[1], r[2]) for r in points.select(F.col("valid").cast("timestamp"), F.col("ingested").cast("timestamp"), point).collect() if r[0] is not None and r[1] is not None), key=lambda r: r[:2])
+    for at in range(0, max(1, len(held)), POINT_BLOCK):
+        block = held[at : at + POINT_BLOCK]
+        valids, knowns = sorted({v for v, _, _ in block}), sorted({k for _, k, _ in block})
+        seen = [(i, j, p) for v, k, p in block for i in range(valids.index(v) + 1) for j in range(knowns.index(k) + 1)]  # POINT_BLOCK ** 3 rows at most
+        cells = spark.createDataFrame(seen, f"i int, j int, {point} {kind}")
+        placed = events.withColumn("i", _place(F.col("valid_at"), valids)).withColumn("j", _place(F.col("ingested_at"), knowns)).filter((F.col("i") < len(valids)) & (F.col("j") < len(knowns)))
+        writes = _writes(placed, ["i", "j", *KEY])
+        folded = _winners(writes if slots is None else writes.filter(F.col("slot").isin(slots)), ["i", "j", *KEY])
+        mine = _winners(folded.join(F.broadcast(cells), ["i", "j"]).drop("i", "j"), [point, *KEY])
+        every = mine if every is None else every.unionByName(mine)
+    return every
+
+
+def at_points(events: DataFrame, points: DataFrame, point: str = "point") -> DataFrame:
+    """As-of join: for each point (its id, valid, ingested) the summary of each entity that it may see."""
+    return states_of(partials_at(events, points, point, ["entity", "seen"]), True, [point, *KEY]).drop("payload", "edges")
 
 
 def frames(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -101,8 +137,7 @@ def frames(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def states_at_points(events: DataFrame, points: DataFrame, point: str = "point") -> DataFrame:
     """As-of join to whole states: payload and edges of each entity for each point (its id, valid, ingested), tombstones too."""
-    seen = events.join(points, (F.col("valid_at") <= F.col("valid")) & (F.col("ingested_at") <= F.col("ingested")))
-    return materialize(seen, include_deleted=True, keys=[point, *KEY])
+    return states_of(partials_at(events, points, point), True, [point, *KEY])
 
 
 def change_frames(events: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -182,12 +182,13 @@ def resolve(items: DataFrame, overlap: float = OVERLAP_FROM) -> tuple[DataFrame,
             hostile.setdefault(r["a"], set()).add(r["b"])
             hostile.setdefault(r["b"], set()).add(r["a"])
         ranked = sorted(facts, key=lambda i: (-facts[i][0], facts[i][1], i))
+        place = {i: k for k, i in enumerate(ranked)}
         gone, out = set(), []
-        for i, a in enumerate(ranked):
-            for b in ranked[i + 1 :]:
+        for a in ranked:
+            for b in sorted(hostile[a], key=place.__getitem__):
                 if a in gone:
                     break
-                if b in gone or b not in hostile[a]:
+                if b in gone or place[b] < place[a]:
                     continue
                 winner, loser = (a, b) if facts[a] >= facts[b] else (b, a)
                 gone.add(loser)

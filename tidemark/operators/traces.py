@@ -45,8 +45,11 @@ def ingest(runs: DataFrame, spans: DataFrame, home: str, ingested_at, offload_ch
     """Append captured runs with their spans to the tables below ``home``, redacted, long texts as blobs; returns how many.
 
     A capture is told by its run and its spans, so the same one again adds nothing. A run keeps all its captures, and
-    ``stored_runs`` and ``stored_spans`` give the richest.
+    ``stored_runs`` and ``stored_spans`` give the richest. Two runs of one id in the same capture are an error: their
+    spans can't be told apart.
     """
+    if twice := runs.groupBy("trace_id").count().filter("count > 1").select("trace_id").first():
+        raise ValueError(f"several runs of this capture have the id {twice['trace_id']}")
     spark, clean = runs.sparkSession, stash(redacted_spans(spans), "redacted")
     content = clean.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.sum(F.xxhash64("span_id", "input", "output").cast("decimal(38,0)")).cast("string").alias("content"))
     found = runs.drop("n_spans").join(content, "trace_id").withColumn("capture_id", ids.new_id("cap", trace_id=F.col("trace_id"), n_spans=F.col("n_spans"), content=F.col("content")))

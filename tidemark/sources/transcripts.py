@@ -57,11 +57,13 @@ def _finish(rows: DataFrame, agent: str, workflow: str = "operational_assistant"
     """(runs, spans) from rows (session, group_id, ord, span, seen): a root span, positions, ids and references.
 
     A run is told by its agent, its group and its first time: by no path, so a moved file is the same run, and a
-    capture of hooks meets the transcript of its session.
+    capture of hooks meets the transcript of its session. Without a time what it says first tells it, so files of one name
+    stay apart.
     """
-    bounds = rows.groupBy("session").agg(F.first("group_id", ignorenulls=True).alias("group_id"), F.min("seen").alias("started_at"), F.max("seen").alias("ended_at"), (F.count("span") + 1).alias("n_spans"))
-    trace = ids.new_id("trace", agent=F.lit(agent), workflow_name=F.lit(workflow), group_id=F.col("group_id"), started_at=ids.to_iso(F.col("started_at")))
-    runs = bounds.withColumn("trace_id", trace)
+    bounds = rows.groupBy("session").agg(F.first("group_id", ignorenulls=True).alias("group_id"), F.min("seen").alias("started_at"), F.max("seen").alias("ended_at"), (F.count("span") + 1).alias("n_spans"), F.min_by(F.struct("span.kind", "span.name", "span.input", "span.output"), F.when(F.col("span").isNotNull(), F.col("ord"))).alias("opening"))
+    opening = F.concat(F.lit("opening:"), ids.sha256_hex(F.coalesce(F.to_json("opening"), F.lit(""))))
+    trace = ids.new_id("trace", agent=F.lit(agent), workflow_name=F.lit(workflow), group_id=F.col("group_id"), started_at=F.coalesce(ids.to_iso(F.col("started_at")), opening))
+    runs = bounds.withColumn("trace_id", trace).drop("opening")
     order = Window.partitionBy("session").orderBy("ord")
     body = rows.filter("span is not null").withColumn("pos", F.row_number().over(order)).select("session", "pos", "span.*")
     none = F.lit(None)
