@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, scoring, text
-from tidemark.operators import evals, fold, learn, lexical_index, log, memory, replay, retrieve, segments, snapshots, traces
+from tidemark.operators import evals, fold, learn, lexical_index, log, matching, memory, replay, retrieve, segments, snapshots, traces
 from tidemark.plans.adapters import INGESTED, NOW, POINTS, VALID, app_events, edge_events, items, prompts, spans, table
 from tidemark.sources import transcripts
 from tidemark.tables import fresh_path
@@ -544,6 +544,14 @@ def graph_three_hops(spark, d):
 # -- evaluation -------------------------------------------------------------------------------------------------------
 
 
+@query
+def strings_contained(spark, d):
+    """In how many documents each longer word of the benchmark stands, also inside of words."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).filter("length(w) > 6").distinct()
+    found = matching.containing(table(spark, d, "documents"), words, "doc_id", "text", "w", "w")
+    return found.groupBy(F.col("string").alias("word")).agg(F.count("*").alias("n"))
+
+
 @query
 def retrieval_quality(spark, d):
     expected = F.filter(F.split("text", " "), lambda w: F.length(w) > 6)

@@ -231,6 +231,7 @@ SELECT query, CAST(arg_max(used, rank) AS INTEGER) AS used, array_to_string(arg_
     "graph_one_hop": f"WITH {IT}, {RELATION} SELECT memory_id AS doc, round(0.01::DOUBLE + 0.5::DOUBLE / 60 * (SELECT count(*) FROM eg WHERE dst_id = memory_id AND relation IN ('supports', 'derived_from')), 6) AS fused FROM it",
     "graph_two_hop": "WITH e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier), s AS (SELECT * FROM e WHERE src IN ('s1', 's2', 's3')), h AS (SELECT src, src AS dst, 0 AS h FROM s UNION ALL SELECT src, dst, 1 FROM s UNION ALL SELECT s.src, e.src, 2 FROM s JOIN e USING (dst)) SELECT src, dst, round(1.0::DOUBLE / (min(h) + 1), 4) AS proximity FROM h GROUP BY ALL",
     "graph_three_hops": "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), u AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e), h0 AS (SELECT 'n' || n_nationkey AS src, 'n' || n_nationkey AS dst, 0 AS h FROM nation WHERE n_nationkey < 3), h1 AS (SELECT DISTINCT src, y AS dst, 1 AS h FROM h0 JOIN u ON x = dst), h2 AS (SELECT DISTINCT src, y AS dst, 2 AS h FROM h1 JOIN u ON x = dst), h3 AS (SELECT DISTINCT src, y AS dst, 3 AS h FROM h2 JOIN u ON x = dst), m AS (SELECT src, dst, min(h) AS h FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2 UNION ALL FROM h3) GROUP BY ALL) SELECT src, round(1.0::DOUBLE / (h + 1), 4) AS proximity, count(*) AS n FROM m GROUP BY src, h",
+    "strings_contained": "WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE length(w) > 6), d AS (SELECT lower(text) AS t FROM documents) SELECT w AS word, count(*) AS n FROM w JOIN d ON contains(t, w) GROUP BY w",
     "retrieval_quality": "WITH b AS (SELECT item_id, list_transform(string_split(text, chr(10)), lambda x: lower(x)) AS c, list_transform(list_filter(string_split(text, ' '), lambda w: length(w) > 6), lambda x: lower(x)) AS s FROM benchmark), n AS (SELECT item_id, len(s) AS ns, len(c) AS nc, len(list_filter(c, lambda x: len(list_filter(s, lambda y: contains(x, y))) > 0)) AS rel, len(list_filter(s, lambda y: len(list_filter(c, lambda x: contains(x, y))) > 0)) AS cov FROM b), q AS (SELECT item_id, CASE WHEN ns = 0 THEN 1.0 ELSE round(least(1.0, rel::DOUBLE / least(ns, nc)), 4) END AS precision, CASE WHEN ns = 0 THEN 1.0 ELSE round(cov::DOUBLE / ns, 4) END AS recall FROM n) SELECT item_id, precision::DOUBLE AS precision, recall::DOUBLE AS recall, CASE WHEN precision + recall = 0 THEN 0.0 ELSE round(2 * precision * recall / (precision + recall), 4) END::DOUBLE AS f1 FROM q",
     "rubric_scores": f"WITH {AXES} SELECT doc_id, round(0.4::DOUBLE * o + 0.2::DOUBLE * r + 0.2::DOUBLE * p + 0.2::DOUBLE * v, 4) AS total, round((o * 0.4::DOUBLE + v * 0.2::DOUBLE) / (0.4::DOUBLE + 0.2::DOUBLE), 4) AS outcome_score, o >= 0.999 AND v >= 0.999 AS success FROM ax",
     "paired_delta": PAIRED + " SELECT * FROM pd WHERE delta IS NOT NULL",
