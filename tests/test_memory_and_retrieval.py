@@ -175,3 +175,39 @@ def test_files_and_documents(spark):
 @pytest.mark.parametrize(("said", "want"), [("8/10", 0.8), ("I say 7.5 / 10.", 0.75), ("score 0.4", 0.4), ("11/10", None), ("12", None), ("none", None), ("1", 1.0)])
 def test_scores_in_text(spark, said, want):
     assert one(spark, text.parse_score(F.lit(said)))[0] == want
+
+
+def swept_pairs(items, pairs):
+    """The greedy sweep over all pairs, item by item."""
+    facts = {i: (c, at, memory.ACL_RANK.get(acl, 0)) for i, _, c, at, acl in items}
+    ranked = sorted(facts, key=lambda i: (-facts[i][0], facts[i][1], i))
+    gone, out = set(), set()
+    for k, a in enumerate(ranked):
+        for b in ranked[k + 1 :]:
+            if a in gone:
+                break
+            if b not in gone and (min(a, b), max(a, b)) in pairs:
+                winner, loser = (a, b) if facts[a] >= facts[b] else (b, a)
+                gone.add(loser)
+                out.add((winner, loser))
+    return out
+
+
+def test_sets_of_equal_claims_resolve_as_their_items_would(spark):
+    r = random.Random(17)
+    topics = ["ship the release plan by monday", "ship the release plan", "book travel early", "keep the monday meeting short"]
+    rows = [(f"m{k:03d}", r.choice(["", "do not "]) + r.choice(topics), r.choice([0.5, 0.6, 0.7]), datetime(2026, 1, r.randrange(1, 4)), r.choice(["personal", "team", "project"])) for k in range(120)]
+    df = spark.createDataFrame([(i, "user", f"s{int(i[1:]) % 2}", c, f, at, acl) for i, c, f, at, acl in rows], "memory_id string, namespace string, subject string, claim string, confidence double, created_at timestamp, acl string").repartition(3)
+    pairs = {(x["a"], x["b"]) for x in memory.contradictions(df).collect()}
+    assert len(pairs) > 500 and all(int(a[1:]) % 2 == int(b[1:]) % 2 for a, b in pairs)
+    active, edges = memory.resolve(df)
+    want = set().union(*[swept_pairs([x for x in rows if int(x[0][1:]) % 2 == s], pairs) for s in (0, 1)])
+    assert {(x["src_id"], x["dst_id"]) for x in edges.filter("relation = 'supersedes'").collect()} == want
+    assert {x["memory_id"] for x in active.filter("not active").collect()} == {loser for _, loser in want}
+
+
+def test_very_many_equal_claims(spark):
+    n = 50_000
+    rows = spark.range(2 * n).selectExpr("concat('m', lpad(id, 7, '0')) AS memory_id", "'team' AS namespace", "'one' AS subject", f"concat(if(id < {n}, '', 'do not '), 'ship the release plan') AS claim", "0.5 + id / 1000000 AS confidence", "timestamp'2026-01-01' AS created_at", "'team' AS acl")
+    active, edges = memory.resolve(rows)
+    assert active.filter("active").count() == n and edges.count() == 2 * n

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
+from heapq import heapify, heappop, heapreplace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -144,58 +146,98 @@ def structured_facts(users: DataFrame, channels: DataFrame, documents: DataFrame
     return items.select(memory_id().alias("memory_id"), "*")
 
 
-def contradictions(items: DataFrame, overlap: float = OVERLAP_FROM) -> DataFrame:
-    """(a, b, overlap): items of one subject with opposite polarity that share a topic; a is the smaller id.
+def _claim_sets(items: DataFrame) -> DataFrame:
+    """(memory_id, namespace, subject, pos, t, rep): items with topic tokens; items of one subject, polarity and set of tokens share ``rep``, their least id."""
+    marked = items.select("memory_id", "namespace", F.coalesce("subject", F.lit("")).alias("subject"), text.positive(F.col("claim")).alias("pos"), F.array_sort(F.array_distinct(text.topic_tokens(F.col("claim")))).alias("t")).filter(F.size("t") > 0)
+    of = ["namespace", "subject", "pos", "t"]
+    return stash(marked.join(marked.groupBy(*of).agg(F.min("memory_id").alias("rep")), of).select("memory_id", *of, "rep"), "claims")
+
 
-    Items are split by polarity and meet on their rare tokens: sets that overlap by a share must have one of the rarest
-    in common, so of n tokens only the first n - ceil(share * n) + 1, by how often their subject holds them, are joined.
+def _hostile_sets(marked: DataFrame, overlap: float) -> DataFrame:
+    """(namespace, subject, x, y, overlap): sets of one subject with opposite polarity that share a topic, each by its ``rep``; x affirms.
+
+    Sets meet on their rare tokens: sets that overlap by a share must have one of the rarest in common, so of n tokens only
+    the first n - ceil(share * n) + 1, by how many of their subject's sets hold them, are joined.
     """
     of = ["namespace", "subject"]
-    marked = items.select("memory_id", "namespace", F.coalesce("subject", F.lit("")).alias("subject"), text.positive(F.col("claim")).alias("pos"), F.array_distinct(text.topic_tokens(F.col("claim"))).alias("t")).filter(F.size("t") > 0)
-    each = marked.select("memory_id", "pos", *of, F.explode("t").alias("token"))
+    each = marked.filter("memory_id = rep").select("rep", "pos", *of, F.explode("t").alias("token"))
     often = each.groupBy(*of, "token").agg(F.count("*").alias("often"))
-    ordered = each.join(often, [*of, "token"]).groupBy("memory_id", "pos", *of).agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("t"))
+    ordered = each.join(often, [*of, "token"]).groupBy("rep", "pos", *of).agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("t"))
     rare = ordered.withColumn("token", F.explode(F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * F.lit(overlap) - 1e-9).cast("int") + 1)))
-    side = lambda test, name: rare.filter(test).select(*of, "token", F.col("memory_id").alias(name), F.col("t").alias(f"t_{name}"))
+    side = lambda test, name: rare.filter(test).select(*of, "token", F.col("rep").alias(name), F.col("t").alias(f"t_{name}"))
     met = side(F.col("pos"), "x").join(side(~F.col("pos"), "y"), [*of, "token"]).filter(F.size("t_x") >= overlap * F.size("t_y") - 1e-9).filter(F.size("t_y") >= overlap * F.size("t_x") - 1e-9)
     shared = met.dropDuplicates(["x", "y"]).withColumn("overlap", text.jaccard(F.col("t_x"), F.col("t_y")))
-    return shared.filter(F.col("overlap") >= overlap).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap")
+    return shared.filter(F.col("overlap") >= overlap).select(*of, "x", "y", "overlap")
+
+
+def _drop(queue: deque[int], before: int, gone: list[bool]) -> None:
+    """Take off the head of a queue what ranks before ``before`` or is superseded: neither is met again."""
+    while queue and (queue[0] <= before or gone[queue[0]]):
+        queue.popleft()
+
+
+def contradictions(items: DataFrame, overlap: float = OVERLAP_FROM) -> DataFrame:
+    """(a, b, overlap): items of one subject with opposite polarity that share a topic; a is the smaller id.
+
+    Equal sets of tokens are compared once; the pairs of their items are the result's size, whatever finds them.
+    """
+    marked = _claim_sets(items)
+    member = lambda name: marked.select(F.col("rep").alias(name), F.col("memory_id").alias(f"m_{name}"))
+    pairs = _hostile_sets(marked, overlap).join(member("x"), "x").join(member("y"), "y")
+    return pairs.select(F.least("m_x", "m_y").alias("a"), F.greatest("m_x", "m_y").alias("b"), "overlap")
 
 
 def resolve(items: DataFrame, overlap: float = OVERLAP_FROM) -> tuple[DataFrame, DataFrame]:
-    """(items with active, edges): the greedy sweep of each subject over its contradicting pairs.
+    """(items with active, edges): the greedy sweep of each subject over its contradicting items.
 
-    Pairs are found by joins; only items that contradict something enter the ordered sweep, one task a subject. The
-    stronger by confidence, then recency, then access wins; a superseded item supersedes nothing.
+    Sets of equal tokens are found hostile to each other once, and the sweep keeps each set's items in a queue: a step of
+    it takes an item out, so n equal claims against m equal denials cost n + m steps and rows. Only items of hostile sets
+    enter the sweep, a subject in one task. The stronger by confidence, then recency, then access wins; a superseded item
+    supersedes nothing.
     """
-    pairs = contradictions(items, overlap)
-    facts = items.select("memory_id", "namespace", F.coalesce("subject", F.lit("")).alias("subject"), "confidence", "created_at", lookup(F.col("acl"), ACL_RANK, 0).alias("acl_rank"))
-    left = facts.select(*[F.col(c).alias(c if c in ("namespace", "subject") else f"a_{c}") for c in facts.columns])
-    right = facts.select(*[F.col(c).alias(f"b_{c}") for c in facts.columns if c not in ("namespace", "subject")])
-    full = pairs.join(left, F.col("a") == F.col("a_memory_id")).join(right, F.col("b") == F.col("b_memory_id"))
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        facts, hostile = {}, {}
-        for r in pdf.to_dict("records"):
-            for s in ("a", "b"):
-                facts[r[f"{s}_memory_id"]] = (r[f"{s}_confidence"], r[f"{s}_created_at"], r[f"{s}_acl_rank"])
-            hostile.setdefault(r["a"], set()).add(r["b"])
-            hostile.setdefault(r["b"], set()).add(r["a"])
-        ranked = sorted(facts, key=lambda i: (-facts[i][0], facts[i][1], i))
-        place = {i: k for k, i in enumerate(ranked)}
-        gone, out = set(), []
-        for a in ranked:
-            for b in sorted(hostile[a], key=place.__getitem__):
-                if a in gone:
+    marked, of = _claim_sets(items), ["namespace", "subject"]
+    hostile = stash(_hostile_sets(marked, overlap).select(*of, "x", "y"), "hostile")
+    sets = hostile.select(F.col("x").alias("rep")).union(hostile.select("y")).distinct()
+    facts = items.select("memory_id", "confidence", "created_at", lookup(F.col("acl"), ACL_RANK, 0).alias("acl_rank"))
+    members = marked.join(sets, "rep", "left_semi").select("memory_id", *of, "rep").join(facts, "memory_id")
+
+    def sweep(pairs: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        ranked = mine.sort_values(["confidence", "created_at", "memory_id"], ascending=[False, True, True])
+        ids, rep = ranked["memory_id"].tolist(), ranked["rep"].tolist()
+        strength = list(zip(ranked["confidence"], ranked["created_at"], ranked["acl_rank"], strict=True))
+        queues: dict[str, deque[int]] = {}
+        for k, r in enumerate(rep):
+            queues.setdefault(r, deque()).append(k)
+        against: dict[str, list[str]] = {}
+        for x, y in zip(pairs["x"], pairs["y"], strict=True):
+            against.setdefault(x, []).append(y)
+            against.setdefault(y, []).append(x)
+        gone, out = [False] * len(ids), []
+        for a in range(len(ids)):
+            if gone[a]:
+                continue
+            heads: list[tuple[int, str]] = []
+            for r in against.get(rep[a], ()):
+                _drop(queues[r], a, gone)
+                if queues[r]:
+                    heads.append((queues[r][0], r))
+            heapify(heads)
+            while heads:  # the hostile items behind a, by rank; each step supersedes one, or a itself
+                b, r = heads[0]
+                if strength[a] < strength[b]:
+                    gone[a] = True
+                    out.append((ids[b], ids[a]))
                     break
-                if b in gone or place[b] < place[a]:
-                    continue
-                winner, loser = (a, b) if facts[a] >= facts[b] else (b, a)
-                gone.add(loser)
-                out.append((winner, loser))
+                gone[b] = True
+                out.append((ids[a], ids[b]))
+                _drop(queues[r], a, gone)
+                if queues[r]:
+                    heapreplace(heads, (queues[r][0], r))
+                else:
+                    heappop(heads)
         return pd.DataFrame(out, columns=["winner", "loser"])
 
-    decided = full.groupBy("namespace", "subject").applyInPandas(sweep, "winner string, loser string")
+    decided = stash(hostile.groupBy(*of).cogroup(members.groupBy(*of)).applyInPandas(sweep, "winner string, loser string"), "decided")
     edges = decided.select(F.col("winner").alias("src_id"), F.col("loser").alias("dst_id"), F.lit("supersedes").alias("relation")).unionByName(decided.select(F.col("loser").alias("src_id"), F.col("winner").alias("dst_id"), F.lit("contradicts").alias("relation")))
     losers = decided.select(F.col("loser").alias("memory_id"), F.lit(False).alias("__active")).distinct()
     return items.join(losers, "memory_id", "left").withColumn("active", F.coalesce("__active", F.lit(True))).drop("__active"), edges
