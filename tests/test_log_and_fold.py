@@ -151,3 +151,20 @@ def test_states_at_many_points(spark, monkeypatch):
         assert sorted(got.get(name, []), key=repr) == sorted(want, key=repr), name
         assert all(short[name, w[0]] == w[-3:] for w in want)
     assert "none" not in got and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_difference_reads_only_ranges_that_differ(spark, tmp_path):
+    rows = [event(k, "upsert_entity", f"e{k}", payload={"v": "1"}) for k in range(300)]
+    later = rows + [event(1000, "upsert_entity", "e7", 1, payload={"v": "2"}), event(1001, "upsert_entity", "new", 1), event(1002, "delete_entity", "e9", 1)]
+    kept = stores.Snapshots(stores.Place(spark, f"file://{tmp_path}/place"))
+    states = [fold.materialize(frame(spark, r), include_deleted=True) for r in (rows, later)]
+    a, b = (kept.save(s, None, DAY, DAY, DAY) for s in states)
+    trees = [kept.tree(x) for x in (a, b)]
+    assert all(t.filter("depth = 0").first()["n"] == n for t, n in zip(trees, (300, 301), strict=True))
+    ranges = snapshots.changed_leaves(*trees)
+    assert 1 <= len(ranges) <= 3 and snapshots.changed_leaves(trees[0], trees[0]) == []
+    found = kept.difference(a, b)
+    want = {tuple(x) for x in snapshots.difference(*[snapshots.versions(s) for s in states]).collect()}
+    assert {tuple(x) for x in found.collect()} == want and {x[2:4] for x in want} == {("e7", "updated"), ("new", "created"), ("e9", "deleted")}
+    assert "In(leaf" in found._jdf.queryExecution().executedPlan().toString() or "EqualTo(leaf" in found._jdf.queryExecution().executedPlan().toString()
+    assert kept.difference(a, a).count() == 0 and kept.load(a).columns == [c for c in kept.load(a).columns if c != "leaf"]

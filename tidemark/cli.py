@@ -57,8 +57,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     elif name == "snapshot show":
         show(stores.Snapshots(stores.Place(spark, home)).load(args.id), args.limit)
     elif name == "snapshot diff":
-        kept = stores.Snapshots(stores.Place(spark, home))
-        show(snapshots.difference(kept.load(args.before), kept.load(args.after)), args.limit)
+        show(stores.Snapshots(stores.Place(spark, home)).difference(args.before, args.after), args.limit)
     elif name in ("trace ingest", "trace hook"):
         from tidemark.sources import transcripts
 

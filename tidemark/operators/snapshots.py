@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
@@ -35,6 +35,44 @@ def root(hashes: DataFrame) -> DataFrame:
     return parts.agg(F.sha2(F.array_join(ordered, ""), 256).alias("root"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("entities"))
 
 
+#: Leaves of a snapshot's tree: ranges of hashed keys, and how many digits of the hash name one. A leaf's parent has one digit less.
+LEAF_DIGITS = 4
+
+
+def leaf(keys: list[str] | None = None) -> Column:
+    """The range of keys that an entity lies in: the first digits of a hash of its key."""
+    return F.substring(F.sha2(F.to_json(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys or KEY])), 256), 1, LEAF_DIGITS)
+
+
+def tree(hashes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(depth, node, hash, n): a Merkle tree over ranges of keys, from (keys, version_hash).
+
+    A leaf hashes its entities' version hashes in the order of keys; a node of less depth hashes its children's in the
+    order of their names. There are at most 16 ** LEAF_DIGITS leaves, whatever the number of entities; the root has depth 0.
+    """
+    keys = keys or KEY
+    own = F.transform(F.array_sort(F.collect_list(F.struct(*keys, "version_hash"))), lambda x: x["version_hash"])
+    level = hashes.withColumn("node", leaf(keys)).groupBy("node").agg(F.sha2(F.array_join(own, ""), 256).alias("hash"), F.count("*").alias("n"))
+    every = level = level.select(F.lit(LEAF_DIGITS).alias("depth"), "node", "hash", "n")
+    for depth in range(LEAF_DIGITS - 1, -1, -1):
+        below = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])
+        level = level.groupBy(F.substring("node", 1, depth).alias("node")).agg(F.sha2(F.array_join(below, ""), 256).alias("hash"), F.sum("n").alias("n")).select(F.lit(depth).alias("depth"), "node", "hash", "n")
+        every = every.unionByName(level)
+    return every
+
+
+def changed_leaves(before: DataFrame, after: DataFrame) -> list[str]:
+    """The leaves in which two trees differ: from the root down, only nodes below a differing one are compared."""
+    open_nodes = [""]
+    for depth in range(LEAF_DIGITS + 1):
+        side = lambda t, name: t.filter((F.col("depth") == depth) & F.substring("node", 1, max(0, depth - 1)).isin(open_nodes)).select("node", F.col("hash").alias(name))  # noqa: B023, E731
+        both = side(before, "old").join(side(after, "new"), "node", "full_outer")
+        open_nodes = [r["node"] for r in both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("node").collect()]  # a row a range
+        if not open_nodes:
+            return []
+    return sorted(open_nodes)
+
+
 def snapshot_id(root_hash, app, valid, ingested):
     return ids.new_id("snap", app=app, valid=ids.to_iso(valid), ingested=ids.to_iso(ingested), root=root_hash)
 

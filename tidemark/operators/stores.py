@@ -20,12 +20,13 @@ SCHEMAS = {
     "approvals": "approval_id string, kind string, ref string, payload string, status string, note string, at timestamp",
     "cursors": "app string, stream string, cursor string, updated_at timestamp",
     "snapshots": "snapshot_id string, root string, entities bigint, as_of_valid timestamp, as_of_ingest timestamp, created_at timestamp",
-    "snapshot_states": "snapshot_id string, app string, entity_type string, entity_id string, deleted boolean, payload map<string,string>, edges map<string,array<string>>, version_hash string",
+    "snapshot_states": "snapshot_id string, app string, entity_type string, entity_id string, deleted boolean, payload map<string,string>, edges map<string,array<string>>, version_hash string, leaf string",
+    "snapshot_trees": "snapshot_id string, depth int, node string, hash string, n bigint",
     "snapshot_partials": "snapshot_id string, app string, entity_type string, entity_id string, slot string, name string, target string, value string, valid_at timestamp, seq bigint, n bigint",
     "versions": "name string, version int, at timestamp",
 }
 #: The version of SCHEMAS; a place that has an older one gains the columns it lacks when it is read.
-VERSION = 1
+VERSION = 2
 
 
 class Place:
@@ -141,7 +142,10 @@ class Snapshots:
         row = snapshots.root(hashed).select("root", "entities", snapshots.snapshot_id(F.col("root"), F.lit(app), *at).alias("snapshot_id"), at[0].alias("as_of_valid"), at[1].alias("as_of_ingest"), as_time(now).alias("created_at"))
         made = row.first()["snapshot_id"]
         if self.manifest(made).isEmpty():
-            self.place.append("snapshot_states", hashed.withColumn("snapshot_id", F.lit(made)))
+            # In the order of leaves, so that a reader's row groups of other leaves are passed over.
+            placed = hashed.withColumn("snapshot_id", F.lit(made)).withColumn("leaf", snapshots.leaf())
+            self.place.append("snapshot_states", placed.repartitionByRange("leaf", *KEY).sortWithinPartitions("leaf"))
+            self.place.append("snapshot_trees", snapshots.tree(hashed).withColumn("snapshot_id", F.lit(made)))
             self.place.append("snapshots", row)  # last: a state without its manifest isn't listed
         return made
 
@@ -169,7 +173,19 @@ class Snapshots:
         return self.place.read("snapshots").filter(F.col("snapshot_id") == snapshot_id)
 
     def load(self, snapshot_id: str) -> DataFrame:
-        return self.place.read("snapshot_states").filter(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
+        return self.place.read("snapshot_states").filter(F.col("snapshot_id") == snapshot_id).drop("snapshot_id", "leaf")
+
+    def tree(self, snapshot_id: str) -> DataFrame:
+        return self.place.read("snapshot_trees").filter(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
+
+    def difference(self, before: str, after: str) -> DataFrame:
+        """The changes between two saved snapshots, reading only the ranges of keys in which their trees differ."""
+        trees = [tables.stash(self.tree(s), "tree") for s in (before, after)]
+        if any(t.isEmpty() for t in trees):  # saved before there were trees, or without an entity
+            return snapshots.difference(self.load(before), self.load(after))
+        ranges = snapshots.changed_leaves(*trees)
+        states = self.place.read("snapshot_states").filter(F.col("leaf").isin(ranges))
+        return snapshots.difference(*[states.filter(F.col("snapshot_id") == s) for s in (before, after)])
 
     def list(self) -> DataFrame:
         return self.place.read("snapshots").orderBy(F.col("created_at").desc(), "snapshot_id")
