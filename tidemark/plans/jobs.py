@@ -119,7 +119,7 @@ def transcript_spans(spark, d):
 
 @query(f"""
 WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS trace_id, turn, {S._redact(4, "(text || CASE WHEN turn % 2 = 0 THEN ' write to a.b@example.org' ELSE '' END)")} AS t FROM conversations)
-SELECT trace_id, count(*) AS n_spans, sha256(string_agg(CASE WHEN length(t) > 400 THEN 'blob://' || sha256(t) ELSE t END, '|' ORDER BY turn)) AS hash FROM r GROUP BY trace_id""")
+SELECT trace_id, count(*) AS n_spans, sha256(string_agg(CASE WHEN length(t) > 400 THEN 'blob://' || sha256(t) ELSE t END, '|' ORDER BY turn)) AS hash, string_agg('[REDACTED]:' || turn, '|' ORDER BY turn) AS args FROM r GROUP BY trace_id""")
 def ingested_runs(spark, d):
     """Every run captured whole and without its last span, in either order, and once more: the whole one stays, redacted."""
     body = F.concat("text", F.when(F.col("turn") % 2 == 0, " write to a.b@example.org").otherwise(""))
@@ -131,8 +131,8 @@ def ingested_runs(spark, d):
     for captured, day in ((thin.filter(early), 1), (every, 2), (thin, 3), (every, 4)):
         traces.ingest(runs.drop("last"), captured, home, f"2026-01-0{day}", 400)
     stored = traces.stored_spans(spark, home)
-    whole = stored.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "input"))), lambda x: x["input"]), "|").alias("t"))
-    return whole.select("trace_id", "n_spans", ids.sha256_hex(F.col("t")).alias("hash"))
+    whole = stored.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "input"))), lambda x: x["input"]), "|").alias("t"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(":", F.col("tool_args")["token"], F.col("tool_args")["n"]).alias("a")))), lambda x: x["a"]), "|").alias("args"))
+    return whole.select("trace_id", "n_spans", ids.sha256_hex(F.col("t")).alias("hash"), "args")
 
 
 # -- states -----------------------------------------------------------------------------------------------------------

@@ -155,7 +155,7 @@ def cursor_latest(spark, d):
 
 @query
 def event_identity(spark, d):
-    return app_events(spark, d).select("seq", ids.sha256_hex(ids.canonical_map(F.col("payload"))).alias("payload_hash"))
+    return app_events(spark, d).select("seq", ids.sha256_hex(ids.canonical_map(F.col("payload"))).alias("payload_hash"), log.event_id().alias("event_id"))
 
 
 @query

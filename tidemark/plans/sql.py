@@ -168,7 +168,8 @@ ORACLE_SQL: dict[str, str] = {
     "concurrent_append": f"""WITH {EV} SELECT event_id, entity_id, op, sha256('{{"event_type":"' || event_type || '","k":"' || k || '","value":"' || value || '"}}') AS payload_hash FROM ev""",
     "log_compacted": f"WITH {EV} SELECT event_id, row_number() OVER (ORDER BY list_position(['append_version', 'upsert_entity', 'delete_entity'], op), valid_at, event_id) AS seq, op, strftime(valid_at, {ISO}) AS valid_at FROM ev",
     "cursor_latest": f"WITH {EV} SELECT app, op AS stream, arg_max(event_id, ROW(valid_at, seq)) AS cursor FROM ev GROUP BY ALL",
-    "event_identity": f"""WITH {EV} SELECT seq, sha256('{{"event_type":"' || event_type || '","k":"' || k || '","value":"' || value || '"}}') AS payload_hash FROM ev""",
+    "event_identity": f"""WITH {EV}, h AS (SELECT *, sha256('{{"event_type":"' || event_type || '","k":"' || k || '","value":"' || value || '"}}') AS payload_hash FROM ev)
+SELECT seq, payload_hash, 'evt_' || substr(sha256('{{"app":"events","edge_kind":null,"edge_target":null,"entity_id":"' || entity_id || '","entity_type":"user","op":"' || op || '","payload_hash":"' || payload_hash || '","valid_at":"' || strftime(valid_at, {ISO}) || '"}}'), 1, 16) AS event_id FROM h""",
     "activity_windows": f"WITH {EV} SELECT strftime(date_trunc('day', ingested_at)::TIMESTAMP, {ISO}) AS day, op, count(*) AS n FROM ev GROUP BY ALL",
     "snapshot_versions": f"WITH {EV} SELECT entity_id, version_hash FROM ({versions(SEEN)})",
     "snapshot_root": f"WITH {EV}, v AS ({versions(SEEN)}), p AS (SELECT substr(version_hash, 1, 4) AS p, sha256(string_agg(version_hash, '' ORDER BY version_hash)) AS h, count(*) AS n FROM v GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY p)) AS root, CAST(sum(n) AS BIGINT) AS entities FROM p",
