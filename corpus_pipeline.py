@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 of ``docs``, whatever they are called; where a stage changes a text, ``n_chars`` follows it.
 
 Null and empty texts have no words, so the first stage rejects them; the later ones keep them if they are given any.
-Null ids and ids that repeat are documents like others, told apart by their texts; rows that repeat whole become one in
-the second stage. Ties for the place of a class go to the smaller hash of the text. Texts of any length pass whole. An
+Null ids and ids that repeat are documents like others, told apart by their texts; rows that repeat become one in
+the second stage, and of rows that share id and text but not their other columns an arbitrary one stays. Ties for the place of a class go to the smaller hash of the text. Texts of any length pass whole. An
 empty table gives an empty table at every stage, and an empty benchmark cuts nothing.
 """
 
