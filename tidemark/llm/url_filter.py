@@ -56,6 +56,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
 
     Null urls and urls without ``://`` have an empty host and path and get the default. Repeated rows stay repeated.
     An empty url table gives an empty result; without rules every url gets the default. Other columns are not read.
+    Urls of any length are judged whole, and have no more keys than the longest rule's host has labels.
     """
     parsed = parse_rules(rules)
     most = parsed.agg(F.coalesce(F.max("n_labels"), F.lit(1)).alias("most"))  # one row
