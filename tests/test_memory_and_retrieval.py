@@ -206,6 +206,23 @@ def test_sets_of_equal_claims_resolve_as_their_items_would(spark):
     assert {x["memory_id"] for x in active.filter("not active").collect()} == {loser for _, loser in want}
 
 
+def test_pairs_of_claims_are_compared_in_blocks_and_not_shuffled(spark):
+    r = random.Random(23)
+    words = [f"w{k}" for k in range(14)]  # prose of few words: most claims share some of them
+    claims = [(f"m{k:03d}", f"s{k % 2}", ("never " if r.random() < 0.5 else "") + " ".join(r.sample(words, r.randrange(3, 9)))) for k in range(150)]
+    df = spark.createDataFrame([(i, "team", s, c) for i, s, c in claims], "memory_id string, namespace string, subject string, claim string").repartition(3)
+    sets = {i: (s, "never" in c, set(c.replace("never ", "").split())) for i, s, c in claims}
+    want = {(a, b): len(x & y) / len(x | y) for a, (s, n, x) in sets.items() for b, (z, m, y) in sets.items() if a < b and s == z and n != m and 2 * len(x & y) >= len(x | y)}
+    assert len(want) > 100 and {(x["a"], x["b"]): x["overlap"] for x in memory.contradictions(df).collect()} == pytest.approx(want)
+    marked = memory._claim_sets(df)
+    found = [memory._hostile_sets(marked, 0.5, n) for n in (7, 40, 1 << 15)]
+    sets_of = [sorted(map(tuple, x.collect())) for x in found]
+    assert sets_of[0] == sets_of[1] == sets_of[2] and len(set(sets_of[0])) == len(sets_of[0])
+    plan = found[0]._jdf.queryExecution().executedPlan().toString().splitlines()
+    above = plan[: next(k for k, line in enumerate(plan) if "Join" in line)]
+    assert not any("Exchange" in line or "Aggregate" in line for line in above)
+
+
 def test_very_many_equal_claims(spark):
     n = 50_000
     rows = spark.range(2 * n).selectExpr("concat('m', lpad(id, 7, '0')) AS memory_id", "'team' AS namespace", "'one' AS subject", f"concat(if(id < {n}, '', 'do not '), 'ship the release plan') AS claim", "0.5 + id / 1000000 AS confidence", "timestamp'2026-01-01' AS created_at", "'team' AS acl")

@@ -17,6 +17,8 @@ from tidemark.tables import stash
 PROMOTE_FROM = 0.42
 REVIEW_FROM, ACCEPT_FROM = 0.4, 0.85
 OVERLAP_FROM = 0.5
+#: Tokens of a block of claims: two blocks are compared by one task.
+BLOCK_TOKENS = 1 << 15
 # Fixed values by namespace or type.
 ACL = {"user": "personal", "team": "team", "project": "project"}
 ACL_RANK = {"personal": 3, "project": 2, "team": 1}
@@ -147,27 +149,30 @@ def structured_facts(users: DataFrame, channels: DataFrame, documents: DataFrame
 
 
 def _claim_sets(items: DataFrame) -> DataFrame:
-    """(memory_id, namespace, subject, pos, t, rep): items with topic tokens; items of one subject, polarity and set of tokens share ``rep``, their least id."""
+    """(memory_id, namespace, subject, pos, t, rep): items with topic tokens; items of one subject, polarity and set of tokens share ``rep``, the hash of these."""
     marked = items.select("memory_id", "namespace", F.coalesce("subject", F.lit("")).alias("subject"), text.positive(F.col("claim")).alias("pos"), F.array_sort(F.array_distinct(text.topic_tokens(F.col("claim")))).alias("t")).filter(F.size("t") > 0)
-    of = ["namespace", "subject", "pos", "t"]
-    return stash(marked.join(marked.groupBy(*of).agg(F.min("memory_id").alias("rep")), of).select("memory_id", *of, "rep"), "claims")
+    return stash(marked.withColumn("rep", ids.sha256_hex(F.to_json(F.struct("namespace", "subject", "pos", "t")))), "claims")
 
 
-def _hostile_sets(marked: DataFrame, overlap: float) -> DataFrame:
+def _hostile_sets(marked: DataFrame, overlap: float, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(namespace, subject, x, y, overlap): sets of one subject with opposite polarity that share a topic, each by its ``rep``; x affirms.
 
-    Sets meet on their rare tokens: sets that overlap by a share must have one of the rarest in common, so of n tokens only
-    the first n - ceil(share * n) + 1, by how many of their subject's sets hold them, are joined.
+    A subject's affirming and denying sets are dealt into blocks of some ``block_tokens`` tokens, and each block of the
+    ones meets each of the others, where pairs are compared and dropped at once: what is shuffled is sets, once for each
+    block of the other side, and no candidate pairs. Sets that none of their subject opposes aren't shuffled.
     """
     of = ["namespace", "subject"]
-    each = marked.filter("memory_id = rep").select("rep", "pos", *of, F.explode("t").alias("token"))
-    often = each.groupBy(*of, "token").agg(F.count("*").alias("often"))
-    ordered = each.join(often, [*of, "token"]).groupBy("rep", "pos", *of).agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "token"))), lambda x: x["token"]).alias("t"))
-    rare = ordered.withColumn("token", F.explode(F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * F.lit(overlap) - 1e-9).cast("int") + 1)))
-    side = lambda test, name: rare.filter(test).select(*of, "token", F.col("rep").alias(name), F.col("t").alias(f"t_{name}"))
-    met = side(F.col("pos"), "x").join(side(~F.col("pos"), "y"), [*of, "token"]).filter(F.size("t_x") >= overlap * F.size("t_y") - 1e-9).filter(F.size("t_y") >= overlap * F.size("t_x") - 1e-9)
-    shared = met.dropDuplicates(["x", "y"]).withColumn("overlap", text.jaccard(F.col("t_x"), F.col("t_y")))
-    return shared.filter(F.col("overlap") >= overlap).select(*of, "x", "y", "overlap")
+    sets = stash(marked.dropDuplicates(["rep"]).select("rep", "pos", *of, "t"), "sets")
+    tokens = lambda pos: F.sum(F.when(F.col("pos") == pos, F.size("t")))
+    blocks = lambda pos: F.ceil(tokens(pos) / block_tokens).cast("int")
+    opposed = sets.groupBy(*of).agg(blocks(True).alias("of_x"), blocks(False).alias("of_y")).filter("of_x > 0 and of_y > 0")
+
+    def side(pos: bool, name: str, other: str) -> DataFrame:
+        mine = sets.filter(F.col("pos") == pos).join(opposed, of).select(*of, F.col("rep").alias(name), F.col("t").alias(f"t_{name}"), F.pmod(F.xxhash64("rep"), F.col(f"of_{name}")).alias(f"block_{name}"), f"of_{other}")
+        return mine.withColumn(f"block_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"of_{other}") - F.lit(1).cast("bigint")))).drop(f"of_{other}")
+
+    met = side(True, "x", "y").join(side(False, "y", "x"), [*of, "block_x", "block_y"]).filter(F.size("t_x") >= overlap * F.size("t_y") - 1e-9).filter(F.size("t_y") >= overlap * F.size("t_x") - 1e-9)
+    return met.select(*of, "x", "y", text.jaccard(F.col("t_x"), F.col("t_y")).alias("overlap")).filter(F.col("overlap") >= overlap)
 
 
 def _drop(queue: deque[int], before: int, gone: list[bool]) -> None:
