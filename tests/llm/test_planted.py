@@ -117,3 +117,14 @@ def test_names_of_guests_in_an_article(spark):
     assert all(got[k] == kept for k in range(len(own_parts)))
     assert all("Acme" not in got[100 + k] and f"First {own(k, 30)} words." in got[100 + k] and got[100 + k].endswith("Last words.") for k in range(3))
     assert all(own((9, k), 20) in got[200 + k] for k in range(3)) and "Buy at Acme" in got[300]
+
+
+def test_pages_with_an_article_are_differenced_too(spark):
+    """Every row's text comes out of the comparison with the nearest url; the check by markup gives back an article's shared lines."""
+    page = lambda own: f"<p>shared banner</p><article><p>{own}</p><p>a quotation of both</p></article>"
+    rows = [(k, f"http://a.org/{k}", page(f"own text {k}")) for k in range(4)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {k: f"own text {k}\n\na quotation of both" for k in range(4)}
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "Join" in plan and "gone" in plan
+    assert html_text.checked([0, 2], [1, 2, 3], [3]) == [0, 3]

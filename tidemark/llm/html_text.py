@@ -7,14 +7,14 @@ if they also stand in an element of that name in a neighbour, as defined below,
 inside a menu or header that may lack its end, counts if the page has no other. If what is left has an article or main
 element, its blocks are the text.
 
-Differencing decides where no element does. Pages of a host with equal lines are one, at their least path; they lose
-the same lines. Those are put in order of path, and a run in which each shares more than NEAR of its characters with the
+Every page is differenced; where no element marks the text, this alone decides. Pages of a host with equal lines are
+one, at their least path; they lose the same lines. Those are put in order of path, and a run in which each shares more than NEAR of its characters with the
 next is one of near copies. A page is paired with the end of the run before its own or the start of the run after it,
 whichever path has the longer common beginning (the earlier one if equal), both pages' lines are aligned by longest
 common subsequence, and the shared lines are deleted. Copies, near copies and pages that hold every line say nothing
-about a page: the other neighbour is tried, then all lines stay, also in a host of one run. Inside a marked article it
-decides about suspect elements only: another line that a neighbour's article shares is a quotation, and text of the
-article. Without suspect elements and pages without an article no neighbours are looked for.
+about a page: the other neighbour is tried, then all lines stay, also in a host of one run. Inside a marked article
+markup checks what differencing says: of the shared lines only those of suspect elements go, as another line that a
+neighbour's article shares is a quotation, and text of the article; what stands beside the article goes either way.
 
 Null html gives an empty text. Null urls and urls without a host are paired among themselves. Pages of any length are
 read whole; lines are aligned in linear memory. Rows stay as they are, repeated ones too. Extra columns are not read,
@@ -253,6 +253,12 @@ def suspects(lines: list[int], names: list[int], neighbours: list[tuple[list[int
     return [k for k, at in enumerate(zip(lines, names, strict=True)) if at in theirs]
 
 
+def checked(shared: list[int], main: list[int], suspect: list[int]) -> list[int]:
+    """What differencing takes from a marked article: of its shared lines, those of suspect elements; others are quotations and stay."""
+    inside = set(main)
+    return sorted({k for k in shared if k not in inside} | set(suspect))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) for every row: blocks joined by an empty line."""
     read = pages.select(
@@ -264,32 +270,24 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def parse(batches):
         number = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big", signed=True)
         for batch in batches:
-            texts, held, main_at, lines, names, sizes = [], [], [], [], [], []
+            held, main_at, lines, names, sizes = [], [], [], [], []
             for html in batch.column("html"):
                 blocks = suspected_blocks(html.as_py() or "")
-                main = [k for k, (inside, _, _) in enumerate(blocks) if inside]
-                sure = main and not any(blocks[k][1] for k in main)
-                texts.append("\n\n".join(blocks[k][2] for k in main) if sure else None)
-                held.append(None if sure else [t for _, _, t in blocks])
-                main_at.append(main or None)
+                held.append([t for _, _, t in blocks])
+                main_at.append([k for k, (inside, _, _) in enumerate(blocks) if inside] or None)
                 lines.append([number(t) for _, _, t in blocks])
                 names.append([number(name) if name else 0 for _, name, _ in blocks])
                 sizes.append([len(t) for _, _, t in blocks])
             columns = [batch.column(c) for c in ("id", "url", "host", "path")]
-            made = [(texts, pa.string()), (held, pa.list_(pa.string())), (main_at, pa.list_(pa.int32())), (lines, pa.list_(pa.int64())), (names, pa.list_(pa.int64())), (sizes, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, t) for x, t in made)], ["id", "url", "host", "path", "text", "blocks", "main", "lines", "names", "sizes"])
+            made = [(held, pa.list_(pa.string())), (main_at, pa.list_(pa.int32())), (lines, pa.list_(pa.int64())), (names, pa.list_(pa.int64())), (sizes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, t) for x, t in made)], ["id", "url", "host", "path", "blocks", "main", "lines", "names", "sizes"])
 
-    types = f"id {kind}, url string, host string, path string, text string, blocks array<string>, main array<int>, lines array<bigint>, names array<bigint>, sizes array<int>"
-    parsed = stash(read.mapInArrow(parse, types).withColumn("key", F.xxhash64("host", "lines", "names", "main")), "blocks")
-    open_pages = parsed.filter("text is null").select("id", "url", "host", "key", "blocks", "main")
-    marked = parsed.filter("text is not null").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
-    if open_pages.isEmpty():
-        return marked
+    # Pages are parsed twice, for their lines' hashes and at the end for their texts: no text is written or shuffled for its neighbours.
+    types = f"id {kind}, url string, host string, path string, blocks array<string>, main array<int>, lines array<bigint>, names array<bigint>, sizes array<int>"
+    parsed = read.mapInArrow(parse, types).withColumn("key", F.xxhash64("host", "lines", "names", "main"))
 
     # The different line lists of a host in path order. Only hashes of lines travel; a long host is split over range partitions.
-    hosts = open_pages.select("host").distinct()  # the others need no neighbours
-    every = parsed.select("host", "path", "key", "lines", "names", "sizes", F.col("main").isNotNull().alias("marked"), F.col("text").isNull().alias("open"))  # no texts
-    lists = every.join(hosts, "host", "left_semi").groupBy("key").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in ("host", "lines", "names", "sizes", "marked")], F.max("open").alias("open"))
+    lists = parsed.groupBy("key").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in ("host", "lines", "names", "sizes", "main")])
     dealt = range_dealt(lists, "host", "path", "key")
     order = ["host", "path", "key"]
     one = F.struct("host", "path", "lines", "names", "sizes")
@@ -321,19 +319,19 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         runs.join(F.broadcast(outer), "pid")
         .withColumn("before", F.coalesce(F.last(enters, True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "entered")["before"])
         .withColumn("after", F.coalesce(F.last(opens, True).over(back), "opened"))
-        .filter("open")
-        .select("key", "path", "lines", "names", "sizes", "marked", "before", same(F.col("after")).alias("after"))
+        .select("key", "path", "lines", "names", "sizes", "main", "before", same(F.col("after")).alias("after"))
     )
 
     def compare(batches):
         for batch in batches:
             gone = []
-            for path, lines, names, sizes, in_main, *near in zip(*(batch.column(c).to_pylist() for c in ("path", "lines", "names", "sizes", "marked", "before", "after")), strict=True):
+            for path, lines, names, sizes, main, *near in zip(*(batch.column(c).to_pylist() for c in ("path", "lines", "names", "sizes", "main", "before", "after")), strict=True):
                 near = [x for x in near if x]
-                gone.append(suspects(lines, names, [(x["lines"], x["names"]) for x in near]) if in_main else difference(path or "", lines, sizes, [(x["path"] or "", x["lines"], x["sizes"]) for x in near]))
+                shared = difference(path or "", lines, sizes, [(x["path"] or "", x["lines"], x["sizes"]) for x in near])
+                gone.append(shared if main is None else checked(shared, main, suspects(lines, names, [(x["lines"], x["names"]) for x in near])))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
-    paired = open_pages.join(near.mapInArrow(compare, "key bigint, gone array<int>"), "key")
-    stays = lambda k: ~F.array_contains("gone", k) & (F.col("main").isNull() | F.array_contains("main", k))
+    decided = stash(near.mapInArrow(compare, "key bigint, gone array<int>").filter(F.size("gone") > 0), "gone")
+    stays = lambda k: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), k) & (F.col("main").isNull() | F.array_contains("main", k))
     rest = F.array_join(F.filter("blocks", lambda x, k: stays(k)), "\n\n")
-    return marked.unionByName(paired.select(F.col("id").alias(id_col), F.col("url").alias(url_col), rest.alias("text")))
+    return parsed.select("id", "url", "key", "blocks", "main").join(decided, "key", "left").select(F.col("id").alias(id_col), F.col("url").alias(url_col), rest.alias("text"))
