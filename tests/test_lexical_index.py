@@ -60,3 +60,14 @@ def test_weights_of_many_queries_are_sparse(spark, monkeypatch):
     monkeypatch.setattr(blocked, "BLOCK_BYTES", 100_000)
     assert rows(blocked.lexical_top(docs, queries, "id", "text", "id", "text", 3)) == want and len(want) > 300
     assert sorted(r[3] for r in want if r[0] == want[0][0]) == [0, 1, 2]
+
+
+def test_parts_are_bounded_in_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical_index, "PART_WORDS", 1000, raising=False)
+    docs = spark.range(60).selectExpr("id AS doc", "repeat(concat('w', id, ' common '), 50) AS text")  # few, but long
+    lexical_index.add(docs, f"{tmp_path}/index", "doc", "text")
+    _, known = lexical_index.changes(spark, f"{tmp_path}/index")
+    stored = spark.read.parquet(f"{tmp_path}/index/segments/{known[0]['add']}/docs")
+    assert stored.select("part").distinct().count() == 6 and stored.count() == 60
+    queries = spark.createDataFrame([(1, "w7 common")], "q long, text string")
+    assert lexical_index.search(queries, f"{tmp_path}/index", "q", "text", 1).first()["doc"] == 7

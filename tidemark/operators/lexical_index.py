@@ -27,8 +27,8 @@ from tidemark.functions.text import tokens
 from tidemark.operators.blocked import B, DIGITS, K1, _blocks, _keep, _together
 from tidemark.operators.segments import ATTEMPTS, Conflict, put_if_absent
 
-#: Documents of a block, and of a part of a segment on average.
-BLOCK_DOCS, PART_DOCS = 256, 1 << 17
+#: Documents of a block, and of a part of a segment on average; words of a part: a task holds the postings of a part's query terms.
+BLOCK_DOCS, PART_DOCS, PART_WORDS = 256, 1 << 17, 1 << 22
 #: Bytes that a word of a query takes, in the block that is sent and in its weights.
 QUERY_BYTES = 200
 
@@ -56,7 +56,8 @@ def add(docs: DataFrame, root: str, id_col: str, text_col: str, part_docs: int =
     spark, name = docs.sparkSession, uuid.uuid4().hex
     at = f"{root.rstrip('/')}/segments/{name}"
     words = tables.stash(docs.select(F.col(id_col).alias("doc"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t")), "words")
-    parts = max(1, -(-words.count() // part_docs))
+    n, total = words.agg(F.count("*"), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
+    parts = max(1, -(-n // part_docs), -(-total // PART_WORDS))
     numbered = words.select("doc", F.size("t").cast("bigint").alias("len"), F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int").alias("part")).withColumn("ord", F.row_number().over(Window.partitionBy("part").orderBy("doc")) - 1)
     numbered.write.parquet(f"{at}/docs")
     stored = spark.read.parquet(f"{at}/docs")
