@@ -228,3 +228,12 @@ def test_very_many_equal_claims(spark):
     rows = spark.range(2 * n).selectExpr("concat('m', lpad(id, 7, '0')) AS memory_id", "'team' AS namespace", "'one' AS subject", f"concat(if(id < {n}, '', 'do not '), 'ship the release plan') AS claim", "0.5 + id / 1000000 AS confidence", "timestamp'2026-01-01' AS created_at", "'team' AS acl")
     active, edges = memory.resolve(rows)
     assert active.filter("active").count() == n and edges.count() == 2 * n
+
+
+def test_hops_do_not_shuffle_edges_to_make_them_distinct(spark, monkeypatch):
+    plans, write = [], retrieve.stash
+    monkeypatch.setattr(retrieve, "stash", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, label))
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "e"), ("a", "a")], "src string, dst string")
+    got = sorted(tuple(r) for r in retrieve.proximity(edges, spark.createDataFrame([("a",), ("a",)], "src string"), 3).collect())
+    assert got == [("a", "a", 1.0), ("a", "b", 0.5), ("a", "c", 0.3333), ("a", "d", 0.25)]
+    assert len(plans) == 4 and all(p.count("Aggregate") == 1 for p in plans)

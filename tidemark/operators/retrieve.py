@@ -49,8 +49,9 @@ def normalised(fused: DataFrame) -> DataFrame:
 
 def proximity(edges: DataFrame, start: DataFrame, max_hops: int = 2) -> DataFrame:
     """(src, dst, proximity): 1 at the node itself, 1 / (hops + 1) for what undirected hops reach; nothing beyond ``max_hops``."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).toDF("dst", "far").distinct()
-    seen = start.select("src", F.col("src").alias("dst")).distinct().withColumn("hops", F.lit(0))
+    # Edges aren't made distinct: what a hop reaches is. A hop's start is a written table, so Spark knows when it can be sent to the edges.
+    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).toDF("dst", "far")
+    seen = stash(start.select("src", F.col("src").alias("dst")).distinct().withColumn("hops", F.lit(0)), "hops")
     reached = seen
     for h in range(1, max_hops + 1):
         step = reached.join(both, "dst").select("src", F.col("far").alias("dst")).distinct().join(seen.select("src", "dst"), ["src", "dst"], "left_anti")

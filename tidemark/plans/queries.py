@@ -535,7 +535,7 @@ def graph_two_hop(spark, d):
 def graph_three_hops(spark, d):
     """From nations over suppliers to parts and back to suppliers: what three undirected hops reach."""
     name = lambda letter, c: F.concat(F.lit(letter), c)
-    supplied = table(spark, d, "lineitem").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst")).distinct()
+    supplied = table(spark, d, "lineitem").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"))
     based = table(spark, d, "supplier").select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))
     start = table(spark, d, "nation").filter("n_nationkey < 3").select(name("n", "n_nationkey").alias("src"))
     return retrieve.proximity(supplied.union(based), start, 3).groupBy("src", "proximity").agg(F.count("*").alias("n"))
