@@ -41,6 +41,16 @@ def test_slack(spark, slack, tmp_path):
     assert states["user", "U1"]["last_valid_at"] == datetime(2026, 4, 12, 13, 20)
 
 
+def test_slack_by_lines_is_slack_in_one_document(spark, slack, tmp_path):
+    whole = json.loads((tmp_path / "slack.json").read_text())
+    lines = [{name: [x]} for name in ("users", "channels", "edits") for x in whole[name]] + [{"messages": {c: [m]}} for c, ms in whole["messages"].items() for m in ms]
+    (tmp_path / "slack.jsonl").mkdir()
+    for k in range(3):
+        put(tmp_path, f"slack.jsonl/part-{k}.txt", "\n".join(json.dumps(x) for x in lines[k::3]))
+    every = lambda path: sorted(str(r) for r in connectors.slack(spark, path, NOW).collect())
+    assert every(f"file://{tmp_path}/slack.jsonl") == every(slack)
+
+
 def test_calendar_resumes_behind_its_token(spark, tmp_path):
     one = {"id": "e1", "status": "confirmed", "summary": "sync", "updated": "2026-05-01T10:00:00Z", "start": {"dateTime": "2026-05-03T10:00:00+02:00"}, "attendees": [{"email": "a@x.org", "responseStatus": "accepted"}, {"email": ""}]}
     path = put(tmp_path, "cal.json", {"calendar": {"id": "work"}, "sync_batches": [{"sync_token": "T1", "events": [one, {"id": "e2", "start": {"date": "2026-05-04"}}]}, {"sync_token": "T2", "events": [{"id": "e1", "status": "cancelled", "updated": "2026-05-02T10:00:00Z"}]}]})

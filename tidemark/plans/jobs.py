@@ -6,6 +6,7 @@ Sources are first written as the applications export them, whole tables each, an
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,11 +72,12 @@ def synced_events(spark, d):
     users = table(spark, d, "customer").select(_named("U", F.col("c_custkey")).alias("id"), F.col("c_name").alias("name"))
     channels = nation.select(_named("C", F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), (F.lit(1700000000) + F.col("n_nationkey") * 1000).cast("string").alias("created"), F.array(_named("U", F.col("n_regionkey"))).alias("members"))
     seen = F.when(F.col("turn") == 0, F.array(F.struct(F.lit("eyes").alias("name"), F.array(F.lit("U1")).alias("users"))))
-    said = talk.groupBy("ch").agg(F.collect_list(F.struct("ts", F.lit("U1").alias("user"), "text", seen.alias("reactions"))).alias("list")).agg(F.map_from_entries(F.collect_list(F.struct("ch", "list"))).alias("messages"))
+    said = F.create_map("ch", F.array(F.struct("ts", F.lit("U1").alias("user"), "text", seen.alias("reactions"))))
     edits = talk.filter("turn = 1").select(F.col("ch").alias("channel"), "ts", (F.col("ts").cast("bigint") + 50).cast("string").alias("edited_ts"), F.concat(F.lit("edited "), "conv_id").alias("text"))
-    slack = fresh_path(spark, "slack")
-    parts = users.agg(F.collect_list(F.struct("*")).alias("users")).crossJoin(channels.agg(F.collect_list(F.struct("*")).alias("channels"))).crossJoin(said).crossJoin(edits.agg(F.collect_list(F.struct("*")).alias("edits")))  # a row each
-    parts.select(F.to_json(F.struct("*"))).coalesce(1).write.text(slack)
+    slack = f"{fresh_path(spark, 'slack')}.jsonl"  # a line a user, channel, message and edit, so that tasks share the reading
+    line = lambda name, value: F.to_json(F.struct(value.alias(name))).alias("value")
+    lines = [x.select(line(name, F.array(F.struct("*")))) for name, x in (("users", users), ("channels", channels), ("edits", edits))]
+    reduce(DataFrame.unionByName, lines, talk.select(line("messages", said))).write.text(slack)
     guest = F.array(F.struct(F.concat(F.lit("n"), "s_nationkey", F.lit("@x.org")).alias("email"), F.lit("accepted").alias("responseStatus")))
     dates = supplier.select(F.struct(_named("ev", F.col("s_suppkey")).alias("id"), F.when(F.col("s_suppkey") % 5 == 0, "cancelled").otherwise("confirmed").alias("status"), F.col("s_name").alias("summary"), at("s_suppkey").alias("updated"), guest.alias("attendees")).alias("e"), (F.col("s_suppkey") % 2).alias("half"))
     calendar = _export(spark, "calendar", sync_batches=dates.groupBy(F.concat(F.lit("T"), "half").alias("sync_token")).agg(F.collect_list("e").alias("events")))

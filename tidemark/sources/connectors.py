@@ -30,7 +30,8 @@ MAIL = "historyId string, messages array<struct<id:string,threadId:string,intern
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Documents of any layout, a file each; a path that ends in ``.jsonl`` has a document a line, and is read in ranges."""
+    return spark.read.schema(schema).option("multiLine", not path.rstrip("/").endswith(".jsonl")).json(path)
 
 
 def _payload(**values: Column) -> Column:
@@ -47,12 +48,15 @@ def _epoch(text: Column) -> Column:
 
 
 def slack(spark: SparkSession, path: str, ingested_at) -> DataFrame:
-    """Users (valid from the earliest channel), channels, members, messages, reactions as status, edits as versions."""
+    """Users (valid from the earliest channel), channels, members, messages, reactions as status, edits as versions.
+
+    Lists may be dealt over any number of documents; the earliest channel is that of all.
+    """
     raw, now = _read(spark, path, SLACK), log.as_time(ingested_at)
     base = {"app": "slack", "ingested_at": now}
-    anchor = _epoch(F.array_min(F.transform(F.filter("channels", lambda c: c["created"].isNotNull()), lambda c: c["created"].cast("decimal(20,6)"))).cast("string"))
-    users = raw.select(anchor.alias("anchor"), F.explode("users").alias("u"))
     channels = raw.select(F.explode("channels").alias("c"))
+    anchor = channels.agg(_epoch(F.min(F.col("c.created").cast("decimal(20,6)")).cast("string")).alias("anchor"))
+    users = raw.select(F.explode("users").alias("u")).crossJoin(F.broadcast(anchor))  # one row
     messages = raw.select(F.explode("messages").alias("channel", "list")).select("channel", F.explode("list").alias("m")).withColumn("mid", F.concat_ws(":", "channel", "m.ts"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("string")
     topic = F.coalesce(F.get_json_object("c.topic", "$.value"), F.col("c.topic"))
