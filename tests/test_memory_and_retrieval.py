@@ -223,6 +223,29 @@ def test_pairs_of_claims_are_compared_in_blocks_and_not_shuffled(spark):
     assert not any("Exchange" in line or "Aggregate" in line for line in above)
 
 
+def test_a_set_of_a_large_subject_is_not_sent_to_ever_more_blocks(spark):
+    n = 100
+    df = spark.createDataFrame([(f"m{k:03d}", "team", "one", ("never " if k % 2 else "") + f"t{k} u{k // 2}") for k in range(2 * n)] + [("m900", "team", "two", "nobody denies this")], "memory_id string, namespace string, subject string, claim string")
+    found = memory._hostile_sets(memory._claim_sets(df), 0.3, 1)  # a block a token: before, each of 100 sets met 200 blocks
+    assert found.count() == n
+    rows = []
+
+    def visit(node):
+        metrics, kids = node.metrics(), node.children()
+        if node.nodeName() == "Generate":
+            rows.append(metrics.apply("numOutputRows").value())
+        for k in range(kids.size()):
+            visit(kids.apply(k))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            visit(node.executedPlan())
+        elif hasattr(node, "plan") and "QueryStage" in node.nodeName():
+            visit(node.plan())
+
+    found.collect()
+    visit(found._jdf.queryExecution().executedPlan())
+    assert rows == [n * memory.MOST_BLOCKS] * 2
+
+
 def test_very_many_equal_claims(spark):
     n = 50_000
     rows = spark.range(2 * n).selectExpr("concat('m', lpad(id, 7, '0')) AS memory_id", "'team' AS namespace", "'one' AS subject", f"concat(if(id < {n}, '', 'do not '), 'ship the release plan') AS claim", "0.5 + id / 1000000 AS confidence", "timestamp'2026-01-01' AS created_at", "'team' AS acl")

@@ -17,8 +17,8 @@ from tidemark.tables import stash
 PROMOTE_FROM = 0.42
 REVIEW_FROM, ACCEPT_FROM = 0.4, 0.85
 OVERLAP_FROM = 0.5
-#: Tokens of a block of claims: two blocks are compared by one task.
-BLOCK_TOKENS = 1 << 15
+#: Tokens of a block of claims: two blocks are compared by one task. A subject has ``MOST_BLOCKS`` of a polarity, which grow beyond that.
+BLOCK_TOKENS, MOST_BLOCKS = 1 << 15, 8
 # Fixed values by namespace or type.
 ACL = {"user": "personal", "team": "team", "project": "project"}
 ACL_RANK = {"personal": 3, "project": 2, "team": 1}
@@ -159,12 +159,13 @@ def _hostile_sets(marked: DataFrame, overlap: float, block_tokens: int = BLOCK_T
 
     A subject's affirming and denying sets are dealt into blocks of some ``block_tokens`` tokens, and each block of the
     ones meets each of the others, where pairs are compared and dropped at once: what is shuffled is sets, once for each
-    block of the other side, and no candidate pairs. Sets that none of their subject opposes aren't shuffled.
+    block of the other side, and no candidate pairs. A subject has at most ``MOST_BLOCKS`` of a side, larger ones where it
+    has more tokens, so no set is sent more often than that. Sets that none of their subject opposes aren't shuffled.
     """
     of = ["namespace", "subject"]
     sets = stash(marked.dropDuplicates(["rep"]).select("rep", "pos", *of, "t"), "sets")
-    tokens = lambda pos: F.sum(F.when(F.col("pos") == pos, F.size("t")))
-    blocks = lambda pos: F.ceil(tokens(pos) / block_tokens).cast("int")
+    tokens = lambda pos: F.sum(F.when(F.col("pos") == pos, F.size("t")).otherwise(0))
+    blocks = lambda pos: F.least(F.ceil(tokens(pos) / block_tokens), F.lit(MOST_BLOCKS)).cast("int")
     opposed = sets.groupBy(*of).agg(blocks(True).alias("of_x"), blocks(False).alias("of_y")).filter("of_x > 0 and of_y > 0")
 
     def side(pos: bool, name: str, other: str) -> DataFrame:
