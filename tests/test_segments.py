@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tidemark import tables
 from tidemark.operators import log, segments
 
 DAY = datetime(2026, 5, 1)
@@ -46,6 +47,17 @@ def test_append_versions_and_rollback(spark, tmp_path):
     assert segments.read(spark, root).schema.names == segments.COLUMNS
 
 
+def test_a_large_batch_opens_segments_and_asks_no_filters(spark, tmp_path):
+    root = f"file://{tmp_path}/log"
+    n = segments.ASKED_MOST
+    ids = lambda a, b: events(spark, range(1)).drop("event_id").crossJoin(spark.range(a, b).selectExpr("concat('evt_', sha2(cast(id AS string), 256)) AS event_id"))
+    segments.append(spark, ids(0, 200), root, segment_rows=50)
+    made = segments.load(spark, root).segments
+    tables.delete(spark, f"{root}/filters/{made[0]['filter']}")
+    done = segments.append(spark, ids(100, 100 + n), root)  # before, each of its ids asked each filter
+    assert (done.added, done.opened) == (n - 100, 4) and segments.read(spark, root).select("event_id").distinct().count() == 100 + n == segments.read(spark, root).count()
+
+
 def test_an_append_opens_only_segments_that_may_hold_an_id(spark, tmp_path):
     root = f"file://{tmp_path}/log"
     # Ids without order in time, so that bounds say nothing.

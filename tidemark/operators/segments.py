@@ -7,8 +7,8 @@ event is added once however many writers bring it. Readers take the latest commi
 
 Each segment has the least and greatest of its ids and a Bloom filter in blocks of 32,768 bits. An append asks the
 filters and opens only the segments that may hold an id of the batch: its cost is the batch and the filters, some ten
-bits an event, and not the log. Sequence numbers are a segment's base and a row's place in it, so a commit that has to
-try again writes no rows again.
+bits an event, and not the log. A batch that is larger than a segment opens it without asking. Sequence numbers are a
+segment's base and a row's place in it, so a commit that has to try again writes no rows again.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from tidemark.operators.log import EVENT_SCHEMA, KEY, first_arrivals
 SEGMENT_ROWS = 1 << 20
 #: A filter's bits for each id, the bits of a block, and how many of them an id sets.
 BITS_PER_ID, BLOCK_BITS, HASHES = 10, 1 << 15, 6
+#: Ids from which on a batch opens segments that are no larger than itself without asking their filters.
+ASKED_MOST = 1 << 12
 ATTEMPTS = 20
 COLUMNS = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
 
@@ -137,13 +139,19 @@ def _bucket(event_id, buckets):
 
 
 def may_hold(spark: SparkSession, root: str, ids: DataFrame, segments: list[dict]) -> list[dict]:
-    """The segments that may hold one of the ids: by their bounds, then by their filters. None that holds one is left out."""
-    bounds = ids.agg(F.min("event_id"), F.max("event_id")).first()
+    """The segments that may hold one of the ids: by their bounds, then by their filters. None that holds one is left out.
+
+    Asking a filter costs the batch, opening its segment costs the segment. So a batch of ``ASKED_MOST`` ids, of which
+    some pass any filter by chance, asks only filters of segments that are larger than itself.
+    """
+    bounds = ids.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
     if bounds[0] is None:
         return []
-    segments = [s for s in segments if s["min"] <= bounds[1] and s["max"] >= bounds[0]]
+    within = [s for s in segments if s["min"] <= bounds[1] and s["max"] >= bounds[0]]
+    opened = {s["name"] for s in within if bounds[2] >= max(ASKED_MOST, s["rows"])}
+    segments = [s for s in within if s["name"] not in opened]
     if not segments:
-        return []
+        return within
     sizes = sorted({s["buckets"] for s in segments})
     asked = ids.select("event_id", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("buckets")).select("buckets", _bucket(F.col("event_id"), F.col("buckets")).alias("bucket"), F.array(*_bits(F.col("event_id"))).alias("at"))
     filters = spark.read.schema("segment string, buckets int, bucket bigint, bits binary").parquet(*sorted({f"{root.rstrip('/')}/filters/{s['filter']}" for s in segments}))
@@ -153,8 +161,8 @@ def may_hold(spark: SparkSession, root: str, ids: DataFrame, segments: list[dict
     for k in range(HASHES):
         p = F.get("at", F.lit(k))
         held = held & (F.getbit(byte(p), p % 8) == 1)
-    found = {r["segment"] for r in filters.join(asked, ["buckets", "bucket"]).filter(held).select("segment").distinct().collect()}  # a row a segment
-    return [s for s in segments if s["name"] in found]
+    found = opened | {r["segment"] for r in filters.join(asked, ["buckets", "bucket"]).filter(held).select("segment").distinct().collect()}  # a row a segment
+    return [s for s in within if s["name"] in found]
 
 
 def _known(spark: SparkSession, root: str, ids: DataFrame, segments: list[dict]) -> tuple[DataFrame | None, int]:
