@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import tracemalloc
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +248,24 @@ def test_a_set_of_a_large_subject_is_not_sent_to_ever_more_blocks(spark):
     assert rows == [n * memory.MOST_BLOCKS] * 2
 
 
+def test_a_step_of_a_search_holds_little_memory(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k} shared words") for k in range(20)], "id int, t string")
+    queries = spark.createDataFrame([(q, f"shared w{q}") for q in range(200)], "q int, t string")
+    steps, search = [], blocked._search
+    monkeypatch.setattr(blocked, "_search", lambda docs, id_col, columns, held, score, rows, *rest: steps.append((held.value[1], score, rows)) or search(docs, id_col, columns, held, score, rows, *rest))
+    retrieve.hashed_top(docs, queries, "id", "t", "q", "t", 5)
+    retrieve.lexical_top(docs, queries, "id", "t", "q", "t", 5)
+    (hashed, by_hash, n), (words, by_word, m) = steps
+    lists = lambda rows, size, below: pa.array([[(r + k) % below for k in range(size)] for r in range(rows)], pa.list_(pa.int32()))
+    parts = [(by_hash, hashed, pa.record_batch([pa.array(range(n)), lists(n, 200, 512)], ["doc", "codes"])), (by_word, words, pa.record_batch([pa.array(range(m)), pa.array([9] * m, pa.int64()), lists(m, 40, 20), lists(m, 40, 3)], ["doc", "len", "codes", "times"]))]
+    for score, known, part in parts:
+        tracemalloc.start()
+        scores = score(known, part)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert scores.shape == (200, len(part)) and peak < 100 << 20
+
+
 def test_very_many_equal_claims(spark):
     n = 50_000
     rows = spark.range(2 * n).selectExpr("concat('m', lpad(id, 7, '0')) AS memory_id", "'team' AS namespace", "'one' AS subject", f"concat(if(id < {n}, '', 'do not '), 'ship the release plan') AS claim", "0.5 + id / 1000000 AS confidence", "timestamp'2026-01-01' AS created_at", "'team' AS acl")

@@ -20,8 +20,8 @@ from tidemark.functions import scoring
 from tidemark.functions.text import tokens
 from tidemark.tables import stash
 
-#: Bytes of query vectors that are sent at a time, and numbers in one matrix of documents or scores.
-BLOCK_BYTES, CELLS = 64 << 20, 1 << 22
+#: Bytes of query vectors that are sent at a time, and numbers in one matrix of documents or scores; a step holds some eight of these.
+BLOCK_BYTES, CELLS = 64 << 20, 1 << 20
 #: Bytes that a word of a query takes as a string, in the vocabulary and in the weights.
 WORD_BYTES = 240
 DIGITS = 6
@@ -93,9 +93,9 @@ def _together(parts: list[DataFrame], k: int) -> DataFrame:
     return top(every, ["query"], "score", "doc", k)
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
+def _unit(matrix: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    return np.divide(matrix, norms, out=np.zeros_like(matrix) if out is None else out, where=norms > 0)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,8 @@ def _codes(text, dim: int):
 
 def _hashed(values: np.ndarray, sizes: np.ndarray, dim: int) -> np.ndarray:
     cells = np.repeat(np.arange(len(sizes)), sizes) * dim + values // 2
-    return _unit(np.bincount(cells, 1.0 - 2.0 * (values % 2), len(sizes) * dim).astype(np.float64).reshape(len(sizes), dim))
+    matrix = np.bincount(cells, 1.0 - 2.0 * (values % 2), len(sizes) * dim).astype(np.float64, copy=False).reshape(len(sizes), dim)
+    return _unit(matrix, matrix)  # a zero row stays one
 
 
 def hashed_top(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int, dim: int = scoring.DIM) -> DataFrame:
