@@ -71,3 +71,36 @@ def test_parts_are_bounded_in_words(spark, tmp_path, monkeypatch):
     assert stored.select("part").distinct().count() == 6 and stored.count() == 60
     queries = spark.createDataFrame([(1, "w7 common")], "q long, text string")
     assert lexical_index.search(queries, f"{tmp_path}/index", "q", "text", 1).first()["doc"] == 7
+
+
+def shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_added_words_are_shuffled_once(spark, tmp_path):
+    docs = texts(spark, 7, range(6000))
+    chars, before, folder = docs.agg(F.sum(F.length("text"))).first()[0], shuffled(spark), tables.fresh_path(spark, "x").rsplit("/", 1)[0]
+    kept = set(tables.list_names(spark, folder))
+    lexical_index.add(docs, f"file://{tmp_path}/index", "id", "text")
+    assert shuffled(spark) - before < chars  # 4.0 times as much when terms, counts and postings were shuffled each
+    assert set(tables.list_names(spark, folder)) == kept  # no copy of the texts stays
+
+
+def test_parts_are_built_a_few_blocks_at_a_time(spark, tmp_path, monkeypatch):
+    """Ids of another type, texts without words, an empty batch, parts bounded in characters, steps of a block or more."""
+    monkeypatch.setattr(lexical_index, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(lexical_index, "STEP_CHARS", 1500, raising=False)
+    monkeypatch.setattr(lexical_index, "PART_CHARS", 20_000, raising=False)
+    root = f"file://{tmp_path}/index"
+    odd = spark.createDataFrame([(-1, ""), (-2, None), (-3, "... !"), (-4, "  W3 É w5-W5 ")], "id long, text string")
+    docs = texts(spark, 8, range(500)).unionByName(odd).withColumn("id", F.concat(F.lit("d"), "id"))
+    queries = spark.createDataFrame([(k, " ".join(random.Random(k).choices(WORDS[:40], k=5))) for k in range(12)], "q long, text string")
+    lexical_index.add(docs.limit(0), root, "id", "text")
+    lexical_index.add(odd.filter("id = -3").withColumn("id", F.col("id").cast("string")), root, "id", "text")
+    lexical_index.remove(odd.select(F.col("id").cast("string").alias("id")), root, "id")
+    assert lexical_index.search(queries, root, "q", "text", 5).count() == 0
+    lexical_index.add(docs, root, "id", "text")
+    stored = spark.read.parquet(f"{root}/segments/{lexical_index.changes(spark, root)[1][-1]['add']}/docs")
+    assert stored.count() == 504 and stored.select("part").distinct().count() == -(-docs.agg(F.sum(F.length("text"))).first()[0] // 20_000) > 1
+    assert rows(lexical_index.search(queries, root, "q", "text", 5)) == rows(blocked.lexical_top(docs, queries, "id", "text", "q", "text", 5))

@@ -3,9 +3,10 @@
 Each change of the index is a folder of its own, and a manifest that only one writer can put names those that count. An
 added segment deals its documents into parts, numbers them there, and keeps for each block of ``BLOCK_DOCS`` numbers and
 each term the postings, the greatest count and the least length: with these a bound on any score in the block is known
-whatever the collection's statistics have become since. A removal is a list of ids; an id that is added again counts
-where it was added last. So a change costs what it brings, and the statistics are taken when a query is asked: only
-postings of query terms are read.
+whatever the collection's statistics have become since. Only the documents' words are shuffled, once, to their parts; a
+part is bounded, and its postings are made and written where it lies. A removal is a list of ids; an id that is added
+again counts where it was added last. So a change costs what it brings, and the statistics are taken when a query is
+asked: only postings of query terms are kept for it.
 
 A part answers a block of queries by itself. For each query the bounds of its terms are added up for all blocks at once;
 blocks are scored from the greatest bound down, until no block can reach the k-th score that was found.
@@ -18,7 +19,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -27,8 +29,11 @@ from tidemark.functions.text import tokens
 from tidemark.operators.blocked import B, DIGITS, K1, _blocks, _keep, _together
 from tidemark.operators.segments import ATTEMPTS, Conflict, put_if_absent
 
-#: Documents of a block, and of a part of a segment on average; words of a part: a task holds the postings of a part's query terms.
-BLOCK_DOCS, PART_DOCS, PART_WORDS = 256, 1 << 17, 1 << 22
+#: Documents of a block, and of a part of a segment on average; words and characters of a part: a task holds a part's words,
+#: and the postings of its query terms.
+BLOCK_DOCS, PART_DOCS, PART_WORDS, PART_CHARS = 256, 1 << 17, 1 << 22, 1 << 26
+#: Characters of the blocks whose words are coded and counted at a time; a block at least.
+STEP_CHARS = 1 << 22
 #: Bytes that a word of a query takes, in the block that is sent and in its weights.
 QUERY_BYTES = 200
 
@@ -52,24 +57,75 @@ def _commit(spark: SparkSession, root: str, change: dict) -> None:
 
 
 def add(docs: DataFrame, root: str, id_col: str, text_col: str, part_docs: int = PART_DOCS) -> None:
-    """Add documents; those whose ids the index has are replaced. Ids of one batch are different."""
+    """Add documents; those whose ids the index has are replaced. Ids of one batch are different. ``docs`` is read twice."""
     spark, name = docs.sparkSession, uuid.uuid4().hex
     at = f"{root.rstrip('/')}/segments/{name}"
-    words = tables.stash(docs.select(F.col(id_col).alias("doc"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t")), "words")
-    n, total = words.agg(F.count("*"), F.coalesce(F.sum(F.size("t")), F.lit(0))).first()
-    parts = max(1, -(-n // part_docs), -(-total // PART_WORDS))
-    numbered = words.select("doc", F.size("t").cast("bigint").alias("len"), F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int").alias("part")).withColumn("ord", F.row_number().over(Window.partitionBy("part").orderBy("doc")) - 1)
-    numbered.write.parquet(f"{at}/docs")
-    stored = spark.read.parquet(f"{at}/docs")
-    counts = words.select("doc", F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").cast("int").alias("tf")).join(stored, "doc")
-    block = F.floor(F.col("ord") / BLOCK_DOCS).cast("int").alias("block")
-    postings = counts.groupBy("term", "part", block).agg(F.array_sort(F.collect_list(F.struct("ord", "tf"))).alias("p"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
-    shaped = postings.select("term", "part", "block", F.transform("p", lambda x: x["ord"]).alias("ords"), F.transform("p", lambda x: x["tf"]).alias("tfs"), "max_tf", "min_len")
-    # By term, so that a reader's row groups of other terms are passed over.
-    shaped.repartitionByRange(tables.shuffle_partitions(spark), "term", "part", "block").sortWithinPartitions("term", "part", "block").write.parquet(f"{at}/postings")
+    texts = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    words = F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+"))  # as many as tokens() has
+    n, total, chars = texts.agg(F.count("*"), F.coalesce(F.sum(words), F.lit(0)), F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0))).first()
+    parts = max(1, -(-n // part_docs), -(-total // PART_WORDS), -(-chars // PART_CHARS))
+    dealt = texts.select(F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int").alias("part"), "doc", F.array_join(tokens(F.col("text")), " ").alias("words"))
+    _built(dealt).write.parquet(f"{at}/postings")
+    blocks = spark.read.parquet(f"{at}/postings").filter("docs is not null")
+    each = blocks.select("part", "block", F.posexplode(F.arrays_zip("docs", "lens")).alias("place", "d"))
+    each.select(F.col("d.docs").alias("doc"), F.col("d.lens").alias("len"), "part", (F.col("block") * BLOCK_DOCS + F.col("place")).alias("ord")).write.parquet(f"{at}/docs")
     _commit(spark, root, {"add": name})
 
 
+def _built(dealt: DataFrame) -> DataFrame:
+    """A part's postings, a few blocks at a time, by term and block; before them a row without a term for each block: its documents and their lengths."""
+    doc_type, block_docs, step_chars = dealt.schema["doc"].dataType, BLOCK_DOCS, STEP_CHARS
+    doc_arrow = to_arrow_type(doc_type)
+    schema = pa.schema([("term", pa.string()), ("part", pa.int32()), ("block", pa.int32()), ("ords", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("max_tf", pa.int32()), ("min_len", pa.int64()), ("docs", pa.list_(doc_arrow)), ("lens", pa.list_(pa.int64()))])
+
+    def table(n: int, **columns) -> pa.Table:
+        return pa.table([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def counted(words: pa.Array, start: int, part: int) -> tuple[np.ndarray, pa.Table]:
+        """The lengths of some blocks' documents, the first of which has the number ``start``, and their postings."""
+        n, split = len(words), pc.split_pattern(words, " ")
+        flat, owner = split.flatten(), np.repeat(np.arange(n), split.value_lengths().to_numpy())
+        if n and pc.min(pc.binary_length(words)).as_py() == 0:  # a text without words is split into an empty one
+            some = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+            flat, owner = flat.filter(pa.array(some)), owner[some]
+        coded = flat.dictionary_encode()
+        length, by_term = np.bincount(owner, minlength=n), pc.sort_indices(coded.dictionary).to_numpy()
+        code_of = np.empty(len(by_term), np.int64)
+        code_of[by_term] = np.arange(len(by_term))
+        cells, tf = np.unique(code_of[coded.indices.to_numpy()] * n + owner, return_counts=True)
+        code, at, tf = cells // n, cells % n, tf.astype(np.int32)
+        block = ((at + start) // block_docs).astype(np.int32)
+        first = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(block, prepend=-1))
+        if not len(first):
+            return length, table(0)
+        edges = pa.array(np.append(first, len(code)).astype(np.int32))
+        lists = lambda values: pa.ListArray.from_arrays(edges, pa.array(values))
+        least, most = np.minimum.reduceat(length[at], first), np.maximum.reduceat(tf, first)
+        terms = coded.dictionary.take(pa.array(by_term[code[first]]))
+        return length, table(len(first), term=terms, part=np.full(len(first), part, np.int32), block=block[first], ords=lists((at + start).astype(np.int32)), tfs=lists(tf), max_tf=most, min_len=least)
+
+    def build(mine: pa.Table) -> pa.Table:
+        n, part = len(mine), mine.column("part")[0].as_py()
+        by_doc = pc.sort_indices(mine.column("doc"))
+        ids, words = (mine.column(c).combine_chunks().take(by_doc) for c in ("doc", "words"))
+        starts = np.arange(0, n, block_docs)
+        chars = np.add.reduceat(pc.binary_length(words).to_numpy().astype(np.int64), starts)
+        lengths, rows, a = [], [], 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(np.cumsum(chars[a:]), step_chars, side="right")) + a)
+            length, some = counted(words.slice(a * block_docs, (b - a) * block_docs), a * block_docs, part)
+            lengths.append(length)
+            rows.append(some)
+            a = b
+        ends = pa.array(np.append(starts, n).astype(np.int32))
+        lists = lambda values: pa.ListArray.from_arrays(ends, values)
+        heads = table(len(starts), part=np.full(len(starts), part, np.int32), block=np.arange(len(starts), dtype=np.int32), docs=lists(ids.cast(doc_arrow)), lens=lists(pa.array(np.concatenate(lengths), pa.int64())))
+        return pa.concat_tables([heads, *rows])
+
+    kinds = f"term string, part int, block int, ords array<int>, tfs array<int>, max_tf int, min_len bigint, docs array<{doc_type.simpleString()}>, lens array<bigint>"
+    return dealt.groupBy("part").applyInArrow(build, kinds)
+
+
 def remove(ids: DataFrame, root: str, id_col: str) -> None:
     """Remove documents; ids that the index hasn't are passed over."""
     name = uuid.uuid4().hex
@@ -122,7 +178,7 @@ def _found(queries: DataFrame, root: str, query_id: str, query_text: str, k: int
     live = tables.stash(live, "live")
     n, mean = live.agg(F.count("*"), F.avg("len")).first()
     doc_type = live.schema["doc"].dataType
-    read = lambda s: spark.read.parquet(f"{root.rstrip('/')}/segments/{s}/postings").withColumn("segment", F.lit(s))
+    read = lambda s: spark.read.parquet(f"{root.rstrip('/')}/segments/{s}/postings").select("term", "part", "block", "ords", "tfs", "max_tf", "min_len", F.lit(s).alias("segment"))
     every = read(adds[0])
     for s in adds[1:]:
         every = every.unionByName(read(s))
@@ -131,12 +187,11 @@ def _found(queries: DataFrame, root: str, query_id: str, query_text: str, k: int
     for block in _blocks(asked, lambda t: QUERY_BYTES * (len(t) + 1)):
         code = {w: c for c, w in enumerate(sorted({w for _, t in block for w in t}))}
         terms = spark.createDataFrame(pa.table({"term": pa.array(code, pa.string()), "code": pa.array(code.values(), pa.int32())}))
-        postings = tables.stash(every.join(terms, "term").drop("term"), "asked")
+        postings = tables.stash(every.join(F.broadcast(terms), "term").drop("term"), "asked")  # a block's words bound its terms
         if whole:
             often = dict(postings.groupBy("code").agg(F.sum(F.size("ords"))).collect())  # a row a query term
         else:
-            each = postings.select("segment", "part", "code", F.explode("ords").alias("ord"))
-            often = dict(each.join(live.select("segment", "part", "ord"), ["segment", "part", "ord"], "left_semi").groupBy("code").count().collect())
+            often = dict(_counted(postings, live).groupBy("code").agg(F.sum("n")).collect())
         df = np.array([often.get(c, 0) for c in range(len(code))], np.float64)
         idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5) + 1))
         weights = []  # (codes, weights) of each query
@@ -150,6 +205,24 @@ def _found(queries: DataFrame, root: str, query_id: str, query_text: str, k: int
     return results, works
 
 
+def _counted(postings: DataFrame, live: DataFrame) -> DataFrame:
+    """(code, n): how many documents that count hold a term, for each part."""
+
+    def count(mine: pa.Table, docs: pa.Table) -> pa.Table:
+        if not len(mine) or not len(docs):
+            return pa.table({"code": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+        lists = mine.column("ords").combine_chunks()
+        place, ords = lists.flatten().to_numpy(), docs.column("ord").to_numpy()
+        alive = np.zeros(max(int(place.max()), int(ords.max())) + 1, bool)
+        alive[ords] = True
+        often = np.bincount(np.repeat(mine.column("code").to_numpy(), lists.value_lengths().to_numpy())[alive[place]])
+        code = np.flatnonzero(often)
+        return pa.table({"code": pa.array(code, pa.int32()), "n": pa.array(often[code], pa.int64())})
+
+    keys = ["segment", "part"]
+    return postings.select(*keys, "code", "ords").groupBy(*keys).cogroup(live.select(*keys, "ord").groupBy(*keys)).applyInArrow(count, "code int, n bigint")
+
+
 def _answered(postings: DataFrame, live: DataFrame, held, asked_type, doc_type, k: int) -> DataFrame:
     """(query, doc, score) of each part's best k of each query, and a row (scored, skipped) for each part."""
     query_arrow, doc_arrow = to_arrow_type(asked_type), to_arrow_type(doc_type)
